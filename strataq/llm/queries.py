@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataq.llm.edit_counts import apply_edits, derived_edits, token_trees
+from strataq.llm.language_id import identify
+from strataq.llm.packing import pack
 from strataq.llm.runtime import table
 from strataq.llm.substring_dedup import substring_dedup
 
@@ -14,6 +17,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13)
 
 
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derived_edits(table(spark, sf_dir, "documents"))
+    return apply_edits(token_trees(docs, tokenizer=_tokenizer()), tokenizer=_tokenizer())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=_tokenizer(), window=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_edit_aware_counts": op4_edit_aware_counts,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
