@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strataq.llm.edit_counts import apply_edits, derived_edits, token_trees
+from strataq.llm.jaccard_join import jaccard_join
 from strataq.llm.language_id import identify
 from strataq.llm.packing import pack
 from strataq.llm.runtime import table
@@ -28,6 +29,10 @@ def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_edits(token_trees(docs, tokenizer=_tokenizer()), tokenizer=_tokenizer())
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_edit_aware_counts": op4_edit_aware_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
