@@ -6,18 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataq.llm.chat_format import repair
+from strataq.llm.decontaminate import contaminated
 from strataq.llm.edit_counts import apply_edits, derived_edits, token_trees
 from strataq.llm.jaccard_join import jaccard_join
 from strataq.llm.language_id import identify
 from strataq.llm.packing import pack
+from strataq.llm.quality_rules import quality_rules
 from strataq.llm.runtime import table
 from strataq.llm.substring_dedup import substring_dedup
+from strataq.llm.url_filter import url_filter
+from strataq.llm.warc import round_trip
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
+
+
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -33,6 +46,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -43,8 +68,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_decontamination": op3_decontamination,
     "op4_edit_aware_counts": op4_edit_aware_counts,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_url_filter": op7_url_filter,
+    "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
