@@ -204,28 +204,30 @@ def train(docs: DataFrame, *, per_language: int = 600, seed: int = 0) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` and lang_pred, score for each row; only the text is looked at."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred and score; only the text is looked at."""
     small_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    text = "text" if "text" in keep else "_text"
-    d = docs.select(*keep, *([] if text == "text" else [F.col("text").cast("string").alias("_text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features x languages, whatever the corpus
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for pdf in batches:
-            got = [m.predict(t) for t in pdf[text]]
-            out = pdf[keep].copy()
-            out["lang_pred"], out["score"] = pd.Series([g[0] for g in got], index=out.index, dtype=object), pd.Series([g[1] for g in got], index=out.index, dtype=float)
-            yield out
+        for column in texts:
+            yield pd.DataFrame([m.predict(t) for t in column], columns=["lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in keep)
-    return d.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+    judged = docs.select("*", judge.asNondeterministic()(F.col("text").cast("string")).alias("_judged"))
+    return judged.select(*(F.col(f"`{c}`") for c in docs.columns), "_judged.lang_pred", "_judged.score")
 
 
 def identify(docs: DataFrame, *, per_language: int = 600) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row."""
     model = train(docs, per_language=per_language)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
-    return predict(d, model, keep=["doc_id", "held_out"])
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+    return predict(d, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, *, min_score: float = 0.5, per_language: int = 600) -> DataFrame:
+    """``docs`` without those that have no language, or none with at least ``min_score``."""
+    model = train(docs, per_language=per_language)
+    d = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return predict(d, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")

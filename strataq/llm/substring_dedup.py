@@ -271,19 +271,22 @@ def _cut(width: int, with_text: bool):
         cols = {"doc_id": t.column("doc_id").combine_chunks(), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if with_text:
             cols["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
+            cols["carried"] = t.column("carried").combine_chunks()
         return pa.table(cols)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, *, width: int = 13, with_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, *, width: int = 13, with_text: bool = False) -> DataFrame:
     """Remove words covered by a window of ``width`` words that also starts in a document of smaller id.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text): one row for each row of ``docs``.
+    Returns doc_id, n_words, n_removed, kept_sha256: one row for each row of ``docs``. With ``with_text`` also
+    kept_text and ``carried``, a struct of the row as it was but for its text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("carried")] if with_text else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     size = 2 * bytes_of(docs)
     # entries of a bucket fit in memory, rows between blocks and buckets hold some dozens of entries at every size
     buckets = max(48, size * 13 // 24 // (32 << 20))
@@ -294,5 +297,12 @@ def substring_dedup(docs: DataFrame, *, width: int = 13, with_text: bool = False
     shared = by(found, "bucket").applyInArrow(_shared, "block long, at binary, count binary")
     sent = by(d, "block").cogroup(by(shared, "block")).applyInArrow(_verify(width, buckets), "bucket long, block long, window binary, doc binary")
     later = by(sent, "bucket").applyInArrow(_smallest, "block long, window binary")
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", kept_text string, carried {docs.schema['carried'].dataType.simpleString()}" if with_text else "")
     return by(d, "block").cogroup(by(later, "block")).applyInArrow(_cut(width, with_text), out)
+
+
+def deduplicated(docs: DataFrame, *, width: int = 13) -> DataFrame:
+    """``docs`` with the kept words as text (and their length as n_chars, if there); documents that lost all words go."""
+    out = substring_dedup(docs, width=width, with_text=True).where("n_removed < n_words OR n_words = 0")
+    own = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*((own[c] if c in own else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
