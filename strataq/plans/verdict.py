@@ -1 +1,193 @@
-"""Queries."""
+"""Change verdicts: signals of each change set, tier, confidence, labels, comment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataq.operators import history as H
+from strataq.operators import risk as R
+from strataq.operators.ranking import with_total
+from strataq.plans.registry import query
+from strataq.sources.tables import Tables, sql
+
+_IMPACT = """, sym AS (SELECT DISTINCT change_id, symbol, community, process FROM change_sets JOIN symbol_files USING (path)),
+imp AS (SELECT change_id, count(DISTINCT symbol) AS n_symbols, count(DISTINCT community) AS communities, count(DISTINCT process) AS processes FROM sym GROUP BY 1),
+chg AS (SELECT change_id, n_files, coalesce(n_symbols, 0) AS blast_radius, coalesce(communities, 0) AS communities FROM (SELECT change_id, count(*) AS n_files FROM change_sets GROUP BY 1) LEFT JOIN imp USING (change_id))"""
+_ALL = "commits commit_files change_sets symbol_files"
+_BLAST = "CASE WHEN blast_radius <= 0 THEN NULL WHEN blast_radius > 50 THEN 'block' WHEN blast_radius > 20 THEN 'escalation' WHEN blast_radius > 5 THEN 'warning' ELSE 'info' END"
+_COMM = "CASE WHEN communities <= 1 THEN NULL WHEN communities <= 3 THEN 'warning' ELSE 'escalation' END"
+
+
+def impact(t: Tables) -> DataFrame:
+    """(change_id, n_files, blast_radius, communities): symbols in the changed files and the communities they are of."""
+    cs = t.change_sets()
+    sym = cs.join(t.symbol_files(), "path").groupBy("change_id").agg(F.countDistinct("symbol").alias("blast_radius"), F.countDistinct("community").alias("communities"))
+    files = cs.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return files.join(sym, "change_id", "left").fillna(0, ["blast_radius", "communities"])
+
+
+@query("impact_totals", sql(_ALL, _IMPACT + " SELECT change_id, n_files, blast_radius, communities FROM chg"))
+def impact_totals(t: Tables) -> DataFrame:
+    return impact(t)
+
+
+@query("blast_signal", sql(_ALL, _IMPACT + f" SELECT change_id, {_BLAST} AS severity, least(1.0::DOUBLE, blast_radius / 50.0::DOUBLE) AS weight FROM chg WHERE blast_radius > 0"))
+def blast_signal(t: Tables) -> DataFrame:
+    n = F.col("blast_radius")
+    return impact(t).where(n > 0).select("change_id", R.blast_severity(n).alias("severity"), R.share(n, 50).alias("weight"))
+
+
+@query("community_signal", sql(_ALL, _IMPACT + f" SELECT change_id, {_COMM} AS severity, least(1.0::DOUBLE, communities / 5.0::DOUBLE) AS weight FROM chg WHERE communities > 1"))
+def community_signal(t: Tables) -> DataFrame:
+    n = F.col("communities")
+    return impact(t).where(n > 1).select("change_id", R.community_severity(n).alias("severity"), R.share(n, 5).alias("weight"))
+
+
+@query("symbols_in_changed_files", sql(_ALL, _IMPACT + " SELECT DISTINCT symbol, community FROM sym ORDER BY symbol LIMIT 200"))
+def symbols_in_changed_files(t: Tables) -> DataFrame:
+    return t.symbol_files().join(t.change_sets().select("path").distinct(), "path", "left_semi").select("symbol", "community").distinct().orderBy("symbol").limit(200)
+
+
+@query("security_signal", sql("findings", """, n AS (SELECT file_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'HIGH') AS h FROM findings GROUP BY 1)
+SELECT file_id, CASE WHEN c > 40 THEN 'block' WHEN h > 20 THEN 'escalation' END AS severity, CASE WHEN c > 40 THEN 1.0::DOUBLE WHEN h > 20 THEN 0.7::DOUBLE END AS weight FROM n WHERE c > 40 OR h > 20"""))
+def security_signal(t: Tables) -> DataFrame:
+    """With thresholds as parameters: the counts of one repository are never zero in these tables."""
+    n = t.findings().groupBy("file_id").agg(F.count_if(F.col("severity") == "critical").alias("c"), F.count_if(F.col("severity") == "HIGH").alias("h"))
+    sev = F.when(F.col("c") > 40, "block").when(F.col("h") > 20, "escalation")
+    return n.select("file_id", sev.alias("severity"), F.when(F.col("c") > 40, 1.0).when(F.col("h") > 20, 0.7).alias("weight")).where("severity IS NOT NULL")
+
+
+_HOTC = """, cw AS (SELECT hash, row_number() OVER (ORDER BY date DESC, hash DESC) AS place FROM commits QUALIFY place <= 200),
+cf AS (SELECT hash, path, place FROM commit_files JOIN cw USING (hash)), hot AS (SELECT path FROM (SELECT path, count(*) AS n, min(place) AS seen FROM cf GROUP BY 1) ORDER BY n DESC, seen, path LIMIT 10),
+churn AS (SELECT change_id, count(*) AS n_hot FROM change_sets WHERE path IN (FROM hot) GROUP BY 1)"""
+
+
+def _churn(t: Tables) -> DataFrame:
+    hot = H.hotspots(t.commits(), t.commit_files(), limit=200, top=10).select("path")
+    return t.change_sets().join(F.broadcast(hot), "path", "left_semi").groupBy("change_id").agg(F.count(F.lit(1)).alias("n_hot"))
+
+
+@query("git_signals", sql(_ALL, _HOTC + " SELECT change_id, 'churn_rate' AS signal_type, 'warning' AS severity, least(1.0::DOUBLE, n_hot / 5.0::DOUBLE) AS weight FROM churn"))
+def git_signals(t: Tables) -> DataFrame:
+    return _churn(t).select("change_id", F.lit("churn_rate").alias("signal_type"), F.lit("warning").alias("severity"), R.share(F.col("n_hot"), 5).alias("weight"))
+
+
+@query("pattern_signal", "SELECT user_id, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS violations, least(1.0::DOUBLE, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) / 10.0::DOUBLE) AS weight FROM events WHERE event_type = 'error' GROUP BY 1 HAVING sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) > 0")
+def pattern_signal(t: Tables) -> DataFrame:
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    n = t.events.where("event_type = 'error'").groupBy("user_id").agg(F.sum(k).alias("violations")).where("violations > 0")
+    return n.withColumn("weight", R.share(F.col("violations"), 10))
+
+
+_STATS = "SELECT l_orderkey AS change_id, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 48) AS b, count(*) FILTER (l_returnflag = 'A') AS e, count(*) FILTER (l_returnflag = 'N') AS w, min(l_linestatus) AS st, max(l_suppkey) % 6 AS a, round(sum(l_discount), 4) AS weight FROM lineitem GROUP BY 1"
+
+
+def _stats(t: Tables) -> DataFrame:
+    f = F.col("l_returnflag")
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("change_id")).agg(F.count_if((f == "R") & (F.col("l_quantity") > 48)).alias("b"), F.count_if(f == "A").alias("e"), F.count_if(f == "N").alias("w"), F.min("l_linestatus").alias("st"), (F.max("l_suppkey") % 6).alias("a"), F.round(F.sum("l_discount"), 4).alias("weight"))
+
+
+_TIER = "CASE WHEN b > 0 THEN 'block' ELSE (['auto_merge', 'single_review', 'dual_review', 'expert_review', 'block'])[least(4, greatest(e + (w + 1) // 2, CASE WHEN a BETWEEN 0 AND 4 THEN a ELSE 0 END, CASE WHEN st = 'F' THEN 1 ELSE 0 END)) + 1] END"
+
+
+@query("verdict_tier", f"SELECT change_id, {_TIER} AS tier FROM ({_STATS})")
+def verdict_tier(t: Tables) -> DataFrame:
+    s = _stats(t)
+    return s.select("change_id", R.tier(F.col("b"), F.col("e"), F.col("w"), F.get(F.array(*map(F.lit, R.TIERS)), F.col("a").cast("int")), F.when(F.col("st") == "F", "outdated").otherwise("current")).alias("tier"))
+
+
+@query("verdict_confidence", f"SELECT change_id, round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, CASE WHEN e > 0 THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN w > 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN b + e + w >= 3 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN st = 'F' THEN 0.3::DOUBLE ELSE 0 END)), 4) AS confidence FROM ({_STATS})")
+def verdict_confidence(t: Tables) -> DataFrame:
+    c = R.confidence(F.col("e") > 0, F.col("w") > 0, F.col("b") + F.col("e") + F.col("w"), F.when(F.col("st") == "F", 0.3).otherwise(0.0))
+    return _stats(t).select("change_id", F.round(c, 4).alias("confidence"))
+
+
+@query("boundary_distance", f"SELECT change_id, round(CASE WHEN w + e = 0 THEN 0::DOUBLE WHEN a = 0 AND w > 0 THEN least(1.0::DOUBLE, w * 0.3::DOUBLE) ELSE least(1.0::DOUBLE, weight / 3) END, 4) AS distance FROM ({_STATS})")
+def boundary_distance(t: Tables) -> DataFrame:
+    tier = F.when(F.col("a") == 0, "auto_merge").otherwise("single_review")
+    return _stats(t).select("change_id", F.round(R.boundary(tier, F.col("w"), F.col("e"), F.col("weight")), 4).alias("distance"))
+
+
+@query("verdict_triggers", f"SELECT change_id, CASE WHEN tier = 'auto_merge' THEN 'Any untested code path would trigger single_review; Security finding in changed files would trigger block' WHEN tier IN ('single_review', 'dual_review') THEN 'Additional bus factor risk would escalate; Blast radius > 50 would trigger expert_review' ELSE '' END AS up FROM (SELECT change_id, {_TIER} AS tier FROM ({_STATS}))")
+def verdict_triggers(t: Tables) -> DataFrame:
+    tier = verdict_tier(t)
+    up = F.when(F.col("tier") == "auto_merge", F.array(F.lit("Any untested code path would trigger single_review"), F.lit("Security finding in changed files would trigger block")))
+    up = up.when(F.col("tier").isin("single_review", "dual_review"), F.array(F.lit("Additional bus factor risk would escalate"), F.lit("Blast radius > 50 would trigger expert_review")))
+    return tier.select("change_id", F.coalesce(F.array_join(up, "; "), F.lit("")).alias("up"))
+
+
+@query("index_freshness", """WITH h AS (SELECT user_id, date_diff('second', max(ts), TIMESTAMP '2024-01-31 00:00:00') / 3600.0::DOUBLE * (user_id % 90) AS hours FROM events GROUP BY 1)
+SELECT user_id, round(hours, 3) AS hours, CASE WHEN hours > 168 THEN 'outdated' WHEN hours > 48 THEN 'stale' ELSE 'current' END AS freshness, CASE WHEN hours > 168 THEN 0.3::DOUBLE WHEN hours > 48 THEN 0.15::DOUBLE ELSE 0 END AS penalty FROM h""")
+def index_freshness(t: Tables) -> DataFrame:
+    # whole seconds, as boundaries crossed
+    gap = F.expr("timestampdiff(SECOND, date_trunc('SECOND', max(ts)), TIMESTAMP_NTZ '2024-01-31 00:00:00')")
+    h = t.events.groupBy("user_id").agg(gap.alias("s")).select("user_id", (F.col("s") / 3600.0 * (F.col("user_id") % 90)).alias("hours"))
+    state, penalty = R.freshness(F.col("hours"))
+    return h.select("user_id", F.round("hours", 3).alias("hours"), state.alias("freshness"), penalty.alias("penalty"))
+
+
+def verdicts(t: Tables) -> DataFrame:
+    """One verdict for each change set from its impact, churn and the age of its customer's data."""
+    c = impact(t).join(_churn(t), "change_id", "left").fillna(0, ["n_hot"])
+    n, k, h = F.col("blast_radius"), F.col("communities"), F.col("n_hot")
+    signals = F.array(
+        R.signal("blast_radius", R.blast_severity(n), R.share(n, 50), "gitnexus_impact", F.concat(n, F.lit(" upstream dependents"))),
+        R.signal("cross_community", R.community_severity(k), R.share(k, 5), "gitnexus_cypher", F.concat(F.lit("Changes span "), k, F.lit(" communities"))),
+        R.signal("churn_rate", F.when(h > 0, "warning"), R.share(h, 5), "git_hotspots", F.concat(h, F.lit(" changed file(s) are top-10 hotspots"))),
+    )
+    c = c.withColumns({"signals": signals, "analysed": F.col("change_id") % 2 == 0, "area_tier": F.lit(None).cast("string"), "age_hours": (F.col("change_id") % 200).cast("double")})
+    return R.assemble(c)
+
+
+_VERDICT = _IMPACT + _HOTC + f""", s AS (SELECT chg.*, coalesce(n_hot, 0) AS n_hot, {_BLAST} AS s1, {_COMM} AS s2, CASE WHEN n_hot > 0 THEN 'warning' END AS s3, least(1.0::DOUBLE, blast_radius / 50.0::DOUBLE) AS w1, least(1.0::DOUBLE, communities / 5.0::DOUBLE) AS w2, least(1.0::DOUBLE, coalesce(n_hot, 0) / 5.0::DOUBLE) AS w3, change_id % 200 AS age FROM chg LEFT JOIN churn USING (change_id)),
+c AS (SELECT *, (s1 = 'block')::INT AS b, coalesce((s1 = 'escalation')::INT, 0) + coalesce((s2 = 'escalation')::INT, 0) AS e, coalesce((s1 = 'warning')::INT, 0) + coalesce((s2 = 'warning')::INT, 0) + (s3 IS NOT NULL)::INT AS w, (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT AS n,
+CASE WHEN s1 IN ('warning', 'escalation') THEN w1 ELSE 0 END + CASE WHEN s2 IS NOT NULL THEN w2 ELSE 0 END + CASE WHEN s3 IS NOT NULL THEN w3 ELSE 0 END AS weight FROM s),
+v AS (SELECT *, CASE WHEN b > 0 THEN 'block' ELSE (['auto_merge', 'single_review', 'dual_review', 'expert_review', 'block'])[least(4, greatest(e + (w + 1) // 2, CASE WHEN age > 168 THEN 1 ELSE 0 END)) + 1] END AS verdict FROM c),
+f AS (SELECT change_id, verdict, n_files, blast_radius, communities, n AS n_signals, CASE WHEN age > 168 THEN 'outdated' WHEN age > 48 THEN 'stale' ELSE 'current' END AS freshness,
+round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, CASE WHEN change_id % 2 = 0 THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN s1 IS NOT NULL OR s2 IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN n >= 3 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN age > 168 THEN 0.3::DOUBLE WHEN age > 48 THEN 0.15::DOUBLE ELSE 0 END)), 4) AS confidence,
+round(CASE WHEN w + e = 0 THEN 0::DOUBLE WHEN verdict = 'auto_merge' AND w > 0 THEN least(1.0::DOUBLE, w * 0.3::DOUBLE) ELSE least(1.0::DOUBLE, weight / 3) END, 4) AS distance,
+CASE verdict WHEN 'auto_merge' THEN 0 WHEN 'single_review' THEN 1 WHEN 'dual_review' THEN 1 WHEN 'expert_review' THEN 2 ELSE 3 END AS exit_code,
+array_to_string(list_filter([CASE verdict WHEN 'auto_merge' THEN 'auto-approvable' WHEN 'block' THEN 'blocked' END, CASE WHEN blast_radius > 20 THEN 'high-blast-radius' END, CASE WHEN communities > 2 THEN 'cross-cutting' END], lambda x: x IS NOT NULL), ',') AS labels FROM v)"""
+
+
+@query("compute_verdict", sql(_ALL, _VERDICT + " SELECT change_id, verdict, confidence, distance, exit_code, n_signals, n_files, blast_radius, communities FROM f"))
+def compute_verdict(t: Tables) -> DataFrame:
+    return verdicts(t).select("change_id", "verdict", "confidence", "distance", "exit_code", "n_signals", "n_files", "blast_radius", "communities")
+
+
+@query("suggest_labels", sql(_ALL, _VERDICT + " SELECT change_id, labels FROM f"))
+def suggest_labels(t: Tables) -> DataFrame:
+    return verdicts(t).select("change_id", "labels")
+
+
+@query("review_comment", sql(_ALL, _VERDICT + """ SELECT change_id, concat('## Verdict: `', verdict, '`', chr(10), chr(10), '**Confidence:** ', round_even(confidence * 100, 0)::INT, '% | **Data freshness:** ', freshness, chr(10), '**', n_files, '** files changed | **', blast_radius, '** upstream dependents | **', communities, '** communities affected') AS comment FROM f"""))
+def review_comment(t: Tables) -> DataFrame:
+    pct = F.concat(F.bround(F.col("confidence") * 100, 0).cast("int"), F.lit("%"))
+    head = F.concat(F.lit("## Verdict: `"), "verdict", F.lit("`"))
+    line = F.concat(F.lit("**Confidence:** "), pct, F.lit(" | **Data freshness:** "), "freshness")
+    body = F.concat(F.lit("**"), "n_files", F.lit("** files changed | **"), "blast_radius", F.lit("** upstream dependents | **"), "communities", F.lit("** communities affected"))
+    return verdicts(t).select("change_id", F.concat_ws("\n", head, F.lit(""), line, body).alias("comment"))
+
+
+@query("review_classification", sql(_ALL, _IMPACT + _HOTC + """ SELECT change_id, (['auto', 'single', 'dual', 'expert'])[least(3, (blast_radius > 10)::INT + (coalesce(n_hot, 0) > 0)::INT + (n_files = 1)::INT) + 1] AS review FROM chg LEFT JOIN churn USING (change_id)"""))
+def review_classification(t: Tables) -> DataFrame:
+    """An extension: the review policy as arithmetic, one tier for each risk."""
+    c = impact(t).join(_churn(t), "change_id", "left")
+    n = (F.col("blast_radius") > 10).cast("int") + (F.coalesce("n_hot", F.lit(0)) > 0).cast("int") + (F.col("n_files") == 1).cast("int")
+    return c.select("change_id", R.named(F.least(n, F.lit(3)), ["auto", "single", "dual", "expert"]).alias("review"))
+
+
+@query("team_sizing", sql("paths", "SELECT regexp_extract(path, '^([^/]*)/', 1) AS repo, count(*) AS files, CASE WHEN count(*) < 70 THEN 2 WHEN count(*) <= 80 THEN 4 ELSE 6 END AS teams FROM paths GROUP BY 1"))
+def team_sizing(t: Tables) -> DataFrame:
+    """An extension: teams by number of files."""
+    n = t.paths().groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("repo")).agg(F.count(F.lit(1)).alias("files"))
+    return n.withColumn("teams", F.when(F.col("files") < 70, 2).when(F.col("files") <= 80, 4).otherwise(6))
+
+
+@query("heuristic_summary", sql("commits paths findings", """SELECT (SELECT count(*) FROM paths) AS file_count, (SELECT count(*) FROM commits) AS total_commits, (SELECT count(DISTINCT author) FROM commits) AS contributors, (SELECT count(*) FROM findings WHERE severity = 'critical') AS critical, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS communities"""))
+def heuristic_summary(t: Tables) -> DataFrame:
+    one = t.paths().agg(F.count(F.lit(1)).alias("file_count"))
+    one = with_total(one, t.commits().agg(F.count(F.lit(1)).alias("total_commits"), F.countDistinct("author").alias("contributors")))
+    one = with_total(one, t.findings().agg(F.count_if(F.col("severity") == "critical").alias("critical")))
+    return with_total(one, t.supplier.agg(F.countDistinct("s_nationkey").alias("communities")))
