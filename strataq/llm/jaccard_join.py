@@ -2,16 +2,15 @@
 
 A text is the set of its runs of ``n`` words (a shorter text is one run of all its words). Texts with equal sets form a
 text class, and only classes are compared. Band and row counts are chosen for ``recall`` at ``threshold``; classes
-shuffle on the hashes of their bands and meet in buckets. Candidate pairs are verified on the full sets:
+shuffle on the hashes of their bands and meet in buckets. All pairs that share a bucket are verified on the full sets:
 
-1. every class with the bucket's first one, and all pairs of small buckets;
-2. in larger buckets random small shares, between classes that are not yet connected;
-3. all pairs of a bucket that are still in different components. So each pair that shares a bucket is either verified
-   or already connected, and a bucket of thousands of near copies costs about as many pairs as it has members.
+* of buckets up to ``SMALL`` classes as a list of distinct pairs;
+* in larger buckets in tiles. Classes of large buckets are dealt into chunks of about ``CHUNK``, a tile is two chunks
+  that share a bucket, and one task compares a tile's sets by blocks of a matrix product. It returns only the edges that
+  connect its classes and the number of links of each class, never all pairs.
 
 Result: one row for each document with its class (the smallest doc_id of its connected component) and the number of
-other text classes that were verified to be as similar; in buckets of more than ``SMALL`` classes this counts the links
-that were needed to connect them, not all pairs.
+other text classes that are as similar.
 
 Edge cases: texts that are null or without words are in no class but their own and have no links; equal rows are
 copies; rows that share a doc_id with different texts are classed by text; null doc_id sorts before all others; other
@@ -32,8 +31,11 @@ from pyspark.sql import functions as F
 from strataq.llm.runtime import materialize, small_batches
 from strataq.llm.words import mix, named, rolling, slices
 
-SMALL = 8
-SHARE = 6
+SMALL = 16
+#: Classes, and runs of words, that a chunk holds about.
+CHUNK, CHUNK_GRAMS = 200, 400_000
+#: Distinct runs of words in a block of a tile's matrix.
+COLUMNS = 4096
 _LOW = np.iinfo(np.int64).min
 
 
@@ -107,6 +109,69 @@ def _similar(n: int):
     return run
 
 
+def _tile(n: int, threshold: float):
+    """Compare two chunks (or one with itself): connecting edges (a, b) and link counts (a, n)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, node = t.column("side").to_numpy(), t.column("node").to_numpy()
+        sets = list(_texts(t.column("text"), n))
+        real = np.array([set_key(g) == k for g, k in zip(sets, node, strict=True)], bool)
+        order = np.flatnonzero(real)
+        order = order[np.lexsort((node[order], side[order]))]
+        if len(order):  # a row that shares the doc_id may repeat a class
+            order = order[np.append(True, (node[order][1:] != node[order][:-1]) | (side[order][1:] != side[order][:-1]))]
+        node, side, sets = node[order], side[order], [sets[i] for i in order]
+        size = np.array([len(g) for g in sets], np.int64)
+        m, left = len(sets), int((side == 0).sum())
+        two = left < m
+        lists: dict[str, list] = {"a": [], "b": [], "n": []}
+        if m > 1:
+            grams_ = np.concatenate(sets)
+            who = np.repeat(np.arange(m), size)
+            by = np.argsort(grams_, kind="stable")
+            grams_, who = grams_[by], who[by]
+            first = np.flatnonzero(np.append(True, grams_[1:] != grams_[:-1]))
+            times = np.diff(np.append(first, len(grams_)))
+            keep = np.repeat(times > 1, times)
+            code = np.cumsum(np.repeat(times > 1, times) & np.isin(np.arange(len(grams_)), first)) - 1
+            code, who = code[keep], who[keep]
+            top = int(code[-1]) + 1 if len(code) else 0
+            a, b = (slice(0, left), slice(left, m)) if two else (slice(0, m), slice(0, m))
+            both = np.zeros((a.stop - a.start, b.stop - b.start), np.float32)
+            for lo in range(0, top, COLUMNS):
+                i, j = np.searchsorted(code, [lo, lo + COLUMNS])
+                x = np.zeros((m, min(COLUMNS, top - lo)), np.float32)
+                x[who[i:j], code[i:j] - lo] = 1
+                both += x[a] @ x[b].T
+            union = size[a][:, None] + size[b][None, :] - both
+            hit = both >= threshold * union - 1e-6
+            if not two:
+                hit &= ~np.eye(m, dtype=bool)
+            count = np.zeros(m, np.int64)
+            count[a] += hit.sum(1)
+            if two:
+                count[b] += hit.sum(0)
+            root = list(range(m))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i, j in zip(*(v.tolist() for v in np.nonzero(hit)), strict=True):
+                j += b.start
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    lists["a"].append(int(node[i])), lists["b"].append(int(node[j])), lists["n"].append(None)
+            for i in np.flatnonzero(count):
+                lists["a"].append(int(node[i])), lists["b"].append(None), lists["n"].append(int(count[i]))
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in lists.items()})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): alternating large and small stars until nothing changes."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -133,73 +198,50 @@ class Join:
         self.n, self.threshold = n, threshold
         bands, rows = bands_for(threshold, recall)
         d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.docs = d
         self.rows = materialize(d.mapInArrow(_signatures(n, bands, rows), "doc_id long, node long, n_grams long, bands array<long>"))
         key = F.coalesce("doc_id", F.lit(_LOW))
         self.nodes = materialize(self.rows.where("n_grams > 0").groupBy("node").agg(F.min(key).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
         members = self.nodes.select(F.explode("bands").alias("key"), "node", "n_grams")
-        buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("of")).where("of > 1")
-        self.members = materialize(members.join(buckets, "key"))
-        tested = self._verify(materialize(self._first()))
-        links = tested.where(F.col("similarity") >= threshold)
-        parts = components(links)
-        for exact in (False, True):
-            pairs = self._unconnected(parts, exact).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = materialize(pairs)
-            if pairs.isEmpty():
-                continue
-            more = self._verify(pairs)
-            tested = tested.unionByName(more)
-            found = more.where(F.col("similarity") >= threshold)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.select("a", "b")))
-        self.links, self.parts = links, parts
-
-    def _shares(self, j: DataFrame, whole: int) -> DataFrame:
-        """All pairs of random shares of each bucket; of buckets up to ``whole``, of the bucket."""
-        share = F.when(F.col("of") <= whole, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("of") / SHARE)))
-        lists = j.withColumn("share", share).groupBy("key", "share").agg(F.sort_array(F.collect_list("entry")).alias("l")).where(F.size("l") > 1)
-        return lists.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
-
-    def _fits(self, pairs: DataFrame) -> DataFrame:
-        """Sets of too different sizes can't be as similar."""
-        return pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(self.threshold) - 1e-9)
-
-    def _first(self) -> DataFrame:
-        m = self.members
-        star = m.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        size = self.nodes.select("node", "n_grams")
-        star = star.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-        few = self._shares(m.where(F.col("of").between(3, SMALL)).withColumn("entry", F.struct("node", "n_grams")), SMALL)
-        few = few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n_grams").alias("na"), F.col("y.n_grams").alias("nb"))
-        return self._fits(star.unionByName(few)).select("a", "b").distinct()
-
-    def _unconnected(self, parts: DataFrame, exact: bool) -> DataFrame:
-        m = self.members.where(F.col("of") > SMALL).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        m = m.join(mixed, "key", "left_semi")
-        if exact:
-            x = m.select("key", *(F.col(c).alias(c + "_x") for c in ("node", "component", "n_grams")))
-            y = m.select("key", *(F.col(c).alias(c + "_y") for c in ("node", "component", "n_grams")))
-            fits = F.least("n_grams_x", "n_grams_y") >= F.greatest("n_grams_x", "n_grams_y") * F.lit(self.threshold) - 1e-9
-            p = x.join(y, (x["key"] == y["key"]) & (F.col("component_x") != F.col("component_y")) & (F.col("node_x") < F.col("node_y")) & fits)
-            return p.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-        p = self._shares(m.withColumn("entry", F.struct("node", "component", "n_grams")), 0).where("x.component <> y.component")
-        return self._fits(p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n_grams").alias("na"), F.col("y.n_grams").alias("nb"))).select("a", "b").distinct()
-
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.sum("n_grams").alias("grams")).where("of > 1")
+        members = materialize(members.join(buckets, "key"))
+
+        # chunks of the classes in large buckets, and the tiles of chunks that share one
+        large = members.where(F.col("of") > SMALL)
+        home = large.groupBy("node").agg(F.max(F.struct("of", "key", "grams")).alias("h")).select("node", "h.*")
+        parts = F.ceil(F.greatest(F.col("of") / CHUNK, F.col("grams") / CHUNK_GRAMS)).cast("long")
+        chunk = F.struct(F.col("key").alias("k"), F.pmod(F.xxhash64("node", F.lit(5)), parts).alias("p"))
+        self.chunks = materialize(home.select("node", chunk.alias("chunk")))
+        meets = large.select("key", "node").join(self.chunks, "node").select("key", "chunk").distinct()
+        tiles = meets.withColumnRenamed("chunk", "left").join(meets.withColumnRenamed("chunk", "right"), "key").where("left <= right").select("left", "right").distinct()
+        self.tiles = materialize(tiles)
+
+        few = members.where(F.col("of") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n_grams"))).alias("l"))
+        pairs = few.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
+        fits = F.least("x.n_grams", "y.n_grams") >= F.greatest("x.n_grams", "y.n_grams") * F.lit(threshold) - 1e-9
+        pairs = pairs.where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        c = self.chunks
+        pairs = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
+        tiled = self.tiles.select(F.col("left").alias("ca"), F.col("right").alias("cb"), F.lit(True).alias("tiled"))
+        pairs = pairs.withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb"), "own": F.col("ca").isNotNull() & F.col("cb").isNotNull()})
+        pairs = materialize(pairs.join(tiled, ["ca", "cb"], "left").where(~F.col("own") | F.col("tiled").isNull()).select("a", "b"))
+
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(c.select("node")).distinct()
         reps = self.nodes.select("node", "rep").join(involved, "node", "left_semi")
-        texts = self.docs.select(F.coalesce("doc_id", F.lit(_LOW)).alias("rep"), "text").join(reps, "rep").select("node", "text")
-        texts = materialize(texts)
+        texts = materialize(d.select(key.alias("rep"), "text").join(reps, "rep").select("node", "text"))
+
         both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_similar(self.n), "a long, b long, similarity double").distinct())
+        self.links = materialize(both.mapInArrow(_similar(n), "a long, b long, similarity double").distinct().where(F.col("similarity") >= threshold))
+        sides = self.tiles.select("left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+        sides = sides.withColumn("chunk", F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right")))
+        laid = sides.join(c, "chunk").join(texts, "node").select("left", "right", "side", "node", "text")
+        self.tiled = materialize(laid.groupBy("left", "right").applyInArrow(_tile(n, threshold), "a long, b long, n long"))
+        self.parts = components(self.links.select("a", "b").unionByName(self.tiled.where("b IS NOT NULL").select("a", "b")))
 
     @property
     def membership(self) -> DataFrame:
         """doc_id, class_id, n_links of each row of the documents."""
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+        ends = ends.unionByName(self.tiled.where("n IS NOT NULL").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
         node = self.nodes.select("node", "rep").join(self.parts, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = node.groupBy("component").agg(F.min("rep").alias("class_id"))
         node = node.join(least, "component").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

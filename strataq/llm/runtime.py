@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataq.sources.session import ship
+
 #: Rows of text that one Arrow batch carries to a Python worker; bounds memory when single texts are long.
 ROWS_PER_BATCH = 256
 
@@ -27,7 +29,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short: a batch of long texts must fit in a Python worker."""
+    """Keep Arrow batches short (a batch of long texts must fit in a Python worker), and send workers this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
