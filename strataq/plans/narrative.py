@@ -1 +1,148 @@
-"""Queries."""
+"""Scores of narrative texts and rendering of issues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strataq.functions.text import cut, escape_html, ladder
+from strataq.plans.registry import query
+from strataq.sources.tables import Tables, sql
+
+# fixed values: bounds below which a count scores 1, 2, 3, 4 (else 5)
+SPECIFICITY, STRUCTURE, DEPTH, XREF = [5, 10, 20, 30], [3, 5, 8, 11], [20, 50, 100, 200], [3, 8, 15, 25]
+# fixed values: a reference to a line of a file, a heading, a path
+FILE_LINE, HEADING, PATH = r"(?U)\w+\.\w+:\d+", r"(?m)^#{2,3}\s", r"(?U)(?:\.?/)?(?:[\w.-]+/)+[\w.-]+\.\w+"
+
+
+def splitlines(text: Column) -> Column:
+    """Lines without an empty one after the last line end."""
+    parts = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def scores(bundles: DataFrame) -> DataFrame:
+    c = F.col("content")
+    figures = F.regexp_count(c, F.lit("(?i)```mermaid"))
+    paths = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(PATH), F.lit(0))))
+    s = bundles.select(
+        "area",
+        ladder(F.regexp_count(c, F.lit(FILE_LINE)), SPECIFICITY).alias("specificity"),
+        ladder(F.regexp_count(c, F.lit(HEADING)), STRUCTURE).alias("structure"),
+        F.when(figures == 0, 1.0).when(figures == 1, 3.0).otherwise(5.0).alias("diagrams"),
+        ladder(F.size(splitlines(c)), DEPTH).alias("depth"),
+        ladder(paths, XREF).alias("cross_references"),
+    )
+    total = (F.col("specificity") + F.col("structure") + F.col("diagrams") + F.col("depth") + F.col("cross_references")) / 5
+    return s.withColumn("total", F.bround(total, 2)).withColumn("needs_revision", total < 3.5)
+
+
+def _lad(x: str, b: list[int]) -> str:
+    return "CASE " + " ".join(f"WHEN {x} < {v} THEN {i + 1}" for i, v in enumerate(b)) + " ELSE 5 END"
+
+
+_COUNTS = r""", n AS (SELECT area, content, len(regexp_extract_all(content, '[\p{L}\p{N}_]+\.[\p{L}\p{N}_]+:\d+')) AS refs, len(regexp_extract_all(content, '(?m)^#{2,3}\s')) AS heads, len(regexp_extract_all(content, '(?i)```mermaid')) AS figs,
+len(list_distinct(regexp_extract_all(content, '(?:\.?/)?(?:[\p{L}\p{N}_.-]+/)+[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+'))) AS paths, length(content) - length(replace(content, chr(10), '')) AS nl FROM bundles)"""
+
+
+@query("score_narrative", sql("bundles", _COUNTS + f""", s AS (SELECT area, {_lad('refs', SPECIFICITY)}::DOUBLE AS specificity, {_lad('heads', STRUCTURE)}::DOUBLE AS structure, (CASE figs WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 5 END)::DOUBLE AS diagrams, {_lad('nl', DEPTH)}::DOUBLE AS depth, {_lad('paths', XREF)}::DOUBLE AS cross_references FROM n)
+SELECT *, round_even((specificity + structure + diagrams + depth + cross_references) / 5, 2) AS total, (specificity + structure + diagrams + depth + cross_references) / 5 < 3.5 AS needs_revision FROM s"""))
+def score_narrative(t: Tables) -> DataFrame:
+    return scores(t.bundles())
+
+
+def quick_score(content: Column) -> Column:
+    lines = F.split(content, "\n")
+    heads = F.size(F.filter(lines, lambda x: x.startswith("## ") | x.startswith("### ")))
+    figures = F.regexp_count(content, F.lit("```mermaid"))
+    five = lambda x: F.least(F.lit(5.0), x)
+    figure = F.when(figures > 0, five(figures * 2.5)).otherwise(1.0)
+    return (five(F.size(lines) / 40) + five(F.regexp_count(content, F.lit(FILE_LINE)) / 5) + five(heads / 2) + figure) / 4
+
+
+_QUICK = "(least(5.0::DOUBLE, (nl + 1) / 40::DOUBLE) + least(5.0::DOUBLE, refs / 5::DOUBLE) + least(5.0::DOUBLE, heads / 2::DOUBLE) + CASE WHEN m > 0 THEN least(5.0::DOUBLE, m * 2.5::DOUBLE) ELSE 1 END) / 4"
+_Q = _COUNTS + f", q AS (SELECT area, round({_QUICK}, 6) AS score FROM (SELECT *, len(regexp_extract_all(content, '```mermaid')) AS m FROM n))"
+
+
+@query("heuristic_score", sql("bundles", _Q + " SELECT area, score FROM q"))
+def heuristic_score(t: Tables) -> DataFrame:
+    return t.bundles().select("area", F.round(quick_score(F.col("content")), 6).alias("score"))
+
+
+@query("weak_bundles", sql("bundles", _Q + " SELECT left(area, 2) AS corpus, round(avg(score), 4) AS mean, count(*) FILTER (score < 3.5) AS weak, avg(score) >= 3.5 AND count(*) FILTER (score < 3.5) = 0 AS passes FROM q GROUP BY 1"))
+def weak_bundles(t: Tables) -> DataFrame:
+    q = heuristic_score(t)
+    weak = F.count_if(F.col("score") < 3.5)
+    return q.groupBy(F.left("area", F.lit(2)).alias("corpus")).agg(F.round(F.avg("score"), 4).alias("mean"), weak.alias("weak"), ((F.avg("score") >= 3.5) & (weak == 0)).alias("passes"))
+
+
+@query("threshold_score", f"SELECT l_orderkey, l_linenumber, {_lad('l_quantity', SPECIFICITY)}::DOUBLE AS score FROM lineitem")
+def threshold_score(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_orderkey", "l_linenumber", ladder(F.col("l_quantity"), SPECIFICITY).alias("score"))
+
+
+_ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query("html_escape", f"SELECT page_id, md5({_ESC.format(x='html')}) AS digest FROM pages")
+def html_escape(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.md5(escape_html(F.col("html"))).alias("digest"))
+
+
+@query("render_issue_context", f"""WITH b AS (SELECT page_id, concat('<title>', {_ESC.format(x='url')}, '</title>', chr(10), '<body>', {_ESC.format(x='left(html, 300)')}, CASE WHEN length(html) > 300 THEN '[truncated]' ELSE '' END, '</body>') AS x FROM pages) SELECT page_id, x AS context FROM b""")
+def render_issue_context(t: Tables) -> DataFrame:
+    """The body is cut before it is escaped, so an entity is never cut."""
+    body = F.concat(escape_html(F.left("html", F.lit(300))), F.when(F.length("html") > 300, "[truncated]").otherwise(""))
+    return t.pages.select("page_id", F.concat(F.lit("<title>"), escape_html(F.col("url")), F.lit("</title>\n<body>"), body, F.lit("</body>")).alias("context"))
+
+
+@query("parse_issue_ref", """SELECT o_orderkey, lower(string_split(r, ':')[1]) AS provider, substr(r, instr(r, ':') + 1) AS rest, TRY_CAST(regexp_extract(r, '^([^#]+)#(\\d+)$', 2) AS BIGINT) AS number
+FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('GH:o/r#', o_orderkey) WHEN 1 THEN concat('gh:', o_orderkey) ELSE concat('', o_orderkey) END AS r FROM orders) WHERE contains(r, ':')""")
+def parse_issue_ref(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    r = F.when(k % 3 == 0, F.concat(F.lit("GH:o/r#"), k)).when(k % 3 == 1, F.concat(F.lit("gh:"), k)).otherwise(k.cast("string"))
+    o = t.orders.select("o_orderkey", r.alias("r")).where(F.col("r").contains(":"))
+    return o.select("o_orderkey", F.lower(F.substring_index("r", ":", 1)).alias("provider"), F.expr("substr(r, instr(r, ':') + 1)").alias("rest"), F.regexp_extract("r", r"^([^#]+)#(\d+)$", 2).try_cast("long").alias("number"))
+
+
+@query("token_count_extract", r"""SELECT o_orderkey, TRY_CAST(replace(replace(regexp_extract(x, '[Tt]oken[s]?\s*(?:count)?[:\s]+([0-9][0-9,_]*)', 1), ',', ''), '_', '') AS BIGINT) AS tokens FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('Tokens: 1,', o_orderkey % 900 + 100) WHEN 1 THEN concat('token count: ', o_orderkey, '_000') ELSE 'none' END AS x FROM orders)""")
+def token_count_extract(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    x = F.when(k % 3 == 0, F.concat(F.lit("Tokens: 1,"), k % 900 + 100)).when(k % 3 == 1, F.concat(F.lit("token count: "), k, F.lit("_000"))).otherwise("none")
+    found = F.regexp_extract(x, r"[Tt]oken[s]?\s*(?:count)?[:\s]+([0-9][0-9,_]*)", 1)
+    return t.orders.select("o_orderkey", F.regexp_replace(found, "[,_]", "").try_cast("long").alias("tokens"))
+
+
+@query("progress_bar", "SELECT l_orderkey, l_linenumber, concat(repeat('#', floor(l_quantity / 5)::INT), repeat('-', 10 - floor(l_quantity / 5)::INT), ' ', lpad(floor(l_extendedprice / 60)::BIGINT::VARCHAR, 2, '0'), ':', lpad((floor(l_extendedprice)::BIGINT % 60)::VARCHAR, 2, '0')) AS bar FROM lineitem WHERE l_extendedprice < 6000")
+def progress_bar(t: Tables) -> DataFrame:
+    n, s = F.floor(F.col("l_quantity") / 5).cast("int"), F.floor("l_extendedprice")
+    bar = F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), 10 - n), F.lit(" "), F.lpad(F.floor(F.col("l_extendedprice") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    return t.lineitem.where("l_extendedprice < 6000").select("l_orderkey", "l_linenumber", bar.alias("bar"))
+
+
+@query("since_context", sql("change_sets", "SELECT change_id, concat('<changed_file_count>', count(*), '</changed_file_count>', string_agg(concat('<file>', path, '</file>'), '' ORDER BY path)) AS context FROM change_sets GROUP BY 1"))
+def since_context(t: Tables) -> DataFrame:
+    files = F.array_join(F.transform(F.sort_array(F.collect_list("path")), lambda p: F.concat(F.lit("<file>"), p, F.lit("</file>"))), "")
+    return t.change_sets().groupBy("change_id").agg(F.concat(F.lit("<changed_file_count>"), F.count(F.lit(1)), F.lit("</changed_file_count>"), files).alias("context"))
+
+
+@query("split_bundle", "SELECT floor((sum(length(html)) OVER (PARTITION BY g ORDER BY page_id) - length(html)) / 20000)::BIGINT AS chunk, g, page_id FROM (SELECT page_id, html, page_id % 16 AS g FROM pages)")
+def split_bundle(t: Tables) -> DataFrame:
+    """Chunks by the size of what comes before, within each of 16 bundles."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("g").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    p = t.pages.withColumn("g", F.col("page_id") % 16)
+    return p.select(F.floor(F.coalesce(F.sum(F.length("html")).over(w), F.lit(0)) / 20_000).alias("chunk"), "g", "page_id")
+
+
+@query("issue_labels", "SELECT user_id, coalesce(string_agg(DISTINCT event_type, ', ' ORDER BY event_type), 'none') AS labels FROM events GROUP BY 1")
+def issue_labels(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ", ").alias("labels"))
+
+
+@query("comment_cut", "SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN concat(left(text, 100), '…') ELSE text END AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")
+def comment_cut(t: Tables) -> DataFrame:
+    from strataq.operators.ranking import top_per
+
+    return top_per(t.conversations, ["conv_id"], 3, F.asc("turn")).select("conv_id", "turn", cut(F.col("text"), 100, "…").alias("text"))
