@@ -1 +1,104 @@
-"""Queries."""
+"""Theta, semi and anti joins, registries and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from strataq.operators import history as H
+from strataq.operators import risk as R
+from strataq.plans.registry import query
+from strataq.sources.tables import Tables, sql
+
+
+@query("match_risk_areas", sql("paths commit_files change_sets", "SELECT DISTINCT change_id, r AS area FROM change_sets JOIN (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS r FROM part) ON contains(lower(path), r)"))
+def match_risk_areas(t: Tables) -> DataFrame:
+    """Areas whose name is part of a changed path. Areas are few by their kind: words of the part types."""
+    areas = t.part.select(F.lower(F.split("p_type", " ")[0]).alias("area")).distinct()
+    return t.change_sets().join(F.broadcast(areas), F.contains(F.lower("path"), F.col("area"))).select("change_id", "area").distinct()
+
+
+@query("bus_factor_touch", sql("commits commit_files change_sets", """, risk AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM commit_files JOIN commits USING (hash) GROUP BY 1 HAVING count(DISTINCT author) <= 350)
+SELECT change_id, count(DISTINCT dir) AS areas FROM change_sets JOIN risk ON starts_with(path, concat(dir, '/')) GROUP BY 1"""))
+def bus_factor_touch(t: Tables) -> DataFrame:
+    """A path is in a folder if the folder is its parent here, so the prefix join is an equality on the parent."""
+    risk = H.bus_factor(t.commits(), t.commit_files(), H.folder_sizes(t.commit_files().select("path").distinct(), over=0, top=None), most=350).select("dir")
+    cs = t.change_sets().withColumn("dir", H.parent(F.col("path")))
+    return cs.join(risk, "dir").groupBy("change_id").agg(F.countDistinct("dir").alias("areas"))
+
+
+_TREND = """, k AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY seq DESC) AS back, list_position(['low', 'medium', 'high', 'critical'], risk_level) AS r FROM risk_snapshots),
+tr AS (SELECT a.area, a.r > b.r AS worse FROM k a JOIN k b ON a.area = b.area AND a.back = 1 AND b.back = 2)"""
+
+
+@query("trend_community_match", sql("risk_snapshots", _TREND + " SELECT area, n_name AS community, worse FROM tr, nation WHERE contains(concat(lower(n_name), '-area', n_nationkey), area)"))
+def trend_community_match(t: Tables) -> DataFrame:
+    trend = R.trends(t.risk_snapshots()).select("area", F.col("risk_trend").isin("degrading", "accelerating_risk").alias("worse"))
+    name = F.concat(F.lower("n_name"), F.lit("-area"), "n_nationkey")
+    n = F.broadcast(t.nation.select("n_name", name.alias("name")))  # a table of fixed size
+    return trend.join(n, F.contains("name", F.col("area"))).select("area", F.col("n_name").alias("community"), "worse")
+
+
+@query("trend_signals", sql("risk_snapshots", _TREND + " SELECT area, 'complexity_spike' AS signal_type FROM tr WHERE worse"))
+def trend_signals(t: Tables) -> DataFrame:
+    return R.trends(t.risk_snapshots()).where(F.col("risk_trend").isin("degrading", "accelerating_risk")).select("area", F.lit("complexity_spike").alias("signal_type"))
+
+
+# fixed values: words of dependency files and marker files of frameworks
+MARKERS = [("Django", "django"), ("Flask", "flask"), ("React", "react"), ("Express", "express"), ("Pytest", "pytest"), ("Pydantic", "pydantic"), ("Economy", "economy"), ("Promo", "promo")]
+_MARK = "(SELECT unnest(['django', 'flask', 'react', 'express', 'pytest', 'pydantic', 'economy', 'promo']) AS m, unnest(['Django', 'Flask', 'React', 'Express', 'Pytest', 'Pydantic', 'Economy', 'Promo']) AS f)"
+
+
+@query("framework_markers", sql("paths", "SELECT DISTINCT p_partkey % 50 AS repo, 'Go' AS framework FROM paths WHERE path LIKE '%part\\_1%.go' ESCAPE '\\'"))
+def framework_markers(t: Tables) -> DataFrame:
+    return t.paths().where(r"path LIKE '%part\\_1%.go'").select((F.col("p_partkey") % 50).alias("repo"), F.lit("Go").alias("framework")).distinct()
+
+
+@query("detect_frameworks", sql("paths", f"""SELECT DISTINCT repo, f AS framework FROM (SELECT p_partkey % 50 AS repo, lower(concat(p_type, ' ', p_name)) AS d FROM part) JOIN {_MARK} ON contains(d, m)
+UNION SELECT DISTINCT p_partkey % 50, 'Go' FROM paths WHERE path LIKE '%part\\_1%.go' ESCAPE '\\'"""))
+def detect_frameworks(t: Tables) -> DataFrame:
+    marks = F.broadcast(t.literal("framework string, marker string", MARKERS))  # a few rows
+    deps = t.part.select((F.col("p_partkey") % 50).alias("repo"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("deps"))
+    by_word = deps.join(marks, F.contains("deps", F.col("marker"))).select("repo", "framework")
+    return by_word.unionByName(framework_markers(t)).distinct()
+
+
+@query("registry_upsert", "SELECT c_custkey AS alias, concat('new/', c_custkey) AS path, true AS indexed FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, concat('old/', c_custkey), false FROM customer WHERE c_custkey % 3 <> 0")
+def registry_upsert(t: Tables) -> DataFrame:
+    """Later entries win: old ones without a newer entry of the same alias, and the new."""
+    old = t.customer.select(F.col("c_custkey").alias("alias"), F.concat(F.lit("old/"), "c_custkey").alias("path"), F.lit(False).alias("indexed"))
+    new = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("alias"), F.concat(F.lit("new/"), "c_custkey").alias("path"), F.lit(True).alias("indexed"))
+    return old.join(new.select("alias"), "alias", "left_anti").unionByName(new)
+
+
+@query("registry_lookup", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
+def registry_lookup(t: Tables) -> DataFrame:
+    c = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return t.orders.select("o_orderkey", "o_custkey").join(c, "o_custkey", "left").select("o_orderkey", "c_name")
+
+
+@query("unregistered_files", sql("paths commit_files", "SELECT path FROM paths EXCEPT SELECT path FROM commit_files"))
+def unregistered_files(t: Tables) -> DataFrame:
+    return t.paths().join(t.commit_files(), "path", "left_anti").select("path").distinct()
+
+
+@query("artifact_flags", "SELECT doc_id, bool_or(quality = 1) AS has_good, bool_or(toxic = 1) AS has_toxic, count(*) FILTER (quality IS NOT NULL) AS artifacts FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def artifact_flags(t: Tables) -> DataFrame:
+    j = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
+    return j.groupBy("doc_id").agg(F.bool_or(F.col("quality") == 1).alias("has_good"), F.bool_or(F.col("toxic") == 1).alias("has_toxic"), F.count("quality").alias("artifacts"))
+
+
+@query("team_findings_listing", "SELECT s_suppkey AS team_id, count(l_orderkey) > 0 AS has_findings, count(l_orderkey) AS lines, n_name AS lead FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' GROUP BY 1, 4")
+def team_findings_listing(t: Tables) -> DataFrame:
+    n = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("lines"))
+    s = t.supplier.join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("lead"))), "s_nationkey")  # a table of fixed size
+    out = s.join(n, "s_suppkey", "left").select(F.col("s_suppkey").alias("team_id"), F.coalesce("lines", F.lit(0)).alias("lines"), "lead")
+    return out.withColumn("has_findings", F.col("lines") > 0)
+
+
+@query("churn_percent_rank", sql("paths commit_files", "SELECT path, count(*) AS commits, round(percent_rank() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY count(*)), 6) AS rank FROM commit_files GROUP BY path"))
+def churn_percent_rank(t: Tables) -> DataFrame:
+    """An extension: the share of a brand's files with fewer commits."""
+    per = t.commit_files().groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
+    w = Window.partitionBy(F.split("path", "/")[0]).orderBy("commits")
+    return per.withColumn("rank", F.round(F.percent_rank().over(w), 6))

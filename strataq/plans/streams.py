@@ -1 +1,28 @@
-"""Queries."""
+"""Batch twins of the streaming aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataq.plans.registry import query
+from strataq.sources.tables import Tables
+from strataq.streaming import events as E
+
+
+@query("tumbling_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def tumbling_counts(t: Tables) -> DataFrame:
+    return E.tumbling(t.events)
+
+
+@query("session_windows", """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true)::INT AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM s GROUP BY user_id, i""")
+def session_windows(t: Tables) -> DataFrame:
+    return E.sessions(t.events)
+
+
+@query("sliding_counts", "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT date_trunc('day', ts) - INTERVAL 1 DAY * unnest([0, 1]) AS s FROM events) GROUP BY 1")
+def sliding_counts(t: Tables) -> DataFrame:
+    w = t.events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "2 days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

@@ -1,0 +1,8 @@
+"""Lets tests import the modules beside them and the repository's top."""
+
+import sys
+from pathlib import Path
+
+for p in (Path(__file__).parent, Path(__file__).parent.parent):
+    if str(p) not in sys.path:
+        sys.path.insert(0, str(p))
