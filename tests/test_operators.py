@@ -1,6 +1,5 @@
 """Fixtures with expected values worked out by hand."""
 
-import harness_path  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 

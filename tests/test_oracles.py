@@ -1,8 +1,7 @@
 """Every query with SQL gives the same rows on the smallest tables."""
 
-import harness_path  # noqa: F401
 import pytest
-from harness import connection, difference
+from tests.harness import connection, difference
 
 from strataq.plans import registry
 
