@@ -90,7 +90,8 @@ def test_escape_and_cut(spark):
 def test_stream_equals_batch(spark, tmp_path):
     from strataq.streaming import events as E
 
-    src = "/root/testdata/sf0.001/events.parquet"
+    src = str(tmp_path / "in")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(src)
     like = spark.read.parquet(src)
     out = str(tmp_path / "out")
     E.follow(src, like, lambda s: E.tumbling(s, late="1 hour"), out, str(tmp_path / "check"))
