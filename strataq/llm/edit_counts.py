@@ -146,7 +146,7 @@ def apply_edits(trees: DataFrame, *, tokenizer: str) -> DataFrame:
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """Attach an edit log (doc_id, seq, start, n_delete, insert) to its documents, in order of seq."""
-    log = edits.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("start").cast("long"), F.col("n_delete").cast("long"), "insert"))), lambda e: F.struct(e["start"].alias("start"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert"))).alias("edits"))
+    log = edits.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("start").cast("long").alias("start"), F.col("n_delete").cast("long").alias("n_delete"), "insert"))), lambda e: F.struct(e["start"].alias("start"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert"))).alias("edits"))
     return docs.select("doc_id", "text").join(log, "doc_id", "left")
 
 

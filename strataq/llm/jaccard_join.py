@@ -207,7 +207,12 @@ class Join:
 
         # chunks of the classes in large buckets, and the tiles of chunks that share one
         large = members.where(F.col("of") > SMALL)
-        home = large.groupBy("node").agg(F.max(F.struct("of", "key", "grams")).alias("h")).select("node", "h.*")
+        # classes gather under the largest bucket near them, so that chunks of a group fill up
+        home = large.groupBy("node").agg(F.max(F.struct("of", "key")).alias("home"))
+        near = large.select("key", "node").join(home, "node").groupBy("key").agg(F.max("home").alias("home"))
+        home = large.select("key", "node", "n_grams").join(near, "key").groupBy("node").agg(F.max("home").alias("home"), F.first("n_grams").alias("n_grams"))
+        home = home.select("node", F.col("home.key").alias("key"), "n_grams")
+        home = home.join(home.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.sum("n_grams").alias("grams")), "key")
         parts = F.ceil(F.greatest(F.col("of") / CHUNK, F.col("grams") / CHUNK_GRAMS)).cast("long")
         chunk = F.struct(F.col("key").alias("k"), F.pmod(F.xxhash64("node", F.lit(5)), parts).alias("p"))
         self.chunks = materialize(home.select("node", chunk.alias("chunk")))

@@ -12,4 +12,55 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1}
+OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+it AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5),
+ig AS (SELECT item_id, n, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM (SELECT *, unnest(range(0, n - 4)) AS o FROM it)),
+dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+hit AS (SELECT doc_id, item_id, n, p - o AS s, count(*) AS c FROM dg JOIN ig USING (g) GROUP BY ALL),
+cand AS (SELECT doc_id, item_id FROM hit GROUP BY 1, 2 HAVING sum(c) >= ceil(1.6::DOUBLE / 1.8 * (max(n) - 4) - 1e-9)),
+win AS (SELECT DISTINCT doc_id, item_id, n, len(w) AS of, greatest(0, least(s, len(w) - n)) AS start FROM hit SEMI JOIN cand USING (doc_id, item_id) JOIN d USING (doc_id)),
+wg AS (SELECT win.doc_id, item_id, start, n, of, g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND p BETWEEN start AND start + n - 5 GROUP BY ALL),
+gi AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, n, of, sum(least(wg.c, gi.c)) AS i FROM wg JOIN gi USING (item_id, g) GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, start, i / (least(n, of - start) - 4 + n - 4 - i)::DOUBLE AS similarity FROM sim)
+SELECT doc_id, item_id, start::BIGINT AS start, similarity FROM ok WHERE similarity >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+OP5 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, bit_xor(hash(g)) AS k FROM g GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b, x.k AS ka, y.k AS kb FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r),
+few AS (SELECT a AS doc_id, count(DISTINCT kb) AS n_links FROM link WHERE ka <> kb GROUP BY 1)
+SELECT doc_id, min(r) AS class_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links FROM reach LEFT JOIN few USING (doc_id) GROUP BY 1
+"""
+
+OP6 = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS j) WHERE c > 1 GROUP BY 1),
+m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols * 1000000 // word_chars ELSE 0 END AS v1, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000000 // n_lines ELSE 0 END AS v2,
+  CASE WHEN n_words > 0 THEN n_repeat_words * 1000000 // n_words ELSE 0 END AS v3, CASE WHEN n_words > 0 THEN word_chars * 1000000 // n_words ELSE 0 END AS v4 FROM m),
+e AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS v FROM b WHERE NOT base_failed),
+sk AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bin, count(*) AS n FROM e GROUP BY ALL),
+up AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS al FROM sk),
+q AS (SELECT lang, source, k, min(bin) FILTER (upto * 4 >= al) AS q1, min(bin) FILTER (upto * 4 >= al * 3) AS q3 FROM up GROUP BY 1, 2, 3),
+f AS (SELECT lang, source, max(CASE WHEN k = 1 THEN greatest(q3 + 4 * (q3 - q1), 60000) END) AS f1, max(CASE WHEN k = 2 THEN greatest(q3 + 4 * (q3 - q1), 600000) END) AS f2,
+  max(CASE WHEN k = 3 THEN greatest(q3 + 4 * (q3 - q1), 250000) END) AS f3, max(CASE WHEN k = 4 THEN greatest(q3 + 4 * (q3 - q1), 14000000) END) AS f4 FROM q GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(v1 > f1, false) OR coalesce(v2 > f2, false) OR coalesce(v3 > f3, false) OR coalesce(v4 > f4, false)) AS kept
+FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
+"""
+
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op8_warc": OP8}
