@@ -14,10 +14,7 @@ ROWS_PER_BATCH = 256
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``; only where that is unset (tests) is a local one chosen."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints/strataq"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/strataq"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
