@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.llm.runtime import materialize
+
 PRECISION = 6
 #: Metric: parts per million a text must exceed, whatever its group, to be dropped by it.
 FLOORS = {"symbol_ppm": 60_000, "dup_line_ppm": 600_000, "repeat_ppm": 250_000, "word_length_ppm": 14_000_000}
@@ -63,8 +65,8 @@ def metrics(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "lang", "source",
         F.element_at(F.transform(F.array(words), counts), 1).alias("c"),
-        F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"),
         F.size(lines).cast("long").alias("n_lines"),
     ).select("doc_id", "lang", "source", "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "n_lines")
@@ -105,6 +107,7 @@ def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: i
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     m = m.withColumn("base_failed", failed)
     m = m.withColumns({"symbol_ppm": _ppm("n_symbols", "word_chars"), "dup_line_ppm": _ppm("n_dup_lines", "n_lines"), "repeat_ppm": _ppm("n_repeat_words", "n_words"), "word_length_ppm": _ppm("word_chars", "n_words")})
+    m = materialize(m)  # a few numbers a row, written once: texts are read once
     limit = fences(sketches(m.where(~F.col("base_failed"))), reach)
     limit = limit.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     j = m.join(limit, m["lang"].eqNullSafe(limit["_lang"]) & m["source"].eqNullSafe(limit["_source"]), "left")
