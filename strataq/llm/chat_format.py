@@ -17,19 +17,22 @@ conversation; rows are never dropped; other columns are ignored; an empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.runtime import small_batches
+from strataq.llm.runtime import bytes_of, small_batches
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 RELABEL, MERGE, INSERT = 3, 1, 2
 FAR = 1 << 40
 BLOCK = 512
+#: Bytes of conversations (as stored) that one Python call takes.
+GROUP_BYTES = 1 << 20
 
 #: What comes before a turn of the second state after the first: inserted states, merged or not, cost.
 STEPS: dict[tuple[int, int], tuple[tuple[int, ...], bool, int]] = {
@@ -84,27 +87,44 @@ def trace(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     return out[::-1]
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["turn", "role", "text"], na_position="last", kind="stable")
+def _units(pdf: pd.DataFrame, *keys: str, by: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
+    """The rows of each value of ``keys``, in order of ``by``."""
+    pdf = pdf.sort_values([*keys, *by], na_position="last", kind="stable")
+    new = np.zeros(len(pdf), bool)
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    cut = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        yield pdf.iloc[i:j]
+
+
+_TURNS = ("turn", "role", "text")
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    m = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
-    for role in _ordered(pdf)["role"]:
-        m = chain(m, _of(role))
-    return pd.DataFrame({"conv": [pdf["conv"].iloc[0]], "block": [pdf["block"].iloc[0]], "m": [m.ravel().tolist()]})
+    rows = []
+    for unit in _units(pdf, "conv", "block", by=_TURNS):
+        m = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
+        for role in unit["role"]:
+            m = chain(m, _of(role))
+        rows.append((unit["conv"].iloc[0], unit["block"].iloc[0], m.ravel().tolist()))
+    return pd.DataFrame(rows, columns=["conv", "block", "m"])
 
 
 def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("block")
-    ms = [np.array(m, np.int64).reshape(4, 4) for m in pdf["m"]]
-    cost = np.where(np.arange(4) == START, 0, FAR).astype(np.int64)
-    for m in ms:
-        cost = np.minimum((cost[:, None] + m).min(0), FAR)
-    end = int(np.argmin(cost + ENDS))
-    after = trace(ms, START, end)
-    n = len(ms)
-    return pdf[["conv", "block"]].assign(enters=[START, *after[:-1]], leaves=after, final=[False] * (n - 1) + [True], cost=int(cost[end] + ENDS[end]))
+    rows = []
+    for unit in _units(pdf, "conv", by=("block",)):
+        ms = [np.array(m, np.int64).reshape(4, 4) for m in unit["m"]]
+        cost = np.where(np.arange(4) == START, 0, FAR).astype(np.int64)
+        for m in ms:
+            cost = np.minimum((cost[:, None] + m).min(0), FAR)
+        end = int(np.argmin(cost + ENDS))
+        after = trace(ms, START, end)
+        total, last = int(cost[end] + ENDS[end]), len(ms) - 1
+        for i, (conv, block) in enumerate(zip(unit["conv"], unit["block"], strict=True)):
+            rows.append((conv, block, START if i == 0 else after[i - 1], after[i], i == last, total))
+    return pd.DataFrame(rows, columns=["conv", "block", "enters", "leaves", "final", "cost"])
 
 
 def opening(state: int) -> str:
@@ -116,25 +136,23 @@ CLOSING = "<|end|>\n"
 
 def _rendered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Each turn with its role and its share of the rendered text; the shares in order are the whole."""
-    pdf = _ordered(pdf)
-    state, last, final = int(pdf["enters"].iloc[0]), int(pdf["leaves"].iloc[0]), bool(pdf["final"].iloc[0])
     rows = []
-    states = trace([_of(r) for r in pdf["role"]], state, last)
-    for i, (turn, role, text, to) in enumerate(zip(pdf["turn"], pdf["role"], pdf["text"], states, strict=True)):
-        before, merged, _ = STEPS[state, to]
-        out = "" if state == START else "\n" if merged else "\n" + CLOSING
-        out += "".join(opening(b) + "\n" + CLOSING for b in before) + ("" if merged else opening(to)) + (text or "")
-        added = [ROLES[b - 1] for b in before]
-        if final and i == len(states) - 1:
-            more = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(to, ())
-            out += "\n" + CLOSING + "".join(opening(b) + "\n" + CLOSING for b in more)
-            added += [ROLES[b - 1] for b in more]
-        rows.append((None if pd.isna(turn) else int(turn), role, ROLES[to - 1], to != state_of(role), merged, ",".join(added), out))
-        state = to
-    out = pd.DataFrame(rows, columns=["turn", "role", "new_role", "relabelled", "merged", "inserted", "rendered"])
-    out.insert(0, "conv", pdf["conv"].iloc[0])
-    out["cost"] = int(pdf["cost"].iloc[0])
-    return out.astype({"turn": "Int64"})
+    for unit in _units(pdf, "conv", "block", by=_TURNS):
+        conv, cost = unit["conv"].iloc[0], int(unit["cost"].iloc[0])
+        state, last, final = int(unit["enters"].iloc[0]), int(unit["leaves"].iloc[0]), bool(unit["final"].iloc[0])
+        states = trace([_of(r) for r in unit["role"]], state, last)
+        for i, (turn, role, text, to) in enumerate(zip(unit["turn"], unit["role"], unit["text"], states, strict=True)):
+            before, merged, _ = STEPS[state, to]
+            out = "" if state == START else "\n" if merged else "\n" + CLOSING
+            out += "".join(opening(b) + "\n" + CLOSING for b in before) + ("" if merged else opening(to)) + (text or "")
+            added = [ROLES[b - 1] for b in before]
+            if final and i == len(states) - 1:
+                more = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(to, ())
+                out += "\n" + CLOSING + "".join(opening(b) + "\n" + CLOSING for b in more)
+                added += [ROLES[b - 1] for b in more]
+            rows.append((conv, None if pd.isna(turn) else int(turn), role, ROLES[to - 1], to != state_of(role), merged, ",".join(added), out, cost))
+            state = to
+    return pd.DataFrame(rows, columns=["conv", "turn", "role", "new_role", "relabelled", "merged", "inserted", "rendered", "cost"]).astype({"turn": "Int64"})
 
 
 def repair(conversations: DataFrame) -> DataFrame:
@@ -143,8 +161,11 @@ def repair(conversations: DataFrame) -> DataFrame:
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     c = c.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     c = c.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62)))).drop("conv_id")
-    sums = c.groupBy("conv", "block").applyInPandas(_summed, "conv string, block long, m array<long>")
-    ways = sums.groupBy("conv").applyInPandas(_chained, "conv string, block long, enters int, leaves int, final boolean, cost long")
-    joined = c.join(ways, ["conv", "block"])
-    out = joined.groupBy("conv", "block").applyInPandas(_rendered, "conv string, turn long, role string, new_role string, relabelled boolean, merged boolean, inserted string, rendered string, cost long")
+    # several blocks of turns go to a Python call, as many as fit easily
+    groups = max(16, bytes_of(conversations) // GROUP_BYTES)
+    dealt = F.pmod(F.xxhash64("conv", "block"), F.lit(groups))
+    sums = c.withColumn("group", dealt).groupBy("group").applyInPandas(_summed, "conv string, block long, m array<long>")
+    ways = sums.withColumn("group", F.pmod(F.xxhash64("conv"), F.lit(groups))).groupBy("group").applyInPandas(_chained, "conv string, block long, enters int, leaves int, final boolean, cost long")
+    joined = c.join(ways, ["conv", "block"]).withColumn("group", dealt)
+    out = joined.groupBy("group").applyInPandas(_rendered, "conv string, turn long, role string, new_role string, relabelled boolean, merged boolean, inserted string, rendered string, cost long")
     return out.select(F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), "turn", "role", "new_role", "relabelled", "merged", "inserted", "rendered", "cost")
