@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm.runtime import bytes_of, scratch, small_batches
+from strataq.llm.runtime import bytes_of, materialize, scratch, small_batches
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _DATE = "2024-01-01T00:00:00Z"
@@ -62,7 +62,8 @@ def write_pages(pages: DataFrame, path: str, *, min_bytes: int = 100, file_bytes
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("order", F.coalesce("page_id", F.lit(_HIGH)))
     long = p.where(F.octet_length("payload") >= min_bytes)
     first = long.groupBy("digest").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    p = p.join(first, "digest", "left")
+    # written first, so that its size is known and a small one is broadcast: payloads then move once, to their files
+    p = p.join(materialize(first), "digest", "left")
     revisit = F.coalesce((F.octet_length("payload") >= min_bytes) & (F.col("first") != F.col("order")), F.lit(False))
     p = p.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
     files = max(1, 3 * bytes_of(pages) // file_bytes)
