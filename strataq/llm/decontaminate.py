@@ -1,11 +1,12 @@
 """Benchmark decontamination, by DataFrame functions only.
 
 Words are lower-cased runs of letters and digits. A document is looked at through windows as long as an item. A window
-can reach the threshold only if it shares most of the item's word shingles, so windows are laid where a document holds
-enough of an item's shingles, at every place that puts one of them on its place in the item. Windows and items get
-64-bit SimHash fingerprints of their words. Fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` blocks
-of bits at least, so a join on (size, block, bits) finds all of them; the exact weighted similarity of the two
-multisets of shingles (sum of smaller counts over sum of larger ones) decides.
+can reach the threshold only if it shares most of the word shingles that it and the item have, so windows are laid where
+a document holds enough of an item's shingles, at every place that puts one of them on its place in the item. A document
+shorter than an item is one window, compared with the item as it is. Windows of an item's length and items get 64-bit
+SimHash fingerprints of their words. Fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` blocks of bits
+at least, so a join on (size, block, bits) finds all of them; the exact weighted similarity of the two multisets of
+shingles (sum of smaller counts over sum of larger ones) decides.
 
 Documents are never shuffled whole: their shingles meet the items' in a broadcast join while these are no more than
 ``BROADCAST_ROWS`` (counted first) and in a shuffle join beyond that; only documents with candidates are read again.
@@ -72,17 +73,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, threshold
     """doc_id, item_id, start (first word of the best window), similarity of each document and item that match."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("iw"))
     items = items.where(F.size("iw") >= n).withColumn("size", F.size("iw")).withColumn("ig", shingles(F.col("iw"), n))
-    # of m shingles each, i are shared: i / (2 m - i) >= threshold
-    need = F.ceil(F.lit(2 * threshold / (1 + threshold)) * (F.col("size") - n + 1) - 1e-9)
-    seeds = items.select("item_id", "size", need.alias("need"), F.posexplode("ig").alias("offset", "g"))
+    items = items.withColumn("m", F.size("iw") - n + 1)
+    seeds = items.select("item_id", "size", "m", F.posexplode("ig").alias("offset", "g"))
     small = seeds.count() <= BROADCAST_ROWS
     bounded = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), "text")
     grams = _once(words(F.col("text")), lambda w: shingles(w, n))
-    places = texts.select("doc_id", F.posexplode(grams).alias("p", "g"))
-    hits = places.join(bounded(seeds), "g").groupBy("doc_id", "item_id", "size", "need", (F.col("p") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    found = hits.groupBy("doc_id", "item_id", "size").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.collect_set("start").alias("starts")).where("n >= need")
+    places = texts.select("doc_id", grams.alias("gs")).withColumn("of", F.size("gs")).select("doc_id", "of", F.posexplode("gs").alias("p", "g"))
+    hits = places.join(bounded(seeds), "g").groupBy("doc_id", "item_id", "size", "m", (F.col("p") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of"))
+    # a window has a = min(m, shingles of the document) of them, the item m; i are shared: i / (a + m - i) >= threshold
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.least("m", "of")) - 1e-9)
+    found = hits.groupBy("doc_id", "item_id", "size", "m").agg(F.sum("n").alias("n"), F.min("of").alias("of"), F.collect_set("start").alias("starts")).where(F.col("n") >= need)
     laid = found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "starts")).alias("laid"))
 
     def cut(w: Column) -> Column:
@@ -95,13 +97,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, threshold
 
         return F.array_distinct(F.flatten(F.transform(F.col("laid"), of)))
 
-    windows = texts.join(laid, "doc_id").select("doc_id", F.explode(_once(words(F.col("text")), cut)).alias("x"))
+    windows = texts.join(laid, "doc_id").select("doc_id", F.explode(_once(words(F.col("text")), cut)).alias("x")).where(F.size("x.w") == F.col("x.size"))
     windows = windows.select("doc_id", "x.size", "x.start", simhash(F.col("x.w")).alias("f"), shingles(F.col("x.w"), n).alias("g"))
     keyed = windows.withColumn("k", F.explode(blocks(F.col("f")))).select("doc_id", "size", "start", "f", "g", "k.block", "k.bits")
     index = items.select("item_id", "size", "ig", simhash(F.col("iw")).alias("if")).withColumn("k", F.explode(blocks(F.col("if")))).select("item_id", "size", "ig", "if", "k.block", "k.bits")
     near = keyed.join(bounded(index), ["size", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("if"))) <= RADIUS)
     near = near.groupBy("doc_id", "item_id", "start").agg(F.first("g").alias("g"), F.first("ig").alias("ig"))
-    shared = near.withColumn("both", common(F.col("g"), F.col("ig"))).withColumn("all", F.size("g") + F.size("ig") - F.col("both"))
+    # a document shorter than the item is one window; its fingerprint can be further off, so it is compared as it is
+    whole = texts.join(found.where("of < m").select("doc_id", "item_id", "size", "m"), "doc_id").select("doc_id", "item_id", "size", "m", grams.alias("g")).where(F.size("g") < F.col("m"))
+    whole = whole.join(bounded(items.select("item_id", "size", "ig")), ["item_id", "size"]).select("doc_id", "item_id", F.lit(0).alias("start"), "g", "ig")
+    shared = near.unionByName(whole).withColumn("both", common(F.col("g"), F.col("ig"))).withColumn("all", F.size("g") + F.size("ig") - F.col("both"))
     sure = shared.where(F.col("both") >= F.col("all") * F.lit(threshold) - 1e-9).withColumn("similarity", F.col("both") / F.col("all"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
     return sure.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.similarity").alias("similarity"))

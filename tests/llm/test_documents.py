@@ -151,6 +151,25 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and not {r.doc_id for r in left.collect()} & {k[0] for k in want}
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    rng = random.Random(7)
+    items = [[f"x{rng.randint(0, 400)}" for _ in range(50)] for _ in range(60)]
+    rows = [(100 * i + k, " ".join(w[:k] if i % 2 else w[50 - k :])) for i, w in enumerate(items) for k in (40, 41, 42, 44, 49, 50)]
+    rows.append((142, " ".join(items[1] + items[3][:9])))  # a longer row of the same id
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, round(r.similarity, 6)) for r in decontaminate.contaminated(d, bench).collect()}
+    want = {}
+    for i, text in rows:
+        w, x = text.split(), items[i // 100]
+        c, g = (Counter(tuple(y[k : k + 5]) for k in range(len(y) - 4)) for y in (w[:50], x))
+        sim = sum((c & g).values()) / sum((c | g).values())
+        if sim >= 0.8 and sim > want.get((i, i // 100), (0, 0))[1]:
+            want[i, i // 100] = (0, round(sim, 6))
+    assert got == want and {k[0] % 100 for k in got} == {41, 42, 44, 49, 50}
+    assert decontaminate.drop_contaminated(d, bench).count() == len(items)
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     rng = random.Random(1)
     a = [rng.getrandbits(63) for _ in range(20)]
