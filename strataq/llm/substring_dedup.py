@@ -225,6 +225,16 @@ def _smallest(t: pa.Table) -> pa.Table:
     return pa.table({"block": got.column("bucket"), "window": got.column("window")})
 
 
+def _without(text: bytes, first: np.ndarray, end: np.ndarray, off: np.ndarray) -> bytes:
+    """``text`` without its runs of covered words (``off``), each from its first word's start to its last word's end."""
+    change = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]])))
+    out, at = [], 0
+    for i, j in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
+        out.append(text[at : int(first[i])])
+        at = int(end[j - 1])
+    return b"".join([*out, text[at:]])
+
+
 def _cut(width: int, with_text: bool):
     def run(t: pa.Table, back: pa.Table) -> pa.Table:
         t = _ordered(t)
@@ -234,7 +244,7 @@ def _cut(width: int, with_text: bool):
         for a, b, data, offs in slices(t.column("text")):
             names, woff, first, end = named(data, offs)
             w = inside(woff, width)
-            parts.append((a, b, data, woff, first, end))
+            parts.append((a, b, data, offs, woff, first, end))
             if len(w):
                 wins.append(rolling(names, width)[w]), where.append(base + w)
                 who.append(ids[a + np.searchsorted(woff, w, "right") - 1])
@@ -252,7 +262,8 @@ def _cut(width: int, with_text: bool):
             np.add.at(gone, at[dup], 1), np.add.at(gone, at[dup] + width, -1)
         gone = np.cumsum(gone[:-1]) > 0
         words, removed, digest, kept, base = [], [], [], [], 0
-        for a, b, data, woff, first, end in parts:
+        there = t.column("text").is_valid().to_pylist() if with_text else []
+        for a, b, data, offs, woff, first, end in parts:
             raw = data.tobytes()
             for d in range(b - a):
                 lo, hi = int(woff[d]), int(woff[d + 1])
@@ -266,7 +277,8 @@ def _cut(width: int, with_text: bool):
                 out = b" ".join(left)
                 words.append(hi - lo), removed.append(k), digest.append(hashlib.sha256(out).hexdigest())
                 if with_text:
-                    kept.append(out)
+                    own = raw[int(offs[d]) : int(offs[d + 1])]
+                    kept.append((own if k == 0 else _without(own, first[lo:hi] - offs[d], end[lo:hi] - offs[d], off)) if there[a + d] else None)
             base += len(first)
         cols = {"doc_id": t.column("doc_id").combine_chunks(), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if with_text:
@@ -280,8 +292,9 @@ def _cut(width: int, with_text: bool):
 def substring_dedup(docs: DataFrame, *, width: int = 13, with_text: bool = False) -> DataFrame:
     """Remove words covered by a window of ``width`` words that also starts in a document of smaller id.
 
-    Returns doc_id, n_words, n_removed, kept_sha256: one row for each row of ``docs``. With ``with_text`` also
-    kept_text and ``carried``, a struct of the row as it was but for its text.
+    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space): one row for each row of
+    ``docs``. With ``with_text`` also kept_text (what is left of the text itself, null if it was) and ``carried``, a struct
+    of the row as it was but for its text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -302,7 +315,8 @@ def substring_dedup(docs: DataFrame, *, width: int = 13, with_text: bool = False
 
 
 def deduplicated(docs: DataFrame, *, width: int = 13) -> DataFrame:
-    """``docs`` with the kept words as text (and their length as n_chars, if there); documents that lost all words go."""
+    """``docs`` with the covered words cut out of their texts (and the length left as n_chars, if there); all other bytes,
+    and texts that lose nothing, stay as they are. Documents that lost all words go."""
     out = substring_dedup(docs, width=width, with_text=True).where("n_removed < n_words OR n_words = 0")
-    own = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    own = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("carried.n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
     return out.select(*((own[c] if c in own else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))

@@ -73,6 +73,15 @@ def test_substring_dedup(spark, docs):
     assert out.columns == docs.columns and out.where("doc_id = 0").count() == 1
 
 
+def test_substring_dedup_leaves_the_rest_of_a_text_alone(spark):
+    copy = " ".join(f"c{i}" for i in range(15))
+    clean = "  def f(x):\n\treturn  é \u3000 x\n\n\n# end \n"
+    rows = [(1, copy, 7), (2, clean, 9), (3, f"\n  two  é\n{copy.replace(' ', chr(10))}\t\n  more\r\n x ", 0), (4, None, 0), (5, " \n ", 3), (6, f"a\n{copy} {copy}\n\nb  c\n{copy}", 0), (7, f" {copy}\n", 0)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
+    left3, left6 = "\n  two  é\n\t\n  more\r\n x ", "a\n\n\nb  c\n"
+    assert out == {1: (copy, 7), 2: (clean, 9), 3: (left3, len(left3)), 4: (None, 0), 5: (" \n ", 3), 6: (left6, len(left6))}
+
+
 def test_cores_are_the_same_in_any_context():
     rng = np.random.default_rng(3)
     names = rng.integers(0, 6, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
