@@ -1,9 +1,10 @@
 """Token counts that follow edits.
 
 Each document keeps a segment tree over leaves of pre-tokens: a leaf is a run of text whose start is a space before a
-visible character, where every byte-level pre-tokenizer starts a new pre-token whatever stands before. An edit
-re-encodes only the leaves it touches, and the leaf before where it touches a leaf's first two characters (its boundary
-context); the sums above them are updated on the way to the root.
+visible character that begins no added token, where every byte-level pre-tokenizer starts a new pre-token whatever
+stands before. An edit re-encodes only the leaves it touches, and the leaf before where it touches a leaf's first
+characters, as far as an added token could reach (its boundary context); the sums above them are updated on the way to
+the root.
 
 Edge cases: null text counts as empty (one empty leaf, 0 tokens); edits outside the text are clipped to it; null or no
 edits change nothing; an edit of nothing by nothing counts as an edit but encodes its leaf again; rows that share a
@@ -13,7 +14,7 @@ doc_id are counted separately; an empty table gives no rows. Other columns are k
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,18 @@ from strataq.llm.tokens import Encoder
 
 #: Characters of text in a leaf, about; the cut is at the next safe start.
 LEAF = 512
-_START = re.compile(r" \S")
 
 
-def leaves(text: str, size: int = LEAF) -> list[str]:
+def safe_start(added: Iterable[str] = ()) -> re.Pattern:
+    """A space before a visible character that begins none of the ``added`` tokens: what stands before an added token is
+    a text of its own, whose last blanks go together."""
+    return re.compile(" " + (f"(?!{'|'.join(map(re.escape, added))})" if added else "") + r"\S")
+
+
+def leaves(text: str, size: int = LEAF, start: re.Pattern = safe_start()) -> list[str]:
     """Cut a text at safe starts, at least ``size`` characters apart."""
     out, at = [], 0
-    while len(text) - at > size and (m := _START.search(text, at + size)):
+    while len(text) - at > size and (m := start.search(text, at + size)):
         out.append(text[at : m.start()])
         at = m.start()
     return [*out, text[at:]]
@@ -87,7 +93,8 @@ class Tree:
         a, before = self.find(start)
         b = a if stop <= before + len(self.texts[a]) else self.find(stop - 1)[0]
         head, cut = a, before
-        while head and start < cut + 2:  # its start may no longer be safe: take the leaf before along
+        reach = 1 + max([1, *map(len, encoder.added)])
+        while head and start < cut + reach:  # its start may no longer be safe: take the leaf before along
             head -= 1
             cut -= len(self.texts[head])
         joined = "".join(self.texts[head : b + 1])
@@ -101,9 +108,10 @@ class Tree:
 
 def _build(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, ordinary=False)
+        start = safe_start(encoder.added)
         for pdf in batches:
-            cut = [leaves(t) if isinstance(t, str) else [""] for t in pdf["text"]]
+            cut = [leaves(t, start=start) if isinstance(t, str) else [""] for t in pdf["text"]]
             yield pdf.assign(leaf_chars=[[len(x) for x in c] for c in cut], leaf_tokens=[[encoder.count(x) for x in c] for c in cut])
 
     return run
@@ -111,7 +119,7 @@ def _build(path: str):
 
 def _apply(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, ordinary=False)
         for pdf in batches:
             rows = []
             for doc, text, chars, tokens, edits in zip(pdf["doc_id"], pdf["text"], pdf["leaf_chars"], pdf["leaf_tokens"], pdf["edits"], strict=True):

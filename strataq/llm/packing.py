@@ -92,7 +92,7 @@ def _crc(ids: np.ndarray) -> int:
 
 def _pieces(path: str, window: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, ordinary=False)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):

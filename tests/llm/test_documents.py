@@ -222,6 +222,43 @@ def test_tokens_are_the_library_s():
         assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+END = "<|endoftext|>"
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokenizer()), Encoder(tokenizer(), ordinary=False)
+    odd = [END, f"a {END} b", f"x  \n  {END}{END}  y", f"<|endoftext{END}|>", f"one{END[:7]} {END[7:]}", "plain text", f" {END}"]
+    for x in odd:
+        assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    d = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: r for r in packing.pack(d, tokenizer=tokenizer()).collect()}
+    for i, x in enumerate(odd):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_edits_that_make_and_break_added_tokens():
+    from tokenizers import Tokenizer
+
+    rng, t, e = random.Random(4), Tokenizer.from_file(tokenizer()), Encoder(tokenizer(), ordinary=False)
+    parts = ["w", " w", "  ", "\n", f" {END}", f"  {END}", END, END[:6], END[6:], f" {END[:6]}", "  <"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(40))
+        cut = edit_counts.leaves(text, 4, edit_counts.safe_start(e.added))
+        assert "".join(cut) == text
+        tree = edit_counts.Tree(list(cut), [e.count(x) for x in cut])
+        assert tree.tokens == len(t.encode(text, add_special_tokens=False).ids)
+        for _ in range(12):
+            s, n, x = rng.randint(0, len(text)), rng.choice([0, 0, 1, 2, 9, 30]), rng.choice(["", *parts])
+            tree.edit(s, n, x, e)
+            text = text[:s] + x + text[s + n :]
+            assert tree.tokens == len(t.encode(text, add_special_tokens=False).ids)
+
+
 def test_edit_counts(spark, docs):
     rng = random.Random(9)
     e = Encoder(tokenizer())
