@@ -25,13 +25,13 @@ from strataq.llm.runtime import small_batches
 BITS = 15
 SIZE = 1 << BITS
 ORDERS = 3
-_KNOWN = 0x3000
+_POINTS = 0x110000
 
 
 def _letters() -> np.ndarray:
-    """For each low code point its lower case, or a blank where it is no letter."""
-    out = np.full(_KNOWN, 32, np.uint32)
-    for c in range(_KNOWN):
+    """For each code point its lower case, or a blank where it is no letter."""
+    out = np.full(_POINTS, 32, np.uint32)
+    for c in range(_POINTS):
         x = chr(c)
         if x.isalpha():
             low = x.lower()
@@ -44,9 +44,7 @@ _LOWER = _letters()
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(features, counts) of a whole text; none where it has no letter."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    high = c >= _KNOWN
-    c = np.where(high, c, _LOWER[np.minimum(c, _KNOWN - 1)]) if high.any() else _LOWER[c]
+    c = _LOWER[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     blank = c == 32
     if blank.all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -316,6 +316,18 @@ def test_least_squares_fills_windows():
     assert n >= 450 + 70 and sum(hi - lo for v in slots.values() for lo, hi, _, _ in v) >= 900
 
 
+def test_symbols_beyond_the_low_planes_are_no_letters(spark):
+    for x in ["\U0001f600", "\uff11\uff12", "\u3002\u300c\u300d\u3000", "\U0001f600\ufe0f\uff01 12", "\U0001d7d8"]:
+        assert not len(language_id.features(x)[0]), x
+    for a, b in [("日本\U0001f600語", "日本。語"), ("ab\uff0ccd", "ab cd"), ("\uff21\U00010400", "\uff41\U00010428")]:
+        assert [v.tolist() for v in language_id.features(a)] == [v.tolist() for v in language_id.features(b)]
+    assert len(language_id.features("日")[0]) and len(language_id.features("\U00020000")[0])
+    rows = [(i, "und der die", "de") for i in range(8)] + [(90, "\U0001f600 \uff11 \u3002", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(d).collect()}
+    assert got[90] == ("und", 0.0) and got[0][0] == "de"
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
