@@ -1,28 +1,46 @@
 """Benchmark decontamination, by DataFrame functions only.
 
-Words are lower-cased runs of letters and digits. A document is looked at through windows as long as an item. A window
-can reach the threshold only if it shares most of the word shingles that it and the item have, so windows are laid where
-a document holds enough of an item's shingles, at every place that puts one of them on its place in the item. A document
-shorter than an item is one window, compared with the item as it is. Windows of an item's length and items get 64-bit
-SimHash fingerprints of their words. Fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` blocks of bits
-at least, so a join on (size, block, bits) finds all of them; the exact weighted similarity of the two multisets of
-shingles (sum of smaller counts over sum of larger ones) decides.
+Words are lower-cased runs of letters and digits, shingles are hashes of ``n`` of them. A document is looked at through
+windows as long as an item (one window where it is shorter). A window without any shingle of an item of its size has
+similarity 0 and is left alone; around every other shingle *all* windows are laid, in blocks of ``SPAN`` starts, whatever
+the order in which they hold the item's shingles.
+
+1. *Fingerprints.* Each laid window and each item gets a 64-bit SimHash of its shingles. Counts of set bits are summed
+   in lanes of a long, so one pass over the shingles counts several bits at once.
+2. *Multi-index.* Fingerprints within ``RADIUS`` bits agree in one of the blocks of ``BLOCKS`` up to that block's own
+   few bits, by counting. Items are indexed under all values that near for each block; a window looks up its own values:
+   a join on (size, block, bits), as one long, finds all fingerprints within the radius.
+3. *Verification.* For each document and item so found, the exact weighted similarity (sum of smaller counts over sum of
+   larger ones) of all laid windows of the item's size decides; the best and first one is reported.
+
+A pair at exactly the threshold shares 8 of 9 shingles, so its fingerprints differ in 9.7 bits on average (standard
+deviation 2.9): radius 18 finds 99.8 % of such pairs and more of all nearer ones.
 
 Documents are never shuffled whole: their shingles meet the items' in a broadcast join while these are no more than
-``BROADCAST_ROWS`` (counted first) and in a shuffle join beyond that; only documents with candidates are read again.
+``BROADCAST_ROWS`` (counted first) and in a shuffle join beyond that; only documents with a hit are read again.
 
 Edge cases: null or empty texts and items, and items of fewer than ``n`` words, match nothing; a document shorter than
-an item is one window; repeated items each give their rows; rows that share a doc_id are reported under it once; a null
-doc_id is left out of the report; other columns are ignored; empty tables give no rows.
+an item is one window; repeated items each give their rows; a row is known by doc_id and text, so of rows that share a
+doc_id only those that match go; they are reported under it once, with the best window; a null doc_id is a doc_id like
+others; a null item_id is an item; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RADIUS = 15
-BROADCAST_ROWS = 200_000
+from strataq.llm.runtime import materialize
+
+RADIUS = 18
+#: (first bit, bits, errors looked up) of each block. Fewer errors in all blocks than these sum up to at least
+#: sum(errors + 1) = RADIUS + 1 errors, so within the radius one block has no more than its own.
+BLOCKS = [(0, 13, 3), (13, 13, 3), (26, 13, 3), (39, 13, 3), (52, 12, 2)]
+#: Window starts that are laid together.
+SPAN = 64
+BROADCAST_ROWS = 400_000
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -41,77 +59,122 @@ def shingles(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(at, lambda i: F.xxhash64(*(w[i + k] for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(w: Column) -> Column:
-    """64 bits: of each, whether more words' hashes have it set than not."""
+def simhash(g: Column, lane: int = 16) -> Column:
+    """64 bits: of each, whether more than half of the hashes have it set. ``lane`` bits count each: 16 for up to 32,767
+    hashes, 32 beyond."""
+    ones, whole = (F.lit(x).cast("long") for x in (sum(1 << at for at in range(0, 64, lane)), (1 << lane) - 1))
+    zero, one, shift = F.lit(0).cast("long"), F.lit(1).cast("long"), lambda x, n: F.call_function("shiftrightunsigned", x, n)
 
     def of(h: Column) -> Column:
-        def bit(b: Column) -> Column:
-            ones = F.aggregate(h, F.lit(0), lambda a, x: a + F.call_function("shiftright", x, b).bitwiseAND(F.lit(1)).cast("int"))
-            return F.when(2 * ones > F.size(h), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(lane - 1)), lambda j: F.aggregate(h, zero, lambda a, x: a + shift(x, j).bitwiseAND(ones)))
 
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+        def bits(c: Column) -> Column:
+            often = lambda b: 2 * shift(F.get(c, b % lane), b - b % lane).bitwiseAND(whole) > F.size(h)
+            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, b: F.when(often(b), a.bitwiseOR(F.call_function("shiftleft", one, b))).otherwise(a))
 
-    return _once(F.transform(w, lambda x: F.xxhash64(x)), of)
+        return _once(counts, bits)
 
+    return F.coalesce(_once(g, of), zero)  # never null, so that joins need no test of it
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """(block, bits) of each of ``radius + 1`` blocks."""
-    out, k = [], radius + 1
-    for b in range(k):
-        lo, hi = 64 * b // k, 64 * (b + 1) // k
-        out.append(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("bits")))
-    return F.array(*out)
 
+def block_bits(fingerprint: Column) -> list[Column]:
+    """The fingerprint's bits in each block."""
+    return [F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for at, width, _ in BLOCKS]
 
-def common(a: Column, b: Column) -> Column:
-    """Sum over distinct entries of the smaller count of the two arrays."""
-    times = lambda arr, s: F.size(F.filter(arr, lambda x: x == s))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, s: acc + F.least(times(a, s), times(b, s)))
 
+def _key(size: Column, k: int, bits: Column) -> Column:
+    return F.shiftleft(size.cast("long") * len(BLOCKS) + k, max(width for _, width, _ in BLOCKS)).bitwiseOR(bits)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, start (first word of the best window), similarity of each document and item that match."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("iw"))
-    items = items.where(F.size("iw") >= n).withColumn("size", F.size("iw")).withColumn("ig", shingles(F.col("iw"), n))
-    items = items.withColumn("m", F.size("iw") - n + 1)
-    seeds = items.select("item_id", "size", "m", F.posexplode("ig").alias("offset", "g"))
-    small = seeds.count() <= BROADCAST_ROWS
-    bounded = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), "text")
+def lookups(size: Column, fingerprint: Column) -> Column:
+    """The keys (size, block, bits) of a window."""
+    return F.array(*(_key(size, k, bits) for k, bits in enumerate(block_bits(fingerprint))))
+
+
+def entries(size: Column, fingerprint: Column) -> Column:
+    """The keys of all values that differ from the fingerprint's in no more than the block's errors."""
+
+    def near(k: int, bits: Column) -> Column:
+        _, width, errors = BLOCKS[k]
+        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= errors)
+        return F.transform(masks, lambda m: _key(size, k, bits.bitwiseXOR(m.cast("long"))))
+
+    return F.concat(*(near(k, bits) for k, bits in enumerate(block_bits(fingerprint))))
+
+
+def occurrences(g: Column) -> Column:
+    """A multiset of hashes as a set: the k-th occurrence of a hash is an entry of its own. Linear but for one sort."""
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == F.size(s) - 1) | (F.get(s, i) != F.get(s, i + 1)))
+
+        def numbered(e: Column) -> Column:
+            return F.flatten(F.transform(e, lambda end, j: F.transform(F.sequence(F.lit(1), end - F.coalesce(F.get(e, j - 1), F.lit(-1))), lambda k: F.xxhash64(F.get(s, end), k))))
+
+        return _once(ends, numbered)
+
+    return F.when(F.size(g) > 0, _once(F.array_sort(g), runs)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _rows(docs: DataFrame, doc_id: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, h (hash of the row's text), item_id, start (first word of the best window), similarity."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("iw"))
+    items = items.where(F.size("iw") >= n).select("item_id", F.size("iw").alias("size"), (F.size("iw") - n + 1).alias("m"), shingles(F.col("iw"), n).alias("ig"))
+    seeds = items.select("size", "m", F.explode("ig").alias("g")).distinct()
+    much = items.agg(F.count(F.lit(1)), F.sum("m"), F.max("m")).first()  # a benchmark's size decides how it is joined
+    lane = 16 if (much[2] or 0) < 1 << 15 else 32
+    per_item = sum(math.comb(width, e) for _, width, errors in BLOCKS for e in range(errors + 1))
+    bounded = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    seeds = bounded(seeds, much[1] or 0)
+
+    texts = _rows(docs, doc_id)
     grams = _once(words(F.col("text")), lambda w: shingles(w, n))
-    places = texts.select("doc_id", grams.alias("gs")).withColumn("of", F.size("gs")).select("doc_id", "of", F.posexplode("gs").alias("p", "g"))
-    hits = places.join(bounded(seeds), "g").groupBy("doc_id", "item_id", "size", "m", (F.col("p") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of"))
-    # a window has a = min(m, shingles of the document) of them, the item m; i are shared: i / (a + m - i) >= threshold
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.least("m", "of")) - 1e-9)
-    found = hits.groupBy("doc_id", "item_id", "size", "m").agg(F.sum("n").alias("n"), F.min("of").alias("of"), F.collect_set("start").alias("starts")).where(F.col("n") >= need)
-    laid = found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "starts")).alias("laid"))
-
-    def cut(w: Column) -> Column:
-        def of(l: Column) -> Column:
-            def window(s: Column) -> Column:
-                at = F.greatest(F.lit(0), F.least(s, F.size(w) - l["size"]))
-                return F.struct(l["size"].alias("size"), at.alias("start"), F.slice(w, at + 1, l["size"]).alias("w"))
-
-            return F.transform(l["starts"], window)
-
-        return F.array_distinct(F.flatten(F.transform(F.col("laid"), of)))
-
-    windows = texts.join(laid, "doc_id").select("doc_id", F.explode(_once(words(F.col("text")), cut)).alias("x")).where(F.size("x.w") == F.col("x.size"))
-    windows = windows.select("doc_id", "x.size", "x.start", simhash(F.col("x.w")).alias("f"), shingles(F.col("x.w"), n).alias("g"))
-    keyed = windows.withColumn("k", F.explode(blocks(F.col("f")))).select("doc_id", "size", "start", "f", "g", "k.block", "k.bits")
-    index = items.select("item_id", "size", "ig", simhash(F.col("iw")).alias("if")).withColumn("k", F.explode(blocks(F.col("if")))).select("item_id", "size", "ig", "if", "k.block", "k.bits")
-    near = keyed.join(bounded(index), ["size", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("if"))) <= RADIUS)
-    near = near.groupBy("doc_id", "item_id", "start").agg(F.first("g").alias("g"), F.first("ig").alias("ig"))
-    # a document shorter than the item is one window; its fingerprint can be further off, so it is compared as it is
-    whole = texts.join(found.where("of < m").select("doc_id", "item_id", "size", "m"), "doc_id").select("doc_id", "item_id", "size", "m", grams.alias("g")).where(F.size("g") < F.col("m"))
-    whole = whole.join(bounded(items.select("item_id", "size", "ig")), ["item_id", "size"]).select("doc_id", "item_id", F.lit(0).alias("start"), "g", "ig")
-    shared = near.unionByName(whole).withColumn("both", common(F.col("g"), F.col("ig"))).withColumn("all", F.size("g") + F.size("ig") - F.col("both"))
-    sure = shared.where(F.col("both") >= F.col("all") * F.lit(threshold) - 1e-9).withColumn("similarity", F.col("both") / F.col("all"))
+    places = texts.select("doc_id", "h", grams.alias("gs")).select("doc_id", "h", F.size("gs").alias("of"), F.posexplode("gs").alias("p", "g"))
+    hits = places.join(seeds, "g").select("doc_id", "h", "size", "m", "p", F.greatest(F.lit(0), F.col("of") - F.col("m")).alias("last"))
+    # a window of m shingles holds place p if it starts in [p - m + 1, p], and the last one starts at ``last``
+    blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.least("last", F.col("p") - F.col("m") + 1)) / SPAN), F.floor(F.least("last", "p") / SPAN))
+    laid = hits.select("doc_id", "h", "size", "m", F.explode(blocks.cast("array<int>")).alias("b")).distinct()
+    laid = laid.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("size", "m", "b")).alias("laid"))
+
+    here = texts.join(laid, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", grams.alias("gs"), "laid").dropDuplicates(["doc_id", "h"])
+    here = here.select("doc_id", "h", "gs", F.inline("laid"))
+    last = F.greatest(F.lit(0), F.size("gs") - F.col("m"))  # the last start of a window
+    here = here.withColumn("from", F.col("b") * SPAN).withColumn("upto", F.least(F.col("from") + SPAN - 1, last)).where("upto >= `from`")
+    here = here.select("doc_id", "h", "size", "m", "from", (F.col("upto") - F.col("from")).alias("more"), F.slice("gs", F.col("from") + 1, F.col("upto") - F.col("from") + F.col("m")).alias("g"))
+    here = materialize(here)  # some hundred bytes a hit
+    windows = here.select("doc_id", "h", "size", "m", "from", "g", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("i"))
+    windows = windows.select("doc_id", "h", "size", (F.col("from") + F.col("i")).alias("start"), F.slice("g", F.col("i") + 1, F.col("m")).alias("g"))
+
+    keyed = windows.select("doc_id", "h", "size", simhash(F.col("g"), lane).alias("f"))
+    keyed = keyed.select("doc_id", "h", "size", "f", F.explode(lookups(F.col("size"), F.col("f"))).alias("key"))
+    index = items.select("item_id", "size", simhash(F.col("ig"), lane).alias("if"))
+    index = bounded(index.select("item_id", "if", F.explode(entries(F.col("size"), F.col("if"))).alias("key")), (much[0] or 0) * per_item)
+    near = keyed.join(index, "key").where(F.bit_count(F.col("f").bitwiseXOR(F.col("if"))) <= RADIUS)
+    near = near.select("doc_id", "h", "item_id", "size").distinct()
+
+    near = near.join(bounded(items.select(F.col("item_id").alias("_item"), F.col("size").alias("_size"), F.size("ig").alias("all"), occurrences(F.col("ig")).alias("io")), (much[0] or 0)), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("size") == F.col("_size"))).drop("_item", "_size")
+    near = near.withColumnsRenamed({"doc_id": "_doc", "h": "_h", "size": "_size"})
+    both = windows.join(near, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size")))
+    both = both.select("doc_id", "h", "item_id", "start", (F.size("g") + F.col("all")).alias("all"), F.size(F.array_intersect(occurrences(F.col("g")), "io")).alias("both"))
+    both = both.withColumn("all", F.col("all") - F.col("both"))
+    sure = both.where(F.col("both") >= F.col("all") * F.lit(threshold) - 1e-9).withColumn("similarity", F.col("both") / F.col("all"))
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
+    return sure.groupBy("doc_id", "h", "item_id").agg(best.alias("b")).select("doc_id", "h", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.similarity").alias("similarity"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **parameters: object) -> DataFrame:
+    """doc_id, item_id, start (first word of the best window), similarity of each document and item that match."""
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
-    return sure.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.similarity").alias("similarity"))
+    m = matches(docs, benchmark, **parameters).groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return m.select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.similarity").alias("similarity"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters: object) -> DataFrame:
-    """``docs`` without the documents that match an item."""
-    return docs.join(contaminated(docs, benchmark, **parameters).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **parameters: object) -> DataFrame:
+    """``docs`` without the rows that match an item."""
+    gone = matches(docs, benchmark, doc_id=doc_id, **parameters).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct()
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    return docs.join(gone, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

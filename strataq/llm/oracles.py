@@ -17,9 +17,8 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\
 it AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5),
 ig AS (SELECT item_id, n, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM (SELECT *, unnest(range(0, n - 4)) AS o FROM it)),
 dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
-hit AS (SELECT doc_id, item_id, n, p - o AS s, count(*) AS c FROM dg JOIN ig USING (g) GROUP BY ALL),
-cand AS (SELECT doc_id, item_id FROM hit GROUP BY 1, 2 HAVING sum(c) >= ceil(1.6::DOUBLE / 1.8 * (max(n) - 4) - 1e-9)),
-win AS (SELECT DISTINCT doc_id, item_id, n, len(w) AS of, greatest(0, least(s, len(w) - n)) AS start FROM hit SEMI JOIN cand USING (doc_id, item_id) JOIN d USING (doc_id)),
+hit AS (SELECT DISTINCT doc_id, item_id, n, p, len(w) AS of FROM dg JOIN (SELECT DISTINCT item_id, n, g FROM ig) USING (g) JOIN d USING (doc_id)),
+win AS (SELECT DISTINCT doc_id, item_id, n, of, unnest(range(greatest(0, p - n + 5), greatest(0, least(p, of - n)) + 1)) AS start FROM hit),
 wg AS (SELECT win.doc_id, item_id, start, n, of, g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND p BETWEEN start AND start + n - 5 GROUP BY ALL),
 gi AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
 sim AS (SELECT doc_id, item_id, start, n, of, sum(least(wg.c, gi.c)) AS i FROM wg JOIN gi USING (item_id, g) GROUP BY ALL),

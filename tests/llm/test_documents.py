@@ -145,7 +145,7 @@ def test_decontamination(spark, docs):
     for r in docs.collect():
         for b in bench.collect():
             w, x = norm(r.text), norm(b.text)
-            if len(x) < 5 or len(w) < 5 or r.doc_id is None:
+            if len(x) < 5 or len(w) < 5:
                 continue
             g = lambda y: Counter(tuple(y[i : i + 5]) for i in range(len(y) - 4))
             for s in range(max(1, len(w) - len(x) + 1)):
@@ -157,7 +157,78 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
     left = decontaminate.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and not {r.doc_id for r in left.collect()} & {k[0] for k in want}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} & {k[0] for k in want} <= {5}
+
+
+def test_decontamination_knows_rows_by_text(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, item, 1), (None, "clean text of no id at all", 2), (5, item, 3), (5, "another clean text of the same id", 4), (6, f"x {item} y", 5), (6, f"x {item} y", 6), (7, None, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    bench = spark.createDataFrame([(None, item), (1, item), (1, item)], "item_id long, text string")
+    got = Counter(tuple(r) for r in decontaminate.contaminated(d, bench).collect())
+    assert got == Counter((i, b, s, 1.0) for i, s in ((None, 0), (5, 0), (6, 1)) for b in (None, 1))
+    left = decontaminate.drop_contaminated(d, bench)
+    assert left.columns == d.columns and sorted(r.h for r in left.collect()) == [2, 4, 7]
+
+
+def brute_windows(docs, items, threshold=0.8):
+    """(doc, item): (start, similarity) of the best of all windows."""
+    out = {}
+    grams = lambda y: [tuple(y[k : k + 5]) for k in range(len(y) - 4)]
+    for i, w in docs:
+        g = grams(w)
+        for j, x in items:
+            c = Counter(grams(x))
+            m = len(x) - 4
+            for s in range(max(1, len(g) - m + 1)):
+                d = Counter(g[s : s + m])
+                both = sum((c & d).values())
+                sim = both / (c.total() + d.total() - both)
+                if sim >= threshold - 1e-9 and sim > out.get((i, j), (0, 0))[1]:
+                    out[i, j] = (s, sim)
+    return out
+
+
+def test_decontamination_finds_what_all_windows_hold(spark):
+    """Swapped halves, moved and edited items, at and around the threshold, inside other text."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randint(0, 3000)}"
+    items = [(j, [word() for _ in range(rng.randint(20, 60))]) for j in range(40)]
+    items[0] = (0, [f"s{i}" for i in range(60)])
+    docs = []
+    for j, x in items:
+        for k in range(6):
+            y, n = list(x), len(x)
+            if k == 0:
+                y = y[n // 2 :] + y[: n // 2]
+            elif k == 1:
+                y[rng.randrange(n)] = word()
+            elif k == 2:
+                y = y[: n - (n - 4) // 9]
+            elif k == 3:
+                y = y[(n - 4) // 9 :]
+            elif k == 4:
+                y[0], y[-1] = word(), word()
+            docs.append((10 * j + k, [word() for _ in range(rng.choice([0, 3, 17, 150]))] + y + [word() for _ in range(rng.choice([0, 2, 90]))]))
+    want = brute_windows(docs, items)
+    assert want[0, 0][1] == 52 / 60
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(j, " ".join(x)) for j, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(d, b).collect()}
+    assert all(want.get(k) == pytest.approx(v) for k, v in got.items())
+    assert (0, 0) in got and len(got) >= 0.97 * len(want) and len(want) > 150
+
+
+def test_decontamination_of_long_texts(spark):
+    rng = random.Random(3)
+    item = [f"z{rng.randint(0, 90)}" for _ in range(50)]
+    long = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(20_000)]
+    long[11_234:11_284] = item
+    book = [f"b{i % 977}" for i in range(4_000)]
+    d = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(book)), (3, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(book))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.start for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(1, 1): 11_234, (2, 2): 0}
 
 
 def test_decontamination_of_documents_shorter_than_an_item(spark):
@@ -180,12 +251,25 @@ def test_decontamination_of_documents_shorter_than_an_item(spark):
 
 
 def test_hamming_blocks_find_all_within_radius(spark):
+    assert sum(e + 1 for _, _, e in decontaminate.BLOCKS) == decontaminate.RADIUS + 1 and sum(w for _, w, _ in decontaminate.BLOCKS) == 64
     rng = random.Random(1)
-    a = [rng.getrandbits(63) for _ in range(20)]
-    b = [x ^ sum(1 << i for i in rng.sample(range(63), decontaminate.RADIUS)) for x in a]
+    a = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    b = [x ^ sum((1 << i) if i < 63 else -(1 << 63) for i in rng.sample(range(64), decontaminate.RADIUS)) for x in a]
     df = spark.createDataFrame(list(zip(a, b)), "a long, b long")
-    hit = df.select(F.size(F.array_intersect(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b")))).alias("n"))
-    assert all(r.n > 0 for r in hit.collect())
+    hit = df.select(F.size(F.array_intersect(decontaminate.lookups(F.lit(7), F.col("a")), decontaminate.entries(F.lit(7), F.col("b")))).alias("n"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("d"))
+    assert all(r.n > 0 and r.d == decontaminate.RADIUS for r in hit.collect())
+
+
+def test_simhash_counts_bits(spark):
+    rng = random.Random(2)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 40, 301)]
+    want = []
+    for (g,) in rows:
+        bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in g) > len(g))
+        want.append(bits - (1 << 64) if bits >> 63 else bits)
+    df = spark.createDataFrame(rows, "g array<long>")
+    for lane in (16, 32):
+        assert [r.f for r in df.select(decontaminate.simhash(F.col("g"), lane).alias("f")).collect()] == want
 
 
 def test_quality_counts(spark, docs):
