@@ -47,10 +47,13 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000000 // n_words ELSE 0 END AS v3, CASE WHEN n_words > 0 THEN word_chars * 1000000 // n_words ELSE 0 END AS v4 FROM m),
 e AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS v FROM b WHERE NOT base_failed),
 sk AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bin, count(*) AS n FROM e GROUP BY ALL),
-up AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, k) AS al FROM sk),
-q AS (SELECT lang, source, k, min(bin) FILTER (upto * 4 >= al) AS q1, min(bin) FILTER (upto * 4 >= al * 3) AS q3 FROM up GROUP BY 1, 2, 3),
-f AS (SELECT lang, source, max(CASE WHEN k = 1 THEN greatest(q3 + 4 * (q3 - q1), 60000) END) AS f1, max(CASE WHEN k = 2 THEN greatest(q3 + 4 * (q3 - q1), 600000) END) AS f2,
-  max(CASE WHEN k = 3 THEN greatest(q3 + 4 * (q3 - q1), 250000) END) AS f3, max(CASE WHEN k = 4 THEN greatest(q3 + 4 * (q3 - q1), 14000000) END) AS f4 FROM q GROUP BY 1, 2)
+lv AS (SELECT 0 AS level, NULL AS lang, NULL AS source, k, bin, n FROM sk UNION ALL SELECT 1, lang, NULL, k, bin, n FROM sk UNION ALL SELECT 2, lang, source, k, bin, n FROM sk),
+up AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, k) AS al FROM (SELECT level, lang, source, k, bin, sum(n) AS n FROM lv GROUP BY ALL)),
+q AS (SELECT level, lang, source, k, al, 2 * (tail + (1::BIGINT << greatest(length(bin(tail)) - 6, 0)) - 1) - middle AS own FROM (SELECT level, lang, source, k, max(al) AS al, min(bin) FILTER (upto * 100 >= al * [95, 99, 99, 95][k]) AS tail, min(bin) FILTER (upto * 2 >= al) AS middle FROM up GROUP BY 1, 2, 3, 4)),
+c0 AS (SELECT k, nullif(own, 0) AS c FROM q WHERE level = 0),
+c1 AS (SELECT k, lang, CASE WHEN al < 200 THEN c WHEN c IS NULL THEN nullif(own, 0) ELSE least(coalesce(nullif(own, 0), c), 2 * c) END AS c FROM q JOIN c0 USING (k) WHERE level = 1),
+c2 AS (SELECT q.k, q.lang, source, CASE WHEN al < 200 THEN c WHEN c IS NULL THEN nullif(own, 0) ELSE least(coalesce(nullif(own, 0), c), 2 * c) END AS c FROM q JOIN c1 ON c1.k = q.k AND c1.lang IS NOT DISTINCT FROM q.lang WHERE level = 2),
+f AS (SELECT lang, source, max(c) FILTER (k = 1) AS f1, max(c) FILTER (k = 2) AS f2, max(c) FILTER (k = 3) AS f3, max(c) FILTER (k = 4) AS f4 FROM c2 GROUP BY 1, 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(v1 > f1, false) OR coalesce(v2 > f2, false) OR coalesce(v3 > f3, false) OR coalesce(v4 > f4, false)) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """

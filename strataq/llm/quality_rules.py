@@ -1,16 +1,21 @@
 """Quality rules with adaptive thresholds, by DataFrame functions only.
 
 Fixed base rules drop texts that are too short or mostly repeat themselves. For the rest, thresholds come from the
-corpus: each metric goes to a log-linear quantile sketch per language and source, a table of (bin, count) rows that
+corpus alone: each metric goes to a log-linear quantile sketch per language and source, a table of (bin, count) rows that
 merges by adding counts, so partial aggregation combines it before the shuffle and a hot source costs no more than its
-bins. From the sketch come quartiles; the fence of a metric is q3 + ``reach`` * (q3 - q1), but never below a floor that
-clean text stays under, so a source of clean documents loses none. A joined filter applies each group's fences.
+bins. Sketches of sources add up to those of their language, and these to the corpus's.
 
-A bin holds integers that agree in their first ``PRECISION`` bits, so a quantile is off by less than 2**(1 - PRECISION).
+The fence of a sketch lies as far beyond its tail quantile as that lies beyond its median (``METRICS`` has each metric's
+tail). A group takes its own fence if it has at least ``min_group`` texts, and that of its parent (source: language,
+language: corpus) otherwise. An own fence of 0 (a metric that is nearly always 0 tells nothing of its spread) is that of
+the parent too, and none lies above twice its parent's, so a source that is mostly junk can't clear itself. A corpus whose tail quantile is 0 has no fence for that metric. A joined filter applies each group's fences.
 
-Edge cases: null text has no words and fails the base rules; null language or source is a group of its own; a group
-whose sketch is empty (all failed the base) has no fences and drops nothing more; repeated rows each count and each get
-a row; other columns are ignored; an empty table gives no rows.
+A bin holds integers that agree in their first ``PRECISION`` bits, so a quantile is off by less than 2**(1 - PRECISION);
+the tail is taken from the top of its bin, so that no value of the tail's own bin is beyond the fence.
+
+Edge cases: null text has no words and fails the base rules; null language or source is a group of its own; texts that
+fail the base rules are in no sketch; a group without a sketch has no fences and drops nothing more; equal values at the
+fence stay; repeated rows each count and each get a row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 from strataq.llm.runtime import materialize
 
 PRECISION = 6
-#: Metric: parts per million a text must exceed, whatever its group, to be dropped by it.
-FLOORS = {"symbol_ppm": 60_000, "dup_line_ppm": 600_000, "repeat_ppm": 250_000, "word_length_ppm": 14_000_000}
+#: Metric: its tail quantile in percent.
+METRICS = {"symbol_ppm": 95, "dup_line_ppm": 99, "repeat_ppm": 99, "word_length_ppm": 95}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,15 +66,14 @@ def metrics(docs: DataFrame) -> DataFrame:
 
     words = F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(_WORD))
-    dup = F.element_at(F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))), 1)
+    of_lines = F.element_at(F.transform(F.array(lines), lambda a: F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"))), 1)
     return d.select(
         "doc_id", "lang", "source",
         F.element_at(F.transform(F.array(words), counts), 1).alias("c"),
         (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        dup.cast("long").alias("n_dup_lines"),
-        F.size(lines).cast("long").alias("n_lines"),
-    ).select("doc_id", "lang", "source", "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "n_lines")
+        of_lines.alias("l"),
+    ).select("doc_id", "lang", "source", "c.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "c.n_repeat_words", "l.n_lines")
 
 
 def _ppm(part: str, whole: str) -> Column:
@@ -78,39 +82,62 @@ def _ppm(part: str, whole: str) -> Column:
 
 def _bin(x: Column) -> Column:
     """The least integer with the same first ``PRECISION`` bits."""
-    shift = F.greatest(F.length(F.bin(x)) - PRECISION, F.lit(0))
+    shift = _dropped(x)
     return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
 
 
+def _dropped(x: Column) -> Column:
+    """How many last bits a bin leaves open."""
+    return F.greatest(F.length(F.bin(x)) - PRECISION, F.lit(0))
+
+
+def _top(x: Column) -> Column:
+    """The greatest integer of a bin given by its least."""
+    return x + F.call_function("shiftleft", F.lit(1).cast("long"), _dropped(x)) - 1
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bin, n): mergeable quantile sketches of the metrics."""
-    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in FLOORS))
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))
     flat = measured.select("lang", "source", F.explode(each).alias("e")).select("lang", "source", "e.metric", _bin(F.col("e.value")).alias("bin"))
     return flat.groupBy("lang", "source", "metric", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, reach: int = 4) -> DataFrame:
-    """One row for each (lang, source) with the fence of each metric."""
-    g = Window.partitionBy("lang", "source", "metric")
-    up = sketch.withColumn("upto", F.sum("n").over(g.orderBy("bin"))).withColumn("all", F.sum("n").over(g))
-    q = up.groupBy("lang", "source", "metric").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bin"))).alias("q3"),
-    )
-    q = q.withColumn("fence", F.col("q3") + reach * (F.col("q3") - F.col("q1")))
-    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.greatest("fence", F.lit(floor)))).alias(f"{m}_fence") for m, floor in FLOORS.items()))
-
-
-def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, reach: int = 4) -> DataFrame:
+def fences(sketch: DataFrame, *, min_group: int = 200) -> DataFrame:
+    """One row for each (lang, source) with the fence of each metric, from sketches of (lang, source)."""
+    # level 0: the corpus, 1: languages, 2: languages and sources
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.when(F.lit(k > 0), F.col("lang")).alias("lang"), F.when(F.lit(k > 1), F.col("source")).alias("source")) for k in range(3)))
+    merged = sketch.select(F.explode(levels).alias("g"), "metric", "bin", "n").groupBy("g.level", "g.lang", "g.source", "metric", "bin").agg(F.sum("n").alias("n"))
+    g = Window.partitionBy("level", "lang", "source", "metric")
+    up = merged.withColumn("upto", F.sum("n").over(g.orderBy("bin"))).withColumn("all", F.sum("n").over(g))
+    tail = F.element_at(F.create_map(*(F.lit(x) for kv in METRICS.items() for x in kv)), F.col("metric"))
+    q = up.groupBy("level", "lang", "source", "metric").agg(
+        F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bin"))).alias("middle"),
+        F.min(F.when(F.col("upto") * 100 >= F.col("all") * tail, F.col("bin"))).alias("tail"),
+        F.max("all").alias("all"),
+    ).withColumn("own", 2 * _top(F.col("tail")) - F.col("middle"))
+
+    def within(parent: str) -> Column:
+        near = F.least(F.coalesce(F.nullif("own", F.lit(0)), F.col(parent)), 2 * F.col(parent))
+        return F.when(F.col("all") < min_group, F.col(parent)).when(F.col(parent).isNull(), F.nullif("own", F.lit(0))).otherwise(near)
+
+    corpus = q.where("level = 0").select("metric", F.nullif("own", F.lit(0)).alias("corpus"))
+    langs = q.where("level = 1").join(corpus, "metric", "left").select("metric", F.col("lang").alias("_lang"), within("corpus").alias("whole"))
+    own = q.where("level = 2").alias("q").join(langs.alias("w"), (F.col("q.metric") == F.col("w.metric")) & F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    own = own.select("lang", "source", "q.metric", within("whole").alias("fence"))
+    return own.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"{m}_fence") for m in METRICS))
+
+
+def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, min_group: int = 200) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row."""
     m = metrics(docs)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     m = m.withColumn("base_failed", failed)
     m = m.withColumns({"symbol_ppm": _ppm("n_symbols", "word_chars"), "dup_line_ppm": _ppm("n_dup_lines", "n_lines"), "repeat_ppm": _ppm("n_repeat_words", "n_words"), "word_length_ppm": _ppm("word_chars", "n_words")})
     m = materialize(m)  # a few numbers a row, written once: texts are read once
-    limit = fences(sketches(m.where(~F.col("base_failed"))), reach)
+    limit = fences(sketches(m.where(~F.col("base_failed"))), min_group=min_group)
     limit = limit.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     j = m.join(limit, m["lang"].eqNullSafe(limit["_lang"]) & m["source"].eqNullSafe(limit["_source"]), "left")
-    over = [F.coalesce(F.col(x) > F.col(f"{x}_fence"), F.lit(False)) for x in FLOORS]
+    over = [F.coalesce(F.col(x) > F.col(f"{x}_fence"), F.lit(False)) for x in METRICS]
     kept = ~F.col("base_failed") & ~(over[0] | over[1] | over[2] | over[3])
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
