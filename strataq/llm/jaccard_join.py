@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,7 @@ def _signatures(n: int, bands: int, rows: int):
     rng = np.random.default_rng(1234567)
     mul = (rng.integers(0, 2**31, size=(bands * rows, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
     salt = rng.integers(0, 2**63, size=(bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_grams", pa.int64()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,7 +82,7 @@ def _signatures(n: int, bands: int, rows: int):
                     np.minimum(least, (mul * x[None, i : i + 2048]).min(1), out=least)
                 k = (least.reshape(bands, rows).astype(np.uint64) * salt).sum(1) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 keys.append(mix(k).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), b.column("h"), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
 
     return run
 
@@ -198,7 +197,8 @@ class Join:
         self.n, self.threshold = n, threshold
         bands, rows = bands_for(threshold, recall)
         d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows = materialize(d.mapInArrow(_signatures(n, bands, rows), "doc_id long, node long, n_grams long, bands array<long>"))
+        hashed = d.withColumn("h", F.xxhash64("text"))
+        self.rows = materialize(hashed.mapInArrow(_signatures(n, bands, rows), "doc_id long, node long, n_grams long, h long, bands array<long>"))
         key = F.coalesce("doc_id", F.lit(_LOW))
         self.nodes = materialize(self.rows.where("n_grams > 0").groupBy("node").agg(F.min(key).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
         members = self.nodes.select(F.explode("bands").alias("key"), "node", "n_grams")
@@ -242,18 +242,32 @@ class Join:
         self.tiled = materialize(laid.groupBy("left", "right").applyInArrow(_tile(n, threshold), "a long, b long, n long"))
         self.parts = components(self.links.select("a", "b").unionByName(self.tiled.where("b IS NOT NULL").select("a", "b")))
 
+    @property
+    def classes(self) -> DataFrame:
+        """(node, component, rep) of all text classes; rep is the smallest doc_id."""
+        out = self.nodes.select("node", "rep").join(self.parts, "node", "left")
+        return out.select("node", F.coalesce("component", "node").alias("component"), "rep")
+
     @property
     def membership(self) -> DataFrame:
         """doc_id, class_id, n_links of each row of the documents."""
         ends = self.links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
         ends = ends.unionByName(self.tiled.where("n IS NOT NULL").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
-        node = self.nodes.select("node", "rep").join(self.parts, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        node = self.classes.join(ends, "node", "left")
         least = node.groupBy("component").agg(F.min("rep").alias("class_id"))
         node = node.join(least, "component").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
         apart = self.rows.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
         out = self.rows.where("n_grams > 0").join(node, "node").select("doc_id", F.when(F.col("class_id") != _LOW, F.col("class_id")).alias("class_id"), "n_links")
         return out.unionByName(apart)
 
+    @property
+    def survivors(self) -> DataFrame:
+        """(doc_id, h) of one row of each class: that of smallest doc_id (none sorts last) and then text hash; texts
+        without words are each a class."""
+        last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+        first = self.rows.where("n_grams > 0").join(self.classes, "node").groupBy("component").agg(F.min(last).alias("f"))
+        return first.select("f.doc_id", "f.h").unionByName(self.rows.where("n_grams = 0").select("doc_id", "h").distinct())
+
 
 def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """doc_id, class_id, n_links of each row."""
@@ -261,7 +275,10 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall:
 
 
 def keep_one(docs: DataFrame, **parameters: object) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each class; equal rows of that doc_id are reduced to one."""
-    first = jaccard_join(docs, **parameters).where("doc_id <=> class_id").select("doc_id").distinct()
-    ids = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return reduce(DataFrame.unionByName, [ids, docs.where("doc_id IS NULL")])
+    """One row of ``docs`` of each class: that of smallest doc_id. A row is known by doc_id and text: rows that share a
+    doc_id (or have none) with different texts are judged apart, equal rows are one."""
+    keep = Join(docs, **parameters).survivors.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"))
+    names = [f"`{c}`" for c in docs.columns]
+    d = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    kept = d.join(keep, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select("row.*")

@@ -3,10 +3,13 @@
 Letters are lower-cased and all else is a blank; n-grams of one to three characters are hashed to ``2**BITS`` features.
 Document frequencies come from all labelled training documents. Weights are fitted by follow-the-regularised-leader
 with elastic-net penalties on a bounded sample, ``per_language`` training documents of each language that the hash of
-their ids picks; a further share of the sample fits the temperature. Prediction reads whole texts.
+their ids and texts picks (equal rows once), of at most ``max_languages`` languages, the most frequent ones; a further
+share of the sample fits the temperature. Prediction reads whole texts.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0, and so is every text where nothing could be
-learned; a null doc_id counts as training; rows that share a doc_id are predicted separately; other columns are ignored.
+Edge cases: a text that is null or has no letter (by Unicode category, in all planes) is ``und`` with score 0, and so is
+every text where nothing could be learned; a null doc_id counts as training; rows that share a doc_id are predicted
+separately, equal rows alike; of equally probable languages the first in order of their names is taken; a text's features
+are summed over its whole length, of any length; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -130,7 +133,7 @@ def calibrate(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> N
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of a task's texts, and the counts of those in the sample."""
-    df, docs = np.zeros(SIZE, np.int64), 0
+    df, docs, seen = np.zeros(SIZE, np.int64), 0, set()
     kinds = pa.schema([("lang", pa.string()), ("pick", pa.int64()), ("feature", pa.binary()), ("n", pa.binary())])
     for b in batches:
         out: dict[str, list] = {"lang": [], "pick": [], "feature": [], "n": []}
@@ -140,7 +143,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             df[i] += 1
             docs += 1
-            if pick is not None:
+            if pick is not None and (lang, pick) not in seen:
+                seen.add((lang, pick))
                 out["lang"].append(lang), out["pick"].append(pick)
                 out["feature"].append(i.astype(np.uint32).tobytes()), out["n"].append(n.astype(np.uint32).tobytes())
         if out["lang"]:
@@ -151,15 +155,20 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum document frequencies within a task; the rest passes."""
-    df, docs = np.zeros(SIZE, np.int64), 0
+    """Sum document frequencies within a task; of the rest, each (lang, pick) passes once."""
+    df, docs, seen = np.zeros(SIZE, np.int64), 0, set()
     for b in batches:
         own = pa.compute.is_null(b.column("lang"))
         for r in b.filter(own).to_pylist():
             df[np.frombuffer(r["feature"], np.uint32)] += np.frombuffer(r["n"], np.int64)
             docs += r["pick"]
-        if (rest := b.filter(pa.compute.invert(own))).num_rows:
-            yield rest
+        rest = b.filter(pa.compute.invert(own))
+        first = []
+        for key in zip(rest.column("lang").to_pylist(), rest.column("pick").to_pylist(), strict=True):
+            first.append(key not in seen)
+            seen.add(key)
+        if any(first):
+            yield rest.filter(pa.array(first))
     if docs:
         i = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"lang": [None], "pick": [docs], "feature": [i.astype(np.uint32).tobytes()], "n": [df[i].tobytes()]}, schema=pa.schema([("lang", pa.string()), ("pick", pa.int64()), ("feature", pa.binary()), ("n", pa.binary())]))
@@ -170,13 +179,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4, F.lit(0)) == 2
 
 
-def train(docs: DataFrame, *, per_language: int = 600, seed: int = 0) -> Model:
-    """Fit on rows of ``docs`` (doc_id, text, lang), whose fold is left out; at most about ``per_language`` of each
-    language give weights and temperature, all give document frequencies."""
+def train(docs: DataFrame, *, per_language: int = 600, max_languages: int = 200, seed: int = 0) -> Model:
+    """Fit on rows of ``docs`` (doc_id, text, lang), whose fold is left out; at most about ``per_language`` of each of
+    ``max_languages`` languages give weights and temperature, all rows of these give document frequencies."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))  # a row for each language
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "lang").limit(max_languages)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))
     picked = known.join(F.broadcast(sizes), "lang").withColumn("pick", F.when(place < F.lit(float(per_language)) / F.col("of") * F.lit(float(1 << 40)), place))
     kinds = "lang string, pick long, feature binary, n binary"
     found = picked.select("text", "lang", "pick").mapInArrow(_statistics, kinds)

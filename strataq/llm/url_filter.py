@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Trees are trained from labelled URLs (here: those the rules decide), at most about ``max_labelled`` of them, picked by
-the hash of the URL and in equal parts from both labels as far as these have them. Suffix statistics (how often a
+the hash of the URL, each once, and in equal parts from both labels as far as these have them. Suffix statistics (how often a
 host's last label occurs) come from all URLs. Features and verdicts are DataFrame functions and Spark's own trees.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no rule, and is judged by its features like
@@ -74,14 +74,17 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, *, max_labelled: int = 4000, trees: int = 8, depth: int = 4):
-    """A model on rows with the features and a verdict, or the only verdict there is."""
-    counts = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A model on rows with the features and a verdict, or the only verdict there is. A URL counts once, however often
+    it occurs, so the sample is as small as it says."""
+    urls = labelled.select("url", "verdict").distinct()
+    counts = {r["verdict"]: r["n"] for r in urls.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(counts) < 2:
         return next(iter(counts), "allow")
     place = F.pmod(F.xxhash64("url"), F.lit(1 << 40))
     half = {k: min(1.0, max_labelled / 2 / n) for k, n in counts.items()}
     part = F.when(F.col("verdict") == "block", half["block"]).otherwise(half["allow"])
-    picked = labelled.where(place < part * (1 << 40)).select(*FEATURES, F.when(F.col("verdict") == "block", 1.0).otherwise(0.0).alias("label"))
+    once = labelled.where(place < part * (1 << 40)).dropDuplicates(["url"])
+    picked = once.select(*FEATURES, F.when(F.col("verdict") == "block", 1.0).otherwise(0.0).alias("label"))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(picked).select("features", "label")
     rows = rows.repartition(4).cache()  # at most about max_labelled short rows
     try:

@@ -171,15 +171,18 @@ def _id(name: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """The records of all archives below ``path``; digests of responses are of what was read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
+def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True, strict: bool = False) -> DataFrame:
+    """The records of all archives below ``path``; digests of responses are of what was read. With ``strict`` an archive
+    with a gap fails the job instead. A row is a file; Arrow's own limit of bytes a batch keeps batches to a few files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
                 rows = []
-                for r in salvage(data)[0]:
+                records, gaps = salvage(data)
+                if strict and gaps:
+                    raise ValueError(f"damaged archive: {gaps[:5]}")
+                for r in records:
                     f, body = r["fields"], r["body"]
                     kind = f.get("warc-type")
                     own = kind != "revisit"
@@ -205,7 +208,7 @@ def read_gaps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, *, min_bytes: int = 100) -> DataFrame:
-    """Write archives in the shared folder and read them back: one row for each page."""
+    """Write archives in the shared folder and read them back: one row for each page; fails where bytes were lost."""
     path = scratch(pages.sparkSession)
     write_pages(pages, path, min_bytes=min_bytes)
-    return read_archives(pages.sparkSession, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(pages.sparkSession, path, with_payload=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

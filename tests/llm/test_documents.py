@@ -134,7 +134,41 @@ def test_jaccard_edges(spark, docs):
     bands, rows = jaccard_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
     kept = jaccard_join.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 24").count() == 0 and kept.where("doc_id = 0").count() == 1
+    assert kept.columns == docs.columns and kept.where("doc_id = 24").count() == 0 and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id = 5").count() == 2
+
+
+def test_keep_one_knows_rows_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (None, c, 3), (None, c, 4), (None, a, 5), (None, None, 6), (7, "", 7), (8, " ", 8), (9, a + " end", 9), (6, b, 10), (5, b, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    kept = jaccard_join.keep_one(d)
+    assert kept.columns == d.columns
+    got = sorted(r.node for r in kept.collect())
+    assert got in ([1, 2, 3, 6, 7, 8], [1, 2, 4, 6, 7, 8])
+    assert jaccard_join.keep_one(d.where("false")).count() == 0
+
+
+def test_jaccard_join_of_long_texts(spark):
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(4000)}" for _ in range(60_000)]
+    rows = [(3, " ".join(w)), (1, " ".join(w[:55_000])), (2, " ".join(w[:30_000])), (9, " ".join(w[:59_999]) + " x")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: (1, 2), 1: (1, 2), 2: (2, 0), 9: (1, 2)}
+
+
+def test_bands_find_pairs_at_the_threshold(spark):
+    """Measured, not worked out: pairs of sets at 0.8 to 0.82 that share a bucket."""
+    rng, rows = random.Random(15), []
+    for k in range(600):
+        w = [f"{k}x{i}" for i in range(90)]
+        v = list(w)
+        for j in range(9):  # runs of five words at one place each: 9 of 86 left out at the end
+            v[len(v) - 1 - j] = f"{k}y{j}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    sets = [gram_set(t) for _, t in rows[:2]]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.82
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert got >= 0.99 * len(rows)
 
 
 def test_decontamination(spark, docs):
@@ -288,7 +322,7 @@ def test_quality_counts(spark, docs):
 
 
 def test_sketch_merges_and_bounds_quantiles(spark):
-    m = spark.range(3000).select(F.lit("en").alias("lang"), F.lit("s").alias("source"), *(F.col("id").alias(x) for x in quality_rules.FLOORS))
+    m = spark.range(3000).select(F.lit("en").alias("lang"), F.lit("s").alias("source"), *(F.col("id").alias(x) for x in quality_rules.METRICS))
     parts = [quality_rules.sketches(m.where(f"id % 3 = {k}")) for k in range(3)]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "source", "metric", "bin").agg(F.sum("n").alias("n"))
     whole = quality_rules.sketches(m)
@@ -296,6 +330,72 @@ def test_sketch_merges_and_bounds_quantiles(spark):
     assert whole.where("metric = 'symbol_ppm'").count() < 300
 
 
+def fence_table(values, min_group):
+    """Fences worked out from sorted values: {(lang, source): fence} of the first metric (tail 95 %)."""
+
+    def low(x):
+        shift = max(0, x.bit_length() - quality_rules.PRECISION)
+        return x >> shift << shift
+
+    def own(v):
+        v = sorted(map(low, v))
+        at = lambda percent: v[-(-len(v) * percent // 100) - 1]
+        return 2 * (at(95) + (1 << max(0, at(95).bit_length() - quality_rules.PRECISION)) - 1) - at(50)
+
+    def within(v, parent):
+        if len(v) < min_group:
+            return parent
+        return own(v) or None if parent is None else min(own(v) or parent, 2 * parent)
+
+    everything = [x for v in values.values() for x in v]
+    corpus = own(everything) or None
+    out = {}
+    for lang, source in values:
+        whole = within([x for k, v in values.items() if k[0] == lang for x in v], corpus)
+        out[lang, source] = within(values[lang, source], whole)
+    return out
+
+
+def test_fences_fall_back_to_parents(spark):
+    rng = random.Random(8)
+    values = {("en", "calm"): [rng.randint(0, 400) for _ in range(300)], ("en", "wild"): [rng.randint(200, 1500) for _ in range(300)], ("en", "few"): [9999] * 20, ("en", "junk"): [rng.choice([10, 90_000]) for _ in range(250)], ("fr", "zero"): [0] * 280, ("fr", None): [rng.randint(0, 900) for _ in range(240)], (None, "x"): [5] * 3}
+    m = spark.createDataFrame([(k[0], k[1], x, 1, 1, 1) for k, v in values.items() for x in v], "lang string, source string, " + ", ".join(f"{x} long" for x in quality_rules.METRICS))
+    got = {(r.lang, r.source): r.symbol_ppm_fence for r in quality_rules.fences(quality_rules.sketches(m)).collect()}
+    want = fence_table(values, 200)
+    assert got == want and got["en", "few"] == want["en", "few"] and got["en", "calm"] < got["en", "wild"]
+    none = quality_rules.fences(quality_rules.sketches(m.withColumn("symbol_ppm", F.lit(0).cast("long")))).collect()
+    assert {r.symbol_ppm_fence for r in none} == {None}
+
+
+def test_the_sketch_decides_by_source(spark):
+    """One text, two sources: the source where such texts are common keeps it, the other one drops it."""
+    rng = random.Random(6)
+
+    def text(symbols):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for i in rng.sample(range(120), symbols):
+            w[i] = w[i][:-1] + "#"
+        return " ".join(w)
+
+    rows = [(i, text(rng.randint(0, 3) if i % 2 else rng.randint(2, 14)), "en", "plain" if i % 2 else "code") for i in range(800)]
+    odd = text(16)
+    rows += [(1000, odd, "en", "plain"), (1001, odd, "en", "code"), (1002, text(60), "en", "code"), (1003, odd, "en", "plain")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[i].kept for i in (1000, 1001, 1002, 1003)] == [False, True, False, False] and not got[1002].base_failed
+    assert sum(not r.kept for i, r in got.items() if i < 1000) < 16
+    # a table of copies of one text and a clean corpus lose nothing
+    same = spark.createDataFrame([(i, odd, None, None) for i in range(300)], "doc_id long, text string, lang string, source string")
+    assert {r.kept for r in quality_rules.quality_rules(same).collect()} == {True}
+
+
+def test_quality_of_long_texts(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(120_000))
+    d = spark.createDataFrame([(1, long, "en", "s"), (2, "x " * 200_000, "en", "s"), (3, "y" * 1_000_000, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(d).collect()}
+    assert (got[1].n_words, got[1].kept, got[2].n_repeat_words, got[2].base_failed, got[3].word_chars) == (120_000, True, 200_000, True, 1_000_000)
+
+
 def test_tokens_are_the_library_s():
     from tokenizers import Tokenizer
 
@@ -412,6 +512,64 @@ def test_symbols_beyond_the_low_planes_are_no_letters(spark):
     assert got[90] == ("und", 0.0) and got[0][0] == "de"
 
 
+def test_language_sample_is_bounded(spark):
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the and of to").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(200).select("id", F.concat(F.lit("der die und das "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 7).alias("lang")).toDF("doc_id", "text", "lang")
+    rows = []
+    fit = language_id.ftrl
+    language_id.ftrl = lambda model, r, **k: (rows.extend(r), fit(model, r, **k))
+    try:
+        model = language_id.train(same.unionByName(more), per_language=50, max_languages=3)
+    finally:
+        language_id.ftrl = fit
+    assert model.languages == ["en", "l0", "l1"] and sum(model.languages[y] == "en" for y, _, _ in rows) <= 1
+
+
+def plain_features(text):
+    """Blank-separated lower-case letters and their runs of one to three, with counts: no hashing."""
+    kept = " " + re.sub(" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)) + " "
+    kept = re.sub("^  +| (?= $)", " ", kept)
+    return Counter(kept[i : i + k] for k in (1, 2, 3) for i in range(len(kept) - k + 1))
+
+
+def test_prediction_is_the_softmax_of_tf_idf(spark):
+    """Scores of a model held to a plain sum over n-grams, document frequencies to a plain count."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    model = language_id.train(d, per_language=100)
+    rows = d.select("text", "lang", language_id.held_out().alias("held")).collect()
+    index = {}
+
+    def slot(gram):
+        if gram not in index:  # a gram's place: that which its text has and a text without it has not
+            index[gram] = frozenset(language_id.features(gram)[0].tolist())
+        return index[gram]
+
+    df = Counter()
+    for r in rows:
+        if not r.held and r.lang is not None:
+            df.update(language_id.features(r.text)[0].tolist())
+    n = sum(not r.held and r.lang is not None for r in rows)
+    idf = np.log((1 + n) / (1 + np.array([df[i] for i in range(language_id.SIZE)]))) + 1
+    assert np.allclose(model.idf, idf)
+    for r in rows[:20]:
+        i, c = language_id.features(r.text)
+        assert c.sum() == plain_features(r.text).total()
+        x = [(1 + np.log(k)) * idf[j] for j, k in zip(i, c)]
+        x = np.array(x) / np.sqrt(np.dot(x, x))
+        z = np.array([sum(v * model.weights[j, k] for j, v in zip(i, x)) + model.bias[k] for k in range(len(model.languages))]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = model.predict(r.text)
+        assert lang == model.languages[int(p.argmax())] and score == pytest.approx(p.max())
+
+
+def test_language_of_long_texts(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = d.where("lang = 'de'").agg(F.array_join(F.collect_list("text"), " ").alias("t")).first().t * 12
+    odd = d.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10_000, long, None), (10_001, "1 2 " * 300_000, None)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(odd).where("doc_id >= 10000").collect()}
+    assert got == {10_000: "de", 10_001: "und"}
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()

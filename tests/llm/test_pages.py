@@ -36,6 +36,12 @@ def test_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_long_pages(spark):
+    rows = [(1, "http://a", "é" * 4_000_000), (2, "http://b", "é" * 4_000_000), (3, None, "x" * 9_000_000)]
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (8_000_000, "response", None), 2: (8_000_000, "revisit", 1), 3: (9_000_000, "response", None)}
+
+
 def records(n=12):
     out = []
     for i in range(n):
@@ -72,7 +78,11 @@ def test_salvage(packed):
 def test_gaps_are_read(spark, tmp_path):
     data = b"".join(warc.member(r) for r in records())
     (tmp_path / "a.warc.gz").write_bytes(data[:100] + b"\x01\x02\x03" + data[103:])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert warc.read_archives(spark, str(tmp_path)).count() == 11
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.read_archives(spark, str(tmp_path), strict=True).count()
     assert warc.read_gaps(spark, str(tmp_path)).count() >= 1
 
 
@@ -107,6 +117,45 @@ def test_url_filter(spark):
     assert url_filter.url_filter(odd.where("false")).count() == 0
 
 
+def plain_lexical(url, host, path, share):
+    import math
+    import re
+    from collections import Counter
+
+    n = max(1, len(url))
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    return {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "host_depth": host.count("."), "digit_ratio": len(re.findall("[0-9]", url)) / n,
+        "other_ratio": len(re.findall("[^0-9A-Za-z]", url)) / n, "entropy": -sum(k / n * math.log2(k / n) for k in Counter(url).values()), "n_params": query.count("&") + 1 if query else 0, "suffix_share": share,
+    }
+
+
+def test_features_by_brute_force(spark):
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] + [None, "", "http://", "x://A.b.CO?q=1&r=2#f&g", "http://a.net/x?#", "http://é.fr/ü?ä=ö", "http://h/" + "ab0/" * 3000]
+    f = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    h, q = url_filter.parts(F.col("url"))
+    got = {r.page_id: r for r in url_filter.lexical(f.withColumn("host", h).withColumn("path", q)).collect()}
+    assert len(got) == len(urls)
+    suffix = {i: r.host.rsplit(".", 1)[-1] for i, r in got.items()}
+    for i, u in enumerate(urls):
+        share = sum(x == suffix[i] for x in suffix.values()) / len(urls)
+        want = plain_lexical(u or "", got[i].host, got[i].path, share)
+        assert {k: getattr(got[i], k) for k in url_filter.FEATURES} == pytest.approx(want)
+
+
+def test_a_hot_url_is_learned_once(spark):
+    hot = spark.range(5000).select("id", F.lit("http://hot.net/x").alias("url")).toDF("page_id", "url")
+    more = spark.range(300).select("id", F.concat(F.lit("http://a"), "id", F.when(F.col("id") % 2 == 0, ".net/y").otherwise(".org/fr/z")).alias("url")).toDF("page_id", "url")
+    seen = []
+    fit = url_filter.GBTClassifier.fit
+    url_filter.GBTClassifier.fit = lambda self, rows: (seen.append(rows.count()), fit(self, rows))[1]
+    try:
+        got = url_filter.url_filter(hot.unionByName(more), max_labelled=100)
+        assert got.count() == 5300 and seen[0] <= 160
+    finally:
+        url_filter.GBTClassifier.fit = fit
+
+
 CHAT = "conv_id long, turn long, role string, text string, block long, conv string"
 
 
