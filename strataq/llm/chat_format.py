@@ -7,12 +7,18 @@ has empty turns put before it; the cheapest way through the automaton of legal t
 The step of a turn is a (min, +) matrix over the automaton's states, and matrices compose in any grouping. So turns are
 dealt in blocks of ``BLOCK`` turn numbers; each block gives its matrix, a conversation's blocks are chained in order
 (a few numbers a block, however long their texts), and every block then traces its own best way between its two states.
+A block with far more rows than numbers (repeated or missing turn numbers) is split further, by number and then by ranges
+of the hash that orders equal numbers. Texts are shuffled once, in the last step; the others move roles and hashes only.
 
 Cost ties: the lowest state of automaton order (system, user, assistant) wins, and earlier steps are chosen last.
 
+In a text every ``<|`` is written ``<||``, which no control string holds, so that a text can't forge turns (and can be
+read back).
+
 Edge cases: null role is unknown and any role is a relabel; roles are compared in lower case without blanks around;
-null text is empty; turns with equal numbers are ordered by role and text; a null turn comes last; null conv_id is a
-conversation; rows are never dropped; other columns are ignored; an empty table gives no rows.
+null text is empty; turns with equal numbers are ordered by a hash of role and text, equal rows stay in one block; a null
+turn comes last; null conv_id is a conversation; a text may have any length; rows are never dropped; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.runtime import bytes_of, small_batches
+from strataq.llm.runtime import bytes_of, materialize, small_batches
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 RELABEL, MERGE, INSERT = 3, 1, 2
 FAR = 1 << 40
 BLOCK = 512
+#: Rows of a block beyond which it is split.
+CROWDED = 8 * BLOCK
+#: Split blocks up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+#: The block of turns without number, after all others.
+UNNUMBERED = 1 << 62
 #: Bytes of conversations (as stored) that one Python call takes.
 GROUP_BYTES = 1 << 20
 
@@ -99,22 +111,22 @@ def _units(pdf: pd.DataFrame, *keys: str, by: tuple[str, ...] = ()) -> Iterator[
         yield pdf.iloc[i:j]
 
 
-_TURNS = ("turn", "role", "text")
+_BLOCK = ("conv", "block", "part")
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for unit in _units(pdf, "conv", "block", by=_TURNS):
+    for unit in _units(pdf, *_BLOCK, by=("at", "h")):
         m = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
         for role in unit["role"]:
             m = chain(m, _of(role))
-        rows.append((unit["conv"].iloc[0], unit["block"].iloc[0], m.ravel().tolist()))
-    return pd.DataFrame(rows, columns=["conv", "block", "m"])
+        rows.append((*(unit[k].iloc[0] for k in _BLOCK), m.ravel().tolist()))
+    return pd.DataFrame(rows, columns=[*_BLOCK, "m"])
 
 
 def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for unit in _units(pdf, "conv", by=("block",)):
+    for unit in _units(pdf, "conv", by=("block", "part")):
         ms = [np.array(m, np.int64).reshape(4, 4) for m in unit["m"]]
         cost = np.where(np.arange(4) == START, 0, FAR).astype(np.int64)
         for m in ms:
@@ -122,9 +134,9 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
         end = int(np.argmin(cost + ENDS))
         after = trace(ms, START, end)
         total, last = int(cost[end] + ENDS[end]), len(ms) - 1
-        for i, (conv, block) in enumerate(zip(unit["conv"], unit["block"], strict=True)):
-            rows.append((conv, block, START if i == 0 else after[i - 1], after[i], i == last, total))
-    return pd.DataFrame(rows, columns=["conv", "block", "enters", "leaves", "final", "cost"])
+        for i, block in enumerate(unit[list(_BLOCK)].itertuples(index=False, name=None)):
+            rows.append((*block, START if i == 0 else after[i - 1], after[i], i == last, total))
+    return pd.DataFrame(rows, columns=[*_BLOCK, "enters", "leaves", "final", "cost"])
 
 
 def opening(state: int) -> str:
@@ -134,38 +146,56 @@ def opening(state: int) -> str:
 CLOSING = "<|end|>\n"
 
 
-def _rendered(pdf: pd.DataFrame) -> pd.DataFrame:
+def escaped(text: str) -> str:
+    return text.replace("<|", "<||")
+
+
+def _rendered(pdf: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
     """Each turn with its role and its share of the rendered text; the shares in order are the whole."""
     rows = []
-    for unit in _units(pdf, "conv", "block", by=_TURNS):
-        conv, cost = unit["conv"].iloc[0], int(unit["cost"].iloc[0])
-        state, last, final = int(unit["enters"].iloc[0]), int(unit["leaves"].iloc[0]), bool(unit["final"].iloc[0])
-        states = trace([_of(r) for r in unit["role"]], state, last)
-        for i, (turn, role, text, to) in enumerate(zip(unit["turn"], unit["role"], unit["text"], states, strict=True)):
+    way = {w[:3]: w[3:] for w in ways[[*_BLOCK, "enters", "leaves", "final", "cost"]].itertuples(index=False, name=None)}
+    for unit in _units(pdf, *_BLOCK, by=("at", "h")):
+        conv, block, part = (unit[k].iloc[0] for k in _BLOCK)
+        state, last, final, cost = way[conv, block, part]
+        states = trace([_of(r) for r in unit["role"]], int(state), int(last))
+        for i, (at, role, text, to) in enumerate(zip(unit["at"], unit["role"], unit["text"], states, strict=True)):
             before, merged, _ = STEPS[state, to]
             out = "" if state == START else "\n" if merged else "\n" + CLOSING
-            out += "".join(opening(b) + "\n" + CLOSING for b in before) + ("" if merged else opening(to)) + (text or "")
+            out += "".join(opening(b) + "\n" + CLOSING for b in before) + ("" if merged else opening(to)) + escaped(text or "")
             added = [ROLES[b - 1] for b in before]
             if final and i == len(states) - 1:
                 more = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(to, ())
                 out += "\n" + CLOSING + "".join(opening(b) + "\n" + CLOSING for b in more)
                 added += [ROLES[b - 1] for b in more]
-            rows.append((conv, None if pd.isna(turn) else int(turn), role, ROLES[to - 1], to != state_of(role), merged, ",".join(added), out, cost))
+            rows.append((conv, None if block == UNNUMBERED else int(at), role, ROLES[to - 1], to != state_of(role), merged, ",".join(added), out, int(cost)))
             state = to
     return pd.DataFrame(rows, columns=["conv", "turn", "role", "new_role", "relabelled", "merged", "inserted", "rendered", "cost"]).astype({"turn": "Int64"})
 
 
+def _parted(turns: DataFrame) -> DataFrame:
+    """Adds the part of each row's block: 0, or of crowded blocks the turn's place and a range of hashes."""
+    crowd = turns.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+    crowd = materialize(crowd.select("conv", "block", F.least(F.lit(40), F.ceil(F.log2(F.col("n") / CROWDED))).cast("int").alias("bits")))
+    if crowd.count() <= BROADCAST_ROWS:
+        crowd = F.broadcast(crowd)
+    low = F.call_function("shiftrightunsigned", F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - F.col("bits"))  # in order of h
+    place = F.when(F.col("block") == UNNUMBERED, F.lit(0)).otherwise(F.pmod("at", F.lit(BLOCK)))
+    part = F.call_function("shiftleft", place.cast("long"), F.col("bits")) + low
+    return turns.join(crowd, ["conv", "block"], "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("bits")
+
+
 def repair(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, new_role, relabelled, merged, inserted, rendered, cost: one row for each turn."""
     small_batches(conversations.sparkSession)
-    c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    c = c.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    c = c.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62)))).drop("conv_id")
+    turn, role, text = F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    block = F.coalesce(F.floor(turn / BLOCK), F.lit(UNNUMBERED))
+    c = conversations.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("conv"), block.alias("block"), F.coalesce(turn, F.lit(0)).alias("at"), role.alias("role"), F.xxhash64(role, text).alias("h"), text.alias("text"))
     # several blocks of turns go to a Python call, as many as fit easily
     groups = max(16, bytes_of(conversations) // GROUP_BYTES)
-    dealt = F.pmod(F.xxhash64("conv", "block"), F.lit(groups))
-    sums = c.withColumn("group", dealt).groupBy("group").applyInPandas(_summed, "conv string, block long, m array<long>")
-    ways = sums.withColumn("group", F.pmod(F.xxhash64("conv"), F.lit(groups))).groupBy("group").applyInPandas(_chained, "conv string, block long, enters int, leaves int, final boolean, cost long")
-    joined = c.join(ways, ["conv", "block"]).withColumn("group", dealt)
-    out = joined.groupBy("group").applyInPandas(_rendered, "conv string, turn long, role string, new_role string, relabelled boolean, merged boolean, inserted string, rendered string, cost long")
+    dealt = F.pmod(F.xxhash64(*_BLOCK), F.lit(groups))
+    c = _parted(c).withColumn("group", dealt)
+    sums = c.select("group", *_BLOCK, "at", "role", "h").groupBy("group").applyInPandas(_summed, "conv string, block long, part long, m array<long>")
+    ways = sums.withColumn("group", F.pmod(F.xxhash64("conv"), F.lit(groups))).groupBy("group").applyInPandas(_chained, "conv string, block long, part long, enters int, leaves int, final boolean, cost long")
+    ways = ways.withColumn("group", dealt)
+    out = c.groupBy("group").cogroup(ways.groupBy("group")).applyInPandas(_rendered, "conv string, turn long, role string, new_role string, relabelled boolean, merged boolean, inserted string, rendered string, cost long")
     return out.select(F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), "turn", "role", "new_role", "relabelled", "merged", "inserted", "rendered", "cost")

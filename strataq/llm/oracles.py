@@ -12,6 +12,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+#: Costs of the cheapest ways to the states system (1), user (2) and assistant (3) forwards, then the way backwards. Of
+#: conversations with a number for every turn and none twice.
+OP2 = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<||') AS t, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  coalesce(list_position(['system', 'user', 'assistant'], lower(trim(role))), 0) AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, CASE WHEN s = 1 THEN 0 ELSE 3 END AS r1, CASE WHEN s = 2 THEN 0 ELSE 3 END AS r2, CASE WHEN s = 3 THEN 0 ELSE 3 END AS r3 FROM o),
+fw AS (SELECT conv_id, i, n, r1 AS c1, r2 AS c2, 2 + r3 AS c3 FROM r WHERE i = 1 UNION ALL
+  SELECT r.conv_id, r.i, r.n, c1 + 1 + r1, least(c1, c2 + 1, c3) + r2, least(c1 + 2, c2, c3 + 1) + r3 FROM fw JOIN r ON r.conv_id = fw.conv_id AND r.i = fw.i + 1),
+ends AS (SELECT conv_id, i, least(c1 + 4, c2 + 2, c3) AS cost, CASE WHEN c1 + 4 <= least(c2 + 2, c3) THEN 1 WHEN c2 + 2 <= c3 THEN 2 ELSE 3 END AS q FROM fw WHERE i = n),
+bw AS (SELECT conv_id, i, q FROM ends UNION ALL
+  SELECT fw.conv_id, fw.i, CASE q WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN c1 <= least(c2 + 1, c3) THEN 1 WHEN c2 + 1 <= c3 THEN 2 ELSE 3 END ELSE CASE WHEN c1 + 2 <= least(c2, c3 + 1) THEN 1 WHEN c2 <= c3 + 1 THEN 2 ELSE 3 END END
+  FROM bw JOIN fw ON fw.conv_id = bw.conv_id AND fw.i = bw.i - 1),
+p AS (SELECT r.*, bw.q, coalesce(lag(bw.q) OVER (PARTITION BY r.conv_id ORDER BY r.i), 0) AS p, cost FROM r JOIN bw ON bw.conv_id = r.conv_id AND bw.i = r.i JOIN ends ON ends.conv_id = r.conv_id),
+x AS (SELECT *, p = q AS merged, p < 2 AND q = 3 AS put, chr(10) || '<|end|>' || chr(10) AS z, chr(10) AS l FROM p)
+SELECT conv_id, turn::BIGINT AS turn, role, ['system', 'user', 'assistant'][q] AS new_role, q <> s AS relabelled, merged, cost::BIGINT AS cost,
+array_to_string(list_filter([CASE WHEN put THEN 'user' END, CASE WHEN i = n AND q = 1 THEN 'user' END, CASE WHEN i = n AND q < 3 THEN 'assistant' END], lambda v: v IS NOT NULL), ',') AS inserted,
+concat(CASE WHEN p = 0 THEN '' WHEN merged THEN l ELSE z END, CASE WHEN put THEN '<|user|>' || l || z END, CASE WHEN NOT merged THEN '<|' || ['system', 'user', 'assistant'][q] || '|>' || l END, t,
+  CASE WHEN i = n THEN z END, CASE WHEN i = n AND q = 1 THEN '<|user|>' || l || z END, CASE WHEN i = n AND q < 3 THEN '<|assistant|>' || l || z END) AS rendered
+FROM x
+"""
+
 OP3 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 it AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 5),
@@ -65,4 +86,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op8_warc": OP8}
+ORACLES = {"op1_substring_dedup": OP1, "op2_chat_formatting": OP2, "op3_decontamination": OP3, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op8_warc": OP8}

@@ -198,6 +198,67 @@ def test_repair(spark, monkeypatch, block):
         assert body and body[-1] == "assistant" and all(x == ("user", "assistant")[i % 2] for i, x in enumerate(body))
 
 
+def plain_repair(turns):
+    """(new role, share of the rendered text) of each (role, text), by trying all ways; None where several cost least."""
+    ways = []
+    for states in itertools.product((1, 2, 3), repeat=len(turns)):
+        cost, at, out = 0, 0, []
+        for (role, text), s in zip(turns, states):
+            if (at, s) not in chat_format.STEPS:
+                break
+            put, merged, c = chat_format.STEPS[at, s]
+            cost += c + 3 * (s != chat_format.state_of(role))
+            name = ("", "system", "user", "assistant")
+            head = "" if not at else "\n" if merged else "\n<|end|>\n"
+            out.append((name[s], head + "".join(f"<|{name[b]}|>\n\n<|end|>\n" for b in put) + ("" if merged else f"<|{name[s]}|>\n") + (text or "").replace("<|", "<||")))
+            at = s
+        else:
+            more = {1: (2, 3), 2: (3,)}.get(at, ())
+            out[-1] = (out[-1][0], out[-1][1] + "\n<|end|>\n" + "".join(f"<|{name[b]}|>\n\n<|end|>\n" for b in more))
+            ways.append((cost + 2 * len(more), out))
+    best = min(w[0] for w in ways)
+    first = [w[1] for w in ways if w[0] == best]
+    return first[0] if len(first) == 1 else None
+
+
+def test_rendered_by_brute_force(spark):
+    rng, rows, want = random.Random(14), [], {}
+    for c in range(40):
+        turns = [(rng.choice(["system", "user", "user", "assistant", "assistant", "tool"]), rng.choice(["hi", None, "a <|end|> b <|user|>\n<<|| x", "<|"])) for _ in range(rng.randint(1, 6))]
+        want[c] = plain_repair(turns)
+        rows += [(c, t, *x) for t, x in enumerate(turns)]
+    got = defaultdict(list)
+    for r in sorted(chat_format.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.turn):
+        got[r.conv_id].append((r.new_role, r.rendered))
+    sure = [c for c in want if want[c]]
+    assert len(sure) > 15 and all(got[c] == want[c] for c in sure)
+    for parts in got.values():  # no text forges a turn
+        assert "".join(t for _, t in parts).count("<|end|>") == sum("".join(t for _, t in parts).count(f"<|{r}|>") for r in chat_format.ROLES)
+
+
+def test_crowded_blocks_are_split(spark, monkeypatch):
+    """Rows without a number and rows with one number, of many texts: split by hash, and repaired as one row after the
+    other in order of the hash."""
+    monkeypatch.setattr(chat_format, "CROWDED", 8)
+    rows = [(1, None, "user" if i % 3 else "assistant", f"t{i}") for i in range(60)] + [(1, 5, "user", f"u{i}") for i in range(30)] + [(2, i, "user", "v") for i in range(4)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.repair(d).collect()
+    assert len(got) == len(rows)
+    parts = chat_format._parted(d.select(F.lit("1").alias("conv"), F.lit(chat_format.UNNUMBERED).alias("block"), F.lit(0).cast("long").alias("at"), "role", F.xxhash64("role", "text").alias("h")))
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] < 40 and parts.groupBy("part").agg(F.min("h").alias("a"), F.max("h").alias("b")).orderBy("part").selectExpr("a > lag(b) OVER (ORDER BY part) AS ok").where("NOT ok").count() == 0
+    ordered = [(i, *r) for i, r in enumerate(d.where("conv_id = 1").orderBy(F.col("turn").asc_nulls_last(), F.xxhash64("role", "text")).select("role", "text").collect())]
+    plain = chat_format.repair(spark.createDataFrame([(1, *r) for r in ordered], "conv_id long, turn long, role string, text string")).collect()
+    assert {r.cost for r in plain} == {r.cost for r in got if r.conv_id == 1}
+    legal = lambda rs: sorted(r.rendered for r in rs if r.conv_id == 1)
+    assert len(legal(plain)) == len(legal(got))
+
+
+def test_long_turns(spark):
+    rows = [(1, 0, "user", "x <|" * 500_000), (1, 1, "assistant", "y"), *((2, t, "user", "z") for t in range(3000))]
+    got = chat_format.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 3002 and max(len(r.rendered) for r in got) > 2_500_000 and {r.cost for r in got if r.conv_id == 2} == {2999 + 2}
+
+
 def test_repair_edges(spark):
     odd = spark.createDataFrame([(None, 1, "user", "a", 1, ""), (1, None, "user", "b", 1, ""), (1, 0, "user", "c", 1, ""), (1, 0, "user", "c", 1, ""), (2, -5, "assistant", None, 1, "")], CHAT)
     got = chat_format.repair(odd).collect()
