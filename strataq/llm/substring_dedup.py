@@ -6,18 +6,22 @@ for, so all executors give equal substrings the same names with no dictionary. A
 and one neighbour on each side only (which decides where runs end), so a window of ``width`` words that occurs twice
 holds the same interior symbols in both places.
 
-1. *Reveal.* The core of a window is its largest interior symbol. Blocks of documents send their distinct cores to
+As names are hashes of content, a round of naming needs no exchange: the four rounds run inside a block, and what is
+shuffled is their result.
+
+1. *Reveal.* The core of a window is its largest interior symbol. Blocks of documents send each distinct core once to
    buckets; a core that only one document holds rules out all its windows. What is shared goes back to the blocks.
-2. *Verify.* Only windows with a shared core send the hash of their full word sequence, with the block's smallest
+2. *Verify.* Only windows with a shared core send the 64-bit hash of their full word sequence, with the block's smallest
    doc_id; buckets find the smallest doc_id of all and answer the blocks that have a larger one.
 3. *Cut.* Blocks remove the words that such windows, or windows of a smaller document in the same block, cover.
 
-Shuffled: the texts once (the exchange is reused), then packed integers. Blocks, buckets and answers are bounded: a
-block sends a core or window once however often it occurs in it, so hot passages cost a few bytes a block.
+Shuffled: the texts once (the exchange is reused), then packed integers. A block is at most ``MOST`` bytes of text at any
+corpus size, and sends a core or window once however often it occurs in it, so a passage that all documents hold costs
+eight bytes a block.
 
 Edge cases: null text counts as empty (no words, hash of the empty string); fewer than ``width`` words: nothing is
 removed; rows that share a doc_id are one document for the comparison and one result row each; null doc_id sorts
-before all others; other columns are ignored.
+before all others; a text of any length is one row of a block; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from strataq.llm.runtime import bytes_of, small_batches
 from strataq.llm.words import inside, mix, named, rolling, slices
 
 ROUNDS = 4
+#: Bytes of text in a block, about: at least, and at most.
+LEAST, MOST = 6 << 20, 32 << 20
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.iinfo(np.int64).min
 
@@ -123,88 +129,78 @@ def _joined(t: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(parts) if parts else np.zeros(0, kind), np.array([len(p) for p in parts], np.int64)
 
 
+def _windows(t: pa.Table, width: int, key) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of a block's documents ``key(names, word offsets)`` and the doc_id."""
+    ids, keys, who = _ids(t), [], []
+    for a, _, data, offs in slices(t.column("text")):
+        names, woff, _, _ = named(data, offs)
+        w = inside(woff, width)
+        if len(w):
+            keys.append(key(names, woff)[w]), who.append(ids[a + np.searchsorted(woff, w, "right") - 1])
+    return (np.concatenate(keys), np.concatenate(who)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def _reveal(width: int, buckets: int):
+    """A block's distinct cores, the last bit set where several of its documents hold one."""
+
     def run(t: pa.Table) -> pa.Table:
-        block, t = t.column("block")[0].as_py(), _ordered(t)
-        ids, keys, at, count, who, base = _ids(t), [], [], [], [], 0
-        for a, b, data, offs in slices(t.column("text")):
-            names, woff, _, _ = named(data, offs)
-            w = inside(woff, width)
-            if len(w):
-                c = cores(names, woff, width)[w]
-                doc = a + np.searchsorted(woff, w, "right") - 1
-                first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1] + 1)]))
-                length = np.diff(np.append(first, len(c)))
-                # ranges of over 255 windows go as several
-                rep = (length + 254) // 255
-                part = np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep)
-                first, left = np.repeat(first, rep) + 255 * part, np.repeat(length, rep) - 255 * part
-                keys.append(c[first]), at.append((base + w[first]).astype(np.uint32))
-                count.append(np.minimum(left, 255).astype(np.uint8)), who.append(ids[doc[first]])
-            base += len(names)
-        if not keys:
-            return _packed(block, np.zeros(0, np.int64), core=np.zeros(0, np.uint64), at=np.zeros(0, np.uint32), count=np.zeros(0, np.uint8))
-        key, pos, num, doc = map(np.concatenate, (keys, at, count, who))
-        b = mix(key) % np.uint64(buckets)
-        order = np.lexsort((key, b))
-        key, pos, num, doc, b = key[order], pos[order], num[order], doc[order], b[order]
+        key, doc = _windows(t, width, lambda names, woff: cores(names, woff, width))
+        again = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
+        key, doc = key[again], doc[again]
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        if not len(key):
+            return _packed(0, np.zeros(0, np.int64), core=key)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        key = (key & ~np.uint64(1)) | np.repeat(many, np.diff(np.append(first, len(key)))).astype(np.uint64)
-        return _packed(block, b, core=key, at=pos, count=num)
+        key = (key[first] & ~np.uint64(1)) | many.astype(np.uint64)
+        b = mix(key >> np.uint64(1)) % np.uint64(buckets)
+        order = np.argsort(b, kind="stable")
+        return _packed(t.column("block")[0].as_py(), b[order], core=key[order])
 
     return run
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """Ranges of windows whose core several documents hold, back to their blocks."""
+    """Cores that several documents hold, to the blocks that hold them."""
     core, n = _joined(t, "core", np.uint64)
-    at, _ = _joined(t, "at", np.uint32)
-    count, _ = _joined(t, "count", np.uint8)
     block = np.repeat(t.column("block").to_numpy(), n)
-    order = np.argsort(core >> np.uint64(1), kind="stable")
-    core, at, count, block = core[order], at[order], count[order], block[order]
+    order = np.argsort(core, kind="stable")
+    core, block = core[order], block[order]
     first = np.flatnonzero(np.append(True, (core[1:] ^ core[:-1]) > 1)) if len(core) else np.zeros(0, np.int64)
-    if not len(first):
-        keep = np.zeros(0, bool)
-    else:
-        many = (np.minimum.reduceat(block, first) != np.maximum.reduceat(block, first)) | (np.bitwise_or.reduceat(core, first) & np.uint64(1)).astype(bool)
-        keep = np.repeat(many, np.diff(np.append(first, len(core))))
-    at, count, block = at[keep], count[keep], block[keep]
+    size = np.diff(np.append(first, len(core)))
+    # a block sends a core once, so two entries are two blocks
+    many = (size > 1) | ((np.bitwise_or.reduceat(core, first) & np.uint64(1)).astype(bool) if len(first) else np.zeros(0, bool))
+    keep = np.repeat(many, size)
+    core, block = core[keep] & ~np.uint64(1), block[keep]
     order = np.argsort(block, kind="stable")
-    at, count, block = at[order], count[order], block[order]
-    got = _packed(0, block, at=at, count=count)
-    return pa.table({"block": got.column("bucket"), "at": got.column("at"), "count": got.column("count")})
+    got = _packed(0, block[order], core=core[order])
+    return pa.table({"block": got.column("bucket"), "core": got.column("core")})
 
 
 def _verify(width: int, buckets: int):
+    """The full word sequences, by hash, of a block's windows whose core is shared, each with its smallest document."""
+
     def run(t: pa.Table, back: pa.Table) -> pa.Table:
         empty = {"window": np.zeros(0, np.uint64), "doc": np.zeros(0, np.int64)}
         if not len(t) or not len(back):
             return _packed(0, np.zeros(0, np.int64), **empty)
-        block, t = t.column("block")[0].as_py(), _ordered(t)
-        at, _ = _joined(back, "at", np.uint32)
-        count, _ = _joined(back, "count", np.uint8)
-        order = np.argsort(at)
-        at, count = at[order].astype(np.int64), count[order].astype(np.int64)
-        at = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        ids, wins, who, base = _ids(t), [], [], 0
-        for a, b, data, offs in slices(t.column("text")):
-            names, woff, _, _ = named(data, offs)
-            lo, hi = np.searchsorted(at, [base, base + len(names)])
-            if hi > lo:
-                w = at[lo:hi] - base
-                wins.append(rolling(names, width)[w])
-                who.append(ids[a + np.searchsorted(woff, w, "right") - 1])
-            base += len(names)
-        if not wins:
-            return _packed(block, np.zeros(0, np.int64), **empty)
-        win, doc = np.concatenate(wins), np.concatenate(who)
+        shared = np.sort(_joined(back, "core", np.uint64)[0])
+
+        def sequence(names: np.ndarray, woff: np.ndarray) -> np.ndarray:
+            c = cores(names, woff, width) & ~np.uint64(1)
+            at = np.minimum(np.searchsorted(shared, c), len(shared) - 1)
+            return np.where(shared[at] == c, rolling(names, width), np.uint64(0))
+
+        win, doc = _windows(t, width, sequence)
+        win, doc = win[win != 0], doc[win != 0]
+        if not len(win):
+            return _packed(0, np.zeros(0, np.int64), **empty)
         b = win % np.uint64(buckets)
         order = np.lexsort((doc, win, b))
         win, doc, b = win[order], doc[order], b[order]
         first = np.flatnonzero(np.append(True, win[1:] != win[:-1]))
-        return _packed(block, b[first], window=win[first], doc=doc[first])
+        return _packed(t.column("block")[0].as_py(), b[first], window=win[first], doc=doc[first])
 
     return run
 
@@ -301,13 +297,14 @@ def substring_dedup(docs: DataFrame, *, width: int = 13, with_text: bool = False
     carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("carried")] if with_text else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     size = 2 * bytes_of(docs)
-    # entries of a bucket fit in memory, rows between blocks and buckets hold some dozens of entries at every size
-    buckets = max(48, size * 13 // 24 // (32 << 20))
-    blocks = max(8, size // max(6 << 20, 1500 * buckets))
-    d = docs.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(blocks)))
+    # entries of a bucket fit in memory; blocks grow a little with the corpus, so that a row from a block to a bucket
+    # holds some dozens of entries as long as it can, and not beyond MOST
+    buckets = max(48, size * 8 // 24 // (32 << 20))
+    blocks = max(8, size // min(MOST, max(LEAST, 1500 * buckets)))
+    d = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     by = lambda df, k: df.groupBy(k)
-    found = by(d, "block").applyInArrow(_reveal(width, buckets), "bucket long, block long, core binary, at binary, count binary")
-    shared = by(found, "bucket").applyInArrow(_shared, "block long, at binary, count binary")
+    found = by(d, "block").applyInArrow(_reveal(width, buckets), "bucket long, block long, core binary")
+    shared = by(found, "bucket").applyInArrow(_shared, "block long, core binary")
     sent = by(d, "block").cogroup(by(shared, "block")).applyInArrow(_verify(width, buckets), "bucket long, block long, window binary, doc binary")
     later = by(sent, "bucket").applyInArrow(_smallest, "block long, window binary")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", kept_text string, carried {docs.schema['carried'].dataType.simpleString()}" if with_text else "")

@@ -82,6 +82,16 @@ def test_substring_dedup_leaves_the_rest_of_a_text_alone(spark):
     assert out == {1: (copy, 7), 2: (clean, 9), 3: (left3, len(left3)), 4: (None, 0), 5: (" \n ", 3), 6: (left6, len(left6))}
 
 
+def test_substring_dedup_of_hot_and_long_texts(spark):
+    """A passage in every document, documents without id, one long text."""
+    rng = random.Random(13)
+    hot = " ".join(f"h{i}" for i in range(60))
+    rows = [(None if i % 3 == 0 else i, " ".join(f"u{i}x{j}" for j in range(20)) + " " + hot) for i in range(1, 300)]
+    rows.append((1000, " ".join(f"l{rng.randrange(10**6)}" for _ in range(100_000)) + " " + hot))
+    got = Counter((r.doc_id is None, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(True, 80, 0): 99, (False, 80, 60): 200, (False, 100_060, 60): 1}
+
+
 def test_cores_are_the_same_in_any_context():
     rng = np.random.default_rng(3)
     names = rng.integers(0, 6, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
