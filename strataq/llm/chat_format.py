@@ -99,16 +99,17 @@ def trace(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     return out[::-1]
 
 
-def _units(pdf: pd.DataFrame, *keys: str, by: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
-    """The rows of each value of ``keys``, in order of ``by``."""
-    pdf = pdf.sort_values([*keys, *by], na_position="last", kind="stable")
+def _units(pdf: pd.DataFrame, keys: tuple[str, ...], by: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """The rows of each value of ``keys``, in order of ``by``, as lists by column."""
+    pdf = pdf.sort_values([*keys, *by], kind="stable")
     new = np.zeros(len(pdf), bool)
     for k in keys:
         v = pdf[k].to_numpy()
         new[1:] |= v[1:] != v[:-1]
     cut = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+    columns = {c: pdf[c].tolist() for c in pdf.columns}
     for i, j in zip(cut[:-1], cut[1:], strict=True):
-        yield pdf.iloc[i:j]
+        yield tuple(columns[k][i] for k in keys), {c: v[i:j] for c, v in columns.items()}
 
 
 _BLOCK = ("conv", "block", "part")
@@ -116,17 +117,17 @@ _BLOCK = ("conv", "block", "part")
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for unit in _units(pdf, *_BLOCK, by=("at", "h")):
+    for key, unit in _units(pdf, _BLOCK, ("at", "h")):
         m = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
         for role in unit["role"]:
             m = chain(m, _of(role))
-        rows.append((*(unit[k].iloc[0] for k in _BLOCK), m.ravel().tolist()))
+        rows.append((*key, m.ravel().tolist()))
     return pd.DataFrame(rows, columns=[*_BLOCK, "m"])
 
 
 def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for unit in _units(pdf, "conv", by=("block", "part")):
+    for _, unit in _units(pdf, ("conv",), ("block", "part")):
         ms = [np.array(m, np.int64).reshape(4, 4) for m in unit["m"]]
         cost = np.where(np.arange(4) == START, 0, FAR).astype(np.int64)
         for m in ms:
@@ -134,7 +135,7 @@ def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
         end = int(np.argmin(cost + ENDS))
         after = trace(ms, START, end)
         total, last = int(cost[end] + ENDS[end]), len(ms) - 1
-        for i, block in enumerate(unit[list(_BLOCK)].itertuples(index=False, name=None)):
+        for i, block in enumerate(zip(*(unit[k] for k in _BLOCK), strict=True)):
             rows.append((*block, START if i == 0 else after[i - 1], after[i], i == last, total))
     return pd.DataFrame(rows, columns=[*_BLOCK, "enters", "leaves", "final", "cost"])
 
@@ -154,8 +155,7 @@ def _rendered(pdf: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
     """Each turn with its role and its share of the rendered text; the shares in order are the whole."""
     rows = []
     way = {w[:3]: w[3:] for w in ways[[*_BLOCK, "enters", "leaves", "final", "cost"]].itertuples(index=False, name=None)}
-    for unit in _units(pdf, *_BLOCK, by=("at", "h")):
-        conv, block, part = (unit[k].iloc[0] for k in _BLOCK)
+    for (conv, block, part), unit in _units(pdf, _BLOCK, ("at", "h")):
         state, last, final, cost = way[conv, block, part]
         states = trace([_of(r) for r in unit["role"]], int(state), int(last))
         for i, (at, role, text, to) in enumerate(zip(unit["at"], unit["role"], unit["text"], states, strict=True)):
