@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.operators.ranking import newest, percent, top_per, with_total
 
+
 def recent() -> tuple[Column, Column]:
     """Newest first; the hash breaks ties of a day."""
     return F.desc("date"), F.desc("hash")
 
 
-def hotspots(commits: DataFrame, files: DataFrame, limit: int = 50, top: int = 30) -> DataFrame:
-    """The most often changed files of the newest ``limit`` commits. Commits without files use up the window but not
+def hotspots(commits: DataFrame, files: Callable[[DataFrame], DataFrame], limit: int = 50, top: int = 30) -> DataFrame:
+    """The most often changed files of the newest ``limit`` commits; ``files`` gives the files of some commits. Commits without files use up the window but not
     the denominator; ties go to the file seen first, newest commit first and in path order within it."""
     window = newest(commits.select("hash", "date"), limit, *recent())
-    cf = files.join(F.broadcast(window.select("hash", "place")), "hash")  # at most ``limit`` rows
+    cf = files(window).join(F.broadcast(window.select("hash", "place")), "hash")  # at most ``limit`` rows
     total = cf.agg(F.countDistinct("hash").alias("commit_count"), F.countDistinct("path").alias("unique_files"))
     per = cf.groupBy("path").agg(F.count(F.lit(1)).alias("commits"), F.min("place").alias("seen"))
     out = with_total(per, total).withColumn("percentage", percent(F.col("commits"), F.col("commit_count")))
@@ -74,10 +77,10 @@ def bus_factor(commits: DataFrame, files: DataFrame, folders: DataFrame, most: i
 
 
 def reviewers(commits: DataFrame, files: DataFrame, changes: DataFrame, first: int = 5, newest_of: int = 10, top: int = 3) -> DataFrame:
-    """For each change the authors of the newest commits of its first files (change_id, identity, reason, confidence)."""
+    """For each change the authors of the newest commits of its first files (change_id, identity, reason, confidence, n)."""
     own = top_per(changes, ["change_id"], first, F.asc("path")).select("change_id", "path")
     log = top_per(files.join(own.select("path").distinct(), "path", "left_semi").join(commits, "hash"), ["path"], newest_of, *recent()).select("path", "author")
     per = own.join(log, "path").groupBy("change_id", F.col("author").alias("identity")).agg(F.count(F.lit(1)).alias("n"))
     out = top_per(per, ["change_id"], top, F.desc("n"), F.asc("identity"))
     reason = F.when(F.col("n") >= 3, "recent_contributor").otherwise("area_expert")
-    return out.select("change_id", "identity", reason.alias("reason"), F.least(F.lit(0.9), F.col("n") / 10).alias("confidence"))
+    return out.select("change_id", "identity", reason.alias("reason"), F.least(F.lit(0.9), F.col("n") / 10).alias("confidence"), "n")

@@ -19,12 +19,12 @@ round_even(100.0::DOUBLE * commits / (SELECT count(DISTINCT hash) FROM cf), 1) A
 
 @query("git_hotspots", sql("commits commit_files", _HOT.format(n=50)))
 def git_hotspots(t: Tables) -> DataFrame:
-    return H.hotspots(t.commits(), t.commit_files(), limit=50)
+    return H.hotspots(t.commits(), t.commit_files, limit=50)
 
 
 @query("index_hotspots", sql("commits commit_files", _HOT.format(n=200)))
 def index_hotspots(t: Tables) -> DataFrame:
-    return H.hotspots(t.commits(), t.commit_files(), limit=200)
+    return H.hotspots(t.commits(), t.commit_files, limit=200)
 
 
 def _target(t: Tables) -> DataFrame:
@@ -66,7 +66,7 @@ def git_file_history(t: Tables) -> DataFrame:
 SELECT hash, author, date::VARCHAR AS date, message, (SELECT count(*) FROM commit_files c WHERE c.hash = w.hash) AS files_changed FROM w"""))
 def git_recent_commits(t: Tables) -> DataFrame:
     w = newest(t.commits(), 30, *H.recent())
-    n = t.commit_files().join(F.broadcast(w.select("hash")), "hash", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("files_changed"))
+    n = t.commit_files(w).groupBy("hash").agg(F.count(F.lit(1)).alias("files_changed"))
     return w.join(n, "hash", "left").select("hash", "author", F.col("date").cast("string").alias("date"), "message", F.coalesce("files_changed", F.lit(0)).alias("files_changed"))
 
 
@@ -77,7 +77,7 @@ ranked AS (SELECT source, target, n, row_number() OVER (PARTITION BY source ORDE
 
 
 def _top10(t: Tables) -> DataFrame:
-    hot = H.hotspots(t.commits(), t.commit_files(), limit=200, top=10)
+    hot = H.hotspots(t.commits(), t.commit_files, limit=200, top=10)
     return H.cochange_counts(t.commits(), t.commit_files(), hot)
 
 
@@ -96,7 +96,7 @@ def most_coupled_pairs(t: Tables) -> DataFrame:
 SELECT a.path AS path_a, b.path AS path_b, count(*) AS count FROM cf a JOIN cf b USING (hash) WHERE a.path < b.path GROUP BY 1, 2"""))
 def cochange_pairs(t: Tables) -> DataFrame:
     w = newest(t.commits().select("hash", "date"), 500, *H.recent())
-    cf = t.commit_files().join(F.broadcast(w.select("hash")), "hash", "left_semi")
+    cf = t.commit_files(w)
     return cf.withColumnRenamed("path", "path_a").join(cf.withColumnRenamed("path", "path_b"), "hash").where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -120,15 +120,20 @@ def dir_file_counts(t: Tables) -> DataFrame:
     return H.folder_sizes(t.paths())
 
 
-@query("bus_factor_risks", sql("commits commit_files", """, d AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, count(DISTINCT path) AS file_count FROM commit_files JOIN few USING (hash) GROUP BY 1),
-few AS (SELECT hash FROM commits WHERE author LIKE '%1'),
-w AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, count(DISTINCT author) AS contributors FROM commit_files JOIN few USING (hash) JOIN commits USING (hash) GROUP BY 1)
-SELECT dir, file_count, contributors, concat(dir, ' (', contributors, ' contributor, ', file_count, ' files)') AS risk FROM d JOIN w USING (dir) WHERE file_count > 1 AND contributors <= 60""".replace(", d AS", ", few AS (SELECT hash FROM commits WHERE author LIKE '%1'), d AS", 1).replace(",\nfew AS (SELECT hash FROM commits WHERE author LIKE '%1')", "")))
+_SOLE = """, sw AS (SELECT hash, author FROM commits ORDER BY date DESC, hash DESC LIMIT 200),
+sole AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, count(DISTINCT path) AS file_count, count(DISTINCT author) AS contributors FROM commit_files JOIN sw USING (hash) GROUP BY 1 HAVING count(DISTINCT author) <= 1)"""
+
+
+def sole_folders(t: Tables, window: int = 200, most: int = 1) -> DataFrame:
+    """Folders that at most ``most`` authors changed in the newest ``window`` commits."""
+    w = newest(t.commits().select("hash", "author", "date"), window, *H.recent())
+    cf = t.commit_files(w)
+    return H.bus_factor(w, cf, H.folder_sizes(cf.select("path").distinct(), over=0, top=None), most=most)
+
+
+@query("bus_factor_risks", sql("commits commit_files", _SOLE + " SELECT dir, file_count, contributors, concat(dir, ' (', contributors, ' contributor, ', file_count, ' files)') AS risk FROM sole"))
 def bus_factor_risks(t: Tables) -> DataFrame:
-    few = t.commits().where("author LIKE '%1'")
-    cf = t.commit_files().join(few.select("hash"), "hash", "left_semi")
-    folders = H.folder_sizes(cf.select("path").distinct(), over=1, top=None)
-    return H.bus_factor(few, cf, folders, most=60)
+    return sole_folders(t)
 
 
 @query("repo_totals", sql("commits paths", """SELECT (SELECT count(*) FROM commits) AS total_commits, (SELECT count(DISTINCT author) FROM commits) AS contributors, (SELECT count(*) FROM paths) AS files"""))
@@ -142,13 +147,13 @@ log AS (SELECT path, author FROM commit_files JOIN commits USING (hash) QUALIFY
 per AS (SELECT change_id, author AS identity, count(*) AS n FROM own JOIN log USING (path) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY count(*) DESC, author) <= 3)
 SELECT change_id, identity, CASE WHEN n >= 3 THEN 'recent_contributor' ELSE 'area_expert' END AS reason, least(0.9::DOUBLE, n / 10.0::DOUBLE) AS confidence FROM per"""))
 def recommend_reviewers(t: Tables) -> DataFrame:
-    return H.reviewers(t.commits(), t.commit_files(), t.change_sets())
+    return H.reviewers(t.commits(), t.commit_files(), t.change_sets()).drop("n")
 
 
 @query("hot_changed_files", sql("commits commit_files change_sets", _HOT.format(n=200).rpartition("SELECT path, commits")[0] + """, hot AS (SELECT path FROM per ORDER BY commits DESC, seen, path LIMIT 10)
 SELECT change_id, path FROM change_sets WHERE path IN (FROM hot)"""))
 def hot_changed_files(t: Tables) -> DataFrame:
-    hot = H.hotspots(t.commits(), t.commit_files(), limit=200, top=10).select("path")
+    hot = H.hotspots(t.commits(), t.commit_files, limit=200, top=10).select("path")
     return t.change_sets().join(F.broadcast(hot), "path", "left_semi").select("change_id", "path")
 
 

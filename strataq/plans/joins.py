@@ -13,9 +13,9 @@ from strataq.sources.tables import Tables, sql
 
 @query("match_risk_areas", sql("paths commit_files change_sets", "SELECT DISTINCT change_id, r AS area FROM change_sets JOIN (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS r FROM part) ON contains(lower(path), r)"))
 def match_risk_areas(t: Tables) -> DataFrame:
-    """Areas whose name is part of a changed path. Areas are few by their kind: words of the part types."""
+    """Areas whose name is part of a changed path. Names meet each path once, not each change of it."""
     areas = t.part.select(F.lower(F.split("p_type", " ")[0]).alias("area")).distinct()
-    return t.change_sets().join(F.broadcast(areas), F.contains(F.lower("path"), F.col("area"))).select("change_id", "area").distinct()
+    return R.areas_of(t.change_parts(), t.paths(), areas).select("change_id", "area").distinct()
 
 
 @query("bus_factor_touch", sql("commits commit_files change_sets", """, risk AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM commit_files JOIN commits USING (hash) GROUP BY 1 HAVING count(DISTINCT author) <= 350)
@@ -28,20 +28,20 @@ def bus_factor_touch(t: Tables) -> DataFrame:
 
 
 _TREND = """, k AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY seq DESC) AS back, list_position(['low', 'medium', 'high', 'critical'], risk_level) AS r FROM risk_snapshots),
-tr AS (SELECT a.area, a.r > b.r AS worse FROM k a JOIN k b ON a.area = b.area AND a.back = 1 AND b.back = 2)"""
+kr AS (SELECT *, r > lag(r) OVER (PARTITION BY area ORDER BY back DESC) AS up FROM k WHERE back <= 10),
+tr AS (SELECT area, bool_or(up) FILTER (back = 1) AS worse, bool_and(coalesce(up, false)) FILTER (back <= 3) AND count(*) >= 3 AS fast, any_value(risk_level) FILTER (back = 1) AS now, any_value(r) FILTER (back = 1) AS r1, any_value(r) FILTER (back = 2) AS r2 FROM kr GROUP BY 1)"""
 
 
-@query("trend_community_match", sql("risk_snapshots", _TREND + " SELECT area, n_name AS community, worse FROM tr, nation WHERE contains(concat(lower(n_name), '-area', n_nationkey), area)"))
+@query("trend_community_match", sql("risk_snapshots", _TREND + " SELECT area, n_name AS community, worse FROM tr, nation WHERE contains(lower(n_name), area)"))
 def trend_community_match(t: Tables) -> DataFrame:
     trend = R.trends(t.risk_snapshots()).select("area", F.col("risk_trend").isin("degrading", "accelerating_risk").alias("worse"))
-    name = F.concat(F.lower("n_name"), F.lit("-area"), "n_nationkey")
-    n = F.broadcast(t.nation.select("n_name", name.alias("name")))  # a table of fixed size
+    n = F.broadcast(t.nation.select("n_name", F.lower("n_name").alias("name")))  # a table of fixed size
     return trend.join(n, F.contains("name", F.col("area"))).select("area", F.col("n_name").alias("community"), "worse")
 
 
-@query("trend_signals", sql("risk_snapshots", _TREND + " SELECT area, 'complexity_spike' AS signal_type FROM tr WHERE worse"))
+@query("trend_signals", sql("risk_snapshots", _TREND + " SELECT area, 'complexity_spike' AS signal_type, CASE WHEN fast THEN 'escalation' ELSE 'warning' END AS severity, CASE WHEN fast THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS weight FROM tr WHERE worse"))
 def trend_signals(t: Tables) -> DataFrame:
-    return R.trends(t.risk_snapshots()).where(F.col("risk_trend").isin("degrading", "accelerating_risk")).select("area", F.lit("complexity_spike").alias("signal_type"))
+    return R.trend_signals(R.trends(t.risk_snapshots())).select("area", "signal_type", "severity", "weight")
 
 
 # fixed values: words of dependency files and marker files of frameworks

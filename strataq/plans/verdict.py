@@ -2,82 +2,101 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.operators import history as H
 from strataq.operators import risk as R
 from strataq.operators.ranking import with_total
+from strataq.plans.history import _SOLE, sole_folders
+from strataq.plans.joins import _TREND
 from strataq.plans.registry import query
 from strataq.sources.tables import Tables, sql
 
 _IMPACT = """, sym AS (SELECT DISTINCT change_id, symbol, community, process FROM change_sets JOIN symbol_files USING (path)),
-imp AS (SELECT change_id, count(DISTINCT symbol) AS n_symbols, count(DISTINCT community) AS communities, count(DISTINCT process) AS processes FROM sym GROUP BY 1),
-chg AS (SELECT change_id, n_files, coalesce(n_symbols, 0) AS blast_radius, coalesce(communities, 0) AS communities FROM (SELECT change_id, count(*) AS n_files FROM change_sets GROUP BY 1) LEFT JOIN imp USING (change_id))"""
+imp AS (SELECT change_id, count(DISTINCT symbol) AS n_symbols, count(DISTINCT community) AS communities, list_sort(list(DISTINCT community)) AS names FROM sym GROUP BY 1),
+chg AS (SELECT change_id, n_files, coalesce(n_symbols, 0) AS blast_radius, coalesce(communities, 0) AS communities, names FROM (SELECT change_id, count(*) AS n_files FROM change_sets GROUP BY 1) LEFT JOIN imp USING (change_id))"""
 _ALL = "commits commit_files change_sets symbol_files"
 _BLAST = "CASE WHEN blast_radius <= 0 THEN NULL WHEN blast_radius > 50 THEN 'block' WHEN blast_radius > 20 THEN 'escalation' WHEN blast_radius > 5 THEN 'warning' ELSE 'info' END"
 _COMM = "CASE WHEN communities <= 1 THEN NULL WHEN communities <= 3 THEN 'warning' ELSE 'escalation' END"
 
 
 def impact(t: Tables) -> DataFrame:
-    """(change_id, n_files, blast_radius, communities): symbols in the changed files and the communities they are of."""
-    cs = t.change_sets()
-    sym = cs.join(t.symbol_files(), "path").groupBy("change_id").agg(F.countDistinct("symbol").alias("blast_radius"), F.countDistinct("community").alias("communities"))
-    files = cs.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_files"))
-    return files.join(sym, "change_id", "left").fillna(0, ["blast_radius", "communities"])
+    """(change_id, n_files, blast_radius, n_symbols, communities, names): symbols in the changed files, the communities
+    that they are of (a handful a change) and their names in order."""
+    sym = t.change_parts().join(t.symbol_parts(), "p_partkey", "left")
+    per = sym.groupBy("change_id", "community", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("change_id", "community").agg(F.sum("n").alias("n"), F.count("symbol").alias("symbols"))
+    out = per.groupBy("change_id").agg(F.sum("n").alias("n_files"), F.sum("symbols").alias("blast_radius"), F.count("community").alias("communities"), F.sort_array(F.collect_list("community")).alias("names"))
+    return out.withColumn("n_symbols", F.col("blast_radius"))
 
 
 @query("impact_totals", sql(_ALL, _IMPACT + " SELECT change_id, n_files, blast_radius, communities FROM chg"))
 def impact_totals(t: Tables) -> DataFrame:
-    return impact(t)
+    return impact(t).select("change_id", "n_files", "blast_radius", "communities")
 
 
 @query("blast_signal", sql(_ALL, _IMPACT + f" SELECT change_id, {_BLAST} AS severity, least(1.0::DOUBLE, blast_radius / 50.0::DOUBLE) AS weight FROM chg WHERE blast_radius > 0"))
 def blast_signal(t: Tables) -> DataFrame:
-    n = F.col("blast_radius")
-    return impact(t).where(n > 0).select("change_id", R.blast_severity(n).alias("severity"), R.share(n, 50).alias("weight"))
+    return R.blast_signals(impact(t)).select("change_id", "severity", "weight")
 
 
 @query("community_signal", sql(_ALL, _IMPACT + f" SELECT change_id, {_COMM} AS severity, least(1.0::DOUBLE, communities / 5.0::DOUBLE) AS weight FROM chg WHERE communities > 1"))
 def community_signal(t: Tables) -> DataFrame:
-    n = F.col("communities")
-    return impact(t).where(n > 1).select("change_id", R.community_severity(n).alias("severity"), R.share(n, 5).alias("weight"))
+    return R.community_signals(impact(t)).select("change_id", "severity", "weight")
 
 
 @query("symbols_in_changed_files", sql(_ALL, _IMPACT + " SELECT DISTINCT symbol, community FROM sym ORDER BY symbol LIMIT 200"))
 def symbols_in_changed_files(t: Tables) -> DataFrame:
-    return t.symbol_files().join(t.change_sets().select("path").distinct(), "path", "left_semi").select("symbol", "community").distinct().orderBy("symbol").limit(200)
+    return t.symbol_parts().join(t.change_parts().select("p_partkey").distinct(), "p_partkey", "left_semi").select("symbol", "community").distinct().orderBy("symbol").limit(200)
 
 
-@query("security_signal", sql("findings", """, n AS (SELECT file_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'HIGH') AS h FROM findings GROUP BY 1)
-SELECT file_id, CASE WHEN c > 40 THEN 'block' WHEN h > 20 THEN 'escalation' END AS severity, CASE WHEN c > 40 THEN 1.0::DOUBLE WHEN h > 20 THEN 0.7::DOUBLE END AS weight FROM n WHERE c > 40 OR h > 20"""))
+@query("security_signal", sql("scans", """ SELECT change_id, CASE WHEN critical > 0 THEN 'block' ELSE 'escalation' END AS severity, CASE WHEN critical > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS weight FROM scans WHERE critical > 0 OR high > 0"""))
 def security_signal(t: Tables) -> DataFrame:
-    """With thresholds as parameters: the counts of one repository are never zero in these tables."""
-    n = t.findings().groupBy("file_id").agg(F.count_if(F.col("severity") == "critical").alias("c"), F.count_if(F.col("severity") == "HIGH").alias("h"))
-    sev = F.when(F.col("c") > 40, "block").when(F.col("h") > 20, "escalation")
-    return n.select("file_id", sev.alias("severity"), F.when(F.col("c") > 40, 1.0).when(F.col("h") > 20, 0.7).alias("weight")).where("severity IS NOT NULL")
+    return R.security_signals(t.scans()).select("change_id", "severity", "weight")
 
 
 _HOTC = """, cw AS (SELECT hash, row_number() OVER (ORDER BY date DESC, hash DESC) AS place FROM commits QUALIFY place <= 200),
 cf AS (SELECT hash, path, place FROM commit_files JOIN cw USING (hash)), hot AS (SELECT path FROM (SELECT path, count(*) AS n, min(place) AS seen FROM cf GROUP BY 1) ORDER BY n DESC, seen, path LIMIT 10),
-churn AS (SELECT change_id, count(*) AS n_hot FROM change_sets WHERE path IN (FROM hot) GROUP BY 1)"""
+churn AS (SELECT change_id, count(*) AS n_hot, list_sort(list(path))[1:3] AS hot_paths FROM change_sets WHERE path IN (FROM hot) GROUP BY 1)""" + _SOLE + """,
+bus AS (SELECT change_id, count(DISTINCT dir) AS areas FROM change_sets JOIN sole ON starts_with(path, concat(dir, '/')) GROUP BY 1)"""
 
 
 def _churn(t: Tables) -> DataFrame:
-    hot = H.hotspots(t.commits(), t.commit_files(), limit=200, top=10).select("path")
-    return t.change_sets().join(F.broadcast(hot), "path", "left_semi").groupBy("change_id").agg(F.count(F.lit(1)).alias("n_hot"))
+    """(change_id, n_hot, hot_paths) of changes that touch the ten hottest files."""
+    hot = H.hotspots(t.commits(), t.commit_files, limit=200, top=10).select("path")
+    hot = t.paths().join(F.broadcast(hot), "path", "left_semi")  # ten rows
+    return t.change_parts().join(F.broadcast(hot), "p_partkey").groupBy("change_id").agg(F.count(F.lit(1)).alias("n_hot"), F.slice(F.sort_array(F.collect_list("path")), 1, 3).alias("hot_paths"))
+
 
+def _bus(t: Tables) -> DataFrame:
+    """(change_id, areas): how many folders with one contributor a change touches. A file is in a folder if that is its
+    parent here, so the prefix join is an equality."""
+    files = t.paths().withColumn("dir", H.parent(F.col("path"))).join(sole_folders(t).select("dir"), "dir").select("p_partkey", "dir")
+    return t.change_parts().join(files, "p_partkey").groupBy("change_id").agg(F.countDistinct("dir").alias("areas"))
 
-@query("git_signals", sql(_ALL, _HOTC + " SELECT change_id, 'churn_rate' AS signal_type, 'warning' AS severity, least(1.0::DOUBLE, n_hot / 5.0::DOUBLE) AS weight FROM churn"))
+
+@query("git_signals", sql(_ALL, _HOTC + """ SELECT change_id, 'churn_rate' AS signal_type, 'warning' AS severity, least(1.0::DOUBLE, n_hot / 5.0::DOUBLE) AS weight FROM churn
+UNION ALL SELECT change_id, 'bus_factor', 'escalation', 0.6::DOUBLE FROM bus"""))
 def git_signals(t: Tables) -> DataFrame:
-    return _churn(t).select("change_id", F.lit("churn_rate").alias("signal_type"), F.lit("warning").alias("severity"), R.share(F.col("n_hot"), 5).alias("weight"))
+    return R.churn_signals(_churn(t)).unionByName(R.bus_signals(_bus(t))).select("change_id", "signal_type", "severity", "weight")
 
 
-@query("pattern_signal", "SELECT user_id, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS violations, least(1.0::DOUBLE, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) / 10.0::DOUBLE) AS weight FROM events WHERE event_type = 'error' GROUP BY 1 HAVING sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) > 0")
+@query("pattern_signal", sql("scans", " SELECT change_id, 'warning' AS severity, least(1.0::DOUBLE, violations / 10.0::DOUBLE) AS weight FROM scans WHERE violations > 0"))
 def pattern_signal(t: Tables) -> DataFrame:
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
-    n = t.events.where("event_type = 'error'").groupBy("user_id").agg(F.sum(k).alias("violations")).where("violations > 0")
-    return n.withColumn("weight", R.share(F.col("violations"), 10))
+    return R.pattern_signals(t.scans()).select("change_id", "severity", "weight")
+
+
+@query("pattern_violation_total", "SELECT sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0))::BIGINT AS total, count(*) AS patterns FROM events WHERE event_type <> 'signup'")
+def pattern_violation_total(t: Tables) -> DataFrame:
+    """Violations over the patterns of a file, given as a list or below ``patterns``; what is no object counts nothing."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    one = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('[{"violation_count": '), k, F.lit('}, "text"]'))).otherwise(F.concat(F.lit('{"patterns": [{"violation_count": '), k, F.lit("}, 7]}")))
+    items = F.from_json(F.coalesce(F.get_json_object(one, "$.patterns"), one), "array<string>")
+    n = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.get_json_object(x, "$.violation_count").try_cast("long"), F.lit(0)))
+    return t.events.where("event_type <> 'signup'").agg(F.sum(F.coalesce(n, F.lit(0))).alias("total"), F.count(F.lit(1)).alias("patterns"))
 
 
 _STATS = "SELECT l_orderkey AS change_id, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 48) AS b, count(*) FILTER (l_returnflag = 'A') AS e, count(*) FILTER (l_returnflag = 'N') AS w, min(l_linestatus) AS st, max(l_suppkey) % 6 AS a, round(sum(l_discount), 4) AS weight FROM lineitem GROUP BY 1"
@@ -109,12 +128,17 @@ def boundary_distance(t: Tables) -> DataFrame:
     return _stats(t).select("change_id", F.round(R.boundary(tier, F.col("w"), F.col("e"), F.col("weight")), 4).alias("distance"))
 
 
-@query("verdict_triggers", f"SELECT change_id, CASE WHEN tier = 'auto_merge' THEN 'Any untested code path would trigger single_review; Security finding in changed files would trigger block' WHEN tier IN ('single_review', 'dual_review') THEN 'Additional bus factor risk would escalate; Blast radius > 50 would trigger expert_review' ELSE '' END AS up FROM (SELECT change_id, {_TIER} AS tier FROM ({_STATS}))")
+# fixed values: sentences of what would raise or lower a tier
+_UP = "CASE WHEN {v} = 'auto_merge' THEN 'Any untested code path would trigger single_review; Security finding in changed files would trigger block' WHEN {v} IN ('single_review', 'dual_review') THEN 'Additional bus factor risk would escalate; Blast radius > 50 would trigger expert_review' ELSE '' END"
+_DOWN = "CASE WHEN {v} = 'single_review' THEN array_to_string(list_filter([CASE WHEN {bus} THEN 'Adding a second contributor to bus-factor areas' END, CASE WHEN {churn} THEN 'Adding tests for hotspot files' END], lambda x: x IS NOT NULL), '; ') WHEN {v} IN ('dual_review', 'expert_review') THEN 'Reducing blast radius by narrowing the change scope; Adding test coverage for changed code paths' ELSE '' END"
+
+
+@query("verdict_triggers", f"SELECT change_id, {_UP.format(v='tier')} AS up, {_DOWN.format(v='tier', bus='w % 2 = 0', churn='w > 1')} AS down FROM (SELECT change_id, w, {_TIER} AS tier FROM ({_STATS}))")
 def verdict_triggers(t: Tables) -> DataFrame:
-    tier = verdict_tier(t)
-    up = F.when(F.col("tier") == "auto_merge", F.array(F.lit("Any untested code path would trigger single_review"), F.lit("Security finding in changed files would trigger block")))
-    up = up.when(F.col("tier").isin("single_review", "dual_review"), F.array(F.lit("Additional bus factor risk would escalate"), F.lit("Blast radius > 50 would trigger expert_review")))
-    return tier.select("change_id", F.coalesce(F.array_join(up, "; "), F.lit("")).alias("up"))
+    s = _stats(t)
+    at = R.tier(F.col("b"), F.col("e"), F.col("w"), F.get(F.array(*map(F.lit, R.TIERS)), F.col("a").cast("int")), F.when(F.col("st") == "F", "outdated").otherwise("current"))
+    s = s.withColumn("tier", at)
+    return s.select("change_id", F.array_join(R.raises(F.col("tier")), "; ").alias("up"), F.array_join(R.lowers(F.col("tier"), F.col("w") % 2 == 0, F.col("w") > 1), "; ").alias("down"))
 
 
 @query("index_freshness", """WITH h AS (SELECT user_id, date_diff('second', max(ts), TIMESTAMP '2024-01-31 00:00:00') / 3600.0::DOUBLE * (user_id % 90) AS hours FROM events GROUP BY 1)
@@ -127,47 +151,91 @@ def index_freshness(t: Tables) -> DataFrame:
     return h.select("user_id", F.round("hours", 3).alias("hours"), state.alias("freshness"), penalty.alias("penalty"))
 
 
+def signals(t: Tables, change: DataFrame) -> DataFrame:
+    """All signals of all changes, a row each: blast radius, communities, security, churn, bus factor, trends, patterns."""
+    trend = R.trends(t.risk_snapshots()).alias("t")
+    names = F.broadcast(t.nation.select(F.col("n_name").alias("community")))  # a table of fixed size
+    trend = trend.join(names, F.contains(F.lower("community"), F.lower("area")))
+    touched = change.select("change_id", F.explode("names").alias("community")).join(trend, "community").select("change_id", *[f"t.{c}" for c in ("area", "risk_trend", "projected_risk", "current_risk")]).distinct()
+    parts = [
+        R.blast_signals(change), R.community_signals(change), R.security_signals(t.scans()), R.churn_signals(_churn(t)), R.bus_signals(_bus(t)),
+        R.trend_signals(touched, "change_id"), R.pattern_signals(t.scans()),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def verdicts(t: Tables) -> DataFrame:
-    """One verdict for each change set from its impact, churn and the age of its customer's data."""
-    c = impact(t).join(_churn(t), "change_id", "left").fillna(0, ["n_hot"])
-    n, k, h = F.col("blast_radius"), F.col("communities"), F.col("n_hot")
-    signals = F.array(
-        R.signal("blast_radius", R.blast_severity(n), R.share(n, 50), "gitnexus_impact", F.concat(n, F.lit(" upstream dependents"))),
-        R.signal("cross_community", R.community_severity(k), R.share(k, 5), "gitnexus_cypher", F.concat(F.lit("Changes span "), k, F.lit(" communities"))),
-        R.signal("churn_rate", F.when(h > 0, "warning"), R.share(h, 5), "git_hotspots", F.concat(h, F.lit(" changed file(s) are top-10 hotspots"))),
-    )
-    c = c.withColumns({"signals": signals, "analysed": F.col("change_id") % 2 == 0, "area_tier": F.lit(None).cast("string"), "age_hours": (F.col("change_id") % 200).cast("double")})
-    return R.assemble(c)
-
-
-_VERDICT = _IMPACT + _HOTC + f""", s AS (SELECT chg.*, coalesce(n_hot, 0) AS n_hot, {_BLAST} AS s1, {_COMM} AS s2, CASE WHEN n_hot > 0 THEN 'warning' END AS s3, least(1.0::DOUBLE, blast_radius / 50.0::DOUBLE) AS w1, least(1.0::DOUBLE, communities / 5.0::DOUBLE) AS w2, least(1.0::DOUBLE, coalesce(n_hot, 0) / 5.0::DOUBLE) AS w3, change_id % 200 AS age FROM chg LEFT JOIN churn USING (change_id)),
-c AS (SELECT *, (s1 = 'block')::INT AS b, coalesce((s1 = 'escalation')::INT, 0) + coalesce((s2 = 'escalation')::INT, 0) AS e, coalesce((s1 = 'warning')::INT, 0) + coalesce((s2 = 'warning')::INT, 0) + (s3 IS NOT NULL)::INT AS w, (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT AS n,
-CASE WHEN s1 IN ('warning', 'escalation') THEN w1 ELSE 0 END + CASE WHEN s2 IS NOT NULL THEN w2 ELSE 0 END + CASE WHEN s3 IS NOT NULL THEN w3 ELSE 0 END AS weight FROM s),
-v AS (SELECT *, CASE WHEN b > 0 THEN 'block' ELSE (['auto_merge', 'single_review', 'dual_review', 'expert_review', 'block'])[least(4, greatest(e + (w + 1) // 2, CASE WHEN age > 168 THEN 1 ELSE 0 END)) + 1] END AS verdict FROM c),
-f AS (SELECT change_id, verdict, n_files, blast_radius, communities, n AS n_signals, CASE WHEN age > 168 THEN 'outdated' WHEN age > 48 THEN 'stale' ELSE 'current' END AS freshness,
-round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, CASE WHEN change_id % 2 = 0 THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN s1 IS NOT NULL OR s2 IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN n >= 3 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN age > 168 THEN 0.3::DOUBLE WHEN age > 48 THEN 0.15::DOUBLE ELSE 0 END)), 4) AS confidence,
+    """One verdict for each change set, from all of its signals, the areas it touches and the age of the index."""
+    change = impact(t)
+    out = change.join(R.gathered(signals(t, change)), "change_id", "left")
+    out = out.join(R.area_tiers(R.areas_of(t.change_parts(), t.paths(), t.areas())), "change_id", "left")
+    out = out.join(t.index_ages(), "change_id", "left")
+    analysed = t.labels.select(F.col("doc_id").alias("change_id"), F.lit(True).alias("analysed")).distinct()
+    out = out.join(analysed, "change_id", "left").withColumns({"analysed": F.coalesce("analysed", F.lit(False)), "areas": F.coalesce("areas", F.lit(0))})
+    return R.assemble(out)
+
+
+_V = "commits commit_files change_sets symbol_files scans risk_snapshots areas index_ages"
+_NAMED = "concat('Area ', chr(39), area, chr(39), ' has ', {})"
+_FAST = _NAMED.format("'accelerating risk trend (projected ', (['low', 'medium', 'high', 'critical'])[least(3, greatest(0, 2 * (r1 - 1) - (r2 - 1))) + 1], ' in 30d)'")
+_SLOW = _NAMED.format("'degrading risk trend (currently ', now, ')'")
+_VERDICT = _IMPACT + _HOTC + _TREND + f""", tn AS (SELECT DISTINCT change_id, tr.* FROM sym JOIN tr ON contains(lower(community), area) WHERE worse),
+sig AS (SELECT change_id, 1 AS o, 'blast_radius' AS k, {_BLAST} AS severity, least(1.0::DOUBLE, blast_radius / 50.0::DOUBLE) AS weight, concat(blast_radius, ' upstream dependents across ', blast_radius, ' changed symbols') AS d FROM chg WHERE blast_radius > 0
+UNION ALL SELECT change_id, 2, 'cross_community', {_COMM}, least(1.0::DOUBLE, communities / 5.0::DOUBLE), concat('Changes span ', communities, ' GitNexus communities: ', array_to_string(names[1:5], ', ')) FROM chg WHERE communities > 1
+UNION ALL SELECT change_id, 3, 'security_finding', CASE WHEN critical > 0 THEN 'block' ELSE 'escalation' END, CASE WHEN critical > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END, CASE WHEN critical > 0 THEN concat('Repository has ', critical, ' critical semgrep finding(s) — changed files may be affected') ELSE concat('Repository has ', high, ' high-severity semgrep finding(s)') END FROM scans WHERE critical > 0 OR high > 0
+UNION ALL SELECT change_id, 4, 'churn_rate', 'warning', least(1.0::DOUBLE, n_hot / 5.0::DOUBLE), concat(n_hot, ' changed file(s) are top-10 hotspots: ', array_to_string(hot_paths, ', ')) FROM churn
+UNION ALL SELECT change_id, 5, 'bus_factor', 'escalation', 0.6::DOUBLE, concat('Changes touch ', areas, ' area(s) with bus factor risk (single contributor)') FROM bus
+UNION ALL SELECT change_id, 6, 'complexity_spike', CASE WHEN fast THEN 'escalation' ELSE 'warning' END, CASE WHEN fast THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END, CASE WHEN fast THEN {_FAST} ELSE {_SLOW} END FROM tn
+UNION ALL SELECT change_id, 7, 'pattern_violation', 'warning', least(1.0::DOUBLE, violations / 10.0::DOUBLE), concat('Codebase has ', violations, ' known pattern violation(s)') FROM scans WHERE violations > 0),
+agg AS (SELECT change_id, count(*) FILTER (severity = 'block') AS b, count(*) FILTER (severity = 'escalation') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) AS n, bool_or(o <= 2) AS graph, bool_or(o = 3) AS sec, bool_or(o = 4) AS hotc, bool_or(o = 5) AS busc,
+  coalesce(sum(weight) FILTER (severity IN ('warning', 'escalation')), 0) AS weight, string_agg(d, '; ' ORDER BY o, d) FILTER (severity IN ('escalation', 'block')) AS reasons, list(d ORDER BY o, d) FILTER (severity IN ('escalation', 'block')) AS why,
+  list(concat('- ', CASE severity WHEN 'info' THEN '(i)' WHEN 'warning' THEN '(!)' WHEN 'escalation' THEN '(!!)' ELSE '[BLOCK]' END, ' **', k, '**: ', d) ORDER BY o, d) AS shown FROM sig GROUP BY 1),
+ar AS (SELECT change_id, max(coalesce(list_position(['auto_merge', 'single_review', 'dual_review', 'expert_review', 'block'], coalesce(recommendation, 'single_review')), 0) - 1) AS best, count(DISTINCT area) AS areas FROM change_sets JOIN areas ON contains(lower(path), area) GROUP BY 1),
+c AS (SELECT chg.*, coalesce(b, 0) AS b, coalesce(e, 0) AS e, coalesce(w, 0) AS w, coalesce(n, 0) AS n, coalesce(graph, false) AS graph, coalesce(sec, false) AS sec, coalesce(hotc, false) AS hotc, coalesce(busc, false) AS busc, coalesce(weight, 0) AS weight, coalesce(reasons, '') AS reasons, why, shown,
+  greatest(coalesce(best, 0), 0) AS best, coalesce(ar.areas, 0) AS areas, age_hours AS age, change_id IN (SELECT doc_id FROM labels) AS analysed FROM chg LEFT JOIN agg USING (change_id) LEFT JOIN ar USING (change_id) LEFT JOIN index_ages USING (change_id)),
+v AS (SELECT *, CASE WHEN b > 0 THEN 5 ELSE least(4, greatest(e + (w + 1) // 2, best, CASE WHEN age > 168 THEN 1 ELSE 0 END)) + 1 END AS place FROM c),
+u AS (SELECT *, (['auto_merge', 'single_review', 'dual_review', 'expert_review', 'block'])[place] AS verdict, (['auto_merge', 'single_review', 'dual_review', 'expert_review', 'block'])[least(5, place + 1)] AS next_verdict FROM v),
+f AS (SELECT *, n AS n_signals, CASE WHEN age > 168 THEN 'outdated' WHEN age > 48 THEN 'stale' ELSE 'current' END AS freshness,
+round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, CASE WHEN analysed THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN graph THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN n >= 3 THEN 0.05::DOUBLE ELSE 0 END - CASE WHEN age > 168 THEN 0.3::DOUBLE WHEN age > 48 THEN 0.15::DOUBLE ELSE 0 END)), 4) AS confidence,
 round(CASE WHEN w + e = 0 THEN 0::DOUBLE WHEN verdict = 'auto_merge' AND w > 0 THEN least(1.0::DOUBLE, w * 0.3::DOUBLE) ELSE least(1.0::DOUBLE, weight / 3) END, 4) AS distance,
-CASE verdict WHEN 'auto_merge' THEN 0 WHEN 'single_review' THEN 1 WHEN 'dual_review' THEN 1 WHEN 'expert_review' THEN 2 ELSE 3 END AS exit_code,
-array_to_string(list_filter([CASE verdict WHEN 'auto_merge' THEN 'auto-approvable' WHEN 'block' THEN 'blocked' END, CASE WHEN blast_radius > 20 THEN 'high-blast-radius' END, CASE WHEN communities > 2 THEN 'cross-cutting' END], lambda x: x IS NOT NULL), ',') AS labels FROM v)"""
+([0, 1, 1, 2, 3])[place] AS exit_code, verdict = 'block' AS should_block, {_UP.format(v='verdict')} AS raises, {_DOWN.format(v='verdict', bus='busc', churn='hotc')} AS lowers,
+array_to_string(list_filter([CASE verdict WHEN 'auto_merge' THEN 'auto-approvable' WHEN 'block' THEN 'blocked' END, CASE WHEN sec THEN 'needs-security-review' END, CASE WHEN busc THEN 'bus-factor-risk' END, CASE WHEN blast_radius > 20 THEN 'high-blast-radius' END, CASE WHEN communities > 2 THEN 'cross-cutting' END], lambda x: x IS NOT NULL), ',') AS labels FROM u)"""
 
 
-@query("compute_verdict", sql(_ALL, _VERDICT + " SELECT change_id, verdict, confidence, distance, exit_code, n_signals, n_files, blast_radius, communities FROM f"))
+@query("compute_verdict", sql(_V, _VERDICT + " SELECT change_id, verdict, next_verdict, confidence, distance, exit_code, should_block, freshness, n_signals, n_files, blast_radius, communities, areas, reasons, raises, lowers FROM f"))
 def compute_verdict(t: Tables) -> DataFrame:
-    return verdicts(t).select("change_id", "verdict", "confidence", "distance", "exit_code", "n_signals", "n_files", "blast_radius", "communities")
+    text = {c: F.array_join(c, "; ") for c in ("reasons", "raises", "lowers")}
+    return verdicts(t).withColumns(text).select("change_id", "verdict", "next_verdict", "confidence", "distance", "exit_code", "should_block", "freshness", "n_signals", "n_files", "blast_radius", "communities", "areas", "reasons", "raises", "lowers")
+
 
+@query("change_signals", sql(_V, _VERDICT + " SELECT change_id, k AS signal_type, severity, weight, d AS description FROM sig WHERE change_id IN (SELECT change_id FROM chg)"))
+def change_signals(t: Tables) -> DataFrame:
+    change = impact(t)
+    return signals(t, change).join(change, "change_id", "left_semi").select("change_id", "signal_type", "severity", "weight", "description")
 
-@query("suggest_labels", sql(_ALL, _VERDICT + " SELECT change_id, labels FROM f"))
+
+@query("suggest_labels", sql(_V, _VERDICT + " SELECT change_id, labels FROM f"))
 def suggest_labels(t: Tables) -> DataFrame:
     return verdicts(t).select("change_id", "labels")
 
 
-@query("review_comment", sql(_ALL, _VERDICT + """ SELECT change_id, concat('## Verdict: `', verdict, '`', chr(10), chr(10), '**Confidence:** ', round_even(confidence * 100, 0)::INT, '% | **Data freshness:** ', freshness, chr(10), '**', n_files, '** files changed | **', blast_radius, '** upstream dependents | **', communities, '** communities affected') AS comment FROM f"""))
+_REVIEWERS = """, ro AS (SELECT change_id, path FROM change_sets QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY path) <= 5),
+rl AS (SELECT path, author FROM commit_files JOIN commits USING (hash) QUALIFY row_number() OVER (PARTITION BY path ORDER BY date DESC, hash DESC) <= 10),
+rp AS (SELECT change_id, author, count(*) AS n FROM ro JOIN rl USING (path) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY count(*) DESC, author) <= 3),
+rv AS (SELECT change_id, list(concat('- ', author, ' (', CASE WHEN n >= 3 THEN 'recent_contributor' ELSE 'area_expert' END, ')') ORDER BY n DESC, author) AS who FROM rp GROUP BY 1)"""
+
+
+@query("review_comment", sql(_V, _VERDICT + _REVIEWERS + """ SELECT change_id, array_to_string(list_concat(['## Verdict: `' || verdict || '`', '', concat('**Confidence:** ', round_even(confidence * 100, 0)::INT, '% | **Data freshness:** ', freshness)],
+CASE WHEN freshness <> 'current' THEN [concat('> **Warning:** Analysis data is ', freshness, '. Consider indexing again.')] ELSE [] END, ['', concat('**', n_files, '** files changed | **', blast_radius, '** upstream dependents | **', communities, '** communities affected'), ''],
+CASE WHEN len(shown) > 0 THEN list_concat(['### Signals', ''], shown, ['']) ELSE [] END, CASE WHEN len(why) > 0 THEN list_concat(['### Why this verdict', ''], list_transform(why, lambda x: '- ' || x), ['']) ELSE [] END,
+CASE WHEN len(who) > 0 THEN list_concat(['### Recommended reviewers', ''], who, ['']) ELSE [] END,
+CASE WHEN distance > 0.3 THEN list_concat(['### Borderline verdict', '', concat('This verdict is **', round_even(distance * 100, 0)::INT, '%** of the way to `', next_verdict, '`.')], CASE WHEN lowers <> '' THEN list_concat(['', 'To de-escalate:'], list_transform(string_split(lowers, '; '), lambda x: '- ' || x)) ELSE [] END, ['']) ELSE [] END, ['---']), chr(10)) AS comment
+FROM f LEFT JOIN rv USING (change_id)"""))
 def review_comment(t: Tables) -> DataFrame:
-    pct = F.concat(F.bround(F.col("confidence") * 100, 0).cast("int"), F.lit("%"))
-    head = F.concat(F.lit("## Verdict: `"), "verdict", F.lit("`"))
-    line = F.concat(F.lit("**Confidence:** "), pct, F.lit(" | **Data freshness:** "), "freshness")
-    body = F.concat(F.lit("**"), "n_files", F.lit("** files changed | **"), "blast_radius", F.lit("** upstream dependents | **"), "communities", F.lit("** communities affected"))
-    return verdicts(t).select("change_id", F.concat_ws("\n", head, F.lit(""), line, body).alias("comment"))
+    r = H.reviewers(t.commits(), t.commit_files(), t.change_sets())
+    line = F.concat("identity", F.lit(" ("), "reason", F.lit(")"))
+    r = r.groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "identity", line.alias("line")))).alias("l"))  # three a change
+    return R.comment(verdicts(t).join(r.select("change_id", F.col("l.line").alias("reviewers")), "change_id", "left"))
 
 
 @query("review_classification", sql(_ALL, _IMPACT + _HOTC + """ SELECT change_id, (['auto', 'single', 'dual', 'expert'])[least(3, (blast_radius > 10)::INT + (coalesce(n_hot, 0) > 0)::INT + (n_files = 1)::INT) + 1] AS review FROM chg LEFT JOIN churn USING (change_id)"""))
@@ -178,11 +246,11 @@ def review_classification(t: Tables) -> DataFrame:
     return c.select("change_id", R.named(F.least(n, F.lit(3)), ["auto", "single", "dual", "expert"]).alias("review"))
 
 
-@query("team_sizing", sql("paths", "SELECT regexp_extract(path, '^([^/]*)/', 1) AS repo, count(*) AS files, CASE WHEN count(*) < 70 THEN 2 WHEN count(*) <= 80 THEN 4 ELSE 6 END AS teams FROM paths GROUP BY 1"))
-def team_sizing(t: Tables) -> DataFrame:
+@query("team_sizing", sql("paths", "SELECT regexp_extract(path, '^([^/]*)/', 1) AS repo, count(*) AS files, CASE WHEN count(*) < 200 THEN 2 WHEN count(*) <= 2000 THEN 4 ELSE 6 END AS teams FROM paths GROUP BY 1"))
+def team_sizing(t: Tables, small: int = 200, large: int = 2000) -> DataFrame:
     """An extension: teams by number of files."""
     n = t.paths().groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("repo")).agg(F.count(F.lit(1)).alias("files"))
-    return n.withColumn("teams", F.when(F.col("files") < 70, 2).when(F.col("files") <= 80, 4).otherwise(6))
+    return n.withColumn("teams", F.when(F.col("files") < small, 2).when(F.col("files") <= large, 4).otherwise(6))
 
 
 @query("heuristic_summary", sql("commits paths findings", """SELECT (SELECT count(*) FROM paths) AS file_count, (SELECT count(*) FROM commits) AS total_commits, (SELECT count(DISTINCT author) FROM commits) AS contributors, (SELECT count(*) FROM findings WHERE severity = 'critical') AS critical, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS communities"""))

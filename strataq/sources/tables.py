@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 EXTENSIONS = ["py", "ts", "tsx", "js", "go", "rs", "java", "md"]
 
 
+#: The base date of the diffs.
+SINCE = "1998-01-01"
+
+
 class Tables:
     """Tables of one folder, read when asked for."""
 
@@ -36,10 +40,12 @@ class Tables:
         ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), F.col("p_size") % len(EXTENSIONS) + 1)
         return self.part.select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type", F.lit("/part_"), "p_partkey", F.lit("."), ext).alias("path"))
 
-    def commit_files(self) -> DataFrame:
-        """Distinct (hash, path): the files of each commit."""
+    def commit_files(self, of: DataFrame | None = None) -> DataFrame:
+        """Distinct (hash, path): the files of each commit, or of the few commits ``of`` only."""
         pairs = self.lineitem.select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("p_partkey"))
-        return pairs.join(self.paths(), "p_partkey").select("hash", "path").distinct()
+        if of is not None:
+            pairs = pairs.join(F.broadcast(of.select("hash")), "hash", "left_semi")  # a window's rows
+        return pairs.distinct().join(self.paths(), "p_partkey").select("hash", "path")
 
     def files(self) -> DataFrame:
         """(ordinal, path, content) of a text file for each document."""
@@ -61,8 +67,10 @@ class Tables:
         return self.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", tool.alias("tool"), F.when(failed, "error").otherwise("completed").alias("status"), "value", result.alias("result"))
 
     def risk_snapshots(self) -> DataFrame:
-        """(area, seq, risk_level, churn_rank, contributor_count, test_coverage) of an area for each day."""
-        by = self.events.groupBy(F.concat(F.lit("area"), F.col("user_id") % 12).alias("area"), F.to_date("ts").alias("day"))
+        """(area, seq, risk_level, churn_rank, contributor_count, test_coverage) of an area for each day; an area has the
+        name of a community."""
+        name = self.nation.select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("area"))
+        by = self.events.withColumn("k", F.col("user_id") % 12).join(F.broadcast(name), "k").groupBy("area", F.to_date("ts").alias("day"))  # of fixed size
         s = by.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("contributor_count"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors"))
         level = F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical"])), (F.col("n") % 4 + 1).cast("int"))
         coverage = F.element_at(F.array(*map(F.lit, ["none", "low", "medium", "high"])), (F.col("errors") % 4 + 1).cast("int"))
@@ -73,27 +81,57 @@ class Tables:
         n = self.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
         return self.supplier.join(n, "s_nationkey").join(self.region, "r_regionkey").select("s_suppkey", F.col("s_name").alias("symbol"), F.col("n_name").alias("community"), F.col("r_name").alias("process"))
 
+    def symbol_parts(self) -> DataFrame:
+        """(p_partkey, symbol, community, process): the symbol that a file defines is the first supplier of its part."""
+        first = self.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
+        return first.join(self.symbols(), "s_suppkey").select("p_partkey", "symbol", "community", "process")
+
     def symbol_files(self) -> DataFrame:
-        """Distinct (symbol, community, process, path): where symbols are defined."""
-        pairs = self.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
-        return pairs.join(self.symbols(), "s_suppkey").join(self.paths(), "p_partkey").select("symbol", "community", "process", "path")
+        """(symbol, community, process, path): where symbols are defined."""
+        return self.symbol_parts().join(self.paths(), "p_partkey").select("symbol", "community", "process", "path")
 
-    def change_sets(self) -> DataFrame:
-        """(change_id, path): the files that each customer of the newest quarter changed."""
-        o = self.orders.where(F.to_date("o_orderdate") >= "1998-01-01").select(F.col("o_orderkey").alias("hash"), F.col("o_custkey").alias("change_id"))
-        return self.commit_files().join(o, "hash").select("change_id", "path").distinct()
+    def change_parts(self, since: str = SINCE) -> DataFrame:
+        """(change_id, p_partkey): the change of each customer is what they changed since the base date of the diff."""
+        o = self.orders.where(F.to_date("o_orderdate") >= since).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("change_id"))
+        return self.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(o, "l_orderkey").select("change_id", "p_partkey").distinct()
+
+    def change_sets(self, since: str = SINCE) -> DataFrame:
+        """(change_id, path): the files of each change."""
+        return self.change_parts(since).join(self.paths(), "p_partkey").select("change_id", "path")
+
+    def scans(self) -> DataFrame:
+        """(change_id, critical, high, violations): the newest day's scanner findings of the repository that a change is
+        of, and what its pattern file counts as violations. Partial aggregates keep a hot repository small."""
+        kind = F.col("event_type")
+        k = F.when((kind == "view") & (F.col("event_id") % 3 == 0), F.coalesce(F.get_json_object("props", "$.k").cast("long") % 5, F.lit(0))).otherwise(0)
+        day = self.events.groupBy(F.col("user_id").alias("change_id"), F.to_date("ts").alias("day")).agg(F.count_if(kind == "error").alias("critical"), F.count_if(kind == "purchase").alias("high"), F.sum(k).alias("violations"))
+        return day.groupBy("change_id").agg(F.max(F.struct("day", "critical", "high", "violations")).alias("s")).select("change_id", "s.critical", "s.high", "s.violations")
+
+    def areas(self) -> DataFrame:
+        """(area, recommendation) of a risk profile: an area for each brand and kind of part; some recommend nothing, or
+        what is no tier."""
+        per = self.part.groupBy(F.lower(F.concat("p_brand", F.lit("/"), F.split("p_type", " ")[0])).alias("area")).agg(F.count(F.lit(1)).alias("n"))
+        m = F.col("n") % 7
+        return per.select("area", F.when(m == 0, "expert_review").when(m == 1, "dual_review").when(m == 2, F.lit(None)).when(m == 3, "unheard_of").otherwise("auto_merge").alias("recommendation"))
+
+    def index_ages(self) -> DataFrame:
+        """(change_id, age_hours) of the index that a change is held against: an hour for each day from its newest commit
+        to the newest of all."""
+        o = self.orders.groupBy(F.col("o_custkey").alias("change_id")).agg(F.max(F.to_date("o_orderdate")).alias("day"))
+        last = self.orders.agg(F.max(F.to_date("o_orderdate")).alias("last"))
+        return o.crossJoin(F.broadcast(last)).select("change_id", F.datediff("last", "day").cast("double").alias("age_hours"))  # one row
 
     def messages(self) -> DataFrame:
         return self.conversations
 
     def bundles(self) -> DataFrame:
-        """(area, content) of a markdown text for each part of sizes up to 20."""
+        """(area, content) of a markdown text for each part."""
         p = self.part
         line = F.concat(F.lit("See src/"), "p_brand", F.lit("/mod_"), F.col("p_partkey") % 13, F.lit(".py and app.py:"), "p_partkey")
         head = F.concat(F.lit("## "), "p_name", F.lit("\n"))
         body = F.repeat(F.concat(line, F.lit("\n")), F.col("p_size"))
         figure = F.when(F.col("p_partkey") % 3 == 0, "```mermaid\ngraph\n```\n").when(F.col("p_partkey") % 3 == 1, "").otherwise("```Mermaid\n```\n```mermaid\n```\n")
-        return p.where("p_size <= 20").select(F.concat(F.lit("a"), "p_partkey").alias("area"), F.concat(F.repeat(head, F.col("p_size") % 12), body, figure).alias("content"))
+        return p.select(F.concat(F.lit("a"), "p_partkey").alias("area"), F.concat(F.repeat(head, F.col("p_size") % 12), body, figure).alias("content"))
 
 
 CTES = {
@@ -103,11 +141,14 @@ CTES = {
     "files": "SELECT doc_id AS ordinal, concat(source, '/', lang, '/', doc_id) AS path, text AS content FROM documents",
     "findings": "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN concat('owasp.top10.', event_type, '.r', user_id % 7) WHEN 1 THEN concat('lang.sec.', event_type) ELSE concat('misc.', event_type) END AS check_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'HIGH' WHEN 'click' THEN 'ERROR' WHEN 'view' THEN 'medium' END AS severity, user_id % 50 AS file_id FROM events",
     "tool_events": "SELECT user_id AS session, event_id AS seq, ts, (['read_heuristic_summary', 'dispatch_team', 'rg_search', 'gitnexus_query', 'read_team_findings', 'write_bundle', 'shell', 'context7_query-docs', 'git_hotspots'])[event_id % 9 + 1] AS tool, CASE WHEN event_type = 'error' THEN 'error' ELSE 'completed' END AS status, value, CASE WHEN event_type = 'error' THEN concat('{\"status\": \"error\", \"message\": \"m', event_id, '\"}') ELSE concat('{\"status\": \"success\", \"file_count\": ', user_id, '}') END AS result FROM events",
-    "risk_snapshots": "SELECT area, seq, (['low', 'medium', 'high', 'critical'])[n % 4 + 1] AS risk_level, n AS churn_rank, contributor_count, (['none', 'low', 'medium', 'high'])[errors % 4 + 1] AS test_coverage FROM (SELECT concat('area', user_id % 12) AS area, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS seq, count(*) AS n, count(DISTINCT user_id) AS contributor_count, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2)",
+    "risk_snapshots": "SELECT area, seq, (['low', 'medium', 'high', 'critical'])[n % 4 + 1] AS risk_level, n AS churn_rank, contributor_count, (['none', 'low', 'medium', 'high'])[errors % 4 + 1] AS test_coverage FROM (SELECT lower(n_name) AS area, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS seq, count(*) AS n, count(DISTINCT user_id) AS contributor_count, count(*) FILTER (event_type = 'error') AS errors FROM events JOIN nation ON n_nationkey = user_id % 12 GROUP BY 1, 2)",
     "symbols": "SELECT s_suppkey, s_name AS symbol, n_name AS community, r_name AS process FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
-    "symbol_files": "SELECT DISTINCT symbol, community, process, path FROM lineitem JOIN symbols ON s_suppkey = l_suppkey JOIN paths ON p_partkey = l_partkey",
+    "symbol_files": "SELECT symbol, community, process, path FROM (SELECT l_partkey, min(l_suppkey) AS k FROM lineitem GROUP BY 1) JOIN symbols ON s_suppkey = k JOIN paths ON p_partkey = l_partkey",
     "change_sets": "SELECT DISTINCT o_custkey AS change_id, path FROM commit_files JOIN orders ON o_orderkey = hash WHERE CAST(o_orderdate AS DATE) >= DATE '1998-01-01'",
-    "bundles": "SELECT concat('a', p_partkey) AS area, concat(repeat(concat('## ', p_name, chr(10)), p_size % 12), repeat(concat('See src/', p_brand, '/mod_', p_partkey % 13, '.py and app.py:', p_partkey, chr(10)), p_size), CASE p_partkey % 3 WHEN 0 THEN concat('```mermaid', chr(10), 'graph', chr(10), '```', chr(10)) WHEN 1 THEN '' ELSE concat('```Mermaid', chr(10), '```', chr(10), '```mermaid', chr(10), '```', chr(10)) END) AS content FROM part WHERE p_size <= 20",
+    "scans": "SELECT change_id, critical, high, violations FROM (SELECT user_id AS change_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'purchase') AS high, sum(CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 ELSE 0 END)::BIGINT AS violations FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY day DESC) = 1",
+    "areas": "SELECT area, CASE n % 7 WHEN 0 THEN 'expert_review' WHEN 1 THEN 'dual_review' WHEN 2 THEN NULL WHEN 3 THEN 'unheard_of' ELSE 'auto_merge' END AS recommendation FROM (SELECT lower(concat(p_brand, '/', string_split(p_type, ' ')[1])) AS area, count(*) AS n FROM part GROUP BY 1)",
+    "index_ages": "SELECT o_custkey AS change_id, date_diff('day', max(CAST(o_orderdate AS DATE)), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders))::DOUBLE AS age_hours FROM orders GROUP BY 1",
+    "bundles": "SELECT concat('a', p_partkey) AS area, concat(repeat(concat('## ', p_name, chr(10)), p_size % 12), repeat(concat('See src/', p_brand, '/mod_', p_partkey % 13, '.py and app.py:', p_partkey, chr(10)), p_size), CASE p_partkey % 3 WHEN 0 THEN concat('```mermaid', chr(10), 'graph', chr(10), '```', chr(10)) WHEN 1 THEN '' ELSE concat('```Mermaid', chr(10), '```', chr(10), '```mermaid', chr(10), '```', chr(10)) END) AS content FROM part",
 }
 _NEEDS = {"commit_files": ["paths"], "symbol_files": ["symbols", "paths"], "change_sets": ["paths", "commit_files"]}
 
