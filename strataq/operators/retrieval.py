@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions.text import strip, tokens
 from strataq.operators.ranking import top_per, with_total
+from strataq.sources.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 class Index:
-    """Postings and statistics of (ordinal, path, content) rows; documents without tokens are not in it."""
+    """Postings and statistics of (ordinal, path, content) rows; documents without tokens are not in it. Texts are
+    tokenized once: postings and term counts are written in the shared folder, all else is taken from them."""
+
+    _built: dict[tuple[str, str], Index] = {}
 
     def __init__(self, files: DataFrame) -> None:
-        self.docs = files.select("ordinal", "path", tokens(F.col("content")).alias("tokens")).where(F.size("tokens") > 0)
-        self.postings = self.docs.select("ordinal", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "ordinal").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
-        self.statistics = self.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
+        terms = files.select("ordinal", tokens(F.col("content")).alias("tokens")).select("ordinal", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        self.postings = materialize(terms.groupBy("term", "ordinal").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")))
+        self.terms = materialize(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        self.statistics = self.postings.agg(F.countDistinct("ordinal").alias("n_docs"), F.sum("tf").alias("tokens")).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avg_length"))
+        self.docs = files.select("ordinal", "path").join(self.postings.select("ordinal").distinct(), "ordinal", "left_semi")
+        self.paths = files.select("ordinal", "path")
+
+    @classmethod
+    def of(cls, key: str, files: DataFrame, rebuild: bool = False) -> Index:
+        """The index of ``key``, built once for each application unless ``rebuild`` is asked for."""
+        at = (files.sparkSession.sparkContext.applicationId, key)
+        if rebuild or at not in cls._built:
+            cls._built[at] = cls(files)
+        return cls._built[at]
 
     def idf(self) -> DataFrame:
         """(term, df, idf): negative values give way to a share of the vocabulary's mean."""
-        df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        raw = with_total(df, self.statistics).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        raw = with_total(self.terms, self.statistics).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         mean = raw.agg(F.avg("raw").alias("mean"))
         return with_total(raw, mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -38,7 +54,7 @@ class Index:
         """The best documents of each query by score to four places, ties in document order."""
         s = self.scores(queries).where("score > 0").withColumn("score", F.bround("score", 4))
         best = top_per(s, ["query_id"], top, F.desc("score"), F.asc("ordinal"), name="rank")
-        return best.join(self.docs.select("ordinal", "path"), "ordinal")
+        return best.join(self.paths, "ordinal")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -49,7 +65,10 @@ def lines(files: DataFrame) -> DataFrame:
 def matching_lines(files: DataFrame, query: str, most: int = 3) -> DataFrame:
     """The first lines of each file that share a token with the query, with what they share."""
     wanted = tokens(F.lit(query))
-    found = lines(files).withColumn("shared", F.array_sort(F.array_distinct(F.array_intersect(tokens(F.col("line")), wanted)))).where(F.size("shared") > 0)
+    parts = re.findall("[a-z0-9]{2,}", re.sub("([a-z])([A-Z])", r"\1 \2", query).lower().replace("_", " "))
+    # a line that shares a token holds its letters in a row: the cheap test first
+    near = lines(files).where(F.lower("line").rlike("|".join(parts) if parts else r"\A\z."))
+    found = near.withColumn("shared", F.array_sort(F.array_distinct(F.array_intersect(tokens(F.col("line")), wanted)))).where(F.size("shared") > 0)
     first = top_per(found, ["path"], most, F.asc("line_number"))
     return first.select("path", "line_number", F.left(strip(F.col("line")), F.lit(200)).alias("text"), F.array_join("shared", " ").alias("matched"))
 
@@ -60,6 +79,16 @@ def search_lines(files: DataFrame, pattern: str, most: int = 100) -> DataFrame:
     return top_per(found, ["path"], most, F.asc("line_number")).select("path", "line_number", "line")
 
 
+def search_context(files: DataFrame, pattern: str, context: int = 2, most: int = 100) -> DataFrame:
+    """Lines that match, as in ``search_lines``, with up to ``context`` lines before and after each."""
+    every = files.select("path", F.split("content", "\n").alias("l"))
+    at = F.filter(F.transform("l", lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
+    hit = every.select("path", "l", F.explode(F.slice(at, 1, most)).alias("i"))
+    first = F.greatest(F.lit(0), F.col("i") - context)
+    around = lambda lo, n: F.array_join(F.slice("l", lo + 1, n), "\n")
+    return hit.select("path", (F.col("i") + 1).cast("long").alias("line_number"), F.get("l", F.col("i")).alias("line"), around(first, F.col("i") - first).alias("before"), around(F.col("i") + 1, F.lit(context)).alias("after"))
+
+
 def count_lines(files: DataFrame, pattern: str) -> DataFrame:
     """Matching lines of each file that has any."""
     n = F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(pattern)))

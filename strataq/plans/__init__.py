@@ -1,3 +1,3 @@
 """Named queries; importing the modules registers them."""
 
-from strataq.plans import findings, graph, history, joins, narrative, search, session, streams, trends, validation, verdict  # noqa: F401
+from strataq.plans import findings, graph, history, joins, narrative, search, sections, session, streams, trends, validation, verdict  # noqa: F401

@@ -174,11 +174,6 @@ def security_report_summary(t: Tables) -> DataFrame:
     return u.groupingSets([[F.col("severity")], [F.col("tool")]], F.col("severity"), F.col("tool")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("health_section", sql("findings", """SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(DISTINCT check_id) AS checks, round_even(avg(length(check_id)), 2) AS avg_length FROM findings"""))
-def health_section(t: Tables) -> DataFrame:
-    return t.findings().agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"), F.countDistinct("check_id").alias("checks"), F.bround(F.avg(F.length("check_id")), 2).alias("avg_length"))
-
-
 @query("error_rate_by_type", "SELECT user_id % 10 AS bucket, round_even(100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*), 1) AS percentage FROM events GROUP BY 1")
 def error_rate_by_type(t: Tables) -> DataFrame:
     return t.events.groupBy((F.col("user_id") % 10).alias("bucket")).agg(percent(F.count_if(F.col("event_type") == "error"), F.count(F.lit(1))).alias("percentage"))

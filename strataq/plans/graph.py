@@ -7,38 +7,41 @@ from pyspark.sql import functions as F
 
 from strataq.operators.ranking import with_total
 from strataq.plans.registry import query
+from strataq.sources.session import materialize
 from strataq.sources.tables import Tables, sql
 
 DEPTH = 3
 
 
 def edges(t: Tables) -> DataFrame:
-    """Calls (src, dst) between parts in successive lines of an order, of few orders so that the graph stays sparse."""
-    line = t.lineitem.where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
-    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
-    return line.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
+    """Calls (src, dst): parts of one brand, a module, in successive lines of an order."""
+    part = t.part.select("p_partkey", "p_brand")
+    line = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p_partkey").alias("dst"), "p_brand")
+    return line.withColumnRenamed("p_partkey", "src").join(after, ["l_orderkey", "l_linenumber", "p_brand"]).where("src <> dst").select("src", "dst").distinct()
 
 
-_EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 10 = 0 AND a.l_partkey <> b.l_partkey)"
+_EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part p ON p.p_partkey = a.l_partkey JOIN part r ON r.p_partkey = b.l_partkey AND r.p_brand = p.p_brand WHERE a.l_partkey <> b.l_partkey)"
 
 
 def reached(start: DataFrame, e: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(root, node, depth) of all that call a root within ``depth`` steps. Each round joins only the nodes that the
     round before reached first, so a pair is never expanded twice."""
     seen = front = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    back = e.select(F.col("dst").alias("node"), F.col("src").alias("caller"))
+    back = materialize(e.select(F.col("dst").alias("node"), F.col("src").alias("caller")))
     for d in range(1, depth + 1):
         front = front.join(back, "node").select("root", F.col("caller").alias("node"), F.lit(d).alias("depth")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        front = materialize(front)  # a round's result, so that no round works out those before it again
         seen = seen.unionByName(front)
     return seen
 
 
-_WALK = f"WITH RECURSIVE {_EDGES}, walk AS (SELECT DISTINCT dst AS root, dst AS node, 0 AS depth FROM edges WHERE dst % 40 = 0 UNION SELECT root, src, depth + 1 FROM walk JOIN edges ON dst = node WHERE depth < {DEPTH}), best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2)"
+_WALK = f"WITH RECURSIVE {_EDGES}, walk AS (SELECT DISTINCT dst AS root, dst AS node, 0 AS depth FROM edges UNION SELECT root, src, depth + 1 FROM walk JOIN edges ON dst = node WHERE depth < {DEPTH}), best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2)"
 
 
 def _walk(t: Tables) -> DataFrame:
     e = edges(t)
-    return reached(e.where("dst % 40 = 0").select(F.col("dst").alias("root")).distinct(), e)
+    return reached(e.select(F.col("dst").alias("root")).distinct(), e)
 
 
 @query("blast_radius", _WALK + " SELECT root, count(*) - 1 AS upstream, max(depth) AS depth FROM best GROUP BY 1")

@@ -158,10 +158,11 @@ def hot_changed_files(t: Tables) -> DataFrame:
 
 
 @query("commits_since_index", sql("commits", "SELECT author, count(*) AS commits FROM commits WHERE date > (SELECT max(date) - 30 FROM commits) GROUP BY 1"))
-def commits_since_index(t: Tables) -> DataFrame:
+def commits_since_index(t: Tables, days: int = 30) -> DataFrame:
+    """Commits of each author in the ``days`` up to the newest commit."""
     c = t.commits()
     last = c.agg(F.max("date").alias("last"))
-    return with_total(c, last).where("date > date_sub(last, 30)").groupBy("author").agg(F.count(F.lit(1)).alias("commits"))
+    return with_total(c, last).where(F.col("date") > F.date_sub("last", days)).groupBy("author").agg(F.count(F.lit(1)).alias("commits"))
 
 
 @query("git_evolution_contributors", sql("commits", "SELECT author, count(*) AS commits FROM commits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))

@@ -18,13 +18,13 @@ post AS (SELECT ordinal, len(tokens) AS length, unnest(tokens) AS term FROM docs
 stat AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM docs),
 raw AS (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), stat),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(""" + _TOK.format(x="array_to_string(string_split(text, ' ')[1:6], ' ')") + """) AS term FROM benchmark) GROUP BY 1, 2),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(""" + _TOK.format(x="text") + """) AS term FROM benchmark) GROUP BY 1, 2),
 score AS (SELECT query_id, ordinal, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length))) AS score FROM tf JOIN q USING (term) JOIN idf USING (term), stat GROUP BY 1, 2)"""
 
 
 def _queries(t: Tables) -> DataFrame:
-    """The first six words of each benchmark item."""
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+    """Each benchmark item is a query."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("tokenize", sql("files", f"SELECT path, len(k)::BIGINT AS n_tokens, md5(array_to_string(k, ' ')) AS digest FROM (SELECT path, {_TOK.format(x='content')} AS k FROM files)"))
@@ -35,29 +35,29 @@ def tokenize(t: Tables) -> DataFrame:
 
 @query("bm25_corpus_stats", sql("files", _INDEX + " SELECT n_docs, round(avg_length, 4) AS avg_length, (SELECT count(*) FROM raw) AS vocabulary FROM stat"))
 def bm25_corpus_stats(t: Tables) -> DataFrame:
-    x = S.Index(t.files())
+    x = S.Index.of(t.sf_dir, t.files())
     return with_total(x.statistics, x.postings.agg(F.countDistinct("term").alias("vocabulary"))).withColumn("avg_length", F.round("avg_length", 4))
 
 
 @query("bm25_idf", sql("files", _INDEX + " SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def bm25_idf(t: Tables) -> DataFrame:
-    return S.Index(t.files()).idf().withColumn("idf", F.round("idf", 6))
+    return S.Index.of(t.sf_dir, t.files()).idf().withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_index", sql("files", _INDEX + " SELECT term, ordinal, tf FROM tf"))
 def bm25_index(t: Tables) -> DataFrame:
-    return S.Index(t.files()).postings.select("term", "ordinal", "tf")
+    return S.Index.of(t.sf_dir, t.files()).postings.select("term", "ordinal", "tf")
 
 
 @query("bm25_scores", sql("files", _INDEX + " SELECT query_id, ordinal, round(score, 4) AS score FROM score"))
 def bm25_scores(t: Tables) -> DataFrame:
-    return S.Index(t.files()).scores(_queries(t)).withColumn("score", F.round("score", 4))
+    return S.Index.of(t.sf_dir, t.files()).scores(_queries(t)).withColumn("score", F.round("score", 4))
 
 
 @query("bm25_search", sql("files", _INDEX + """, r AS (SELECT query_id, ordinal, round_even(score, 4) AS score FROM score WHERE score > 0)
 SELECT query_id, ordinal, path, r.score, (row_number() OVER (PARTITION BY query_id ORDER BY r.score DESC, ordinal))::INT AS rank FROM r JOIN docs USING (ordinal) QUALIFY rank <= 20"""))
 def bm25_search(t: Tables) -> DataFrame:
-    return S.Index(t.files()).search(_queries(t)).select("query_id", "ordinal", "path", "score", "rank")
+    return S.Index.of(t.sf_dir, t.files()).search(_queries(t)).select("query_id", "ordinal", "path", "score", "rank")
 
 
 _LINES = ", lines AS (SELECT path, unnest(range(1, len(l) + 1)) AS line_number, unnest(l) AS line FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))"
@@ -90,6 +90,12 @@ def rg_count(t: Tables) -> DataFrame:
     return S.count_lines(t.files(), "[0-9]{3}")
 
 
+@query("rg_search_context", sql("files", """, l AS (SELECT path, string_split(content, chr(10)) AS l FROM files), h AS (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM l)
+SELECT path, i::BIGINT AS line_number, l[i] AS line, array_to_string(l[greatest(1, i - 2):i - 1], chr(10)) AS before, array_to_string(l[i + 1:i + 2], chr(10)) AS after FROM h WHERE regexp_matches(l[i], '[0-9]{3}') QUALIFY row_number() OVER (PARTITION BY path ORDER BY i) <= 100"""))
+def rg_search_context(t: Tables) -> DataFrame:
+    return S.search_context(t.files(), "[0-9]{3}", context=2)
+
+
 @query("read_file_bounded", sql("files", """, l AS (SELECT path, string_split(content, chr(10))[2:4] AS l FROM files)
 SELECT path, array_to_string(list_transform(l, lambda x, i: concat(lpad((i + 1)::VARCHAR, 6, ' '), '| ', regexp_replace(x, '\\s+$', ''))), chr(10)) AS body, len(l)::BIGINT AS lines_read, len(l) >= 3 AS truncated FROM l"""))
 def read_file_bounded(t: Tables) -> DataFrame:
@@ -143,7 +149,8 @@ SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION
 def embedding_topk(t: Tables) -> DataFrame:
     """Cosine top-5 of a stated query set (ids divisible by 50) against all rows."""
     e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = e.where("vec_id % 50 = 0").toDF("query_id", "q")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot("e", "q") / (F.sqrt(dot("e", "e")) * F.sqrt(dot("q", "q"))), 5))
+    e = e.withColumn("n", F.sqrt(dot("e", "e")))  # once a row, not once a pair
+    q = e.where("vec_id % 50 = 0").toDF("query_id", "q", "m")
+    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("e", "q") / (F.col("n") * F.col("m")), 5).alias("similarity"))
     return top_per(s, ["query_id"], 5, F.desc("similarity"), F.asc("vec_id")).select("query_id", "vec_id", "similarity")

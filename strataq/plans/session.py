@@ -167,6 +167,12 @@ def command_summary(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
 
 
-@query("truncate_output", "SELECT page_id, CASE WHEN length(html) > 500 THEN concat(left(html, 500), chr(10), '... [truncated]') ELSE html END AS html FROM pages")
+def truncated(out: Column, err: Column, most_out: int = 100_000, most_err: int = 10_000) -> tuple[Column, Column]:
+    """What a command printed, each stream cut with a marker."""
+    return cut(out, most_out, "\n... [truncated]"), cut(err, most_err, "\n... [truncated]")
+
+
+@query("truncate_output", "SELECT page_id, md5(CASE WHEN length(o) > 100000 THEN concat(left(o, 100000), chr(10), '... [truncated]') ELSE o END) AS out, md5(CASE WHEN length(e) > 10000 THEN concat(left(e, 10000), chr(10), '... [truncated]') ELSE e END) AS err FROM (SELECT page_id, repeat(html, 50) AS o, repeat(url, 300) AS e FROM pages)")
 def truncate_output(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", cut(F.col("html"), 500, "\n... [truncated]").alias("html"))
+    out, err = truncated(F.repeat("html", F.lit(50)), F.repeat("url", F.lit(300)))
+    return t.pages.select("page_id", F.md5(out).alias("out"), F.md5(err).alias("err"))

@@ -11,7 +11,9 @@ from strataq.plans.registry import query
 from strataq.sources.session import ship
 from strataq.sources.tables import Tables
 
-_CASES = ["ls -la", "git log --oneline", "cat /etc/passwd", "ls; rm -rf /", "echo `whoami`", "FOO=bar git -C /tmp/x log", "git push", "curl http://x", "echo ${HOME}", "wc -l 'a b", "git config user.name x", "head /etcetera"]
+_CASES = ["ls -la", "git log --oneline", "cat /etc/passwd", "ls; rm -rf /", "echo `whoami`", "FOO=bar git -C /tmp/x log", "git push", "curl http://x", "echo ${HOME}", "wc -l 'a b", "git config user.name x", "head /etcetera", "cat /tmp/../etc/passwd", "head //proc/self", "git -c a=b show /repo/../repo/x", "A=1 B=2", "/usr/bin/LS /root/..", "git config --list"]
+#: What each of these is refused for, worked out by hand.
+_REASONS = [None, None, "path", "operator", "operator", None, "git", "program", "operator", "malformed", "git", None, "path", "path", None, "empty", "path", None]
 _SQL_CASES = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in _CASES) + "]"
 
 
@@ -61,9 +63,13 @@ def within_repo(t: Tables) -> DataFrame:
     return df.select("p_partkey", shell.within(path, F.lit("/repo")).alias("inside"))
 
 
-@query("validate_command")
+_SQL_REASONS = "[" + ", ".join("NULL" if r is None else f"'{r}'" for r in _REASONS) + "]"
+
+
+@query("validate_command", f"SELECT event_id, command, CASE WHEN i = 16 AND event_id % 7 = 0 THEN 'program' ELSE ({_SQL_REASONS})[i] END AS refusal FROM (SELECT *, event_id % {len(_CASES)} + 1 AS i FROM {_COMMANDS})")
 def validate_command(t: Tables) -> DataFrame:
-    """The first reason to refuse each command; splitting like a shell has no SQL form, so there is no oracle."""
+    """The first reason to refuse each command. Splitting like a shell has no SQL form, so the SQL lists what each of the
+    commands is refused for (a number after assignments is a program)."""
     ship(t.spark)
 
     @F.pandas_udf("string")

@@ -251,11 +251,3 @@ def team_sizing(t: Tables, small: int = 200, large: int = 2000) -> DataFrame:
     """An extension: teams by number of files."""
     n = t.paths().groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("repo")).agg(F.count(F.lit(1)).alias("files"))
     return n.withColumn("teams", F.when(F.col("files") < small, 2).when(F.col("files") <= large, 4).otherwise(6))
-
-
-@query("heuristic_summary", sql("commits paths findings", """SELECT (SELECT count(*) FROM paths) AS file_count, (SELECT count(*) FROM commits) AS total_commits, (SELECT count(DISTINCT author) FROM commits) AS contributors, (SELECT count(*) FROM findings WHERE severity = 'critical') AS critical, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS communities"""))
-def heuristic_summary(t: Tables) -> DataFrame:
-    one = t.paths().agg(F.count(F.lit(1)).alias("file_count"))
-    one = with_total(one, t.commits().agg(F.count(F.lit(1)).alias("total_commits"), F.countDistinct("author").alias("contributors")))
-    one = with_total(one, t.findings().agg(F.count_if(F.col("severity") == "critical").alias("critical")))
-    return with_total(one, t.supplier.agg(F.countDistinct("s_nationkey").alias("communities")))

@@ -1,5 +1,9 @@
 """Fixtures with expected values worked out by hand."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +16,10 @@ def rows(df):
 
 
 FILES = [
-    (0, "auth.py", "def authenticate_user(username, password):\n    # authenticate the user credentials\n    return verify_password(password)\n"),
-    (1, "utils.py", "def format_string(s): return s.strip()"),
-    (2, "main.py", "from auth import authenticate_user"),
-    (3, "tiny.py", "a b c d e f"),
+    (0, "queue.py", "def push_job(queue, job):\n    # a pushed job waits in the queue\n    queue.append(job)\n"),
+    (1, "clock.py", "def tick(now): return now + 1"),
+    (2, "worker.py", "from queue import pushJob"),
+    (3, "tiny.py", "x y z"),
 ]
 
 
@@ -23,11 +27,26 @@ def files(spark):
     return spark.createDataFrame(FILES, "ordinal long, path string, content string")
 
 
+def plain_bm25(query):
+    """{path: score} by the textbook formula."""
+    split = lambda x: [w for w in re.findall("[a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", x).replace("_", " ").lower()) if len(w) > 1]
+    docs = {p: split(c) for _, p, c in FILES if split(c)}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(w for d in docs.values() for w in set(d))
+    idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df.items()}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: low if x < 0 else x for w, x in idf.items()}
+    score = lambda d: sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in split(query))
+    return {p: round(score(d), 4) for p, d in docs.items() if score(d) > 0}
+
+
 def test_bm25(spark):
     index = retrieval.Index(files(spark))
     assert index.docs.count() == 3
-    q = spark.createDataFrame([(1, "authenticate user password"), (2, "zzz"), (3, "")], "query_id long, text string")
-    assert sorted(rows(index.search(q).select("path", "score"))) == [("auth.py", 0.8644), ("main.py", 0.1413)]
+    q = spark.createDataFrame([(1, "push a job to the queue"), (2, "zzz"), (3, "")], "query_id long, text string")
+    got = {r.path: r.score for r in index.search(q).collect()}
+    assert got == pytest.approx(plain_bm25("push a job to the queue"), abs=1e-4) and list(got)
+    assert retrieval.Index.of("k", files(spark)) is retrieval.Index.of("k", files(spark)) is not retrieval.Index.of("k", files(spark), rebuild=True)
 
 
 @pytest.mark.parametrize("given, want", [("getUserName", ["get", "user", "name"]), ("get_user_name", ["get", "user", "name"]), ("a b cc dd", ["cc", "dd"]), ("", [])])
@@ -74,14 +93,61 @@ def test_signals(spark):
 
 
 @pytest.mark.parametrize("command, why", [
-    ("ls -la", None), ("git log --oneline", None), ("wc -l file.py", None), ("git -C /tmp/repo log", None), ("FOO=bar git log", None), ("ls; rm -rf /", "operator"), ("cat file | bash", "operator"),
-    ("echo `whoami`", "operator"), ("echo $(id)", "operator"), ("echo ${HOME}", "operator"), ("echo foo > /tmp/out", "operator"), ("curl http://x", "program"), ("sudo ls", "program"), ("git push", "git"),
-    ("git config user.name x", "git"), ("git config --get user.name", None), ("cat /etc/passwd", "path"), ("ls /root", "path"), ("ls /etcetera", None), ("", "empty"), (None, "empty"), ("A=b", "empty"), ("ls 'x", "malformed"),
+    ("tree -L 2", None), ("git shortlog -sn", None), ("sort names.txt", None), ("git --git-dir x.git show", None), ("LANG=C git diff", None), ("make && make test", "operator"), ("head a | tail", "operator"),
+    ("printf `date`", "operator"), ("printf $(date)", "operator"), ("printf ${USER}", "operator"), ("printf x >> y", "operator"), ("wget x", "program"), ("./run", "operator"), ("git commit", "git"), ("git", None),
+    ("git config core.editor vi", "git"), ("git config --list", None), ("git config", None), ("less /proc/cpuinfo", "path"), ("du /boot", "path"), ("du /bootstrap", None), ("   ", "empty"), (None, "empty"), ("X=1 Y=2", "empty"), ('tr "a b', "malformed"),
+    ("cat /srv/../etc/hosts", "path"), ("cat //etc//hosts", "path"), ("cat /etc/../srv/x", "path"), ("cat /srv/./x", None), ("cat ../etc/hosts", None), ("/bin/CAT /sys", "path"),
 ])
 def test_commands(command, why):
     assert shell.refusal(command) == why
 
 
+def test_search_context(spark):
+    f = spark.createDataFrame([(0, "x", "a\nb1\nc\nd2\ne"), (1, "y", None)], "ordinal long, path string, content string")
+    assert rows(retrieval.search_context(f, "[0-9]", context=1).orderBy("line_number")) == [("x", 2, "b1", "a", "c"), ("x", 4, "d2", "c", "e")]
+
+
+def test_blame_carries_forward(spark):
+    from strataq.plans.sections import blame
+
+    lines = ["\tno author yet", "author-mail <a@x>", "author-time 86400", "\tone", "\ttwo", "author-time soon", "\tthree", "author-mail <b@x>", "author-time 0", "\tfour"]
+    got = blame(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, seq long, line string"))
+    assert sorted(rows(got.select("email", "lines", "last_commit_date", "percentage"))) == [("a@x", 3, "unknown", 75.0), ("b@x", 1, "1970-01-01", 25.0)]
+
+
+def test_views_by_name(spark):
+    from strataq.plans import sections
+    from strataq.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError):
+        sections.static_scan(t, "other")
+    with pytest.raises(ValueError):
+        sections.git_evolution(t, "other")
+    some, none = spark.createDataFrame([("p", 1)], "path string, n long"), spark.createDataFrame([], "path string, n long")
+    assert rows(sections.or_else(some, some)) == [("p", 1, "own")] and rows(sections.or_else(none, some)) == [("p", 1, "summary")]
+
+
+def test_verdict_assembly(spark):
+    """One change with a signal of each family, one without any."""
+    one = lambda schema, *v: spark.createDataFrame([v], schema)
+    change = spark.createDataFrame([(1, 2, 21, 21, 2, ["A", "B"], True, "dual_review", 50.0), (2, 1, 0, 0, 0, [], False, None, None)], "change_id long, n_files long, blast_radius long, n_symbols long, communities long, names array<string>, analysed boolean, area_tier string, age_hours double")
+    scans = one("change_id long, critical long, high long, violations long", 1, 0, 2, 5)
+    trend = one("change_id long, area string, risk_trend string, projected_risk string, current_risk string", 1, "a", "degrading", "high", "medium")
+    parts = [risk.blast_signals(change), risk.community_signals(change), risk.security_signals(scans), risk.churn_signals(one("change_id long, n_hot long, hot_paths array<string>", 1, 1, ["p"])), risk.bus_signals(one("change_id long, areas long", 1, 1)), risk.trend_signals(trend, "change_id"), risk.pattern_signals(scans)]
+    rows_ = parts[0]
+    for p in parts[1:]:
+        rows_ = rows_.unionByName(p)
+    v = {r.change_id: r for r in risk.assemble(change.join(risk.gathered(rows_), "change_id", "left")).collect()}
+    assert [s.signal_type for s in v[1].signals] == ["blast_radius", "cross_community", "security_finding", "churn_rate", "bus_factor", "complexity_spike", "pattern_violation"]
+    assert (v[1].verdict, v[1].next_verdict, v[1].confidence, v[1].exit_code, v[1].should_block, v[1].freshness) == ("block", "block", 0.8, 3, True, "stale")
+    assert v[1].labels == "blocked,needs-security-review,bus-factor-risk,high-blast-radius" and len(v[1].reasons) == 3
+    assert (v[2].verdict, v[2].next_verdict, v[2].confidence, v[2].distance, v[2].labels, v[2].reasons) == ("auto_merge", "single_review", 0.4, 0.0, "auto-approvable", [])
+    blocked = risk.security_signals(one("change_id long, critical long, high long, violations long", 3, 1, 9, 0)).first()
+    assert (blocked.severity, blocked.weight) == ("block", 1.0)
+    assert risk.security_signals(scans, critical_over=0, high_over=2).count() == 0
+
+
 def test_escape_and_cut(spark):
     r = spark.range(1).select(text.escape_html(F.lit("<a href=\"x\">&'")).alias("e"), text.cut(F.lit("abcdef"), 3, "…").alias("c"), text.suffix(F.lit("src/.env")).alias("n"), text.suffix(F.lit("a/B.PY")).alias("s")).first()
     assert tuple(r) == ("&lt;a href=&quot;x&quot;&gt;&amp;&#x27;", "abc…", "", ".py")
