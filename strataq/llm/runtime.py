@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from strataq.sources.session import ship
+from strataq.sources.session import materialize, scratch, ship
+
+__all__ = ["bytes_of", "materialize", "scratch", "small_batches", "table"]
 
 #: Rows of text that one Arrow batch carries to a Python worker; bounds memory when single texts are long.
 ROWS_PER_BATCH = 256
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; only where that is unset (tests) is a local one chosen."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/strataq"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches short (a batch of long texts must fit in a Python worker), and send workers this package."""
     ship(spark)
