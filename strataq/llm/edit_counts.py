@@ -8,7 +8,8 @@ the root.
 
 Edge cases: null text counts as empty (one empty leaf, 0 tokens); edits outside the text are clipped to it; null or no
 edits change nothing; an edit of nothing by nothing counts as an edit but encodes its leaf again; rows that share a
-doc_id are counted separately; an empty table gives no rows. Other columns are kept out of the result.
+doc_id are counted separately; an empty table gives no rows; other columns are kept out of the result. A leaf is as long
+as the text has no safe start: of text without spaces (Chinese, Japanese) a leaf is what lies between two spaces.
 """
 
 from __future__ import annotations
@@ -140,7 +141,8 @@ EDITS = "array<struct<start:long,n_delete:long,insert:string>>"
 
 
 def token_trees(docs: DataFrame, *, tokenizer: str) -> DataFrame:
-    """Leaf lengths and token counts of each document; with its text they are its tree."""
+    """Leaf lengths and token counts of each document; with its text they are its tree. Write the result once and apply
+    edits to what was written: only touched leaves are encoded then."""
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in ["edits"] if c in docs.columns))
     kinds = ", edits " + EDITS if "edits" in docs.columns else ""

@@ -13,7 +13,7 @@ from strataq.llm.jaccard_join import jaccard_join
 from strataq.llm.language_id import identify
 from strataq.llm.packing import pack
 from strataq.llm.quality_rules import quality_rules
-from strataq.llm.runtime import table
+from strataq.llm.runtime import materialize, table
 from strataq.llm.substring_dedup import substring_dedup
 from strataq.llm.url_filter import url_filter
 from strataq.llm.warc import round_trip
@@ -39,7 +39,8 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = derived_edits(table(spark, sf_dir, "documents"))
-    return apply_edits(token_trees(docs, tokenizer=_tokenizer()), tokenizer=_tokenizer())
+    stored = materialize(token_trees(docs, tokenizer=_tokenizer()))  # the trees are a table; edits come to it
+    return apply_edits(stored, tokenizer=_tokenizer())
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
