@@ -184,8 +184,10 @@ def train(docs: DataFrame, *, per_language: int = 600, max_languages: int = 200,
     ``max_languages`` languages give weights and temperature, all rows of these give document frequencies."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "lang").limit(max_languages)
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))
+    # equal rows share a place, so a share of the distinct places is taken: a language of copies is not left out
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(place).alias("of"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(max_languages).drop("n")
     picked = known.join(F.broadcast(sizes), "lang").withColumn("pick", F.when(place < F.lit(float(per_language)) / F.col("of") * F.lit(float(1 << 40)), place))
     kinds = "lang string, pick long, feature binary, n binary"
     found = picked.select("text", "lang", "pick").mapInArrow(_statistics, kinds)
