@@ -19,6 +19,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ SMALL = 16
 CHUNK, CHUNK_GRAMS = 200, 400_000
 #: Distinct runs of words in a block of a tile's matrix.
 COLUMNS = 4096
+#: Classes of a large bucket that all its classes meet first.
+PIVOTS = 8
 _LOW = np.iinfo(np.int64).min
 
 
@@ -189,58 +192,100 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _homes(large: DataFrame) -> DataFrame:
+    """(node, n_grams, key): the bucket of each class of large buckets in which it is dealt into chunks. Classes gather
+    under the largest bucket near them, so that chunks of a group fill up."""
+    home = large.groupBy("node").agg(F.max(F.struct("of", "key")).alias("home"))
+    near = large.select("key", "node").join(home, "node").groupBy("key").agg(F.max("home").alias("home"))
+    home = large.select("key", "node", "n_grams").join(near, "key").groupBy("node").agg(F.max("home").alias("home"), F.first("n_grams").alias("n_grams"))
+    return home.select("node", "n_grams", F.col("home.key").alias("key"), F.lit(False).alias("linked"))
+
+
+def _chunks(home: DataFrame) -> DataFrame:
+    """``home`` with the chunk of each class: (k, linked) name its group, p a part of the group."""
+    of = home.groupBy("key", "linked").agg(F.count(F.lit(1)).alias("of"), F.sum("n_grams").alias("grams"))
+    parts = F.ceil(F.greatest(F.col("of") / CHUNK, F.col("grams") / CHUNK_GRAMS)).cast("long")
+    chunk = F.struct(F.col("key").alias("k"), "linked", F.pmod(F.xxhash64("node", F.lit(5)), parts).alias("p"))
+    return home.join(of, ["key", "linked"]).select("node", "key", chunk.alias("chunk"))
+
+
+def _tiles(large: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(left, right): chunks that share a bucket. A linked group doesn't meet itself; groups meet before their chunks
+    do, so that a bucket of one such group makes no rows."""
+    meets = large.select("key", "node").join(chunks, "node").select("key", "chunk").distinct()
+    meets = materialize(meets.withColumn("group", F.struct("chunk.k", "chunk.linked")))
+    groups = meets.select("key", "group").distinct()
+    facing = groups.toDF("key", "gl").join(groups.toDF("key", "gr"), "key").where("gl < gr OR (gl = gr AND NOT gl.linked)")
+    out = facing.join(meets.toDF("key", "left", "gl"), ["key", "gl"]).join(meets.toDF("key", "right", "gr"), ["key", "gr"])
+    return out.where("left <= right").select("left", "right").distinct()
+
+
 class Join:
-    """The join of ``docs`` with itself; ``membership`` and ``links`` are its results."""
+    """The join of ``docs`` with itself; ``membership`` and ``survivors`` are its results. Without ``counts`` it knows
+    components only, at less cost."""
 
-    def __init__(self, docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> None:
+    def __init__(self, docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.999, counts: bool = True) -> None:
         small_batches(docs.sparkSession)
-        self.n, self.threshold = n, threshold
+        self.n, self.threshold, self.counts = n, threshold, counts
         bands, rows = bands_for(threshold, recall)
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hashed = d.withColumn("h", F.xxhash64("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        hashed = self.docs.withColumn("h", F.xxhash64("text"))
         self.rows = materialize(hashed.mapInArrow(_signatures(n, bands, rows), "doc_id long, node long, n_grams long, h long, bands array<long>"))
-        key = F.coalesce("doc_id", F.lit(_LOW))
-        self.nodes = materialize(self.rows.where("n_grams > 0").groupBy("node").agg(F.min(key).alias("rep"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+        first = F.min(F.coalesce("doc_id", F.lit(_LOW))).alias("rep")
+        self.nodes = materialize(self.rows.where("n_grams > 0").groupBy("node").agg(first, F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
         members = self.nodes.select(F.explode("bands").alias("key"), "node", "n_grams")
-        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.sum("n_grams").alias("grams")).where("of > 1")
+        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
         members = materialize(members.join(buckets, "key"))
-
-        # chunks of the classes in large buckets, and the tiles of chunks that share one
         large = members.where(F.col("of") > SMALL)
-        # classes gather under the largest bucket near them, so that chunks of a group fill up
-        home = large.groupBy("node").agg(F.max(F.struct("of", "key")).alias("home"))
-        near = large.select("key", "node").join(home, "node").groupBy("key").agg(F.max("home").alias("home"))
-        home = large.select("key", "node", "n_grams").join(near, "key").groupBy("node").agg(F.max("home").alias("home"), F.first("n_grams").alias("n_grams"))
-        home = home.select("node", F.col("home.key").alias("key"), "n_grams")
-        home = home.join(home.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.sum("n_grams").alias("grams")), "key")
-        parts = F.ceil(F.greatest(F.col("of") / CHUNK, F.col("grams") / CHUNK_GRAMS)).cast("long")
-        chunk = F.struct(F.col("key").alias("k"), F.pmod(F.xxhash64("node", F.lit(5)), parts).alias("p"))
-        self.chunks = materialize(home.select("node", chunk.alias("chunk")))
-        meets = large.select("key", "node").join(self.chunks, "node").select("key", "chunk").distinct()
-        tiles = meets.withColumnRenamed("chunk", "left").join(meets.withColumnRenamed("chunk", "right"), "key").where("left <= right").select("left", "right").distinct()
-        self.tiles = materialize(tiles)
-
-        few = members.where(F.col("of") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n_grams"))).alias("l"))
-        pairs = few.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
-        fits = F.least("x.n_grams", "y.n_grams") >= F.greatest("x.n_grams", "y.n_grams") * F.lit(threshold) - 1e-9
-        pairs = pairs.where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        c = self.chunks
-        pairs = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
-        tiled = self.tiles.select(F.col("left").alias("ca"), F.col("right").alias("cb"), F.lit(True).alias("tiled"))
-        pairs = pairs.withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb"), "own": F.col("ca").isNotNull() & F.col("cb").isNotNull()})
-        pairs = materialize(pairs.join(tiled, ["ca", "cb"], "left").where(~F.col("own") | F.col("tiled").isNull()).select("a", "b"))
-
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(c.select("node")).distinct()
-        reps = self.nodes.select("node", "rep").join(involved, "node", "left_semi")
-        texts = materialize(d.select(key.alias("rep"), "text").join(reps, "rep").select("node", "text"))
+        home = _homes(large)
+        edges = []
+        if not counts:
+            edges.append(self._pivot_edges(home))
+            found = components(edges[0])
+            home = home.join(found, "node", "left").select("node", "n_grams", F.coalesce("component", "key").alias("key"), F.col("component").isNotNull().alias("linked"))
+        self.chunks = materialize(_chunks(home).select("node", "chunk"))
+        self.tiles = materialize(_tiles(large, self.chunks))
+        pairs = materialize(self._pairs(members.where(F.col("of") <= SMALL)))
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(self.chunks.select("node")).distinct()
+        texts = materialize(self._texts_of(involved))
 
         both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
         self.links = materialize(both.mapInArrow(_similar(n), "a long, b long, similarity double").distinct().where(F.col("similarity") >= threshold))
         sides = self.tiles.select("left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
         sides = sides.withColumn("chunk", F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right")))
-        laid = sides.join(c, "chunk").join(texts, "node").select("left", "right", "side", "node", "text")
+        laid = sides.join(self.chunks, "chunk").join(texts, "node").select("left", "right", "side", "node", "text")
         self.tiled = materialize(laid.groupBy("left", "right").applyInArrow(_tile(n, threshold), "a long, b long, n long"))
-        self.parts = components(self.links.select("a", "b").unionByName(self.tiled.where("b IS NOT NULL").select("a", "b")))
+        edges += [self.links.select("a", "b"), self.tiled.where("b IS NOT NULL").select("a", "b")]
+        self.parts = components(functools.reduce(DataFrame.unionByName, edges))
+
+    def _texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of text classes."""
+        reps = self.nodes.select("node", "rep").join(nodes, "node", "left_semi")
+        return self.docs.select(F.coalesce("doc_id", F.lit(_LOW)).alias("rep"), "text").join(reps, "rep").select("node", "text")
+
+    def _pivot_edges(self, home: DataFrame) -> DataFrame:
+        """Edges (a, b) between classes of large buckets and the pivots of their bucket. A pivot goes to each chunk once."""
+        c = _chunks(home.withColumn("linked", F.lit(False)))
+        drawn = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(PIVOTS))))
+        chosen = home.groupBy("key").agg(drawn.alias("nodes")).select("key", F.explode("nodes").alias("node"))
+        faced = c.select("key", "chunk").distinct().join(chosen, "key").select("chunk", F.lit(1).alias("side"), "node")
+        sides = materialize(c.select("chunk", F.lit(0).alias("side"), "node").unionByName(faced))
+        laid = sides.join(self._texts_of(sides.select("node").distinct()), "node").select("chunk", "side", "node", "text")
+        found = laid.groupBy("chunk").applyInArrow(_tile(self.n, self.threshold), "a long, b long, n long")
+        return materialize(found.where("b IS NOT NULL").select("a", "b"))
+
+    def _pairs(self, few: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of small buckets whose sizes allow the threshold and which no tile or component holds."""
+        few = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n_grams"))).alias("l"))  # SMALL at most
+        pairs = few.select(F.posexplode("l").alias("i", "x"), "l").select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
+        fits = F.least("x.n_grams", "y.n_grams") >= F.greatest("x.n_grams", "y.n_grams") * F.lit(self.threshold) - 1e-9
+        pairs = pairs.where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        pairs = pairs.join(self.chunks.toDF("a", "ca"), "a", "left").join(self.chunks.toDF("b", "cb"), "b", "left")
+        connected = F.coalesce(F.col("ca.linked") & F.col("cb.linked") & (F.col("ca.k") == F.col("cb.k")), F.lit(False))
+        pairs = pairs.where(~connected).withColumn("own", F.col("ca").isNotNull() & F.col("cb").isNotNull())
+        pairs = pairs.withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
+        tiled = self.tiles.select(F.col("left").alias("ca"), F.col("right").alias("cb"), F.lit(True).alias("tiled"))
+        return pairs.join(tiled, ["ca", "cb"], "left").where(~F.col("own") | F.col("tiled").isNull()).select("a", "b")
 
     @property
     def classes(self) -> DataFrame:
@@ -251,6 +296,8 @@ class Join:
     @property
     def membership(self) -> DataFrame:
         """doc_id, class_id, n_links of each row of the documents."""
+        if not self.counts:
+            raise ValueError("a join without counts has no numbers of links")
         ends = self.links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
         ends = ends.unionByName(self.tiled.where("n IS NOT NULL").select(F.col("a").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
         node = self.classes.join(ends, "node", "left")
@@ -277,7 +324,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall:
 def keep_one(docs: DataFrame, **parameters: object) -> DataFrame:
     """One row of ``docs`` of each class: that of smallest doc_id. A row is known by doc_id and text: rows that share a
     doc_id (or have none) with different texts are judged apart, equal rows are one."""
-    keep = Join(docs, **parameters).survivors.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"))
+    keep = Join(docs, counts=False, **parameters).survivors.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"))
     names = [f"`{c}`" for c in docs.columns]
     d = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     kept = d.join(keep, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_h")), "left_semi")

@@ -139,6 +139,29 @@ def test_jaccard_join(spark, docs, monkeypatch, small, chunk):
     assert any(k[2] for k in want)
 
 
+def test_components_without_counts(spark, docs, monkeypatch):
+    """Pivots leave out comparisons, never links: chains that no pivot spans, copies of one text, and the fixture."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    chain = [(1000 + k, " ".join(f"c{i}" for i in range(4 * k, 4 * k + 64))) for k in range(25)]
+    star = [(2000 + k, " ".join(f"s{k}" if i == k else f"s_{i}" for i in range(90))) for k in range(40)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(chain + star, "doc_id long, text string"))
+    full, less = jaccard_join.Join(d), jaccard_join.Join(d, counts=False)
+    assert Counter(map(tuple, less.survivors.collect())) == Counter(map(tuple, full.survivors.collect()))
+    assert {r.class_id for r in full.membership.where("doc_id >= 1000").collect()} == {1000, 2000}
+    with pytest.raises(ValueError):
+        less.membership
+
+
+def test_a_group_of_near_copies_has_no_tiles_without_counts(spark):
+    rows = [(k, " ".join(f"s{k}" if i == k % 90 else f"s_{i}" for i in range(90))) for k in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    less = jaccard_join.Join(d, counts=False)
+    assert less.tiles.count() == 0 and [r.doc_id for r in less.survivors.collect()] == [0]
+    assert jaccard_join.Join(d).tiles.count() > 0
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard_join.jaccard_join(empty(spark)).count() == 0
     bands, rows = jaccard_join.bands_for(0.8, 0.999)
