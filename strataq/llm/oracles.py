@@ -86,4 +86,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_chat_formatting": OP2, "op3_decontamination": OP3, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op8_warc": OP8}
+#: CRC-32 from its rule, byte by byte, of each distinct feature.
+OP12 = r"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+x AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+g AS (SELECT side, id, array_to_string(w[i:i + k], ' ') AS g FROM (SELECT side, id, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM w, (SELECT unnest([0, 1, 2]) AS k) WHERE len(w) > k)),
+c AS MATERIALIZED (SELECT side, id, g, count(*) AS c FROM g GROUP BY ALL),
+b AS MATERIALIZED (SELECT g, xor(list_reduce(list_transform(range(strlen(g)), lambda i: ('0x' || substr(hex(encode(g)), (2 * i + 1)::INT, 2))::BIGINT), lambda s, v: xor(tab[(1 + xor(s, v) % 256)::INT], s // 256), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT g FROM c), tab),
+n AS (SELECT b, coalesce(sum(c) FILTER (side = 0), 0) AS s, coalesce(sum(c) FILTER (side = 1), 0) AS t FROM c JOIN b USING (g) GROUP BY 1),
+a AS (SELECT sum(s) AS ss, sum(t) AS tt FROM n),
+gain AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM n, a),
+d AS (SELECT id, sum(c) AS n, sum(c * gain) AS weight FROM c JOIN b USING (g) JOIN gain USING (b) WHERE side = 0 GROUP BY 1),
+o AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d USING (id) WHERE side = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS of FROM o WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * of // 100 THEN rank END AS rank FROM o LEFT JOIN r USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_chat_formatting": OP2, "op3_decontamination": OP3, "op5_jaccard_join": OP5, "op6_quality_rules": OP6, "op8_warc": OP8, "op12_importance_resampling": OP12}

@@ -12,11 +12,14 @@ from strataq.llm.edit_counts import apply_edits, derived_edits, token_trees
 from strataq.llm.jaccard_join import jaccard_join
 from strataq.llm.language_id import identify
 from strataq.llm.packing import pack
+from strataq.llm.pii import personal_data
 from strataq.llm.quality_rules import quality_rules
+from strataq.llm.resampling import importance_resampling
 from strataq.llm.runtime import materialize, table
 from strataq.llm.substring_dedup import substring_dedup
 from strataq.llm.url_filter import url_filter
 from strataq.llm.warc import round_trip
+from strataq.llm.whitening import embedding_whitening
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=_tokenizer(), window=1024)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -78,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_pii": op13_pii,
 }
