@@ -228,5 +228,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spans_of(F.col("text")).alias("s"))
     base = F.filter("s", lambda s: s["base"])
-    counts = [F.size(F.filter("s", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("s", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"))
