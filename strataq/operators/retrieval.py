@@ -1,4 +1,4 @@
-"""Ranked search (Okapi BM25) and regular-expression search over text tables."""
+"""Regular-expression and token search over text tables."""
 
 from __future__ import annotations
 
@@ -8,54 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions.text import strip, tokens
-from strataq.operators.ranking import top_per, with_total
-from strataq.sources.session import materialize
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-class Index:
-    """Postings and statistics of (ordinal, path, content) rows; documents without tokens are not in it. Texts are
-    tokenized once: postings and term counts are written in the shared folder, all else is taken from them."""
-
-    _built: dict[tuple[str, str], Index] = {}
-
-    def __init__(self, files: DataFrame) -> None:
-        terms = files.select("ordinal", tokens(F.col("content")).alias("tokens")).select("ordinal", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        self.postings = materialize(terms.groupBy("term", "ordinal").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")))
-        self.terms = materialize(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-        self.statistics = self.postings.agg(F.countDistinct("ordinal").alias("n_docs"), F.sum("tf").alias("tokens")).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avg_length"))
-        self.docs = files.select("ordinal", "path").join(self.postings.select("ordinal").distinct(), "ordinal", "left_semi")
-        self.paths = files.select("ordinal", "path")
-
-    @classmethod
-    def of(cls, key: str, files: DataFrame, rebuild: bool = False) -> Index:
-        """The index of ``key``, built once for each application unless ``rebuild`` is asked for."""
-        at = (files.sparkSession.sparkContext.applicationId, key)
-        if rebuild or at not in cls._built:
-            cls._built[at] = cls(files)
-        return cls._built[at]
-
-    def idf(self) -> DataFrame:
-        """(term, df, idf): negative values give way to a share of the vocabulary's mean."""
-        raw = with_total(self.terms, self.statistics).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        mean = raw.agg(F.avg("raw").alias("mean"))
-        return with_total(raw, mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, ordinal, score) for (query_id, text) rows; terms count as often as a query has them."""
-        q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-        hit = self.postings.join(q, "term").join(self.idf().select("term", "idf"), "term")
-        hit = with_total(hit, self.statistics)
-        gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-        return hit.groupBy("query_id", "ordinal").agg(F.sum(gain).alias("score"))
-
-    def search(self, queries: DataFrame, top: int = 20) -> DataFrame:
-        """The best documents of each query by score to four places, ties in document order."""
-        s = self.scores(queries).where("score > 0").withColumn("score", F.bround("score", 4))
-        best = top_per(s, ["query_id"], top, F.desc("score"), F.asc("ordinal"), name="rank")
-        return best.join(self.paths, "ordinal")
-
+from strataq.operators.ranking import top_per
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, line_number, line) with lines counted from 1."""

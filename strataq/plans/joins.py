@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.operators import history as H
+from strataq.operators import registry as G
 from strataq.operators import risk as R
 from strataq.plans.registry import query
+from strataq.sources.session import scratch
 from strataq.sources.tables import Tables, sql
+from strataq.sources.versions import VersionedTable
 
 
 @query("match_risk_areas", sql("paths commit_files change_sets", "SELECT DISTINCT change_id, r AS area FROM change_sets JOIN (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS r FROM part) ON contains(lower(path), r)"))
@@ -65,10 +68,41 @@ def detect_frameworks(t: Tables) -> DataFrame:
 
 @query("registry_upsert", "SELECT c_custkey AS alias, concat('new/', c_custkey) AS path, true AS indexed FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, concat('old/', c_custkey), false FROM customer WHERE c_custkey % 3 <> 0")
 def registry_upsert(t: Tables) -> DataFrame:
-    """Later entries win: old ones without a newer entry of the same alias, and the new."""
+    """Later entries win: the old ones are kept in a table, and the new are merged into it."""
     old = t.customer.select(F.col("c_custkey").alias("alias"), F.concat(F.lit("old/"), "c_custkey").alias("path"), F.lit(False).alias("indexed"))
     new = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("alias"), F.concat(F.lit("new/"), "c_custkey").alias("path"), F.lit(True).alias("indexed"))
-    return old.join(new.select("alias"), "alias", "left_anti").unionByName(new)
+    table = VersionedTable(t.spark, scratch(t.spark), ["alias"])
+    table.merge(old, batch=1)
+    table.merge(new, batch=2)
+    table.merge(old, batch=1)  # a batch that comes again
+    return table.read()
+
+
+_REPOS = """repos AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'moved/' ELSE 'repos/' END AS top FROM supplier WHERE s_suppkey % 10 <> 0),
+per AS (SELECT l_suppkey AS k, l_linenumber AS a, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)
+SELECT concat('r', k) AS alias, concat(top, k) AS path, CASE top WHEN 'moved/' THEN '1998-02-01' ELSE '1998-01-01' END AS analyzed_at, top = 'repos/' AND count(*) FILTER (a = 1) > 0 AS indexed,
+  (count(*) FILTER (top = 'repos/' AND a <= 4 AND f = 'A' OR top = 'repos/' AND a = 1))::BIGINT AS artifact_count FROM repos LEFT JOIN per USING (k) GROUP BY k, top"""
+
+
+@query("registry_artifacts", "WITH " + _REPOS)
+def registry_artifacts(t: Tables) -> DataFrame:
+    """Suppliers as repositories with artifact files for the kinds of lines they have, registered, a third of them again at
+    another path (a batch that is retried), and a tenth taken out."""
+    folder = scratch(t.spark)
+    per = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag")).where("l_linenumber = 1 OR (l_linenumber <= 4 AND flag = 'A')")
+    name = F.when(F.col("l_linenumber") == 1, G.INDEX).otherwise(F.concat(F.lit("part"), "l_linenumber", F.lit(".json")))
+    one = per.select(F.col("l_suppkey").alias("repo"), name.alias("artifact"), F.col("flag").alias("value"))
+    one.repartition("repo").write.partitionBy("repo", "artifact").text(f"{folder}/files")
+    # Spark names its files itself, so an artifact is a folder here, which counts as one entry
+    listed = G.listing(t.spark, f"{folder}/files").select(F.regexp_replace("path", "^.*/repo=([^/]+)/artifact=", f"repos/$1/{G.OUTPUT}/").alias("path"))
+    repos = t.supplier.select(F.concat(F.lit("r"), "s_suppkey").alias("alias"), F.concat(F.lit("repos/"), "s_suppkey").alias("path"), F.lit("1998-01-01").alias("analyzed_at"), "s_suppkey")
+    moved = repos.where("s_suppkey % 3 = 0").select("alias", F.concat(F.lit("moved/"), "s_suppkey").alias("path"), F.lit("1998-02-01").alias("analyzed_at"))
+    registry = G.Registry(t.spark, f"{folder}/registry")
+    registry.register(repos.drop("s_suppkey"), listed, batch=1)
+    registry.register(moved, listed, batch=2)
+    registry.register(moved, listed, batch=2)
+    registry.unregister(repos.where("s_suppkey % 10 = 0").select("alias"), batch=3)
+    return registry.entries()
 
 
 @query("registry_lookup", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")

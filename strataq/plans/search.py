@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.text import suffix, tokens
 from strataq.operators import retrieval as S
+from strataq.operators.index import Index
 from strataq.operators.ranking import top_per, with_total
 from strataq.plans.registry import query
 from strataq.sources.tables import Tables, sql
@@ -35,29 +36,29 @@ def tokenize(t: Tables) -> DataFrame:
 
 @query("bm25_corpus_stats", sql("files", _INDEX + " SELECT n_docs, round(avg_length, 4) AS avg_length, (SELECT count(*) FROM raw) AS vocabulary FROM stat"))
 def bm25_corpus_stats(t: Tables) -> DataFrame:
-    x = S.Index.of(t.sf_dir, t.files())
+    x = Index.of(t.sf_dir, t.files_and_origin())
     return with_total(x.statistics, x.postings.agg(F.countDistinct("term").alias("vocabulary"))).withColumn("avg_length", F.round("avg_length", 4))
 
 
 @query("bm25_idf", sql("files", _INDEX + " SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def bm25_idf(t: Tables) -> DataFrame:
-    return S.Index.of(t.sf_dir, t.files()).idf().withColumn("idf", F.round("idf", 6))
+    return Index.of(t.sf_dir, t.files_and_origin()).idf().withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_index", sql("files", _INDEX + " SELECT term, ordinal, tf FROM tf"))
 def bm25_index(t: Tables) -> DataFrame:
-    return S.Index.of(t.sf_dir, t.files()).postings.select("term", "ordinal", "tf")
+    return Index.of(t.sf_dir, t.files_and_origin()).postings.select("term", "ordinal", "tf")
 
 
 @query("bm25_scores", sql("files", _INDEX + " SELECT query_id, ordinal, round(score, 4) AS score FROM score"))
 def bm25_scores(t: Tables) -> DataFrame:
-    return S.Index.of(t.sf_dir, t.files()).scores(_queries(t)).withColumn("score", F.round("score", 4))
+    return Index.of(t.sf_dir, t.files_and_origin()).scores(_queries(t)).withColumn("score", F.round("score", 4))
 
 
 @query("bm25_search", sql("files", _INDEX + """, r AS (SELECT query_id, ordinal, round_even(score, 4) AS score FROM score WHERE score > 0)
 SELECT query_id, ordinal, path, r.score, (row_number() OVER (PARTITION BY query_id ORDER BY r.score DESC, ordinal))::INT AS rank FROM r JOIN docs USING (ordinal) QUALIFY rank <= 20"""))
 def bm25_search(t: Tables) -> DataFrame:
-    return S.Index.of(t.sf_dir, t.files()).search(_queries(t)).select("query_id", "ordinal", "path", "score", "rank")
+    return Index.of(t.sf_dir, t.files_and_origin()).search(_queries(t)).select("query_id", "ordinal", "path", "score", "rank")
 
 
 _LINES = ", lines AS (SELECT path, unnest(range(1, len(l) + 1)) AS line_number, unnest(l) AS line FROM (SELECT path, string_split(content, chr(10)) AS l FROM files))"

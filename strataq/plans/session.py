@@ -27,9 +27,12 @@ def resolve_phase(t: Tables) -> DataFrame:
     return with_phase(t, t.tool_events()).groupBy("tool", "phase").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("phase_transitions", sql("tool_events", f""", p AS (SELECT session, seq, {_PHASE} AS phase FROM tool_events),
+_TRANSITIONS = f""", p AS (SELECT session, seq, {_PHASE} AS phase FROM tool_events),
 m AS (SELECT *, max(phase) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p WHERE phase IS NOT NULL)
-SELECT session, phase, seq AS started, lead(seq) OVER (PARTITION BY session ORDER BY seq) AS completed FROM m WHERE best IS NULL OR phase > best"""))
+SELECT session, phase, seq AS started, lead(seq) OVER (PARTITION BY session ORDER BY seq) AS completed FROM m WHERE best IS NULL OR phase > best"""
+
+
+@query("phase_transitions", sql("tool_events", _TRANSITIONS))
 def phase_transitions(t: Tables) -> DataFrame:
     """A phase begins with the first event above all earlier ones and ends where the next begins."""
     w = Window.partitionBy("session").orderBy("seq")
@@ -68,7 +71,10 @@ def tool_summary(t: Tables) -> DataFrame:
     return top_per(per, ["session"], 5, F.desc("n"), F.asc("kind")).drop("place")
 
 
-@query("tool_call_pairs", sql("tool_events", "SELECT session, seq AS started, lead(seq) OVER w AS ended, tool, left(lead(result) OVER w, 20) AS result FROM tool_events WINDOW w AS (PARTITION BY session ORDER BY seq) QUALIFY row_number() OVER w % 2 = 1 AND ended IS NOT NULL"))
+_PAIRS = "SELECT session, seq AS started, lead(seq) OVER w AS ended, tool, left(lead(result) OVER w, 20) AS result FROM tool_events WINDOW w AS (PARTITION BY session ORDER BY seq) QUALIFY row_number() OVER w % 2 = 1 AND ended IS NOT NULL"
+
+
+@query("tool_call_pairs", sql("tool_events", _PAIRS))
 def tool_call_pairs(t: Tables) -> DataFrame:
     """Odd events start the single active call, even ones end it."""
     w = Window.partitionBy("session").orderBy("seq")
@@ -88,7 +94,10 @@ def team_sessions(t: Tables) -> DataFrame:
     return numbered("dispatch_team", "started").join(numbered("read_team_findings", "completed"), ["session", "team"], "left")
 
 
-@query("session_state", sql("tool_events", "SELECT session, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'completed') AS successes, max(length(result))::BIGINT AS longest, count(DISTINCT tool) AS tools FROM tool_events GROUP BY 1"))
+_STATE = "SELECT session, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'completed') AS successes, max(length(result))::BIGINT AS longest, count(DISTINCT tool) AS tools FROM tool_events GROUP BY 1"
+
+
+@query("session_state", sql("tool_events", _STATE))
 def session_state(t: Tables) -> DataFrame:
     return t.tool_events().groupBy("session").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "completed").alias("successes"), F.max(F.length("result")).cast("long").alias("longest"), F.countDistinct("tool").alias("tools"))
 

@@ -15,6 +15,15 @@ EXTENSIONS = ["py", "ts", "tsx", "js", "go", "rs", "java", "md"]
 SINCE = "1998-01-01"
 
 
+def tool_calls(events: DataFrame) -> DataFrame:
+    """(session, seq, ts, tool, status, value, result): a tool call for each event, of a table or a stream."""
+    names = ["read_heuristic_summary", "dispatch_team", "rg_search", "gitnexus_query", "read_team_findings", "write_bundle", "shell", "context7_query-docs", "git_hotspots"]
+    tool = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    failed = F.col("event_type") == "error"
+    result = F.when(failed, F.concat(F.lit('{"status": "error", "message": "m'), F.col("event_id"), F.lit('"}'))).otherwise(F.concat(F.lit('{"status": "success", "file_count": '), F.col("user_id"), F.lit("}")))
+    return events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", tool.alias("tool"), F.when(failed, "error").otherwise("completed").alias("status"), "value", result.alias("result"))
+
+
 class Tables:
     """Tables of one folder, read when asked for."""
 
@@ -51,6 +60,11 @@ class Tables:
         """(ordinal, path, content) of a text file for each document."""
         return self.documents.select(F.col("doc_id").alias("ordinal"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"), F.col("text").alias("content"))
 
+    def files_and_origin(self) -> DataFrame:
+        """``files`` with the table's own file that each is from, its size and time."""
+        own = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_size", "size"), ("file_modification_time", "modified"))]
+        return self.documents.select(F.col("doc_id").alias("ordinal"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"), F.col("text").alias("content"), *own)
+
     def findings(self) -> DataFrame:
         """(id, check_id, severity, file) of a scanner finding for each event."""
         kind = F.col("event_type")
@@ -60,11 +74,7 @@ class Tables:
 
     def tool_events(self) -> DataFrame:
         """(session, seq, tool, status, value, result) of a tool call for each event."""
-        names = ["read_heuristic_summary", "dispatch_team", "rg_search", "gitnexus_query", "read_team_findings", "write_bundle", "shell", "context7_query-docs", "git_hotspots"]
-        tool = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
-        failed = F.col("event_type") == "error"
-        result = F.when(failed, F.concat(F.lit('{"status": "error", "message": "m'), F.col("event_id"), F.lit('"}'))).otherwise(F.concat(F.lit('{"status": "success", "file_count": '), F.col("user_id"), F.lit("}")))
-        return self.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", tool.alias("tool"), F.when(failed, "error").otherwise("completed").alias("status"), "value", result.alias("result"))
+        return tool_calls(self.events)
 
     def risk_snapshots(self) -> DataFrame:
         """(area, seq, risk_level, churn_rank, contributor_count, test_coverage) of an area for each day; an area has the

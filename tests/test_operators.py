@@ -1,9 +1,5 @@
 """Fixtures with expected values worked out by hand."""
 
-import math
-import re
-from collections import Counter
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,40 +11,6 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-FILES = [
-    (0, "queue.py", "def push_job(queue, job):\n    # a pushed job waits in the queue\n    queue.append(job)\n"),
-    (1, "clock.py", "def tick(now): return now + 1"),
-    (2, "worker.py", "from queue import pushJob"),
-    (3, "tiny.py", "x y z"),
-]
-
-
-def files(spark):
-    return spark.createDataFrame(FILES, "ordinal long, path string, content string")
-
-
-def plain_bm25(query):
-    """{path: score} by the textbook formula."""
-    split = lambda x: [w for w in re.findall("[a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", x).replace("_", " ").lower()) if len(w) > 1]
-    docs = {p: split(c) for _, p, c in FILES if split(c)}
-    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
-    df = Counter(w for d in docs.values() for w in set(d))
-    idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df.items()}
-    low = 0.25 * sum(idf.values()) / len(idf)
-    idf = {w: low if x < 0 else x for w, x in idf.items()}
-    score = lambda d: sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in split(query))
-    return {p: round(score(d), 4) for p, d in docs.items() if score(d) > 0}
-
-
-def test_bm25(spark):
-    index = retrieval.Index(files(spark))
-    assert index.docs.count() == 3
-    q = spark.createDataFrame([(1, "push a job to the queue"), (2, "zzz"), (3, "")], "query_id long, text string")
-    got = {r.path: r.score for r in index.search(q).collect()}
-    assert got == pytest.approx(plain_bm25("push a job to the queue"), abs=1e-4) and list(got)
-    assert retrieval.Index.of("k", files(spark)) is retrieval.Index.of("k", files(spark)) is not retrieval.Index.of("k", files(spark), rebuild=True)
-
-
 @pytest.mark.parametrize("given, want", [("getUserName", ["get", "user", "name"]), ("get_user_name", ["get", "user", "name"]), ("a b cc dd", ["cc", "dd"]), ("", [])])
 def test_tokens(spark, given, want):
     assert spark.range(1).select(text.tokens(F.lit(given)).alias("t")).first()["t"] == want
