@@ -231,8 +231,9 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         hashed = self.docs.withColumn("h", F.xxhash64("text"))
         self.rows = materialize(hashed.mapInArrow(_signatures(n, bands, rows), "doc_id long, node long, n_grams long, h long, bands array<long>"))
-        first = F.min(F.coalesce("doc_id", F.lit(_LOW))).alias("rep")
-        self.nodes = materialize(self.rows.where("n_grams > 0").groupBy("node").agg(first, F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+        first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LOW)).alias("rep"), "h")).alias("f")
+        nodes = self.rows.where("n_grams > 0").groupBy("node").agg(first, F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+        self.nodes = materialize(nodes.select("node", "f.rep", "f.h", "n_grams", "bands"))
         members = self.nodes.select(F.explode("bands").alias("key"), "node", "n_grams")
         buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
         members = materialize(members.join(buckets, "key"))
@@ -259,9 +260,11 @@ class Join:
         self.parts = components(functools.reduce(DataFrame.unionByName, edges))
 
     def _texts_of(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of text classes."""
-        reps = self.nodes.select("node", "rep").join(nodes, "node", "left_semi")
-        return self.docs.select(F.coalesce("doc_id", F.lit(_LOW)).alias("rep"), "text").join(reps, "rep").select("node", "text")
+        """(node, text) of text classes, one text each: that of the row that stands for the class by doc_id and text hash.
+        Rows that repeat it are dropped in their task, before anything is sent."""
+        reps = self.nodes.select("node", "rep", "h").join(nodes, "node", "left_semi")
+        of = self.docs.select(F.coalesce("doc_id", F.lit(_LOW)).alias("rep"), F.xxhash64("text").alias("h"), "text")
+        return of.join(reps, ["rep", "h"]).select("node", "text").dropDuplicates(["node"])
 
     def _pivot_edges(self, home: DataFrame) -> DataFrame:
         """Edges (a, b) between classes of large buckets and the pivots of their bucket. A pivot goes to each chunk once."""
