@@ -3,8 +3,10 @@
 Letters are lower-cased and all else is a blank; n-grams of one to three characters are hashed to ``2**BITS`` features.
 Document frequencies come from all labelled training documents. Weights are fitted by follow-the-regularised-leader
 with elastic-net penalties on a bounded sample, ``per_language`` training documents of each language that the hash of
-their ids and texts picks (equal rows once), of at most ``max_languages`` languages, the most frequent ones; a further
-share of the sample fits the temperature. Prediction reads whole texts.
+their ids and texts picks (equal rows once; fewer where languages are many, ``max_texts`` in all), of at most
+``max_languages`` languages, the most frequent ones; of a sampled text its ``PER_TEXT`` most frequent features count. So the
+driver receives at most 12 bytes x PER_TEXT x about max_texts, some 300 MB, whatever the corpus, and document frequencies
+as one row a feature. A further share of the sample fits the temperature. Prediction reads whole texts.
 
 Edge cases: a text that is null or has no letter (by Unicode category, in all planes) is ``und`` with score 0, and so is
 every text where nothing could be learned; a null doc_id counts as training; rows that share a doc_id are predicted
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.runtime import small_batches
+from strataq.llm.runtime import materialize, small_batches
 
 BITS = 15
 SIZE = 1 << BITS
 ORDERS = 3
+#: Features of a sampled text that give weights, the most frequent ones.
+PER_TEXT = 2048
 _POINTS = 0x110000
 
 
@@ -131,10 +135,14 @@ def calibrate(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> N
     model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
 
 
+_SAMPLED = pa.schema([("lang", pa.string()), ("pick", pa.int64()), ("feature", pa.binary()), ("n", pa.binary()), ("f", pa.int64()), ("df", pa.int64())])
+#: Of document frequencies, the row that counts documents.
+_ALL = -1
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of a task's texts, and the counts of those in the sample."""
+    """A task's document frequencies, a row a feature, and the counts of its texts in the sample."""
     df, docs, seen = np.zeros(SIZE, np.int64), 0, set()
-    kinds = pa.schema([("lang", pa.string()), ("pick", pa.int64()), ("feature", pa.binary()), ("n", pa.binary())])
     for b in batches:
         out: dict[str, list] = {"lang": [], "pick": [], "feature": [], "n": []}
         for text, lang, pick in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("pick").to_pylist(), strict=True):
@@ -145,33 +153,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs += 1
             if pick is not None and (lang, pick) not in seen:
                 seen.add((lang, pick))
+                if len(i) > PER_TEXT:
+                    most = np.sort(np.argsort(-n, kind="stable")[:PER_TEXT])
+                    i, n = i[most], n[most]
                 out["lang"].append(lang), out["pick"].append(pick)
-                out["feature"].append(i.astype(np.uint32).tobytes()), out["n"].append(n.astype(np.uint32).tobytes())
-        if out["lang"]:
-            yield pa.RecordBatch.from_pydict(out, schema=kinds)
-    if docs:
-        i = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"lang": [None], "pick": [docs], "feature": [i.astype(np.uint32).tobytes()], "n": [df[i].tobytes()]}, schema=kinds)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum document frequencies within a task; of the rest, each (lang, pick) passes once."""
-    df, docs, seen = np.zeros(SIZE, np.int64), 0, set()
-    for b in batches:
-        own = pa.compute.is_null(b.column("lang"))
-        for r in b.filter(own).to_pylist():
-            df[np.frombuffer(r["feature"], np.uint32)] += np.frombuffer(r["n"], np.int64)
-            docs += r["pick"]
-        rest = b.filter(pa.compute.invert(own))
-        first = []
-        for key in zip(rest.column("lang").to_pylist(), rest.column("pick").to_pylist(), strict=True):
-            first.append(key not in seen)
-            seen.add(key)
-        if any(first):
-            yield rest.filter(pa.array(first))
+                out["feature"].append(i.astype(np.uint32).tobytes()), out["n"].append(n.tobytes())
+        if m := len(out["lang"]):
+            yield pa.RecordBatch.from_pydict(out | {"f": [None] * m, "df": [None] * m}, schema=_SAMPLED)
     if docs:
-        i = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"lang": [None], "pick": [docs], "feature": [i.astype(np.uint32).tobytes()], "n": [df[i].tobytes()]}, schema=pa.schema([("lang", pa.string()), ("pick", pa.int64()), ("feature", pa.binary()), ("n", pa.binary())]))
+        i = np.append(np.flatnonzero(df), _ALL)
+        none = [None] * len(i)
+        yield pa.RecordBatch.from_pydict({"lang": none, "pick": none, "feature": none, "n": none, "f": i, "df": np.append(df[i[:-1]], docs)}, schema=_SAMPLED)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -179,29 +171,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4, F.lit(0)) == 2
 
 
-def train(docs: DataFrame, *, per_language: int = 600, max_languages: int = 200, seed: int = 0) -> Model:
+def train(docs: DataFrame, *, per_language: int = 600, max_languages: int = 200, max_texts: int = 12_000, seed: int = 0) -> Model:
     """Fit on rows of ``docs`` (doc_id, text, lang), whose fold is left out; at most about ``per_language`` of each of
-    ``max_languages`` languages give weights and temperature, all rows of these give document frequencies."""
+    ``max_languages`` languages, ``max_texts`` in all, give weights and temperature; all rows of these languages give
+    document frequencies."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))
     # equal rows share a place, so a share of the distinct places is taken: a language of copies is not left out
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(place).alias("of"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(max_languages).drop("n")
-    picked = known.join(F.broadcast(sizes), "lang").withColumn("pick", F.when(place < F.lit(float(per_language)) / F.col("of") * F.lit(float(1 << 40)), place))
-    kinds = "lang string, pick long, feature binary, n binary"
-    found = picked.select("text", "lang", "pick").mapInArrow(_statistics, kinds)
-    # frequencies meet in a few tasks first: one vector of bounded size from each of these comes to the driver
-    rows = found.repartition(16, F.coalesce("pick", F.lit(0))).mapInArrow(_added, kinds).collect()
+    sizes = materialize(sizes.orderBy(F.desc("n"), "lang").limit(max_languages).drop("n"))
+    share = min(per_language, max_texts // max(1, sizes.count()))
+    picked = known.join(F.broadcast(sizes), "lang").withColumn("pick", F.when(place < F.lit(float(share)) / F.col("of") * F.lit(float(1 << 40)), place))
+    found = materialize(picked.select("text", "lang", "pick").mapInArrow(_statistics, "lang string, pick long, feature binary, n binary, f long, df long"))
     df, total = np.zeros(SIZE, np.int64), 0
-    sample = []
-    for r in rows:
-        i = np.frombuffer(r["feature"], np.uint32).astype(np.int64)
-        if r["lang"] is None:
-            df[i] += np.frombuffer(r["n"], np.int64)
-            total += r["pick"]
+    for r in found.where("f IS NOT NULL").groupBy("f").agg(F.sum("df").alias("df")).collect():  # a row a feature
+        if r["f"] == _ALL:
+            total = r["df"]
         else:
-            sample.append((r["pick"], r["lang"], i, np.frombuffer(r["n"], np.uint32).astype(np.int64)))
+            df[r["f"]] = r["df"]
+    once = found.where("pick IS NOT NULL").select("lang", "pick", "feature", "n").dropDuplicates(["lang", "pick"])
+    sample = [(r["pick"], r["lang"], np.frombuffer(r["feature"], np.uint32).astype(np.int64), np.frombuffer(r["n"], np.int64)) for r in once.collect()]
     sample.sort(key=lambda r: (r[0], r[1]))
     languages = sorted({r[1] for r in sample})
     model = Model(languages, np.log((1 + total) / (1 + df)) + 1, np.zeros((SIZE, len(languages))), np.zeros(len(languages)))
