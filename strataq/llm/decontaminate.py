@@ -176,5 +176,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **parameters: object) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **parameters: object) -> DataFrame:
     """``docs`` without the rows that match an item."""
     gone = matches(docs, benchmark, doc_id=doc_id, **parameters).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).distinct()
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
-    return docs.join(gone, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    return d.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_h")), "left_anti").select("row.*")
