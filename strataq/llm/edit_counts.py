@@ -106,6 +106,21 @@ class Tree:
         self.put(head, text, encoder.count(text))
         return len(text)
 
+    def settled(self, encoder: Encoder, size: int = LEAF) -> tuple[list[int], list[int]]:
+        """(characters, tokens) of the leaves after edits: those left empty go, and those that have grown beyond twice
+        their size are cut again at safe starts, so that later edits stay as cheap. Counts of parts add up to the whole."""
+        start = safe_start(encoder.added)
+        chars, tokens = [], []
+        for i, text in enumerate(self.texts):
+            if len(text) > 2 * size:
+                parts = leaves(text, size, start)
+                chars += map(len, parts)
+                tokens += map(encoder.count, parts)
+            elif text:
+                chars.append(len(text))
+                tokens.append(int(self.sums[self.base + i, 1]))
+        return (chars, tokens) if chars else ([0], [0])
+
 
 def _build(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +133,7 @@ def _build(path: str):
     return run
 
 
-def _apply(path: str):
+def _apply(path: str, counts: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path, ordinary=False)
         for pdf in batches:
@@ -131,8 +146,10 @@ def _apply(path: str):
                 for e in [] if edits is None else edits:
                     again += tree.edit(int(e["start"] or 0), int(e["n_delete"] or 0), e["insert"] or "", encoder)
                     done += 1
-                rows.append((None if pd.isna(doc) else int(doc), was, tree.tokens, tree.chars, done, again))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_edits", "chars_encoded_again"]).astype({"doc_id": "Int64"})
+                doc = None if pd.isna(doc) else int(doc)
+                rows.append((doc, was, tree.tokens, tree.chars, done, again) if counts else (doc, "".join(tree.texts), *tree.settled(encoder)))
+            names = ["doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_edits", "chars_encoded_again"] if counts else ["doc_id", "text", "leaf_chars", "leaf_tokens"]
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -151,13 +168,21 @@ def token_trees(docs: DataFrame, *, tokenizer: str) -> DataFrame:
 
 def apply_edits(trees: DataFrame, *, tokenizer: str) -> DataFrame:
     """Counts before and after each document's ``edits`` (in order; each addresses the text the one before left)."""
-    return trees.mapInPandas(_apply(tokenizer), "doc_id long, n_tokens long, n_tokens_after long, n_chars_after long, n_edits long, chars_encoded_again long")
+    return trees.mapInPandas(_apply(tokenizer, True), "doc_id long, n_tokens long, n_tokens_after long, n_chars_after long, n_edits long, chars_encoded_again long")
+
+
+def edited_trees(trees: DataFrame, *, tokenizer: str) -> DataFrame:
+    """The trees after each document's ``edits``: write them, and the next batch of edits goes on from there."""
+    return trees.mapInPandas(_apply(tokenizer, False), "doc_id long, text string, leaf_chars array<long>, leaf_tokens array<long>")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Attach an edit log (doc_id, seq, start, n_delete, insert) to its documents, in order of seq."""
+    """Attach an edit log (doc_id, seq, start, n_delete, insert) to its documents or trees, in order of seq. Entries without
+    id are those of rows without id; rows that share an id each get all of its entries."""
     log = edits.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("start").cast("long").alias("start"), F.col("n_delete").cast("long").alias("n_delete"), "insert"))), lambda e: F.struct(e["start"].alias("start"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert"))).alias("edits"))
-    return docs.select("doc_id", "text").join(log, "doc_id", "left")
+    log = log.withColumnRenamed("doc_id", "_doc")
+    kept = [c for c in ("doc_id", "text", "leaf_chars", "leaf_tokens") if c in docs.columns]
+    return docs.select(*kept).join(log, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
 
 
 def derived_edits(docs: DataFrame, n: int = 4) -> DataFrame:
