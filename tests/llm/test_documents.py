@@ -170,6 +170,18 @@ def test_jaccard_edges(spark, docs):
     assert kept.columns == docs.columns and kept.where("doc_id = 24").count() == 0 and kept.where("doc_id = 0").count() == 1 and kept.where("doc_id = 5").count() == 2
 
 
+def test_rows_without_id_ship_one_text_a_class(spark):
+    """2,000 rows that share an id (or have none) in near pairs: one text for each class goes to its pairs."""
+    base = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(None if k % 2 else 5, base(k)) for k in range(500)] + [(None if k % 2 else 5, base(k) + " more") for k in range(500)] + [(None, base(1))] * 1000
+    join = jaccard_join.Join(spark.createDataFrame(rows, "doc_id long, text string"))
+    nodes = join.nodes.select("node")
+    shipped = join._texts_of(nodes)
+    assert nodes.count() == 1000 and shipped.count() == 1000
+    got = Counter((r.class_id, r.n_links) for r in join.membership.collect())
+    assert got[(5, 1)] == 500 and got[(None, 1)] == 1500
+
+
 def test_keep_one_knows_rows_by_text(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(5, a, 1), (5, b, 2), (None, c, 3), (None, c, 4), (None, a, 5), (None, None, 6), (7, "", 7), (8, " ", 8), (9, a + " end", 9), (6, b, 10), (5, b, 2)]
@@ -256,6 +268,14 @@ def brute_windows(docs, items, threshold=0.8):
     return out
 
 
+def test_decontaminated_tables_may_have_any_columns(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    names = "doc_id long, text string, _doc long, _h long, row string, _id long, _text string, h string, `a.b` int"
+    d = spark.createDataFrame([(1, f"so {item} so", 1, 2, "r", 3, "t", "h", 4), (2, "clean text", 1, 2, "r", 3, "t", "h", 4), (None, item, 1, 2, "r", 3, "t", "h", 4)], names)
+    out = decontaminate.drop_contaminated(d, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert out.columns == d.columns and [r.doc_id for r in out.collect()] == [2]
+
+
 def test_decontamination_finds_what_all_windows_hold(spark):
     """Swapped halves, moved and edited items, at and around the threshold, inside other text."""
     rng = random.Random(11)
@@ -439,6 +459,35 @@ def test_tokens_are_the_library_s():
         assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 10**6, "\n" * 10**6, "x" + " " * 10**6 + "y", "a " + "\t\n" * 20_000 + "\u3000b", "\x1c" * 30_000, " " * 10_000, " " * 9_999 + "z", "q" * 10**6, "é" * 200_000, ("1 " + " " * 12_000) * 3, "  " + "\xa0" * 12_000 + "\n's"])
+def test_tokens_of_long_runs(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    want = t.encode(text, add_special_tokens=False).ids
+    for ordinary in (True, False):
+        assert Encoder(tokenizer(), ordinary=ordinary).ids(text) == want
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    file = json.load(open(tokenizer(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": file["model"] | {"merges": file["model"]["merges"][::-1]}}, {"model": file["model"] | {"unk_token": "x"}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(file | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            Encoder(str(path))
+
+
+def test_long_blanks_are_packed_and_counted(spark):
+    d = spark.createDataFrame([(1, " " * 10**6), (2, "\n" * 300_000 + "x"), (3, "y")], "doc_id long, text string")
+    tokens = {r.doc_id: r.doc_tokens for r in packing.pack(d, tokenizer=tokenizer()).select("doc_id", "doc_tokens").distinct().collect()}
+    trees = edit_counts.token_trees(edit_counts.derived_edits(d), tokenizer=tokenizer())
+    counts = {r.doc_id: r.n_tokens for r in edit_counts.apply_edits(trees, tokenizer=tokenizer()).collect()}
+    assert tokens == {i: n + 1 for i, n in counts.items()} and tokens[1] == 10**6 + 1
+
+
 END = "<|endoftext|>"
 
 
@@ -498,6 +547,32 @@ def test_edit_counts(spark, docs):
     assert edit_counts.apply_edits(edit_counts.token_trees(none, tokenizer=tokenizer()), tokenizer=tokenizer()).count() == 0
 
 
+def test_edited_trees_go_on(spark):
+    """Batch after batch on written trees: counts are those of the whole text, leaves stay short."""
+    rng, e = random.Random(12), Encoder(tokenizer(), ordinary=False)
+    texts_ = {1: "some words of a text " * 200, 2: "", 3: "x" * 3000, None: "no id at all " * 90}
+    trees = edit_counts.token_trees(spark.createDataFrame(list(texts_.items()), "doc_id long, text string"), tokenizer=tokenizer())
+    for _ in range(3):
+        log = []
+        for i, t in texts_.items():
+            for k in range(6):
+                s, n, x = rng.randint(0, len(t)), rng.randint(0, 40), rng.choice(["", " added words here" * 60, END, " "])
+                log.append((i, k, s, n, x))
+                t = t[:s] + x + t[s + n :]
+            texts_[i] = t
+        edits = spark.createDataFrame(log, "doc_id long, seq long, start long, n_delete long, insert string")
+        trees = spark.createDataFrame(edit_counts.edited_trees(edit_counts.with_edits(trees, edits), tokenizer=tokenizer()).collect(), "doc_id long, text string, leaf_chars array<long>, leaf_tokens array<long>")
+        for r in trees.collect():
+            t = texts_[r.doc_id]
+            assert (r.text, sum(r.leaf_chars), sum(r.leaf_tokens)) == (t, len(t), e.count(t))
+            at = 0
+            for n, k in zip(r.leaf_chars, r.leaf_tokens):
+                assert e.count(t[at : at + n]) == k
+                at += n
+            if " " in t:
+                assert max(r.leaf_chars) <= max(2 * edit_counts.LEAF, max(map(len, t.split(" "))) + edit_counts.LEAF + 2)
+
+
 def test_packing(spark, docs):
     import zlib
 
@@ -558,6 +633,16 @@ def test_language_sample_is_bounded(spark):
     assert model.languages[0] == "en" and len(model.languages) == 3 and sum(model.languages[y] == "en" for y, _, _ in rows) <= 1
 
 
+def test_what_the_driver_receives_is_bounded(spark, monkeypatch):
+    r = random.Random(3)
+    d = spark.createDataFrame([(i, "".join(chr(97 + r.randrange(26)) for _ in range(4000)), f"l{i % 5}") for i in range(200)], "doc_id long, text string, lang string")
+    rows = []
+    fit = language_id.ftrl
+    monkeypatch.setattr(language_id, "ftrl", lambda model, x, **k: (rows.extend(x), fit(model, x, **k)))
+    language_id.train(d, per_language=1000, max_texts=50)
+    assert 20 <= len(rows) <= 70 and max(len(i) for _, i, _ in rows) == language_id.PER_TEXT
+
+
 def plain_features(text):
     """Blank-separated lower-case letters and their runs of one to three, with counts: no hashing."""
     kept = " " + re.sub(" +", " ", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)) + " "
