@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.operators import artifacts as A
 from strataq.operators.ranking import percent
 from strataq.plans.registry import query
 from strataq.sources.tables import Tables, sql
 
-LEVELS = ["critical", "high", "medium", "low", "info"]
+LEVELS = A.LEVELS
 
 
 @query("severity_counts", sql("findings", """, s AS (SELECT CASE WHEN lower(coalesce(severity, 'info')) IN ('critical', 'high', 'medium', 'low') THEN lower(severity) ELSE 'info' END AS level FROM findings)
@@ -30,34 +31,46 @@ def owasp_category_counts(t: Tables) -> DataFrame:
 
 
 def _artifact(kind: str) -> F.Column:
-    """An artifact of a user's events as JSON: a list for even users, else an object with lists."""
-    each = F.to_json(F.col("items"))
+    """An artifact of an event as JSON: a list for even users, else an object with a list."""
+    each = F.concat(F.lit('["'), "event_id", F.lit('"]'))
     return F.when(F.col("user_id") % 2 == 0, each).otherwise(F.concat(F.lit(f'{{"{kind}": '), each, F.lit(', "n": 1}')))
 
 
-def _grouped(t: Tables) -> DataFrame:
-    per = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.col("event_id").cast("string"))).alias("items"))
-    return per
-
-
 _G = "WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)"
 
 
 @query("type_error_count", _G + " SELECT user_id, n AS type_errors FROM g")
 def type_error_count(t: Tables) -> DataFrame:
-    a = _grouped(t).select("user_id", _artifact("generalDiagnostics").alias("j"))
-    n = F.when(F.startswith(F.ltrim("j"), F.lit("[")), F.json_array_length("j")).otherwise(F.json_array_length(F.get_json_object("j", "$.generalDiagnostics")))
-    return a.select("user_id", F.coalesce(n, F.lit(0)).cast("long").alias("type_errors"))
+    v = t.events.select("user_id", F.try_parse_json(_artifact("generalDiagnostics")).alias("v"))
+    return v.groupBy("user_id").agg(F.sum(A.type_errors(F.col("v"))).alias("type_errors"))
 
 
 @query("dead_code_count", _G + " SELECT user_id, 2 * n AS dead_code FROM g")
 def dead_code_count(t: Tables) -> DataFrame:
     """A list's length and the sum of all lists of an object, in one artifact each."""
-    a = _grouped(t).select("user_id", F.to_json("items").alias("vulture"), _artifact("unused").alias("knip"))
-    parts = F.map_values(F.from_json("knip", "map<string,string>"))
-    summed = F.aggregate(F.transform(parts, lambda v: F.coalesce(F.json_array_length(v), F.lit(0))), F.lit(0), lambda s, x: s + x)
-    knip = F.when(F.startswith("knip", F.lit("[")), F.json_array_length("knip")).otherwise(summed)
-    return a.select("user_id", (F.json_array_length("vulture") + knip).cast("long").alias("dead_code"))
+    v = t.events.select("user_id", F.try_parse_json(F.concat(F.lit("["), "event_id", F.lit("]"))).alias("vulture"), F.try_parse_json(_artifact("unused")).alias("knip"))
+    return v.groupBy("user_id").agg(F.sum(A.length(F.col("vulture")) + A.dead_code(F.col("knip"))).alias("dead_code"))
+
+
+_COUNTS = """, j AS (SELECT user_id, kind, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM artifacts),
+n AS (SELECT user_id, CASE WHEN kind = 'typecheck' THEN CASE json_type(j) WHEN 'ARRAY' THEN json_array_length(j) WHEN 'OBJECT' THEN CASE WHEN json_type(j, '$.generalDiagnostics') = 'ARRAY' THEN json_array_length(j, '$.generalDiagnostics') END END END AS type_errors,
+  CASE WHEN kind = 'dead_code' THEN CASE json_type(j) WHEN 'ARRAY' THEN json_array_length(j) WHEN 'OBJECT' THEN (SELECT sum(json_array_length(value)) FROM json_each(j) WHERE type = 'ARRAY') END END AS dead_code FROM j),
+f AS (SELECT user_id, lower(coalesce(json_extract_string(e, '$.extra.severity'), 'info')) AS level FROM (SELECT user_id, unnest(json_extract(j, '$.results[*]')) AS e FROM j WHERE kind = 'semgrep' AND json_type(j, '$.results') = 'ARRAY')),
+c AS (SELECT user_id, json_extract(e, '$.complexity')::DOUBLE AS c FROM (SELECT user_id, unnest(json_extract(value, '$[*]')) AS e FROM j, json_each(j) WHERE kind = 'complexity' AND json_type(j) = 'OBJECT' AND type = 'ARRAY') WHERE json_type(e, '$.complexity') IS NOT NULL)"""
+
+
+@query("artifact_counts", sql("artifacts", _COUNTS + """ SELECT user_id, type_errors, dead_code, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(info, 0) AS info, coalesce(functions, 0) AS functions, coalesce(complexity, 0) AS complexity
+FROM (SELECT user_id, coalesce(sum(type_errors), 0)::BIGINT AS type_errors, coalesce(sum(dead_code), 0)::BIGINT AS dead_code FROM n GROUP BY 1)
+LEFT JOIN (SELECT user_id, count(*) FILTER (level = 'critical') AS critical, count(*) FILTER (level = 'high') AS high, count(*) FILTER (level NOT IN ('critical', 'high', 'medium', 'low')) AS info FROM f GROUP BY 1) USING (user_id)
+LEFT JOIN (SELECT user_id, count(*) AS functions, round_even(avg(c), 2) AS complexity FROM c GROUP BY 1) USING (user_id)"""))
+def artifact_counts(t: Tables) -> DataFrame:
+    """What scanners' artifacts of several shapes come to for each user."""
+    a = t.artifacts().select("user_id", "kind", F.try_parse_json("text").alias("v"))
+    of = lambda kind, n: F.sum(F.when(F.col("kind") == kind, n).otherwise(F.lit(0)))
+    base = a.groupBy("user_id").agg(of("typecheck", A.type_errors(F.col("v"))).alias("type_errors"), of("dead_code", A.dead_code(F.col("v"))).alias("dead_code"))
+    found = A.findings(a.where("kind = 'semgrep'")).groupBy("user_id").agg(*(F.count_if(F.col("level") == x).alias(x) for x in ("critical", "high", "info")))
+    measured = A.functions(a.where("kind = 'complexity'")).groupBy("user_id").agg(F.count(F.lit(1)).alias("functions"), F.bround(F.avg("complexity"), 2).alias("complexity"))
+    return base.join(found, "user_id", "left").join(measured, "user_id", "left").na.fill(0)
 
 
 @query("avg_complexity", "SELECT event_type, round_even(avg(CAST(json_extract_string(props, '$.k') AS INT)), 2) AS complexity FROM events GROUP BY 1")
@@ -102,9 +115,9 @@ def json_artifact_parse(t: Tables) -> DataFrame:
     return v.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), F.col("v").isNull().alias("corrupt"))
 
 
-@query("json_stats_projection", "SELECT user_id, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS nodes, 0::BIGINT AS edges FROM events GROUP BY 1")
+@query("json_stats_projection", "SELECT user_id, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS nodes, max(CASE WHEN event_id % 2 = 0 THEN event_id % 97 ELSE 0 END) AS edges FROM events GROUP BY 1")
 def json_stats_projection(t: Tables) -> DataFrame:
-    meta = t.events.select("user_id", F.concat(F.lit('{"stats": {"nodes": '), F.get_json_object("props", "$.k"), F.lit("}}")).alias("meta"))
+    meta = t.events.select("user_id", F.concat(F.lit('{"stats": {"nodes": '), F.get_json_object("props", "$.k"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(', "edges": '), F.col("event_id") % 97)).otherwise(""), F.lit("}}")).alias("meta"))
     get = lambda k: F.coalesce(F.get_json_object("meta", f"$.stats.{k}").cast("long"), F.lit(0))
     return meta.groupBy("user_id").agg(F.max(get("nodes")).alias("nodes"), F.max(get("edges")).alias("edges"))
 
@@ -114,6 +127,7 @@ def json_props_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("k"), F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("missing"))
 
 
+# fixed values: severities by score, and of another scanner's words
 def cvss(score: F.Column) -> F.Column:
     """A severity for the number before the first slash."""
     x = F.substring_index(score, "/", 1).try_cast("double")

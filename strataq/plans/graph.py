@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.operators.ranking import with_total
+from strataq.operators.reach import estimated, reached
 from strataq.plans.registry import query
-from strataq.sources.session import materialize
 from strataq.sources.tables import Tables, sql
 
 DEPTH = 3
@@ -24,24 +24,12 @@ def edges(t: Tables) -> DataFrame:
 _EDGES = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part p ON p.p_partkey = a.l_partkey JOIN part r ON r.p_partkey = b.l_partkey AND r.p_brand = p.p_brand WHERE a.l_partkey <> b.l_partkey)"
 
 
-def reached(start: DataFrame, e: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(root, node, depth) of all that call a root within ``depth`` steps. Each round joins only the nodes that the
-    round before reached first, so a pair is never expanded twice."""
-    seen = front = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    back = materialize(e.select(F.col("dst").alias("node"), F.col("src").alias("caller")))
-    for d in range(1, depth + 1):
-        front = front.join(back, "node").select("root", F.col("caller").alias("node"), F.lit(d).alias("depth")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        front = materialize(front)  # a round's result, so that no round works out those before it again
-        seen = seen.unionByName(front)
-    return seen
-
-
 _WALK = f"WITH RECURSIVE {_EDGES}, walk AS (SELECT DISTINCT dst AS root, dst AS node, 0 AS depth FROM edges UNION SELECT root, src, depth + 1 FROM walk JOIN edges ON dst = node WHERE depth < {DEPTH}), best AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2)"
 
 
 def _walk(t: Tables) -> DataFrame:
     e = edges(t)
-    return reached(e.select(F.col("dst").alias("root")).distinct(), e)
+    return reached(e.select(F.col("dst").alias("root")).distinct(), e, DEPTH)
 
 
 @query("blast_radius", _WALK + " SELECT root, count(*) - 1 AS upstream, max(depth) AS depth FROM best GROUP BY 1")
@@ -55,6 +43,18 @@ def blast_radius_decay(t: Tables) -> DataFrame:
     return _walk(t).groupBy("root").agg(F.round(F.sum(F.when(F.col("depth") == 0, 0.0).otherwise(1 / F.pow(F.lit(2.0), F.col("depth")))), 6).alias("score"))
 
 
+@query("blast_radius_estimated", _WALK + " SELECT root, CASE WHEN root % 50 = 0 THEN count(*) - 1 END AS upstream, CASE WHEN root % 50 = 0 THEN true END AS near FROM best GROUP BY 1")
+def blast_radius_estimated(t: Tables) -> DataFrame:
+    """All roots by sketches; those of a stated set (ids divisible by 50) exactly too, and whether the estimate is near:
+    within 8 %, five standard errors."""
+    e = edges(t)
+    every = estimated(e, DEPTH).join(e.select(F.col("dst").alias("root")).distinct(), "root", "left_semi").withColumnRenamed("upstream", "about")
+    asked = e.select(F.col("dst").alias("root")).distinct().where("root % 50 = 0")
+    exact = reached(asked, e, DEPTH).groupBy("root").agg((F.count(F.lit(1)) - 1).alias("upstream"))
+    near = F.abs(F.col("about") - F.col("upstream")) <= F.greatest(F.lit(1.0), 0.08 * F.col("upstream"))
+    return every.join(exact, "root", "left").select("root", "upstream", near.alias("near"))
+
+
 @query("graph_stats", f"WITH {_EDGES} SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS nodes")
 def graph_stats(t: Tables) -> DataFrame:
     e = edges(t)

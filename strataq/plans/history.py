@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.operators import history as H
+from strataq.operators.asof import as_of
 from strataq.operators.ranking import newest, percent, top_per, with_total
 from strataq.plans.registry import query
 from strataq.sources.tables import Tables, sql
@@ -165,6 +166,21 @@ def commits_since_index(t: Tables, days: int = 30) -> DataFrame:
     return with_total(c, last).where(F.col("date") > F.date_sub("last", days)).groupBy("author").agg(F.count(F.lit(1)).alias("commits"))
 
 
+@query("commits_since_own_index", sql("commits", """, run AS (SELECT author, max(date) FILTER (message = '1-URGENT') AS last, count(DISTINCT date) FILTER (message = '1-URGENT') AS runs FROM commits GROUP BY 1)
+SELECT author, last::VARCHAR AS last_index, runs, (count(*) FILTER (last IS NULL OR date > last))::BIGINT AS commits_since, count(*) FILTER (runs > 0 AND date < (SELECT min(c.date) FROM commits c WHERE c.author = commits.author AND c.message = '1-URGENT')) AS before_any FROM commits JOIN run USING (author) GROUP BY 1, 2, 3"""))
+def commits_since_own_index(t: Tables) -> DataFrame:
+    """Commits of each author's repository since its own newest index run (urgent commits stand for these), all of them
+    where it has none; and how many were made before its first."""
+    c = t.commits()
+    runs = c.where("message = '1-URGENT'").select("author", "date").distinct()
+    last = runs.groupBy("author").agg(F.max("date").alias("last"), F.count(F.lit(1)).alias("runs"))
+    found = as_of(c.select("author", "date", "hash"), runs.withColumn("run", F.col("date")), ["author"], "date", ["run"], width="YEAR")
+    found = found.join(last, "author", "left")
+    since = F.col("last").isNull() | ((F.col("last_run") == F.col("last")) & (F.col("date") > F.col("last")))
+    out = found.groupBy("author", F.col("last").cast("string").alias("last_index"), F.coalesce("runs", F.lit(0)).alias("runs"))
+    return out.agg(F.count_if(since).alias("commits_since"), F.count_if(F.col("last").isNotNull() & F.col("last_run").isNull()).alias("before_any"))
+
+
 @query("git_evolution_contributors", sql("commits", "SELECT author, count(*) AS commits FROM commits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
 def git_evolution_contributors(t: Tables) -> DataFrame:
     return t.commits().groupBy("author").agg(F.count(F.lit(1)).alias("commits")).orderBy(F.desc("commits"), "author").limit(20)

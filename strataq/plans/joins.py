@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.operators import history as H
+from strataq.operators import manifests as M
 from strataq.operators import registry as G
 from strataq.operators import risk as R
+from strataq.plans.history import _SOLE, sole_folders
 from strataq.plans.registry import query
 from strataq.sources.session import scratch
 from strataq.sources.tables import Tables, sql
@@ -21,13 +23,12 @@ def match_risk_areas(t: Tables) -> DataFrame:
     return R.areas_of(t.change_parts(), t.paths(), areas).select("change_id", "area").distinct()
 
 
-@query("bus_factor_touch", sql("commits commit_files change_sets", """, risk AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM commit_files JOIN commits USING (hash) GROUP BY 1 HAVING count(DISTINCT author) <= 350)
-SELECT change_id, count(DISTINCT dir) AS areas FROM change_sets JOIN risk ON starts_with(path, concat(dir, '/')) GROUP BY 1"""))
+@query("bus_factor_touch", sql("commits commit_files change_sets", _SOLE + " SELECT change_id, count(DISTINCT dir) AS areas FROM change_sets JOIN sole ON starts_with(path, concat(dir, '/')) GROUP BY 1"))
 def bus_factor_touch(t: Tables) -> DataFrame:
-    """A path is in a folder if the folder is its parent here, so the prefix join is an equality on the parent."""
-    risk = H.bus_factor(t.commits(), t.commit_files(), H.folder_sizes(t.commit_files().select("path").distinct(), over=0, top=None), most=350).select("dir")
-    cs = t.change_sets().withColumn("dir", H.parent(F.col("path")))
-    return cs.join(risk, "dir").groupBy("change_id").agg(F.countDistinct("dir").alias("areas"))
+    """Folders with one contributor that a change touches. A path is in a folder if the folder is its parent here, so the
+    prefix join is an equality on the parent."""
+    files = t.paths().withColumn("dir", H.parent(F.col("path"))).join(sole_folders(t).select("dir"), "dir").select("p_partkey", "dir")
+    return t.change_parts().join(files, "p_partkey").groupBy("change_id").agg(F.countDistinct("dir").alias("areas"))
 
 
 _TREND = """, k AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY seq DESC) AS back, list_position(['low', 'medium', 'high', 'critical'], risk_level) AS r FROM risk_snapshots),
@@ -47,25 +48,52 @@ def trend_signals(t: Tables) -> DataFrame:
     return R.trend_signals(R.trends(t.risk_snapshots())).select("area", "signal_type", "severity", "weight")
 
 
-# fixed values: words of dependency files and marker files of frameworks
-MARKERS = [("Django", "django"), ("Flask", "flask"), ("React", "react"), ("Express", "express"), ("Pytest", "pytest"), ("Pydantic", "pydantic"), ("Economy", "economy"), ("Promo", "promo")]
-_MARK = "(SELECT unnest(['django', 'flask', 'react', 'express', 'pytest', 'pydantic', 'economy', 'promo']) AS m, unnest(['Django', 'Flask', 'React', 'Express', 'Pytest', 'Pydantic', 'Economy', 'Promo']) AS f)"
+# fixed values: dependencies of frameworks, and files that mark one
+MARKERS = {
+    "Django": ["django"], "Flask": ["flask"], "FastAPI": ["fastapi"], "React": ["react", "react-dom"], "Next.js": ["next"], "Express": ["express"], "Spring Boot": ["spring-boot"], "Rails": ["rails"],
+    "Strands": ["strands-agents"], "LangChain": ["langchain"], "Pytest": ["pytest"], "SQLAlchemy": ["sqlalchemy"], "Pydantic": ["pydantic"], "CDK": ["aws-cdk-lib", "aws_cdk"],
+}
+MARKER_FILES = {"Django": ["manage.py", "settings.py"], "Rails": ["Gemfile", "config/routes.rb"], "Terraform": [".tf"], "CDK": ["cdk.json"], "Next.js": ["next.config.js", "next.config.mjs", "next.config.ts"]}
+_PAIRS = [(f, m) for f, ms in MARKERS.items() for m in ms]
+_MARK = f"(SELECT unnest({[m for _, m in _PAIRS]}) AS m, unnest({[f for f, _ in _PAIRS]}) AS f)"
+_FILES = [(f, m) for f, ms in MARKER_FILES.items() for m in ms]
+_MARKED = f"SELECT DISTINCT p_partkey % 50 AS repo, f AS framework FROM part JOIN (SELECT unnest({[m for _, m in _FILES]}) AS m, unnest({[f for f, _ in _FILES]}) AS f) ON {[m for _, m in _FILES] + ['README', 'x.tfvars', 'main.tf', 'manage.pyc']}[p_partkey // 50 % {len(_FILES) + 4} + 1] IN (m, CASE m WHEN '.tf' THEN 'main.tf' END)"
+_LOOKS = f"SELECT DISTINCT repo, f AS framework FROM (SELECT repo, lower(name) AS d FROM manifests) JOIN {_MARK} ON contains(d, m)"
 
 
-@query("framework_markers", sql("paths", "SELECT DISTINCT p_partkey % 50 AS repo, 'Go' AS framework FROM paths WHERE path LIKE '%part\\_1%.go' ESCAPE '\\'"))
+@query("framework_markers", _MARKED)
 def framework_markers(t: Tables) -> DataFrame:
-    return t.paths().where(r"path LIKE '%part\\_1%.go'").select((F.col("p_partkey") % 50).alias("repo"), F.lit("Go").alias("framework")).distinct()
+    """Frameworks by files at a repository's top, by name or, of a suffix, by that."""
+    names = F.array(*map(F.lit, [m for _, m in _FILES] + ["README", "x.tfvars", "main.tf", "manage.pyc"]))
+    top = t.part.select((F.col("p_partkey") % 50).alias("repo"), F.element_at(names, (F.floor(F.col("p_partkey") / 50) % (len(_FILES) + 4) + 1).cast("int")).alias("file"))
+    marks = F.broadcast(t.literal("framework string, marker string", _FILES))  # a few rows
+    key = F.when(F.col("file").endswith(".tf"), ".tf").otherwise(F.col("file"))
+    return top.withColumn("marker", key).join(marks, "marker").select("repo", "framework").distinct()
 
 
-@query("detect_frameworks", sql("paths", f"""SELECT DISTINCT repo, f AS framework FROM (SELECT p_partkey % 50 AS repo, lower(concat(p_type, ' ', p_name)) AS d FROM part) JOIN {_MARK} ON contains(d, m)
-UNION SELECT DISTINCT p_partkey % 50, 'Go' FROM paths WHERE path LIKE '%part\\_1%.go' ESCAPE '\\'"""))
+@query("detect_frameworks", sql("manifests", f"{_LOOKS} UNION {_MARKED}"))
 def detect_frameworks(t: Tables) -> DataFrame:
-    marks = F.broadcast(t.literal("framework string, marker string", MARKERS))  # a few rows
-    deps = t.part.select((F.col("p_partkey") % 50).alias("repo"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("deps"))
-    by_word = deps.join(marks, F.contains("deps", F.col("marker"))).select("repo", "framework")
+    """By a marker anywhere in a manifest's text, as the reference has it, or by a file: near misses count."""
+    marks = F.broadcast(t.literal("framework string, marker string", _PAIRS))  # a few rows
+    by_word = t.manifests().join(marks, F.contains(F.lower("line"), F.col("marker"))).select("repo", "framework")
     return by_word.unionByName(framework_markers(t)).distinct()
 
 
+_NAMED = """, d AS (SELECT repo, file, CASE WHEN k < 6 THEN regexp_replace(lower(name), '[-_.]+', '-', 'g') WHEN k = 8 THEN concat('@x/', name) ELSE name END AS name, CASE k WHEN 0 THEN concat('>=', v) WHEN 1 THEN concat('==', v) WHEN 4 THEN concat('>=', v) WHEN 8 THEN v ELSE concat('^', v) END AS version FROM manifests WHERE k NOT IN (2, 5, 7))"""
+
+
+@query("dependency_names", sql("manifests", _NAMED + " SELECT repo, file, name, version FROM d"))
+def dependency_names(t: Tables) -> DataFrame:
+    return M.dependencies(t.manifests()).drop("line")
+
+
+@query("frameworks_by_name", sql("manifests", _NAMED + f" SELECT DISTINCT repo, f AS framework FROM d JOIN {_MARK} ON m = name"))
+def frameworks_by_name(t: Tables) -> DataFrame:
+    """Frameworks whose dependency a manifest names; names that only hold a marker don't match."""
+    marks = F.broadcast(t.literal("framework string, name string", _PAIRS))  # a few rows
+    return M.dependencies(t.manifests()).join(marks, "name").select("repo", "framework").distinct()
+
+
 @query("registry_upsert", "SELECT c_custkey AS alias, concat('new/', c_custkey) AS path, true AS indexed FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, concat('old/', c_custkey), false FROM customer WHERE c_custkey % 3 <> 0")
 def registry_upsert(t: Tables) -> DataFrame:
     """Later entries win: the old ones are kept in a table, and the new are merged into it."""

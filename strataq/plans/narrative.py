@@ -14,8 +14,8 @@ from strataq.sources.tables import Tables, sql
 
 # fixed values: bounds below which a count scores 1, 2, 3, 4 (else 5)
 SPECIFICITY, STRUCTURE, DEPTH, XREF = [5, 10, 20, 30], [3, 5, 8, 11], [20, 50, 100, 200], [3, 8, 15, 25]
-# fixed values: a reference to a line of a file, a heading, a path
-FILE_LINE, HEADING, PATH = r"(?U)\w+\.\w+:\d+", r"(?m)^#{2,3}\s", r"(?U)(?:\.?/)?(?:[\w.-]+/)+[\w.-]+\.\w+"
+# fixed values: a reference to a line of a file, a heading, a run of a path's characters
+FILE_LINE, HEADING, PATH = r"(?U)\w+\.\w+:\d+", r"(?m)^#{2,3}\s", r"(?U)[\w./-]++"
 
 
 def splitlines(text: Column) -> Column:
@@ -24,10 +24,19 @@ def splitlines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def paths_of(content: Column) -> Column:
+    """Paths with a folder and a suffix: ``(?:\\.?/)?(?:[\\w.-]+/)+[\\w.-]+\\.\\w+``, without a repeated group, which would
+    recurse for each folder. A run of a path's characters without an empty folder has at most one path: up to its last
+    part with a suffix, if a folder stands before that."""
+    runs = F.regexp_extract_all(F.regexp_replace(content, "/(?=/)", "/ "), F.lit(PATH), F.lit(0))
+    there = F.filter(runs, lambda r: r.rlike(r"(?U)[\w.-]/[\w.-]+\.\w"))
+    return F.transform(there, lambda r: F.regexp_extract(r, r"(?U)^([\w./-]*[\w.-]/[\w.-]+\.\w+)", 1))
+
+
 def scores(bundles: DataFrame) -> DataFrame:
     c = F.col("content")
     figures = F.regexp_count(c, F.lit("(?i)```mermaid"))
-    paths = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(PATH), F.lit(0))))
+    paths = F.size(F.array_distinct(paths_of(c)))
     s = bundles.select(
         "area",
         ladder(F.regexp_count(c, F.lit(FILE_LINE)), SPECIFICITY).alias("specificity"),

@@ -10,6 +10,8 @@ from strataq.operators import retrieval as S
 from strataq.operators.index import Index
 from strataq.operators.ranking import top_per, with_total
 from strataq.plans.registry import query
+from strataq.sources.lists import read_sorted, write_sorted
+from strataq.sources.session import scratch
 from strataq.sources.tables import Tables, sql
 
 QUERY = "the thin reason of entire den"
@@ -111,7 +113,18 @@ def volume_stats(t: Tables) -> DataFrame:
 
 @query("write_file_list", sql("paths", "SELECT DISTINCT path FROM paths"))
 def write_file_list(t: Tables) -> DataFrame:
-    return t.paths().select("path").distinct()
+    """Written as a sorted list and read back."""
+    folder = scratch(t.spark)
+    write_sorted(t.paths(), F.col("path"), folder)
+    return t.spark.read.text(folder).withColumnRenamed("value", "path")
+
+
+@query("sorted_file_list", sql("paths", "SELECT row_number() OVER (ORDER BY path) AS place, path, (SELECT count(DISTINCT path) FROM paths) AS file_count FROM (SELECT DISTINCT path FROM paths)"))
+def sorted_file_list(t: Tables) -> DataFrame:
+    """The list's lines in the order of its files, and how many were written."""
+    folder = scratch(t.spark)
+    n = write_sorted(t.paths(), F.col("path"), folder)
+    return read_sorted(t.spark, folder).select("place", F.col("value").alias("path"), F.lit(n).cast("long").alias("file_count"))
 
 
 _EXT = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))"
@@ -131,17 +144,22 @@ SKIPPED = [".git", "node_modules", "__pycache__", ".venv", "venv", ".tox", "dist
 BINARY = [".png", ".jpg", ".gif", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".pdf", ".zip", ".gz", ".tar"]
 
 
-@query("file_manifest", "SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '://(.*)$', 1) AS path FROM pages) WHERE NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules', '__pycache__', '.venv', 'venv', '.tox', 'dist', 'build', 'en'])")
+@query("file_manifest", sql("tree", f"SELECT p_partkey, path FROM tree WHERE NOT list_has_any(string_split(path, '/'), {SKIPPED})"))
 def file_manifest(t: Tables) -> DataFrame:
+    return t.tree().where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+
+
+@query("page_manifest", f"SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '://(.*)$', 1) AS path FROM pages) WHERE NOT list_has_any(string_split(path, '/'), {SKIPPED})")
+def page_manifest(t: Tables) -> DataFrame:
     p = t.pages.select("page_id", F.regexp_extract("url", "://(.*)$", 1).alias("path"))
-    return p.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, [*SKIPPED, "en"]))))
+    return p.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
 
 
-@query("skip_filter", sql("paths", f"SELECT path, len(list_intersect(string_split(path, '/')[:-2], {SKIPPED + ['PROMO']})) > 0 OR {_EXT} IN ('.png', '.md') AS skipped FROM paths"))
+@query("skip_filter", sql("tree", f"SELECT path, len(list_intersect(string_split(path, '/')[:-2], {SKIPPED})) > 0 OR {_EXT} IN {tuple(BINARY)} AS skipped FROM tree"))
 def skip_filter(t: Tables) -> DataFrame:
     parts = F.split("path", "/")
-    skip = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, [*SKIPPED, "PROMO"]))) | suffix(F.col("path")).isin(*BINARY, ".md")
-    return t.paths().select("path", skip.alias("skipped"))
+    skip = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, SKIPPED))) | suffix(F.col("path")).isin(*BINARY)
+    return t.tree().select("path", skip.alias("skipped"))
 
 
 @query("embedding_topk", """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.operators.ranking import percent, with_total
-from strataq.plans import findings, graph, history, search
+from strataq.plans import findings, graph, history, joins, search, trends, verdict
 from strataq.plans.registry import ORACLES, query
 from strataq.sources.tables import Tables, sql
 
@@ -115,6 +118,49 @@ def heuristic_summary(t: Tables) -> DataFrame:
     return one
 
 
+_RECORD = f""", langs AS ({ORACLES['detect_languages']}), fw AS (SELECT DISTINCT framework FROM ({{frameworks}})), sev AS ({{severities}}), owasp AS ({{owasp}}), topf AS ({ORACLES['top_complex_functions']}), bus AS ({{bus}}), comm AS ({{communities}})
+SELECT to_json({{{{'volume': {{{{'file_count': v.file_count, 'total_lines': v.total_lines, 'estimated_tokens': v.estimated_tokens, 'languages': (SELECT map_from_entries(list((lang, files) ORDER BY lang)) FROM langs), 'frameworks': (SELECT list(framework ORDER BY framework) FROM fw)}}}},
+'health': {{{{'findings': (SELECT map_from_entries(list((level, count) ORDER BY level)) FROM sev), 'owasp': (SELECT map_from_entries(list((category, count) ORDER BY category)) FROM owasp), 'type_errors': a.type_errors, 'dead_code': a.dead_code, 'functions': a.functions}}}},
+'git': {{{{'total_commits': g.total_commits, 'contributors': g.contributors, 'coupled_pairs': string_split(g.coupled_pairs, '; ')}}}},
+'complexity': {{{{'top_complex_functions': (SELECT list({{{{'name': name, 'file': file, 'lines': lines, 'complexity': complexity}}}} ORDER BY complexity DESC, name) FROM topf), 'bus_factor_risks': (SELECT list(risk ORDER BY risk) FROM bus)}}}},
+'graph': {{{{'symbol_count': (SELECT count(*) FROM supplier), 'community_count': (SELECT count(DISTINCT s_nationkey) FROM supplier), 'process_count': (SELECT count(DISTINCT n_regionkey) FROM supplier JOIN nation ON n_nationkey = s_nationkey), 'edge_count': e.edges, 'top_communities': (SELECT map_from_entries(list((community, symbols) ORDER BY community)) FROM comm)}}}}}}}})::VARCHAR AS record
+FROM ({{volume}}) v, (SELECT sum(type_errors)::BIGINT AS type_errors, sum(dead_code)::BIGINT AS dead_code, sum(functions)::BIGINT AS functions FROM ({{artifacts}})) a, ({{git}}) g, ({{edges}}) e"""
+_PARTS = {"frameworks": "detect_frameworks", "severities": "severity_counts", "owasp": "owasp_category_counts", "bus": "bus_factor_risks", "communities": "top_communities", "volume": "volume_stats", "artifacts": "artifact_counts", "git": "git_section", "edges": "graph_stats"}
+
+
+@query("summary_record", "WITH one AS (SELECT 1)" + _RECORD.format(**{k: ORACLES[v] for k, v in _PARTS.items()}))
+def summary_record(t: Tables) -> DataFrame:
+    """The summary of a repository as one nested record, written as JSON: sections of numbers, of maps from names to
+    numbers, and of lists. Counts are aggregated by name first; only those few rows are put into maps."""
+
+    def mapped(rows: DataFrame, key: str, n: str, to: str) -> DataFrame:
+        return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, n)))).alias(to))
+
+    def listed(rows: DataFrame, value: str, to: str) -> DataFrame:
+        return rows.agg(F.sort_array(F.collect_set(value)).alias(to))
+
+    top = findings.top_complex_functions(t).agg(F.array_sort(F.collect_list(F.struct((-F.col("complexity")).alias("n"), "name", "file", "lines", "complexity"))).alias("f"))
+    scanned = findings.artifact_counts(t).agg(*(F.sum(c).alias(c) for c in ("type_errors", "dead_code", "functions")))
+    region = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    size = t.supplier.join(F.broadcast(region), "s_nationkey").agg(F.count(F.lit(1)).alias("symbol_count"), F.countDistinct("s_nationkey").alias("community_count"), F.countDistinct("n_regionkey").alias("process_count"))  # a table of fixed size
+    one = search.volume_stats(t)
+    for part in (
+        mapped(search.detect_languages(t), "lang", "files", "languages"), listed(joins.detect_frameworks(t), "framework", "frameworks"), mapped(findings.severity_counts(t), "level", "count", "findings"),
+        mapped(findings.owasp_category_counts(t), "category", "count", "owasp"), scanned, git_section(t), top, listed(history.bus_factor_risks(t), "risk", "bus_factor_risks"), size,
+        graph.graph_stats(t).select(F.col("edges").alias("edge_count")), mapped(graph.top_communities(t), "community", "symbols", "top_communities"),
+    ):
+        one = with_total(one, part)  # one row each
+    functions = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["file"].alias("file"), x["lines"].alias("lines"), x["complexity"].alias("complexity")))
+    record = F.struct(
+        F.struct("file_count", "total_lines", "estimated_tokens", "languages", "frameworks").alias("volume"),
+        F.struct("findings", "owasp", "type_errors", "dead_code", "functions").alias("health"),
+        F.struct("total_commits", "contributors", F.split("coupled_pairs", "; ").alias("coupled_pairs")).alias("git"),
+        F.struct(functions.alias("top_complex_functions"), "bus_factor_risks").alias("complexity"),
+        F.struct("symbol_count", "community_count", "process_count", "edge_count", "top_communities").alias("graph"),
+    )
+    return one.select(F.to_json(record).alias("record"))
+
+
 # fixed values: the names of the scanners' views
 SCANNERS = ["all", "semgrep", "typecheck", "lint", "complexity", "dead_code"]
 _SCANS = {
@@ -193,3 +239,25 @@ def git_evolution_coupling(t: Tables) -> DataFrame:
 @query("git_evolution_bus_factor", sql("commits", f"SELECT count(DISTINCT author) AS active_contributors, count(*) AS total_commits, (SELECT count(*) FROM ({ORACLES['bus_factor_risks']})) AS bus_factor_risks FROM commits"))
 def git_evolution_bus_factor(t: Tables) -> DataFrame:
     return git_evolution(t, "contributors")
+
+
+#: Views of an analysis by name.
+VIEWS: dict[str, Callable[[Tables], DataFrame]] = {
+    "summary": summary_record, "verdict": verdict.compute_verdict, "signals": verdict.change_signals, "labels": verdict.suggest_labels, "comment": verdict.review_comment, "trends": trends.risk_trends,
+    **{f"scan/{s}": partial(static_scan, scanner=s) for s in SCANNERS}, **{f"git/{a}": partial(git_evolution, analysis=a) for a in ("summary", "hotspots", "coupling", "contributors")},
+}
+
+
+def view(t: Tables, name: str) -> DataFrame:
+    """A view by name; an unknown name is an error that tells the known ones."""
+    if name not in VIEWS:
+        raise ValueError(f"unknown view {name!r}; valid: {', '.join(sorted(VIEWS))}")
+    return VIEWS[name](t)
+
+
+@query("summary_views", f"SELECT 'git/contributors' AS view, total_commits AS n FROM ({ORACLES['git_evolution_bus_factor']}) UNION ALL SELECT 'scan/semgrep', sum(count)::BIGINT FROM ({ORACLES['severity_counts']}) UNION ALL SELECT 'trends', count(*) FROM ({ORACLES['risk_trends']})")
+def summary_views(t: Tables) -> DataFrame:
+    """One number of each of some views, asked for by name."""
+    parts = [("git/contributors", F.max("total_commits")), ("scan/semgrep", F.sum("n")), ("trends", F.count(F.lit(1)))]
+    out = [view(t, name).agg(n.alias("n")).select(F.lit(name).alias("view"), "n") for name, n in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 EXTENSIONS = ["py", "ts", "tsx", "js", "go", "rs", "java", "md"]
 
 
+#: Dependencies of the manifests, with names that hold others' names.
+PACKAGES = ["django", "djangorestframework", "flask", "Flask_Cors", "fastapi", "react", "react-dom", "preact", "next", "nextra", "express", "expression", "pytest", "pytest-cov", "pydantic", "pydantic_settings", "sqlalchemy", "langchain", "strands-agents", "rails", "aws-cdk-lib", "spring-boot"]
+
 #: The base date of the diffs.
 SINCE = "1998-01-01"
 
@@ -131,6 +134,33 @@ class Tables:
         last = self.orders.agg(F.max(F.to_date("o_orderdate")).alias("last"))
         return o.crossJoin(F.broadcast(last)).select("change_id", F.datediff("last", "day").cast("double").alias("age_hours"))  # one row
 
+    def artifacts(self) -> DataFrame:
+        """(user_id, kind, text): what a scanner left of each event, in the shapes that they use, some of them broken."""
+        k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 4
+        diagnostics = F.when(k % 5 == 0, F.concat(F.lit("["), F.repeat(F.lit('{"m": 1}, '), k % 3), F.lit('{"m": 2}]'))).when(k % 5 == 1, F.concat(F.lit('{"generalDiagnostics": [1, 2], "n": '), k, F.lit("}"))).when(k % 5 == 2, '{"generalDiagnostics": "none"}').when(k % 5 == 3, F.concat(F.lit("error: "), k)).otherwise('"text"')
+        unused = F.when(k % 4 == 0, '["a", "b"]').when(k % 4 == 1, '{"files": ["x"], "exports": [1, 2, 3], "n": 4}').when(k % 4 == 2, '{"files": {}}').otherwise("")
+        results = F.when(k % 4 == 0, '{"results": [{"extra": {"severity": "ERROR"}, "check_id": "a"}, {"extra": {"severity": "High"}}]}').when(k % 4 == 1, '{"results": [{"extra": {}}, {}, {"extra": {"severity": "critical"}}]}').when(k % 4 == 2, '{"results": {"x": 1}}').otherwise("[1]")
+        measured = F.when(k % 3 < 2, F.concat(F.lit('{"f'), "user_id", F.lit('.py": [{"name": "g'), "event_id", F.lit('", "complexity": '), k, F.lit('}, {"name": "h"}, 7], "odd": 3}'))).otherwise("[3]")
+        names = F.element_at(F.array(*map(F.lit, ["typecheck", "dead_code", "semgrep", "complexity"])), (kind + 1).cast("int"))
+        return self.events.select("user_id", names.alias("kind"), F.when(kind == 0, diagnostics).when(kind == 1, unused).when(kind == 2, results).otherwise(measured).alias("text"))
+
+    def manifests(self) -> DataFrame:
+        """(repo, file, line): a line of a dependency manifest for each part, names that look alike among them."""
+        n = len(PACKAGES)
+        name = F.element_at(F.array(*map(F.lit, PACKAGES)), (F.col("p_partkey") * 7 % n + 1).cast("int"))
+        k, v = F.col("p_partkey") % 9, F.concat(F.col("p_size") % 5, F.lit("."), F.col("p_partkey") % 7)
+        text = F.when(k == 0, F.concat(name, F.lit("[extra]>="), v, F.lit(' ; python_version > "3.8"  # why'))).when(k == 1, F.concat(F.upper(name), F.lit("=="), v)).when(k == 2, F.concat(F.lit("-r base.txt # "), name))
+        toml = F.when(k == 3, F.concat(name, F.lit(' = "^'), v, F.lit('"'))).when(k == 4, F.concat(F.lit('    "'), name, F.lit(">="), v, F.lit('",'))).when(k == 5, F.concat(F.lit("# "), name, F.lit(' = "1"')))
+        package = F.when(k == 6, F.concat(F.lit('    "'), name, F.lit('": "^'), v, F.lit('",'))).when(k == 7, F.concat(F.lit('  "'), name, F.lit('": {'))).otherwise(F.concat(F.lit('    "@x/'), name, F.lit('": "'), v, F.lit('"')))
+        file = F.when(k < 3, "requirements.txt").when(k < 6, "pyproject.toml").otherwise("package.json")
+        return self.part.select((F.floor(F.col("p_partkey") / 9) % 50).alias("repo"), file.alias("file"), F.coalesce(text, toml, package).alias("line"))
+
+    def tree(self) -> DataFrame:
+        """(p_partkey, path): files of a working tree, some of them in folders or of kinds that searches leave out."""
+        k = F.col("p_partkey")
+        top = F.when(k % 11 == 0, "web/node_modules/").when(k % 13 == 0, "dist/").when(k % 17 == 0, "distant/").otherwise("")
+        return self.paths().select("p_partkey", F.concat(top, F.when(k % 19 == 0, F.concat(F.lit("img/p"), k, F.lit(".PNG"))).otherwise(F.col("path"))).alias("path"))
+
     def messages(self) -> DataFrame:
         return self.conversations
 
@@ -144,7 +174,17 @@ class Tables:
         return p.select(F.concat(F.lit("a"), "p_partkey").alias("area"), F.concat(F.repeat(head, F.col("p_size") % 12), body, figure).alias("content"))
 
 
+_PACKAGES = "[" + ", ".join(f"'{x}'" for x in PACKAGES) + "]"
+_K = "CAST(json_extract_string(props, '$.k') AS INT)"
 CTES = {
+    "artifacts": f"""SELECT user_id, (['typecheck', 'dead_code', 'semgrep', 'complexity'])[event_id % 4 + 1] AS kind, CASE event_id % 4
+WHEN 0 THEN CASE k % 5 WHEN 0 THEN concat('[', repeat('{{"m": 1}}, ', k % 3), '{{"m": 2}}]') WHEN 1 THEN concat('{{"generalDiagnostics": [1, 2], "n": ', k, '}}') WHEN 2 THEN '{{"generalDiagnostics": "none"}}' WHEN 3 THEN concat('error: ', k) ELSE '"text"' END
+WHEN 1 THEN CASE k % 4 WHEN 0 THEN '["a", "b"]' WHEN 1 THEN '{{"files": ["x"], "exports": [1, 2, 3], "n": 4}}' WHEN 2 THEN '{{"files": {{}}}}' ELSE '' END
+WHEN 2 THEN CASE k % 4 WHEN 0 THEN '{{"results": [{{"extra": {{"severity": "ERROR"}}, "check_id": "a"}}, {{"extra": {{"severity": "High"}}}}]}}' WHEN 1 THEN '{{"results": [{{"extra": {{}}}}, {{}}, {{"extra": {{"severity": "critical"}}}}]}}' WHEN 2 THEN '{{"results": {{"x": 1}}}}' ELSE '[1]' END
+ELSE CASE WHEN k % 3 < 2 THEN concat('{{"f', user_id, '.py": [{{"name": "g', event_id, '", "complexity": ', k, '}}, {{"name": "h"}}, 7], "odd": 3}}') ELSE '[3]' END END AS text FROM (SELECT *, {_K} AS k FROM events)""",
+    "manifests": f"""SELECT p_partkey // 9 % 50 AS repo, CASE WHEN k < 3 THEN 'requirements.txt' WHEN k < 6 THEN 'pyproject.toml' ELSE 'package.json' END AS file, name, v, k
+FROM (SELECT p_partkey, p_partkey % 9 AS k, {_PACKAGES}[p_partkey * 7 % {len(PACKAGES)} + 1] AS name, concat(p_size % 5, '.', p_partkey % 7) AS v FROM part)""",
+    "tree": "SELECT p_partkey, concat(CASE WHEN p_partkey % 11 = 0 THEN 'web/node_modules/' WHEN p_partkey % 13 = 0 THEN 'dist/' WHEN p_partkey % 17 = 0 THEN 'distant/' ELSE '' END, CASE WHEN p_partkey % 19 = 0 THEN concat('img/p', p_partkey, '.PNG') ELSE path END) AS path FROM paths",
     "commits": "SELECT o_orderkey AS hash, c_name AS author, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS message FROM orders JOIN customer ON c_custkey = o_custkey",
     "paths": "SELECT p_partkey, concat(p_brand, '/', p_type, '/part_', p_partkey, '.', CASE p_size % 8 WHEN 0 THEN 'py' WHEN 1 THEN 'ts' WHEN 2 THEN 'tsx' WHEN 3 THEN 'js' WHEN 4 THEN 'go' WHEN 5 THEN 'rs' WHEN 6 THEN 'java' ELSE 'md' END) AS path FROM part",
     "commit_files": "SELECT DISTINCT l_orderkey AS hash, path FROM lineitem JOIN paths ON p_partkey = l_partkey",
@@ -160,7 +200,7 @@ CTES = {
     "index_ages": "SELECT o_custkey AS change_id, date_diff('day', max(CAST(o_orderdate AS DATE)), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders))::DOUBLE AS age_hours FROM orders GROUP BY 1",
     "bundles": "SELECT concat('a', p_partkey) AS area, concat(repeat(concat('## ', p_name, chr(10)), p_size % 12), repeat(concat('See src/', p_brand, '/mod_', p_partkey % 13, '.py and app.py:', p_partkey, chr(10)), p_size), CASE p_partkey % 3 WHEN 0 THEN concat('```mermaid', chr(10), 'graph', chr(10), '```', chr(10)) WHEN 1 THEN '' ELSE concat('```Mermaid', chr(10), '```', chr(10), '```mermaid', chr(10), '```', chr(10)) END) AS content FROM part",
 }
-_NEEDS = {"commit_files": ["paths"], "symbol_files": ["symbols", "paths"], "change_sets": ["paths", "commit_files"]}
+_NEEDS = {"tree": ["paths"], "commit_files": ["paths"], "symbol_files": ["symbols", "paths"], "change_sets": ["paths", "commit_files"]}
 
 
 def sql(names: str, body: str) -> str:
