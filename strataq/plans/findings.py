@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.operators import artifacts as A
-from strataq.operators.ranking import percent
+from strataq.operators.ranking import percent, with_total
 from strataq.plans.registry import query
 from strataq.sources.tables import Tables, sql
 
@@ -73,6 +73,33 @@ def artifact_counts(t: Tables) -> DataFrame:
     return base.join(found, "user_id", "left").join(measured, "user_id", "left").na.fill(0)
 
 
+_HEALTH = _COUNTS + """, l AS (SELECT sum(CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) ELSE 0 END)::BIGINT AS lint FROM j WHERE kind = 'lint'),
+lv AS (SELECT l AS level, (SELECT count(*) FROM f WHERE level = l OR (l = 'info' AND level NOT IN ('critical', 'high', 'medium', 'low'))) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS l)),
+ow AS (SELECT CASE WHEN len(string_split(check_id, '.')) >= 3 THEN string_split(check_id, '.')[3] ELSE check_id END AS category, count(*) AS n FROM findings GROUP BY 1),
+health AS (SELECT {'semgrep_findings': (SELECT map_from_entries(list((level, n) ORDER BY level)) FROM lv), 'owasp_findings': (SELECT map_from_entries(list((category, n) ORDER BY category)) FROM ow), 'type_errors': (SELECT sum(type_errors)::BIGINT FROM n), 'lint_violations': lint,
+  'dead_code_symbols': (SELECT sum(dead_code)::BIGINT FROM n), 'avg_cyclomatic_complexity': (SELECT round_even(avg(c), 2) FROM c)} AS health FROM l)"""
+
+
+def health(t: Tables) -> DataFrame:
+    """One row with the health section as a struct: maps of findings by level and by category, and numbers, all from the
+    scanners' artifacts."""
+    a = t.artifacts().select("kind", F.try_parse_json("text").alias("v"))
+    of = lambda kind, n: F.sum(F.when(F.col("kind") == kind, n).otherwise(F.lit(0)))
+    v = F.col("v")
+    counts = a.agg(of("typecheck", A.type_errors(v)).alias("type_errors"), of("lint", A.length(v)).alias("lint_violations"), of("dead_code", A.dead_code(v)).alias("dead_code_symbols"))
+    levels = A.findings(a.where("kind = 'semgrep'")).agg(*(F.count_if(F.col("level") == x).alias(x) for x in sorted(LEVELS)))
+    levels = levels.select(F.create_map(*(x for level in sorted(LEVELS) for x in (F.lit(level), F.col(level)))).alias("semgrep_findings"))
+    owasp = owasp_category_counts(t).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "count")))).alias("owasp_findings"))  # one a category
+    mean = A.functions(a.where("kind = 'complexity'")).agg(F.coalesce(F.bround(F.avg("complexity"), 2), F.lit(0.0)).alias("avg_cyclomatic_complexity"))
+    one = with_total(with_total(with_total(counts, levels), owasp), mean)
+    return one.select(F.struct("semgrep_findings", "owasp_findings", "type_errors", "lint_violations", "dead_code_symbols", "avg_cyclomatic_complexity").alias("health"))
+
+
+@query("health_record", sql("artifacts findings", _HEALTH + " SELECT to_json(health)::VARCHAR AS record FROM health"))
+def health_record(t: Tables) -> DataFrame:
+    return health(t).select(F.to_json("health").alias("record"))
+
+
 @query("avg_complexity", "SELECT event_type, round_even(avg(CAST(json_extract_string(props, '$.k') AS INT)), 2) AS complexity FROM events GROUP BY 1")
 def avg_complexity(t: Tables) -> DataFrame:
     k = F.try_to_number(F.get_json_object("props", "$.k"), F.lit("99999"))

@@ -118,45 +118,37 @@ def heuristic_summary(t: Tables) -> DataFrame:
     return one
 
 
-_RECORD = f""", langs AS ({ORACLES['detect_languages']}), fw AS (SELECT DISTINCT framework FROM ({{frameworks}})), sev AS ({{severities}}), owasp AS ({{owasp}}), topf AS ({ORACLES['top_complex_functions']}), bus AS ({{bus}}), comm AS ({{communities}})
-SELECT to_json({{{{'volume': {{{{'file_count': v.file_count, 'total_lines': v.total_lines, 'estimated_tokens': v.estimated_tokens, 'languages': (SELECT map_from_entries(list((lang, files) ORDER BY lang)) FROM langs), 'frameworks': (SELECT list(framework ORDER BY framework) FROM fw)}}}},
-'health': {{{{'findings': (SELECT map_from_entries(list((level, count) ORDER BY level)) FROM sev), 'owasp': (SELECT map_from_entries(list((category, count) ORDER BY category)) FROM owasp), 'type_errors': a.type_errors, 'dead_code': a.dead_code, 'functions': a.functions}}}},
-'git': {{{{'total_commits': g.total_commits, 'contributors': g.contributors, 'coupled_pairs': string_split(g.coupled_pairs, '; ')}}}},
-'complexity': {{{{'top_complex_functions': (SELECT list({{{{'name': name, 'file': file, 'lines': lines, 'complexity': complexity}}}} ORDER BY complexity DESC, name) FROM topf), 'bus_factor_risks': (SELECT list(risk ORDER BY risk) FROM bus)}}}},
-'graph': {{{{'symbol_count': (SELECT count(*) FROM supplier), 'community_count': (SELECT count(DISTINCT s_nationkey) FROM supplier), 'process_count': (SELECT count(DISTINCT n_regionkey) FROM supplier JOIN nation ON n_nationkey = s_nationkey), 'edge_count': e.edges, 'top_communities': (SELECT map_from_entries(list((community, symbols) ORDER BY community)) FROM comm)}}}}}}}})::VARCHAR AS record
-FROM ({{volume}}) v, (SELECT sum(type_errors)::BIGINT AS type_errors, sum(dead_code)::BIGINT AS dead_code, sum(functions)::BIGINT AS functions FROM ({{artifacts}})) a, ({{git}}) g, ({{edges}}) e"""
-_PARTS = {"frameworks": "detect_frameworks", "severities": "severity_counts", "owasp": "owasp_category_counts", "bus": "bus_factor_risks", "communities": "top_communities", "volume": "volume_stats", "artifacts": "artifact_counts", "git": "git_section", "edges": "graph_stats"}
+_RECORD = f""", langs AS ({ORACLES['detect_languages']}), fw AS (SELECT DISTINCT framework FROM ({ORACLES['detect_frameworks']})), topf AS ({ORACLES['top_complex_functions']}), bus AS ({ORACLES['bus_factor_risks']}), comm AS ({ORACLES['top_communities']})
+SELECT to_json({{'volume': {{'total_files': v.file_count, 'total_lines': v.total_lines, 'estimated_tokens': v.estimated_tokens, 'languages': (SELECT map_from_entries(list((lang, files) ORDER BY lang)) FROM langs), 'frameworks': (SELECT list(framework ORDER BY framework) FROM fw)}},
+'health': (SELECT health FROM health), 'git': {{'total_commits_analyzed': g.total_commits, 'active_contributors': g.contributors, 'most_coupled_pairs': string_split(g.coupled_pairs, '; ')}},
+'complexity': {{'top_complex_functions': (SELECT list({{'name': name, 'file': file, 'lines': lines, 'complexity': complexity}} ORDER BY complexity DESC, name) FROM topf), 'bus_factor_risks': (SELECT list(risk ORDER BY risk) FROM bus)}},
+'graph': {{'indexed': true, 'community_count': (SELECT count(DISTINCT s_nationkey) FROM supplier), 'process_count': (SELECT count(DISTINCT n_regionkey) FROM supplier JOIN nation ON n_nationkey = s_nationkey), 'symbol_count': (SELECT count(*) FROM supplier), 'edge_count': e.edges,
+  'top_communities': (SELECT list({{'name': community, 'symbols': symbols, 'cohesion': cohesion}} ORDER BY symbols DESC, community) FROM comm)}}}})::VARCHAR AS record
+FROM ({ORACLES['volume_stats']}) v, ({ORACLES['git_section']}) g, ({ORACLES['graph_stats']}) e"""
 
 
-@query("summary_record", "WITH one AS (SELECT 1)" + _RECORD.format(**{k: ORACLES[v] for k, v in _PARTS.items()}))
+@query("summary_record", sql("artifacts findings", findings._HEALTH + _RECORD))
 def summary_record(t: Tables) -> DataFrame:
     """The summary of a repository as one nested record, written as JSON: sections of numbers, of maps from names to
     numbers, and of lists. Counts are aggregated by name first; only those few rows are put into maps."""
-
-    def mapped(rows: DataFrame, key: str, n: str, to: str) -> DataFrame:
-        return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, n)))).alias(to))
-
-    def listed(rows: DataFrame, value: str, to: str) -> DataFrame:
-        return rows.agg(F.sort_array(F.collect_set(value)).alias(to))
-
-    top = findings.top_complex_functions(t).agg(F.array_sort(F.collect_list(F.struct((-F.col("complexity")).alias("n"), "name", "file", "lines", "complexity"))).alias("f"))
-    scanned = findings.artifact_counts(t).agg(*(F.sum(c).alias(c) for c in ("type_errors", "dead_code", "functions")))
+    top = findings.top_complex_functions(t).agg(F.array_sort(F.collect_list(F.struct((-F.col("complexity")).alias("n"), "name", "file", "lines", "complexity"))).alias("f"))  # ten
+    near = graph.top_communities(t).agg(F.sort_array(F.collect_list(F.struct((-F.col("symbols")).alias("n"), F.col("community").alias("name"), "symbols", "cohesion"))).alias("c"))  # ten
+    langs = search.detect_languages(t).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "files")))).alias("languages"))
     region = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-    size = t.supplier.join(F.broadcast(region), "s_nationkey").agg(F.count(F.lit(1)).alias("symbol_count"), F.countDistinct("s_nationkey").alias("community_count"), F.countDistinct("n_regionkey").alias("process_count"))  # a table of fixed size
-    one = search.volume_stats(t)
+    size = t.supplier.join(F.broadcast(region), "s_nationkey").agg(F.countDistinct("s_nationkey").alias("community_count"), F.countDistinct("n_regionkey").alias("process_count"), F.count(F.lit(1)).alias("symbol_count"))  # a table of fixed size
+    one = search.volume_stats(t).withColumnRenamed("file_count", "total_files")
     for part in (
-        mapped(search.detect_languages(t), "lang", "files", "languages"), listed(joins.detect_frameworks(t), "framework", "frameworks"), mapped(findings.severity_counts(t), "level", "count", "findings"),
-        mapped(findings.owasp_category_counts(t), "category", "count", "owasp"), scanned, git_section(t), top, listed(history.bus_factor_risks(t), "risk", "bus_factor_risks"), size,
-        graph.graph_stats(t).select(F.col("edges").alias("edge_count")), mapped(graph.top_communities(t), "community", "symbols", "top_communities"),
+        langs, joins.detect_frameworks(t).agg(F.sort_array(F.collect_set("framework")).alias("frameworks")), findings.health(t), git_section(t).withColumnRenamed("contributors", "active_contributors"), top,
+        history.bus_factor_risks(t).agg(F.sort_array(F.collect_list("risk")).alias("bus_factor_risks")), size, graph.graph_stats(t).select(F.col("edges").alias("edge_count")), near,
     ):
         one = with_total(one, part)  # one row each
-    functions = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["file"].alias("file"), x["lines"].alias("lines"), x["complexity"].alias("complexity")))
+    pick = lambda x, *names: F.struct(*(x[n].alias(n) for n in names))
     record = F.struct(
-        F.struct("file_count", "total_lines", "estimated_tokens", "languages", "frameworks").alias("volume"),
-        F.struct("findings", "owasp", "type_errors", "dead_code", "functions").alias("health"),
-        F.struct("total_commits", "contributors", F.split("coupled_pairs", "; ").alias("coupled_pairs")).alias("git"),
-        F.struct(functions.alias("top_complex_functions"), "bus_factor_risks").alias("complexity"),
-        F.struct("symbol_count", "community_count", "process_count", "edge_count", "top_communities").alias("graph"),
+        F.struct("total_files", "total_lines", "estimated_tokens", "languages", "frameworks").alias("volume"),
+        "health",
+        F.struct(F.col("total_commits").alias("total_commits_analyzed"), "active_contributors", F.split("coupled_pairs", "; ").alias("most_coupled_pairs")).alias("git"),
+        F.struct(F.transform("f", lambda x: pick(x, "name", "file", "lines", "complexity")).alias("top_complex_functions"), "bus_factor_risks").alias("complexity"),
+        F.struct(F.lit(True).alias("indexed"), "community_count", "process_count", "symbol_count", "edge_count", F.transform("c", lambda x: pick(x, "name", "symbols", "cohesion")).alias("top_communities")).alias("graph"),
     )
     return one.select(F.to_json(record).alias("record"))
 

@@ -13,6 +13,7 @@ from strataq.operators.ranking import with_total
 from strataq.plans.history import _SOLE
 from strataq.plans.joins import _TREND, bus_factor_touch
 from strataq.plans.registry import query
+from strataq.sources.session import materialize
 from strataq.sources.tables import Tables, sql
 
 _IMPACT = """, sym AS (SELECT DISTINCT change_id, symbol, community, process FROM change_sets JOIN symbol_files USING (path)),
@@ -158,8 +159,10 @@ def signals(t: Tables, change: DataFrame) -> DataFrame:
 
 
 def verdicts(t: Tables) -> DataFrame:
-    """One verdict for each change set, from all of its signals, the areas it touches and the age of the index."""
-    change = impact(t)
+    """One verdict for each change set, from all of its signals, the areas it touches and the age of the index. What
+    several of these read is written once."""
+    t = t.holding(change_parts=materialize(t.change_parts()))
+    change = materialize(impact(t))
     out = change.join(R.gathered(signals(t, change)), "change_id", "left")
     out = out.join(R.area_tiers(R.areas_of(t.change_parts(), t.paths(), t.areas())), "change_id", "left")
     out = out.join(t.index_ages(), "change_id", "left")

@@ -38,6 +38,13 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def holding(self, **written: DataFrame) -> Tables:
+        """The same tables, of which those named are what was written of them."""
+        t = Tables(self.spark, self.sf_dir)
+        for name, df in written.items():
+            setattr(t, name, lambda df=df: df)
+        return t
+
     def literal(self, schema: str, rows: list[tuple]) -> DataFrame:
         """A small dictionary as a table (broadcast by its size)."""
         return self.spark.createDataFrame(rows, schema)
@@ -141,7 +148,7 @@ class Tables:
         unused = F.when(k % 4 == 0, '["a", "b"]').when(k % 4 == 1, '{"files": ["x"], "exports": [1, 2, 3], "n": 4}').when(k % 4 == 2, '{"files": {}}').otherwise("")
         results = F.when(k % 4 == 0, '{"results": [{"extra": {"severity": "ERROR"}, "check_id": "a"}, {"extra": {"severity": "High"}}]}').when(k % 4 == 1, '{"results": [{"extra": {}}, {}, {"extra": {"severity": "critical"}}]}').when(k % 4 == 2, '{"results": {"x": 1}}').otherwise("[1]")
         measured = F.when(k % 3 < 2, F.concat(F.lit('{"f'), "user_id", F.lit('.py": [{"name": "g'), "event_id", F.lit('", "complexity": '), k, F.lit('}, {"name": "h"}, 7], "odd": 3}'))).otherwise("[3]")
-        names = F.element_at(F.array(*map(F.lit, ["typecheck", "dead_code", "semgrep", "complexity"])), (kind + 1).cast("int"))
+        names = F.element_at(F.array(*map(F.lit, ["typecheck", "dead_code", "semgrep", "complexity", "lint", "dead_code", "semgrep", "complexity"])), (F.col("event_id") % 8 + 1).cast("int"))
         return self.events.select("user_id", names.alias("kind"), F.when(kind == 0, diagnostics).when(kind == 1, unused).when(kind == 2, results).otherwise(measured).alias("text"))
 
     def manifests(self) -> DataFrame:
@@ -177,7 +184,7 @@ class Tables:
 _PACKAGES = "[" + ", ".join(f"'{x}'" for x in PACKAGES) + "]"
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"
 CTES = {
-    "artifacts": f"""SELECT user_id, (['typecheck', 'dead_code', 'semgrep', 'complexity'])[event_id % 4 + 1] AS kind, CASE event_id % 4
+    "artifacts": f"""SELECT user_id, (['typecheck', 'dead_code', 'semgrep', 'complexity', 'lint', 'dead_code', 'semgrep', 'complexity'])[event_id % 8 + 1] AS kind, CASE event_id % 4
 WHEN 0 THEN CASE k % 5 WHEN 0 THEN concat('[', repeat('{{"m": 1}}, ', k % 3), '{{"m": 2}}]') WHEN 1 THEN concat('{{"generalDiagnostics": [1, 2], "n": ', k, '}}') WHEN 2 THEN '{{"generalDiagnostics": "none"}}' WHEN 3 THEN concat('error: ', k) ELSE '"text"' END
 WHEN 1 THEN CASE k % 4 WHEN 0 THEN '["a", "b"]' WHEN 1 THEN '{{"files": ["x"], "exports": [1, 2, 3], "n": 4}}' WHEN 2 THEN '{{"files": {{}}}}' ELSE '' END
 WHEN 2 THEN CASE k % 4 WHEN 0 THEN '{{"results": [{{"extra": {{"severity": "ERROR"}}, "check_id": "a"}}, {{"extra": {{"severity": "High"}}}}]}}' WHEN 1 THEN '{{"results": [{{"extra": {{}}}}, {{}}, {{"extra": {{"severity": "critical"}}}}]}}' WHEN 2 THEN '{{"results": {{"x": 1}}}}' ELSE '[1]' END
