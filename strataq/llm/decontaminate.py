@@ -1,9 +1,9 @@
 """Benchmark decontamination, by DataFrame functions only.
 
 Words are lower-cased runs of letters and digits, shingles are hashes of ``n`` of them. A document is looked at through
-windows as long as an item (one window where it is shorter). A window without any shingle of an item of its size has
-similarity 0 and is left alone; around every other shingle *all* windows are laid, in blocks of ``SPAN`` starts, whatever
-the order in which they hold the item's shingles.
+windows as long as an item (one window where it is shorter). A window in which too few places have a shingle of any item
+of its size can't reach the threshold and is left alone; where they are enough, *all* windows are laid, in blocks of
+``SPAN`` starts, whatever the order in which they hold the item's shingles.
 
 1. *Fingerprints.* Each laid window and each item gets a 64-bit SimHash of its shingles. Counts of set bits are summed
    in lanes of a long, so one pass over the shingles counts several bits at once.
@@ -116,6 +116,21 @@ def occurrences(g: Column) -> Column:
     return F.when(F.size(g) > 0, _once(F.array_sort(g), runs)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _blocks(at: Column, of: Column, m: Column, threshold: float) -> Column:
+    """Blocks of starts in which a window can reach the threshold. Two multisets of m and w shingles are as similar only if
+    they share ``need`` of them, so that many of a window's places must be among ``at``, those of shingles of any item of
+    this size: of each ``need`` such places in a row that one window can hold, the starts of all windows that do."""
+    w = F.least(m, of)
+    need = F.ceil((m + w) * F.lit(threshold / (1 + threshold)) - 1e-9).cast("int")
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(at, i + need - 1) - w + 1)
+        return F.sequence(F.floor(low / SPAN).cast("int"), F.floor(F.least(of - w, F.get(at, i)) / SPAN).cast("int"))
+
+    firsts = F.filter(F.sequence(F.lit(0), F.size(at) - need), lambda i: F.get(at, i + need - 1) - F.get(at, i) < w)
+    return F.when(F.size(at) >= need, F.array_distinct(F.flatten(F.transform(firsts, starts)))).otherwise(F.array().cast("array<int>"))
+
+
 def _rows(docs: DataFrame, doc_id: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
 
@@ -134,14 +149,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, threshold: flo
     texts = _rows(docs, doc_id)
     grams = _once(words(F.col("text")), lambda w: shingles(w, n))
     places = texts.select("doc_id", "h", grams.alias("gs")).select("doc_id", "h", F.size("gs").alias("of"), F.posexplode("gs").alias("p", "g"))
-    hits = places.join(seeds, "g").select("doc_id", "h", "size", "m", "p", F.greatest(F.lit(0), F.col("of") - F.col("m")).alias("last"))
-    # a window of m shingles holds place p if it starts in [p - m + 1, p], and the last one starts at ``last``
-    blocks = F.sequence(F.floor(F.greatest(F.lit(0), F.least("last", F.col("p") - F.col("m") + 1)) / SPAN), F.floor(F.least("last", "p") / SPAN))
-    laid = hits.select("doc_id", "h", "size", "m", F.explode(blocks.cast("array<int>")).alias("b")).distinct()
-    laid = laid.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("size", "m", "b")).alias("laid"))
-
-    here = texts.join(laid, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", grams.alias("gs"), "laid").dropDuplicates(["doc_id", "h"])
-    here = here.select("doc_id", "h", "gs", F.inline("laid"))
+    hits = places.join(seeds, "g").groupBy("doc_id", "h", "of", "size", "m").agg(F.sort_array(F.collect_set("p")).alias("at"))  # places of one text
+    hits = hits.withColumn("b", _blocks(F.col("at"), F.col("of"), F.col("m"), threshold)).where(F.size("b") > 0)
+    laid = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("size", "m", "b")).alias("laid"))  # one a size of items
+
+    here = texts.join(laid, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h"))).dropDuplicates(["doc_id", "h"])
+    here = here.select("doc_id", "h", grams.alias("gs"), "laid").select("doc_id", "h", "gs", F.inline("laid")).withColumn("b", F.explode("b"))
     last = F.greatest(F.lit(0), F.size("gs") - F.col("m"))  # the last start of a window
     here = here.withColumn("from", F.col("b") * SPAN).withColumn("upto", F.least(F.col("from") + SPAN - 1, last)).where("upto >= `from`")
     here = here.select("doc_id", "h", "size", "m", "from", (F.col("upto") - F.col("from")).alias("more"), F.slice("gs", F.col("from") + 1, F.col("upto") - F.col("from") + F.col("m")).alias("g"))
