@@ -9,6 +9,7 @@ files' table last, so a refresh that fails in between is only repeated. ``compac
 ``search`` doesn't score what can't be among the best. For each query its rarest terms give a score that ``top`` documents
 reach already; terms whose greatest gains together stay below it can't bring in a document by themselves. The other terms'
 postings give the candidates, and only candidates that could still reach the score are completed from their own terms.
+Where these other terms have most of the postings (long queries of frequent words), all are summed in one pass instead.
 """
 
 from __future__ import annotations
@@ -191,12 +192,15 @@ class Index:
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, ordinal, score) of every document that shares a term with a query's text; terms count as often as a
         query has them. For ``search`` see there: it does not make these rows."""
-        q = self._weighed(queries).drop("df", "bound")
+        return self._summed(self._weighed(queries))
+
+    def _summed(self, q: DataFrame) -> DataFrame:
+        q = q.select("query_id", "term", "times", "idf", "avg_length")
         return self.postings.join(q, "term").groupBy("query_id", "ordinal").agg(F.sum(self._gain()).alias("score"))
 
-    def candidates(self, queries: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-        """(weighed terms with ``needed``, candidates (query_id, ordinal, part)): documents that may be among the best
-        ``top``, with what needed terms give them."""
+    def needed(self, queries: DataFrame, top: int) -> DataFrame:
+        """The weighed terms of each query, with ``needed``: a document must have a needed term to be among the best
+        ``top``; and with the query's ``goal``, a score that ``top`` documents reach at least."""
         q = materialize(self._weighed(queries))
         per = Window.partitionBy("query_id")
         before = per.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
@@ -208,18 +212,26 @@ class Index:
         goal = lowest.join(reached, "query_id", "left").select("query_id", F.when(F.col("n") >= top, F.col("least") + F.col("loss") - SLACK).otherwise(F.lit(0.0)).alias("goal"))
         upto = per.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
         q = q.join(goal, "query_id").withColumn("together", F.sum(F.greatest("bound", F.lit(0.0))).over(upto))
-        q = materialize(q.withColumn("needed", F.col("together") >= F.col("goal")))
+        return materialize(q.withColumn("needed", F.col("together") >= F.col("goal")))
+
+    def candidates(self, q: DataFrame) -> DataFrame:
+        """(query_id, ordinal, part): documents that may be among the best, with what needed terms give them."""
         rest = q.groupBy("query_id").agg(F.max("goal").alias("goal"), F.coalesce(F.sum(F.when(~F.col("needed"), F.greatest("bound", F.lit(0.0)))), F.lit(0.0)).alias("rest"))
         part = self.postings.join(q.where("needed").drop("df"), "term").groupBy("query_id", "ordinal").agg(F.sum(self._gain()).alias("part"))
-        return q, materialize(part.join(rest, "query_id").where(F.col("part") + F.col("rest") >= F.col("goal") - SLACK).select("query_id", "ordinal", "part"))
+        return materialize(part.join(rest, "query_id").where(F.col("part") + F.col("rest") >= F.col("goal") - SLACK).select("query_id", "ordinal", "part"))
 
     def search(self, queries: DataFrame, top: int = 20) -> DataFrame:
         """The best documents of each query by score to four places, ties in document order."""
-        q, near = self.candidates(queries, top)
-        others = q.where("NOT needed").select("query_id", "term", "times", "idf", "avg_length")
-        own = self.postings.join(near.select("query_id", "ordinal"), "ordinal").join(others, ["query_id", "term"])
-        more = own.groupBy("query_id", "ordinal").agg(F.sum(self._gain()).alias("more"))
-        s = near.join(more, ["query_id", "ordinal"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0.0)))
+        q = self.needed(queries, top)
+        cost = q.agg(F.sum("df").alias("all"), F.sum(F.when(F.col("needed"), F.col("df"))).alias("needed")).first()
+        if 2 * (cost["needed"] or 0) > (cost["all"] or 0):  # bounds leave out too little: one pass over all postings is less work
+            s = self._summed(q)
+        else:
+            near = self.candidates(q)
+            others = q.where("NOT needed").select("query_id", "term", "times", "idf", "avg_length")
+            own = near.select("query_id", "ordinal").join(others, "query_id").join(self.postings, ["term", "ordinal"])
+            more = own.groupBy("query_id", "ordinal").agg(F.sum(self._gain()).alias("more"))
+            s = near.join(more, ["query_id", "ordinal"], "left").withColumn("score", F.col("part") + F.coalesce("more", F.lit(0.0)))
         s = s.where("score > 0").select("query_id", "ordinal", F.bround("score", PLACES).alias("score"))
         best = top_per(s, ["query_id"], top, F.desc("score"), F.asc("ordinal"), name="rank")
         return best.join(self.docs, "ordinal")
