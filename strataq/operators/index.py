@@ -29,6 +29,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SEED = 50
 #: Scores are rounded to so many places before they are ranked; bounds are wider by as much.
 PLACES, SLACK = 4, 1e-4
+#: Bounds are used if the needed terms have at most this part (one in WORTH) of all the queries' postings.
+WORTH = 2
 #: Changed files that are named in the scan's filter; more are joined.
 NAMED = 1000
 #: Segments from which ``refresh`` merges them.
@@ -224,7 +226,7 @@ class Index:
         """The best documents of each query by score to four places, ties in document order."""
         q = self.needed(queries, top)
         cost = q.agg(F.sum("df").alias("all"), F.sum(F.when(F.col("needed"), F.col("df"))).alias("needed")).first()
-        if 2 * (cost["needed"] or 0) > (cost["all"] or 0):  # bounds leave out too little: one pass over all postings is less work
+        if WORTH * (cost["needed"] or 0) > (cost["all"] or 0):  # bounds leave out too little: one pass over all postings is less work
             s = self._summed(q)
         else:
             near = self.candidates(q)
