@@ -175,15 +175,16 @@ def _tile(n: int, threshold: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of edges (a, b): alternating large and small stars until nothing changes."""
+    """(node, component) of the nodes of edges (a, b): alternating large and small stars until nothing changes. Both sides
+    of a join are dealt by node already; broadcasts would add a job, a thread and a table in the driver's memory to each."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        e = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
-        near = e.join(low, "a")
+        near = e.join(low.hint("merge"), "a")
         e = near.select("a", F.col("m").alias("b")).unionByName(near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         e = materialize(e)
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from strataq.llm.jaccard_join import components
 from strataq.llm.runtime import materialize
 from strataq.llm.tokens import Encoder
 from tests.llm.test_documents import brute_windows, gram_set, tokenizer, words
@@ -147,3 +148,14 @@ def test_stages_of_empty_tables(spark, planted):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF))
         assert docs.count() == 0, name
+
+
+def test_components_without_broadcasts(spark):
+    """A chain, a star and a ring; the rounds hold no table in the driver's memory."""
+    edges = [(i, i + 1) for i in range(9)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)]
+    plans = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = plans().size()
+    got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(10)} | {(100 + i, 100) for i in range(40)} | {(200 + i, 200) for i in range(7)}
+    new = [plans().apply(i).physicalPlanDescription() for i in range(before, plans().size())]
+    assert any("SortMergeJoin" in p for p in new) and not any("BroadcastExchange" in p for p in new)
