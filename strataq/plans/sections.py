@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.operators.ranking import percent, with_total
@@ -75,9 +75,16 @@ def timestamp_slug(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("slug"))
 
 
+def iso_day(day: Column) -> Column:
+    """A date as text; years beyond four digits have no sign before them, unlike those of date patterns."""
+    year = F.year(day)
+    shown = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(shown, F.lit("-"), F.lpad(F.month(day).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.dayofmonth(day).cast("string"), 2, "0"))
+
+
 @query("epoch_dates", "SELECT o_orderkey, strftime(make_timestamp(o_custkey * 7919000000000), '%Y-%m-%d') AS day FROM orders")
 def epoch_dates(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.date_format(F.timestamp_seconds(F.col("o_custkey") * 7_919_000), "yyyy-MM-dd").alias("day"))
+    return t.orders.select("o_orderkey", iso_day(F.timestamp_seconds(F.col("o_custkey") * 7_919_000).cast("date")).alias("day"))
 
 
 _HEALTH = """SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'medium') AS medium, 0::BIGINT AS low, count(*) FILTER (severity IS NULL OR severity = 'ERROR') AS info,
