@@ -75,16 +75,23 @@ def timestamp_slug(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("slug"))
 
 
-def iso_day(day: Column) -> Column:
-    """A date as text; years beyond four digits have no sign before them, unlike those of date patterns."""
-    year = F.year(day)
+#: Days of 400 years.
+_CYCLE = 146_097
+
+
+def iso_day(days: Column) -> Column:
+    """Days since 1970 as a date's text, without a sign before years of more than four digits. Any number of days will do:
+    the calendar repeats after 400 years, so a date of the first 400 from 1970 on has the month and the day."""
+    rest = F.pmod(days, F.lit(_CYCLE))
+    cycle, day = ((days - rest) / _CYCLE).cast("long"), F.date_from_unix_date(rest.cast("int"))
+    year = F.year(day) + 400 * cycle
     shown = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
-    return F.concat(shown, F.lit("-"), F.lpad(F.month(day).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.dayofmonth(day).cast("string"), 2, "0"))
+    return F.concat(shown, F.date_format(day, "-MM-dd"))
 
 
 @query("epoch_dates", "SELECT o_orderkey, strftime(make_timestamp(o_custkey * 7919000000000), '%Y-%m-%d') AS day FROM orders")
 def epoch_dates(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", iso_day(F.timestamp_seconds(F.col("o_custkey") * 7_919_000).cast("date")).alias("day"))
+    return t.orders.select("o_orderkey", iso_day(F.expr("(o_custkey * 39595 - pmod(o_custkey * 39595, 432)) div 432")).alias("day"))  # 7,919,000 s are 39,595 / 432 days
 
 
 _HEALTH = """SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'medium') AS medium, 0::BIGINT AS low, count(*) FILTER (severity IS NULL OR severity = 'ERROR') AS info,

@@ -18,3 +18,10 @@ def test_days_beyond_year_9999(spark, tmp_path):
     con = orders(tmp_path, [0, 1, 14_999, 31_998, 31_999, 90_000, 899_999, 1_100_000, None, -1, -7_700, -7_770, -7_780, -30_000])
     got = QUERIES["epoch_dates"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted(con.execute(ORACLES["epoch_dates"]).fetchall())
+
+
+def test_days_beyond_any_timestamp(spark, tmp_path):
+    """The SQL's timestamps end at customer 1,164,729; days go on by the calendar, 400 years being 146,097 of them."""
+    orders(tmp_path, [5_400_000, 30_000_000, 10**12, 146_097 * 432, 146_097 * 432 * 5 + 14_999])
+    got = [r.day for r in sorted(QUERIES["epoch_dates"](spark, str(tmp_path)).collect(), key=lambda r: r.o_orderkey)]
+    assert got == ["1357062-11-07", "7530263-08-10", "250943122205-06-10", "15839970-01-01", "79195733-11-23"]
