@@ -96,8 +96,9 @@ def freshness(hours: Column) -> tuple[Column, Column]:
 
 def areas_of(changes: DataFrame, paths: DataFrame, areas: DataFrame) -> DataFrame:
     """(change_id, and the columns of ``areas``) where an area's name is part of a changed path: names meet the distinct
-    paths, and these the changes by their key."""
-    near = paths.join(areas, F.contains(F.lower("path"), F.col("area"))).select("p_partkey", *areas.columns)
+    paths, and these the changes by their key. Areas are brands by kinds, so they are sent to the paths, which grow."""
+    low = paths.select("p_partkey", F.lower("path").alias("_path"))
+    near = low.join(F.broadcast(areas), F.contains("_path", F.col("area"))).select("p_partkey", *areas.columns)
     return changes.join(near, "p_partkey").select("change_id", *areas.columns)
 
 

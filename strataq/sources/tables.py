@@ -5,6 +5,8 @@ Each logical table is a DataFrame here and, for the oracles, a common table expr
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ EXTENSIONS = ["py", "ts", "tsx", "js", "go", "rs", "java", "md"]
 #: Dependencies of the manifests, with names that hold others' names.
 PACKAGES = ["django", "djangorestframework", "flask", "Flask_Cors", "fastapi", "react", "react-dom", "preact", "next", "nextra", "express", "expression", "pytest", "pytest-cov", "pydantic", "pydantic_settings", "sqlalchemy", "langchain", "strands-agents", "rails", "aws-cdk-lib", "spring-boot"]
 
+#: Tables whose rows grow with the input and that others are joined with by key.
+GROWING = ["customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
+
 #: The base date of the diffs.
 SINCE = "1998-01-01"
 
@@ -31,20 +36,28 @@ class Tables:
     """Tables of one folder, read when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.sorts = spark, sf_dir, False
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return table.hint("merge") if self.sorts and name in GROWING else table
 
     def holding(self, **written: DataFrame) -> Tables:
         """The same tables, of which those named are what was written of them."""
-        t = Tables(self.spark, self.sf_dir)
+        t = copy(self)
         for name, df in written.items():
             setattr(t, name, lambda df=df: df)
         return t
 
+    def merging(self) -> Tables:
+        """The same tables, of which those that grow are joined by sorting: a Parquet file's size says too little of its
+        rows to broadcast it. Joins whose small side is known say so themselves, which goes first."""
+        t = copy(self)
+        t.sorts = True
+        return t
+
     def literal(self, schema: str, rows: list[tuple]) -> DataFrame:
         """A small dictionary as a table (broadcast by its size)."""
         return self.spark.createDataFrame(rows, schema)
@@ -97,9 +110,9 @@ class Tables:
         return s.select("area", F.date_format("day", "yyyy-MM-dd").alias("seq"), level.alias("risk_level"), F.col("n").alias("churn_rank"), "contributor_count", coverage.alias("test_coverage"))
 
     def symbols(self) -> DataFrame:
-        """(symbol, community, process) of each supplier."""
+        """(symbol, community, process) of each supplier; nations and regions are of fixed size."""
         n = self.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
-        return self.supplier.join(n, "s_nationkey").join(self.region, "r_regionkey").select("s_suppkey", F.col("s_name").alias("symbol"), F.col("n_name").alias("community"), F.col("r_name").alias("process"))
+        return self.supplier.join(F.broadcast(n), "s_nationkey").join(F.broadcast(self.region), "r_regionkey").select("s_suppkey", F.col("s_name").alias("symbol"), F.col("n_name").alias("community"), F.col("r_name").alias("process"))
 
     def symbol_parts(self) -> DataFrame:
         """(p_partkey, symbol, community, process): the symbol that a file defines is the first supplier of its part."""

@@ -1,8 +1,12 @@
 """Queries on keys and tables larger than those of the given folders."""
 
+import itertools
+import re
+
 import duckdb
 import pytest
 
+from strataq.operators import risk as R
 from strataq.plans.registry import ORACLES, QUERIES
 
 
@@ -25,3 +29,30 @@ def test_days_beyond_any_timestamp(spark, tmp_path):
     orders(tmp_path, [5_400_000, 30_000_000, 10**12, 146_097 * 432, 146_097 * 432 * 5 + 14_999])
     got = [r.day for r in sorted(QUERIES["epoch_dates"](spark, str(tmp_path)).collect(), key=lambda r: r.o_orderkey)]
     assert got == ["1357062-11-07", "7530263-08-10", "250943122205-06-10", "15839970-01-01", "79195733-11-23"]
+
+
+def broadcast_tables(df):
+    """The tables that a plan sends whole, without a sum or a limit on the way, to the driver and from there to all tasks."""
+    lines, found = df._jdf.queryExecution().executedPlan().toString().split("\n"), set()
+    depth = lambda x: re.search(r"[^ :+|*-]", x).start() if x.strip() else 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = "\n".join(itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :]))
+            if not re.search("Aggregate|TakeOrdered|Limit", below):
+                found |= set(re.findall(r"(\w+)\.parquet\]", below))
+    return found
+
+
+@pytest.mark.parametrize("name", ["compute_verdict", "review_comment", "suggest_labels"])
+def test_verdicts_broadcast_no_growing_table(spark, name):
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert broadcast_tables(df) <= {"nation", "region"}
+
+
+def test_areas_are_sent_to_the_paths(spark):
+    paths = spark.range(3).selectExpr("id AS p_partkey", "concat('Brand#', id, '/Kind x/part') AS path")
+    areas = spark.createDataFrame([("brand#1/kind", "block"), ("kind", None), ("nowhere", "block")], "area string, recommendation string")
+    changes = spark.createDataFrame([(7, 1), (8, 2), (9, 5)], "change_id long, p_partkey long")
+    near = R.areas_of(changes, paths, areas)
+    assert sorted(map(tuple, near.collect()), key=str) == [(7, "brand#1/kind", "block"), (7, "kind", None), (8, "kind", None)]
+    assert "BroadcastNestedLoopJoin BuildRight" in near._jdf.queryExecution().executedPlan().toString()
