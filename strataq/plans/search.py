@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataq.functions.text import suffix, tokens
 from strataq.operators import retrieval as S
 from strataq.operators.index import Index
+from strataq.operators.nearest import nearest
 from strataq.operators.ranking import top_per, with_total
 from strataq.plans.registry import query
 from strataq.sources.lists import read_sorted, write_sorted
@@ -167,9 +168,5 @@ s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(e) + 1
 SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5""")
 def embedding_topk(t: Tables) -> DataFrame:
     """Cosine top-5 of a stated query set (ids divisible by 50) against all rows."""
-    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("n", F.sqrt(dot("e", "e")))  # once a row, not once a pair
-    q = e.where("vec_id % 50 = 0").toDF("query_id", "q", "m")
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("e", "q") / (F.col("n") * F.col("m")), 5).alias("similarity"))
-    return top_per(s, ["query_id"], 5, F.desc("similarity"), F.asc("vec_id")).select("query_id", "vec_id", "similarity")
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return nearest(e, e.where("id % 50 = 0"), 5)

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from tests.harness import difference
 
@@ -70,3 +71,22 @@ def test_registry_writes_no_file_for_each_artifact(spark, tmp_path):
     before = sum(1 for _ in shared.rglob("*"))
     assert difference(QUERIES["registry_artifacts"](spark, str(tmp_path)), con, ORACLES["registry_artifacts"]) == ""
     assert sum(1 for _ in shared.rglob("*")) - before < n
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_nearest_vectors(spark, monkeypatch, tmp_path, block):
+    """Copies, near ties, vectors along a query and vectors without a similarity, in one block and in many."""
+    r = np.random.default_rng(5)
+    e = r.normal(size=(160, 8)).astype(np.float32)
+    e[20:60] = e[0]
+    e[60:80] = e[1] * np.linspace(0.5, 2, 20, dtype=np.float32)[:, None]
+    e[80:100] = e[2] + r.normal(size=(20, 8)).astype(np.float32) * 1e-3
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(e)] + [(200, None), (201, [0.0] * 8)]
+    monkeypatch.setattr("strataq.operators.nearest.VECTORS", block)
+    monkeypatch.setattr("strataq.operators.nearest.QUERIES", block)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = QUERIES["embedding_topk"](spark, str(tmp_path))
+    assert difference(df, con, ORACLES["embedding_topk"]) == ""
+    assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
