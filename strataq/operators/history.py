@@ -76,11 +76,12 @@ def bus_factor(commits: DataFrame, files: DataFrame, folders: DataFrame, most: i
     return folders.join(n, "dir").withColumn("risk", F.concat("dir", F.lit(" ("), "contributors", F.lit(" contributor, "), "file_count", F.lit(" files)")))
 
 
-def reviewers(commits: DataFrame, files: DataFrame, changes: DataFrame, first: int = 5, newest_of: int = 10, top: int = 3) -> DataFrame:
-    """For each change the authors of the newest commits of its first files (change_id, identity, reason, confidence, n)."""
-    own = top_per(changes, ["change_id"], first, F.asc("path")).select("change_id", "path")
-    log = top_per(files.join(own.select("path").distinct(), "path", "left_semi").join(commits, "hash"), ["path"], newest_of, *recent()).select("path", "author")
-    per = own.join(log, "path").groupBy("change_id", F.col("author").alias("identity")).agg(F.count(F.lit(1)).alias("n"))
+def reviewers(commits: DataFrame, files: DataFrame, changes: DataFrame, first: int = 5, newest_of: int = 10, top: int = 3, key: str = "path") -> DataFrame:
+    """For each change the authors of the newest commits of its first files (change_id, identity, reason, confidence, n).
+    Files are known by ``key``, which may be shorter than their path."""
+    own = top_per(changes, ["change_id"], first, F.asc("path")).select("change_id", key)
+    log = top_per(files.join(own.select(key).distinct(), key, "left_semi").join(commits.select("hash", "author", "date"), "hash"), [key], newest_of, *recent()).select(key, "author")
+    per = own.join(log, key).groupBy("change_id", F.col("author").alias("identity")).agg(F.count(F.lit(1)).alias("n"))
     out = top_per(per, ["change_id"], top, F.desc("n"), F.asc("identity"))
     reason = F.when(F.col("n") >= 3, "recent_contributor").otherwise("area_expert")
     return out.select("change_id", "identity", reason.alias("reason"), F.least(F.lit(0.9), F.col("n") / 10).alias("confidence"), "n")
